@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.llm import bpe_codec, packing
+from coursemill.llm import bpe_codec, embedding_dedup, minhash, packing
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +26,17 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links at a similarity of 0.8 over two-word shingles."""
+    found = minhash.near_duplicates(_documents(spark, sf_dir), k=2, threshold=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links at a cosine of 0.98 within its label, and its component."""
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 1024 tokens."""
     return packing.pack(_documents(spark, sf_dir), _tokenizer(), end_id=2)
@@ -33,6 +44,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
