@@ -24,7 +24,7 @@ from coursemill.llm.spans import Memo, ragged, span_hashes
 #: Words above this many bytes are merged one at a time with a heap.
 LONG_WORD = 96
 #: Bytes of text worked on at once.
-CHUNK = 2_000_000
+CHUNK = 700_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -26,7 +26,7 @@ from coursemill.llm.common import binary_column, kind, small_batches
 from coursemill.llm.spans import row_chunks, text_buffer
 
 #: Bytes of text in one batch of results.
-OUT_BYTES = 8_000_000
+OUT_BYTES = 3_000_000
 #: Words of the lexicon and the longest of them in bytes: a bound on what is broadcast (about 3 MB).
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 48
 

@@ -81,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            for a, b in row_chunks(off, 4_000_000):
+            for a, b in row_chunks(off, 3_000_000):
                 ids, upto = enc.texts(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 data = ids.astype("<u4").tobytes()
                 total = np.diff(upto) + 1

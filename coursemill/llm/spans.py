@@ -119,7 +119,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 class Memo:
     """An open-addressing table from pairs of 64-bit hashes to numbers 0, 1, 2, ... in order of insertion."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.number = np.full(1 << bits, -1, dtype=np.int32)
         self.first = np.zeros(1 << bits, dtype=np.uint64)
