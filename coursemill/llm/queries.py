@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.llm import bpe_codec, embedding_dedup, minhash, packing
+from coursemill.llm import bpe_codec, embedding_dedup, minhash, packing, quality_rules, sharding, url_filters
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of at most 1 MiB of text."""
+    return sharding.shard(_documents(spark, sf_dir), SHARD_BYTES)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text decoded from them, as digests."""
     tokenizer = _tokenizer()
@@ -26,6 +35,16 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base measures and verdict, the host's rate considered."""
+    return quality_rules.judge(_documents(spark, sf_dir)).select("doc_id", *quality_rules.MEASURES, "kept")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, fixed rule and verdict."""
+    return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of links at a similarity of 0.8 over two-word shingles."""
     found = minhash.near_duplicates(_documents(spark, sf_dir), k=2, threshold=80)
@@ -43,10 +62,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_extendible_sharding": op2_extendible_sharding,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_url_filters": op7_url_filters,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_extendible_sharding": sharding.oracle(SHARD_BYTES),
+    "op4_quality_rules": quality_rules.ORACLE,
+}
