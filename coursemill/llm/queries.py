@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.llm import bpe_codec, embedding_dedup, minhash, packing, quality_rules, sharding, url_filters
+from coursemill.llm import bpe_codec, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sharding, toxicity, url_filters
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -40,6 +40,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir)).select("doc_id", *quality_rules.MEASURES, "kept")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    return quality_classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, fixed rule and verdict."""
     return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_extendible_sharding": op2_extendible_sharding,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
