@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.llm import bpe_codec, embedding_dedup, minhash, packing, quality_classifier, quality_rules, sharding, toxicity, url_filters
+from coursemill.llm import bpe_codec, embedding_dedup, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, toxicity, url_filters
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later occurrences of three-line windows."""
+    return line_dedup.dedup(_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
@@ -72,6 +77,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_extendible_sharding": op2_extendible_sharding,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_quality_rules": op4_quality_rules,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op2_extendible_sharding": sharding.oracle(SHARD_BYTES),
     "op4_quality_rules": quality_rules.ORACLE,
 }
