@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from coursemill.plans import catalog_queries, text_queries
+from coursemill.plans.tables import ORACLES, QUERIES
 
 FLAGSHIP = "file_map_topics"
+MODULES = [text_queries, catalog_queries]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
