@@ -37,6 +37,11 @@ def collapse_ws(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+
+
 def slugify(c: Column | str) -> Column:
     """Lower-case words joined by hyphens; `untitled` where nothing is left, also for null. [P1]"""
     s = F.trim(F.lower(fold(F.coalesce(_col(c), F.lit("")))))
@@ -229,7 +234,7 @@ def strip_reasoning(c: Column | str) -> Column:
     """Generated text without `<think>` blocks and an English preamble line before the answer. [F29]"""
     s = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?is)<think>.*?</think>", "")
     s = F.regexp_replace(s, r"(?is)^\s*<think>.*$", "")
-    return F.trim(F.regexp_replace(F.trim(s), r"(?is)^(?:okay|ok|sure|here is|here's|let me|the user)[^\n]*\n+", ""))
+    return strip(F.regexp_replace(strip(s), r"(?is)^(?:okay|ok|sure|here is|here's|let me|the user)[^\n]*\n+", ""))
 
 
 def card_titles(c: Column | str) -> Column:

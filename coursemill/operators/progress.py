@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from coursemill.functions.text import collapse_ws, fold, frontmatter, slugify, strip_frontmatter
+from coursemill.functions.text import collapse_ws, fold, frontmatter, slugify, strip, strip_frontmatter
 from coursemill.functions.vocab import STATUSES
 
 
@@ -24,7 +24,7 @@ def read_imports(blocks: DataFrame, text: str = "text") -> DataFrame:
     out = df.withColumns({
         "topic_slug": value("topic_slug"), "unit_slug": value("unit"), "status": value("status"), "next_topic": value("next_topic"),
         "date": F.coalesce(F.nullif(value("date"), F.lit("")), F.date_format(F.current_timestamp(), "yyyy-MM-dd")), "time": F.coalesce(F.nullif(value("time"), F.lit("")), F.date_format(F.current_timestamp(), "HH:mm")),
-        "body": F.trim(strip_frontmatter(text)),
+        "body": strip(strip_frontmatter(text)),
     }).drop("__m")
     errors = F.array(F.when(F.col("topic_slug") == "", F.lit("topic_slug")), F.when(F.col("unit_slug") == "", F.lit("unit")), F.when(~F.col("status").isin(STATUSES), F.lit("status")))
     return out.withColumn("errors", F.filter(errors, lambda x: x.isNotNull()))

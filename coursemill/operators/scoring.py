@@ -227,7 +227,7 @@ def reconcile(pairs: DataFrame, key: list[str]) -> DataFrame:
     score = F.when(F.col("same_unit"), 1.25).when(~F.col("same_unit"), -0.35).otherwise(0.0) + F.when(F.col("tier") == 0, 0.85).when(F.col("tier") == 1, 0.45).otherwise(0.0) + F.col("text_score") + 0.25 * F.col("unit_confidence") + 0.1 * F.col("topic_confidence")
     w = W.partitionBy(*key).orderBy(F.desc("score"), "block_ord")
     ranked = pairs.withColumn("score", score).withColumns({"__n": F.row_number().over(w), "__next": F.lead("score").over(w)})
-    return ranked.filter("__n = 1").select(*key, "block_id", "score", (F.col("score") - F.coalesce("__next", F.lit(-1e9)) < 0.2).alias("review"))
+    return ranked.filter("__n = 1").select(*key, "block_id", "score", (F.round(F.col("score") - F.coalesce("__next", F.lit(-1e9)), 9) < 0.2).alias("review"))
 
 
 def card_scores(texts: DataFrame, cards: DataFrame, key: list[str]) -> DataFrame:

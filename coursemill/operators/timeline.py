@@ -1,8 +1,8 @@
 """Course schedules: rows, blocks, sessions, units of blocks, periods, assessments.
 
-A schedule is rows keyed by course_id and row_index. Only two steps need rows one after the other, block segmentation
-and the monotone pick of unit starts; each is a small fold per course in `applyInPandas`, whose groups are one course's
-schedule. Everything else is joins, windows and aggregates. IDs in brackets are those of the operator inventory.
+A schedule is rows keyed by course_id and row_index. Only block segmentation needs rows one after the other: a
+small fold per course in `applyInPandas`, whose groups are one course's schedule. Everything else is joins, windows,
+aggregates and folds over short arrays. IDs in brackets are those of the operator inventory.
 """
 
 from __future__ import annotations
@@ -255,20 +255,20 @@ def unit_periods(blocks: DataFrame) -> DataFrame:
 def unit_start_anchors(anchors: DataFrame) -> DataFrame:
     """Start rows of the units of each course: the first anchor row behind the start of the unit before. [W8]
 
-    anchors: course_id, unit_ord, unit_slug, row_index. A unit without such a row takes its first anchor.
+    anchors: course_id, unit_ord, unit_slug, row_index. A unit without such a row takes its first anchor. A course's units
+    are one short array, folded in order.
     """
+    units = anchors.groupBy("course_id", "unit_ord", "unit_slug").agg(F.sort_array(F.collect_list(F.col("row_index").cast("long"))).alias("rows"))
+    course = units.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "unit_slug", "rows"))).alias("units"))
+    kind = dict(anchors.dtypes)["unit_ord"]
+    start = F.expr(f"named_struct('before', -1L, 'out', cast(array() as array<struct<unit_ord:{kind},unit_slug:string,start_row:bigint>>))")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], -1
-        for (number, slug), g in pdf.sort_values(["unit_ord", "row_index"]).groupby(["unit_ord", "unit_slug"], sort=True):
-            rows = g["row_index"].tolist()
-            start = next((r for r in rows if r > before), rows[0])
-            before = max(before, start)
-            out.append((pdf["course_id"].iloc[0], number, slug, start))
-        return pd.DataFrame(out, columns=["course_id", "unit_ord", "unit_slug", "start_row"])
-
-    kinds = dict(anchors.dtypes)
-    starts = anchors.groupBy("course_id").applyInPandas(pick, f"course_id {kinds['course_id']}, unit_ord {kinds['unit_ord']}, unit_slug string, start_row {kinds['row_index']}")
+    def step(acc: Column, unit: Column) -> Column:
+        row = F.coalesce(F.get(F.filter(unit["rows"], lambda r: r > acc["before"]), F.lit(0)), unit["rows"][0])
+        mine = F.struct(unit["unit_ord"].alias("unit_ord"), unit["unit_slug"].alias("unit_slug"), row.alias("start_row"))
+        return F.struct(F.greatest(acc["before"], row).alias("before"), F.concat(acc["out"], F.array(mine)).alias("out"))
+
+    starts = course.select("course_id", F.inline(F.aggregate("units", start, step, lambda acc: acc["out"])))
     return starts.withColumn("end_row", F.lead("start_row").over(W.partitionBy("course_id").orderBy("start_row", "unit_ord")) - 1)
 
 
