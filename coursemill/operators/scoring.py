@@ -87,9 +87,9 @@ def winner(scored: DataFrame, key: list[str], kind: str, order: str, keep: list[
     gathered in one task.
     """
     k, gap, floor, cap = WINNER[kind]
-    row = F.struct((-F.col(score)).alias("neg"), F.col(order).alias("ord"), *keep)
+    row = F.struct((-F.col(score)).alias("neg"), F.col(order).alias("__o"), *keep)
     best = scored.groupBy(*key).agg(F.min(row).alias("w"), F.count("*").alias("n"))
-    second = scored.join(best.select(*key, F.col("w.ord").alias("__ord")), key).filter(F.col(order) != F.col("__ord")).groupBy(*key).agg(F.max(score).alias("second"))
+    second = scored.join(best.select(*key, F.col("w.__o").alias("__ord")), key).filter(F.col(order) != F.col("__ord")).groupBy(*key).agg(F.max(score).alias("second"))
     out = best.join(second, key, "left").withColumn("best", -F.col("w.neg")).withColumn("second", F.coalesce("second", F.lit(0.0)))
     ambiguous = (F.col("best") <= 0) | ((F.col("n") > 1) & (F.abs(F.col("best") - F.col("second")) < gap))
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("best") - F.col("second") + k * F.col("best")))

@@ -96,7 +96,7 @@ def read_code(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").rpartition(":")[2]
     path = F.regexp_extract("path", rf"{base}/(.*)$", 1)
-    return files.filter(F.col("length") <= MOST_CODE_BYTES).withColumn("path", path).filter(_code_filter(F.col("path"), F.col("length"))).select("path", language(F.col("path")).alias("language"), "length", F.decode("content", F.lit("UTF-8")).alias("code"))
+    return files.filter(F.col("length") <= MOST_CODE_BYTES).withColumn("path", path).filter(_code_filter(F.col("path"), F.col("length"))).select("path", language(F.col("path")).alias("language"), "length", F.decode("content", "UTF-8").alias("code"))
 
 
 def expand_zip(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
