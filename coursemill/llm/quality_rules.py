@@ -45,14 +45,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     again = "(i > 0 and get(__s, i - 1).h = x.h) or (i < size(__s) - 1 and get(__s, i + 1).h = x.h)"
     df = df.selectExpr(*(f"`{c}`" for c in keep), "__lines", "__n", f"sort_array(transform(filter(__s, (x, i) -> {again}), x -> x.p)) as __p")
     covered = f"aggregate(__p, named_struct('last', -{SPAN}, 'n', 0), (a, p) -> named_struct('last', p, 'n', a.n + least({SPAN}, p - a.last)), a -> a.n)"
-    df = df.selectExpr(
-        *(f"`{c}`" for c in keep),
-        "cast(__n as long) as n_words",
-        f"cast(char_length(translate({text}, {ws}, '')) as long) as word_chars",
-        f"cast(char_length({text}) - char_length(translate({text}, '{SYMBOLS}', '')) as long) as n_symbols",
-        "cast(size(__lines) - size(array_distinct(__lines)) as long) as n_dup_lines",
-        f"cast(coalesce({covered}, 0) as long) as n_repeat_words",
-    )
+    measures = {
+        "n_words": "cast(__n as long)",
+        "word_chars": f"cast(char_length(translate({text}, {ws}, '')) as long)",
+        "n_symbols": f"cast(char_length({text}) - char_length(translate({text}, '{SYMBOLS}', '')) as long)",
+        "n_dup_lines": "cast(size(__lines) - size(array_distinct(__lines)) as long)",
+        "n_repeat_words": f"cast(coalesce({covered}, 0) as long)",
+    }
+    # as rows of a generator: a later filter on the measures is not pushed below, where it would work them out again
+    struct = ", ".join(f"'{k}', {v}" for k, v in measures.items())
+    df = df.selectExpr(*(f"`{c}`" for c in keep), f"inline(array(named_struct({struct})))")
     return df.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"))
 
 
