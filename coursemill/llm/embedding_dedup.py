@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from coursemill.llm.common import binary_column, kind, staged
 from coursemill.llm.components import components
 
-PASSES, WINDOW = 24, 64
+PASSES, WINDOW = 24, 128
 #: Passes that are sorted together: so many times the vectors' size is on disk at once.
 TOGETHER = 6
 #: Neighbouring partitions whose border rows are compared in one task.
