@@ -78,10 +78,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with their own columns only."""
-    verdicts = host_verdicts(measured(docs.select(F.col(text_col).alias("__text"), F.col(host_col).alias("__host")), "__text").select("__host", "base_failed"), "__host")
-    bad = staged(verdicts.filter("not host_kept").select(F.col("__host").alias(host_col)), "hosts")
-    good = measured(docs, text_col).filter("not base_failed").select(*docs.columns)
+    """The documents that the rules keep, with their own columns only.
+
+    The measures are worked out once; what passes them is staged with its text, what fails with its host alone.
+    """
+    rows = measured(docs.select(*docs.columns), text_col)
+    own = [F.when(~F.col("base_failed"), F.col(c)).alias(c) if c != host_col else F.col(c) for c in docs.columns]
+    rows = staged(rows.select(*own, F.col("base_failed").alias("__failed")), "rules")
+    bad = staged(host_verdicts(rows, host_col, "__failed").filter("not host_kept").select(host_col), "hosts")
+    good = rows.filter("not __failed").select(*docs.columns)
     return good if bad.isEmpty() else good.join(bad, host_col, "left_anti").select(*docs.columns)
 
 
