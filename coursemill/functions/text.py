@@ -221,6 +221,11 @@ def strip_images(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"!\[[^\]]*\]\([^)]*\)", "")
 
 
+def relink_images(c: Column | str, base: str) -> Column:
+    """Relative Markdown image references put below a folder. [F17]"""
+    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(!\[[^\]]*\]\()(?!https?://|/|data:)(?:\./)?", "$1" + base.rstrip("/").replace("$", r"\$") + "/")
+
+
 def clamp(c: Column | str, most: int, note: str = "\n\n> ...") -> Column:
     """At most `most` characters, cut at the end of a line, with a note behind it. [T4]"""
     s = F.coalesce(_col(c), F.lit(""))
