@@ -148,7 +148,7 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unit_starts", """
 WITH a AS (SELECT l_orderkey AS course_id, l_suppkey % 3 AS u, l_linenumber AS r FROM lineitem), f AS (SELECT course_id, u, min(r) AS s FROM a WHERE u = (SELECT min(u) FROM a x WHERE x.course_id = a.course_id) GROUP BY ALL)
-SELECT course_id, u AS unit_ord, s AS start_row FROM f""")
+SELECT course_id, u AS unit_ord, s::BIGINT AS start_row FROM f""")
 def unit_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the first unit of every schedule starts. W8"""
     li = table(spark, sf_dir, "lineitem")
