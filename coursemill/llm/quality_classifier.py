@@ -76,7 +76,7 @@ def fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, part: np.ndarray,
     learn = part < 80
     if len({*y[learn].tolist()}) < 2 or len({*y[~learn].tolist()}) < 2:
         return model
-    rows = np.repeat(np.arange(len(y)), np.diff(offsets))
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offsets))
     counts = [np.bincount(flat[(y[rows] == c) & learn[rows]], minlength=1 << BITS) + SMOOTH for c in (1, 0)]
     ratio = np.log(counts[0] / (learn & (y == 1)).sum()) - np.log(counts[1] / (learn & (y == 0)).sum())
     held = (counts[0] + counts[1]) > 2 * SMOOTH + 1  # seen in at least two rows
@@ -119,11 +119,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "qua
     got = sample.mapInArrow(run, "y int, part int, features binary").toArrow()
     y, part = np.asarray(got["y"]).astype(np.int64), np.asarray(got["part"]).astype(np.int64)
     lists = got["features"].to_pylist()
-    flat = np.frombuffer(b"".join(lists), dtype="<i4").astype(np.int64)
+    flat = np.frombuffer(b"".join(lists), dtype="<i4")
     # in a fixed order, so that the fit does not depend on how rows arrived
     offsets = np.r_[0, np.cumsum([len(x) // 4 for x in lists])].astype(np.int64)
     order = np.array(sorted(range(len(y)), key=lambda i: (part[i], lists[i], y[i])), dtype=np.int64)
     sizes = np.diff(offsets)[order]
+    del got, lists
     return fit(flat[ragged(offsets[:-1][order], sizes)], np.r_[0, np.cumsum(sizes)], y[order], part[order])
 
 
