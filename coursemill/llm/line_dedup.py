@@ -27,8 +27,8 @@ from coursemill.llm.common import kind, small_batches, staged
 from coursemill.llm.spans import mix, ragged, row_chunks, span_hashes, text_buffer, word_spans
 
 LEAST_WORDS = 10
-#: Bits of the filter of repeated windows: 8 MB that go to every executor.
-FILTER_BITS = 1 << 26
+#: Bits of the filter of repeated windows: 4 MB that go to every executor.
+FILTER_BITS = 1 << 25
 
 
 def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
