@@ -3,11 +3,11 @@
 1. Every document's shingle set is hashed to a key of the set and a sketch of HASHES minima. Documents with equal sets
    become one class (its smallest id stands for it), so copies cost one row from here on.
 2. Classes meet in a bucket for each band of the sketch. A bucket of up to SMALL classes compares all of them. In a larger
-   one all are compared with its smallest class and with its middle one, the class that shares most bands with others,
-   so that no bucket gives pairs in its square. Members of a large bucket that link to neither of these, but to each
-   other, meet again in the buckets of bands where they differ from the large group: two such texts differ from its
-   middle in a fifth of their shingles or more, so each of the 30 bands is one that only they share with a chance of
-   about 0.2, and all fail together with a chance of about 0.001.
+   one all are first compared with its smallest class and with its middle one, the class that shares most bands with
+   others. A large bucket that then holds more than one component is open: all its pairs that are not in one component
+   yet are compared, in tasks of two blocks of about BLOCK classes each. The largest component of a bucket meets only
+   the blocks of the others, a pair is compared only in the first band that it shares, and a task returns classes and
+   a spanning set of links instead of pairs.
 3. Pairs whose sketches agree far too little go. The rest are confirmed on full shingle sets, which are made anew from
    the texts of just the classes in question.
 4. Confirmed links give components.
@@ -36,6 +36,8 @@ HASHES = BANDS * ROWS
 LEAST_EQUAL = 0.66
 #: A bucket of at most so many classes compares all of them.
 SMALL = 16
+#: Classes in a block of an open bucket.
+BLOCK = 512
 #: Bits of the filter that picks the texts to read again; fuller filters only let more texts pass.
 FILTER_BITS = 1 << 23
 _RNG = np.random.default_rng(811)
@@ -149,10 +151,10 @@ def _band_key(band: F.Column) -> F.Column:
 def _links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between representatives of classes."""
     reps = classes.select("rep", "n", "sketch")
-    members = reps.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("rep", _band_key(F.col("band")).alias("key"))
+    members = reps.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("rep", "band", _band_key(F.col("band")).alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first")).filter("size > 1")
     seated = staged(members.join(buckets, "key"), "buckets")
-    small, large = seated.filter(f"size <= {SMALL}").select("key", "rep"), seated.filter(f"size > {SMALL}").select("key", "rep", "size", "first")
+    small, large = seated.filter(f"size <= {SMALL}").select("key", "rep"), seated.filter(f"size > {SMALL}").select("key", "band", "rep", "size", "first")
     # a class that shares many bands with many others lies in the middle of its group: the best one to compare with
     shared = large.groupBy("rep").agg(F.sum("size").alias("shared"))
     middle = large.select("key", "rep").join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", "rep")).alias("m")).select("key", F.col("m.rep").alias("middle"))
@@ -160,7 +162,85 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, id_col:
     pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     for center in ("first", "middle"):
         pairs = pairs.union(spokes.filter(f"rep != {center}").select(F.least(center, "rep").alias("a"), F.greatest(center, "rep").alias("b")))
-    return staged(_confirmed(docs, reps, pairs.distinct(), k, threshold, id_col, text_col), "links")
+    links = staged(_confirmed(docs, reps, pairs.distinct(), k, threshold, id_col, text_col), "links")
+    return links.union(_settled(docs, reps, large.select("key", "band", "rep"), links, k, threshold, id_col, text_col))
+
+
+def _settled(docs: DataFrame, reps: DataFrame, large: DataFrame, links: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) across the components that `links` leave in large buckets (key, band, rep)."""
+    seats = large.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parts = seats.groupBy("key", "root").agg(F.count("*").alias("size"))
+    opened = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main")).filter("parts > 1")
+    # blocks 0 to m - 1 hold the largest component, blocks m to m + r - 1 the others
+    blocks = opened.select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.size") / BLOCK).alias("m"), F.ceil((F.col("size") - F.col("main.size")) / BLOCK).alias("r"))
+    seats = seats.join(blocks, "key").withColumn("own", F.expr("if(root = main, pmod(xxhash64(rep, key), m), m + pmod(xxhash64(rep, key), r))"))
+    seats = seats.join(reps, "rep").withColumn("other", F.explode(F.expr("sequence(if(root = main, m, 0L), m + r - 1)")))
+    seats = seats.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "rep", "root", "n", "sketch")
+    near = staged(seats.groupBy("key", "lo", "hi").applyInArrow(_members(threshold), ", ".join(f"{c} {kind(seats, c)}" for c in seats.columns)), "open")
+    ids = near.select(F.col("rep").alias("id")).distinct()
+    sets = staged(_sets_of(docs, ids, k, id_col, text_col).join(ids, "id", "left_semi"), "sets")
+    both = near.join(sets.withColumnRenamed("id", "rep"), "rep")
+    return staged(both.groupBy("key", "lo", "hi").applyInArrow(_spanning(threshold), f"a {kind(reps, 'rep')}, b {kind(reps, 'rep')}"), "settled")
+
+
+def _likely(table: pa.Table, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers i and, of those that come with it, the others of which enough minima are equal.
+
+    Each pair of different roots comes once, in the first band that it shares. In a table of two blocks only pairs
+    across these come.
+    """
+    n, own, band = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "own", "band"))
+    root = np.unique(np.asarray(table.column("root")), return_inverse=True)[1].astype(np.int64)
+    x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, HASHES)
+    bands = x.reshape(len(x), BANDS, ROWS)
+    two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+    rank = np.bincount(root)[root] * (len(x) + 1) + root  # a large component comes last and is compared with few
+    for i in (np.flatnonzero(own == own.min()) if two else np.arange(len(x))).tolist():
+        at = np.flatnonzero((own != own[i]) & (root != root[i]) if two else rank > rank[i])
+        at = at[100 * np.minimum(n[i], n[at]) >= threshold * np.maximum(n[i], n[at])]
+        at = at[(x[at] == x[i]).mean(axis=1) >= LEAST_EQUAL]
+        at = at[(bands[at] == bands[i]).all(axis=2).argmax(axis=1) == band[i]]
+        if len(at):
+            yield i, at
+
+
+def _members(threshold: int):
+    """The rows of a pair of blocks that have a likely partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        good = np.zeros(table.num_rows, dtype=bool)
+        for i, at in _likely(table, threshold):
+            good[i] = good[at] = True
+        return table.filter(pa.array(good))
+
+    return run
+
+
+def _spanning(threshold: int):
+    """Links of a pair of blocks that hold on full sets; pairs that others have joined already are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = table.column("shingles").combine_chunks()
+        off = np.r_[0, np.cumsum(np.asarray(sets.value_lengths()).astype(np.int64))]
+        number = np.unique(np.asarray(sets.flatten()), return_inverse=True)[1]
+        held = np.zeros(number.max() + 1, dtype=bool)
+        # two rows of one id but different texts are one node
+        node = np.unique(np.asarray(table.column("root")), return_inverse=True)[1].astype(np.int64)
+        found: list[tuple[int, int]] = []
+        for i, at in _likely(table, threshold):
+            mine = number[off[i] : off[i + 1]]
+            held[mine] = True
+            for j in at.tolist():
+                if node[i] != node[j]:
+                    shared = int(held[number[off[j] : off[j + 1]]].sum())
+                    if 100 * shared >= threshold * (len(mine) + off[j + 1] - off[j] - shared):
+                        found.append((i, j))
+                        node[node == node[j]] = node[i]
+            held[mine] = False
+        a, b = (pa.array([f[t] for f in found], pa.int64()) for t in (0, 1))
+        return pa.table({"a": table.column("rep").take(a), "b": table.column("rep").take(b)})
+
+    return run
 
 
 def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:

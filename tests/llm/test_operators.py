@@ -235,6 +235,24 @@ def test_minhash(spark):
     assert minhash.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_minhash_without_the_template(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(200)]
+    texts = []
+    for n in range(150):  # edited independently; the template itself is not a row, and two texts link only by chance
+        t = list(base)
+        for q in rng.sample(range(200), 6 + n % 2):
+            t[q] = f"e{n}x{q}"
+        texts.append(" ".join(t))
+    sets = [shingles(t, 2) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = roots(range(len(texts)), links)
+    monkeypatch.setattr(minhash, "BLOCK", 40, raising=False)  # several blocks
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), k=2).collect()}
+    assert got == want
+    assert 1 < len(set(want.values())) < len(texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, i) for i in range(300, 500)] + [(i, i + 1) for i in range(600, 640)] + [(None, 1), (5, 5)]
