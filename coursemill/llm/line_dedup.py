@@ -1,8 +1,8 @@
 """Line dedup: overlapping windows of three lines, hashed, found again anywhere, and their later occurrences removed.
 
 A line is a line of the text or, inside it, a sentence (a mark of . ! ? and a space end it), so that passages that fill
-one long line are found too. Blank lines belong to the line before them. Every window of three consecutive lines with
-at least LEAST_WORDS words has a 128-bit hash. A window is a later occurrence if an earlier place of its document or a
+one long line are found too. Blank lines belong to the line before them. Every window of three consecutive lines has a
+128-bit hash, however short its lines are. A window is a later occurrence if an earlier place of its document or a
 document with a smaller id holds it; the lines of all later occurrences, merged, leave the text.
 
 Two numbers a window are shuffled to find repeated windows, of which the aggregation combines copies before the
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from coursemill.llm.common import kind, small_batches, staged
 from coursemill.llm.spans import mix, ragged, row_chunks, span_hashes, text_buffer, word_spans
 
-LEAST_WORDS = 10
+#: Words of a window: one a line, so that none is left out.
+LEAST_WORDS = 3
 #: Bits of the filter of repeated windows: 4 MB that go to every executor.
 FILTER_BITS = 1 << 25
 

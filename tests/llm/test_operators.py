@@ -161,6 +161,14 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    poem = "".join(f"row {n}.\n" for n in range(60))  # a passage of 120 words in lines of two
+    shouts = "".join(f"W{n}!! " for n in range(60))  # and one of 60 words in one line
+    texts = [f"{poem}end of one", f"start\n{poem}end of two", f"{shouts}and one", f"Start. {shouts}and two", "a. b. c.", "d. a. b. c. e."]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("start\nend of two", 60), 2: (texts[2], 0), 3: ("Start. and two", 60), 4: (texts[4], 0), 5: ("d. e.", 3)}
+
+
 def test_quality_rules(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
