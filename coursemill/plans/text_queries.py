@@ -238,7 +238,7 @@ def auto_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Automatic tags of every document from its course's catalogue. A6, F32"""
     t = topics(spark, sf_dir)
     catalog_ = taxonomy.tag_catalog(t.select("course_id", F.lit("topico").alias("prefix"), F.substring_index("topic_label", " ", 1).alias("text")))
-    e = documents(spark, sf_dir).select("course_id", F.col("doc_id").alias("entry_id"), "title", F.substring("markdown", 1, 400).alias("head_text"), "category")
+    e = documents(spark, sf_dir).select("course_id", F.col("doc_id").alias("entry_id"), "title", F.array_join(X.headings("markdown"), " ").alias("head_text"), "category")
     return taxonomy.auto_tags(e, catalog_).select("course_id", "entry_id", F.array_join("auto_tags", "; ").alias("auto_tags"))
 
 
