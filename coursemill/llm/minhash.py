@@ -25,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from coursemill.llm.common import binary_column, kind, small_batches, staged
+from coursemill.llm.common import binary_column, filter_bits, kind, packed, small_batches, spread_join, staged
 from coursemill.llm.components import components
 from coursemill.llm.spans import LOWER, mix, row_chunks, shingle_hashes, span_hashes, text_buffer, word_spans
 
+#: Words of a shingle where near copies differ by single words all over, as the corpus pipeline has them.
+PAIR_WORDS = 2
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**5) ** 30 = 7e-6.
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
@@ -103,10 +105,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str
     """
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
-    held = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    held[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    sent = spark.sparkContext.broadcast(held.tobytes())
+    sent = spark.sparkContext.broadcast(packed(filter_bits(ids, bit), FILTER_BITS).tobytes())
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +138,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     links = _links(docs, classes, k, threshold, id_col, text_col)
     roots = components(links)
     found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
-    linked = rows.select("id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
-    return linked.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    # empty texts and null ids stay out of the join; a class of very many copies is dealt over tasks
+    full = F.expr("n_shingles > 0 and id is not null")
+    rows = rows.select("id", "n_shingles", "h1", "h2")
+    linked = spread_join(rows.filter(full), found, ["h1", "h2"], "id").select("id", "n_shingles", F.col("root").alias("own"))
+    linked = linked.union(rows.filter(~full).select("id", "n_shingles", F.col("id")))
+    return linked.select(F.col("id").alias(id_col), "n_shingles", F.col("own").alias("component_id"), F.coalesce(F.col("id") == F.col("own"), F.lit(True)).alias("kept"))
+
+
+def unnamed_firsts(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with a null id whose set of shingles no row with an id has, one of each set; those without a word all stay."""
+    unnamed = docs.filter(F.col(id_col).isNull())
+    if unnamed.isEmpty():
+        return unnamed
+    rows = staged(unnamed.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("n")), "unnamed")
+    signed = staged(signatures(rows, k, "n", "text"), "signatures")
+    seen = signatures(docs.filter(F.col(id_col).isNotNull()), k, id_col, text_col).filter("n_shingles > 0").select("h1", "h2").distinct()
+    first = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("n")).join(seen, ["h1", "h2"], "left_anti").select("n")
+    return rows.join(first.union(signed.filter("n_shingles = 0").select("id")), "n").select("row.*")
 
 
 def _band_key(band: F.Column) -> F.Column:
@@ -158,11 +172,11 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, id_col:
     # a class that shares many bands with many others lies in the middle of its group: the best one to compare with
     shared = large.groupBy("rep").agg(F.sum("size").alias("shared"))
     middle = large.select("key", "rep").join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", "rep")).alias("m")).select("key", F.col("m.rep").alias("middle"))
-    spokes = large.join(middle, "key")
+    spokes = spread_join(large, middle, ["key"], "rep")
     pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     for center in ("first", "middle"):
         pairs = pairs.union(spokes.filter(f"rep != {center}").select(F.least(center, "rep").alias("a"), F.greatest(center, "rep").alias("b")))
-    links = staged(_confirmed(docs, reps, pairs.distinct(), k, threshold, id_col, text_col), "links")
+    links = staged(_confirmed(docs, reps, staged(pairs.distinct(), "pairs"), k, threshold, id_col, text_col), "links")
     return links.union(_settled(docs, reps, large.select("key", "band", "rep"), links, k, threshold, id_col, text_col))
 
 
@@ -244,15 +258,17 @@ def _spanning(threshold: int):
 
 
 def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that hold on their signatures and then on their full sets."""
+    """The pairs (a, b) that hold on their signatures and then on their full sets; a class in very many pairs is dealt
+    over tasks."""
     sketches = reps.select("rep", "n", "sketch")
     one, two = (sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     # the smaller set must be large enough for the threshold at all
-    sized = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
+    sized = spread_join(spread_join(pairs, one, ["a"], "b"), two, ["b"], "a", pairs).filter(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
     likely = staged(_alike(sized).distinct(), "likely")
     ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = staged(_sets_of(docs, ids, k, id_col, text_col).join(ids, "id", "left_semi"), "sets")
+    # whole sets move twice: the first time for one end of the pairs, the second for the other
     one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = likely.join(two, "b").join(one, "a")
+    both = spread_join(spread_join(likely, two, ["b"], "a"), one, ["a"], "b", likely)
     shared = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
     return shared.filter(f"100 * shared >= {threshold} * (na + nb - shared)").select("a", "b").distinct()

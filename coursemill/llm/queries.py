@@ -62,7 +62,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of links at a similarity of 0.8 over two-word shingles."""
-    found = minhash.near_duplicates(_documents(spark, sf_dir), k=2, threshold=80)
+    found = minhash.near_duplicates(_documents(spark, sf_dir), k=minhash.PAIR_WORDS, threshold=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
