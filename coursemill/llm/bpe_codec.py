@@ -12,7 +12,7 @@ an empty result. Columns other than the key are not returned.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,18 +62,40 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", words
     return Lexicon.compile([bytes(r.word) for r in top.select("word").collect()], vocabulary(tokenizer))
 
 
+#: Lexicon files of this worker alone, by digest.
+_OWN: dict[str, str] = {}
+
+
 def _mapped(sent) -> str:
-    """The lexicon file of this machine, written from the broadcast by the first worker that needs it."""
+    """The lexicon file of this machine, written from the broadcast by the first worker that needs it.
+
+    Both names of the rename lie in the folder as Spark names it, so they are on one mount whatever other names lead
+    there. Where the rename fails all the same, the worker keeps a file of its own. A short file is written anew.
+    """
     data, digest = sent.value
-    path = os.path.join(SparkFiles.getRootDirectory(), f"lexicon-{digest}.npy")
-    if not os.path.exists(path):
-        fd, part = tempfile.mkstemp(dir=SparkFiles.getRootDirectory(), prefix="lexicon-")
-        with os.fdopen(fd, "wb") as f:
-            np.save(f, np.frombuffer(data, dtype=np.int32))
+    folder = SparkFiles.getRootDirectory()
+    path = os.path.join(folder, f"lexicon-{digest}.npy")
+    for known in (path, _OWN.get(digest, path)):
+        if _whole(known, len(data)):
+            return known
+    part = os.path.join(folder, f"lexicon-{digest}-{uuid.uuid4().hex}.npy")
+    with open(part, "wb") as f:
+        np.save(f, np.frombuffer(data, dtype=np.int32))
+    try:
         os.replace(part, path)
+    except OSError:
+        path = _OWN[digest] = part
     return path
 
 
+def _whole(path: str, size: int) -> bool:
+    """Whether a lexicon file is there with all of its `size` bytes behind the header."""
+    try:
+        return os.path.getsize(path) > size
+    except OSError:
+        return False
+
+
 def encode(docs: DataFrame, tokenizer: str, lexicon: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the key, `n_tokens` and `ids` (little-endian unsigned 32-bit ids as binary).
 
