@@ -1,17 +1,21 @@
 """Quality rules with host verdicts, in DataFrame operations only.
 
-Each text gets its base measures inside its own row (no line or word is exploded or shuffled). The failures are then
-summed by host, each host's rate is shrunk with a beta prior fitted to all hosts by its moments, and documents of
-hosts whose shrunk rate is above a limit are rejected with their host.
+Each text gets its base measures inside its own row (no line or word is exploded or shuffled). Five rules ask for one
+failure each: too few words, repeated windows of words, many symbols, repeated lines, odd word lengths. The first two
+fail the document itself. The failures of every rule are summed by host; each rule has a beta prior of its own, fitted
+to all hosts by moments that weigh a host by its documents and leave out the binomial part of the variance; a host is
+rejected with all its documents when the shrunk rate of a rule is above that rule's limit.
 
 Defined cases: null and empty texts have no words and fail; a null host is no host, it gets no verdict; one host alone,
-or hosts of equal rates, give a prior of one row's weight; repeated rows count each; an empty table gives an empty
-result; extra columns stay where `measured` adds to a frame.
+or hosts that differ by no more than chance, are shrunk to the common rate with the weight of all documents; repeated
+rows count each; an empty table gives an empty result; extra columns stay where `measured` adds to a frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemill.llm.common import staged
 
@@ -19,14 +23,21 @@ from coursemill.llm.common import staged
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT, SPAN = 20, 30, 8
-#: A host whose shrunk share of failures is above this is rejected.
-MOST_FAILURES = 0.5
+#: Rules over the measures and the shrunk rate of failures above which a host is rejected.
+RULES = {
+    "short": (f"n_words < {LEAST_WORDS}", 0.5),
+    "repeats": (f"100 * n_repeat_words > {REPEAT_PERCENT} * n_words", 0.5),
+    "symbols": ("10 * n_symbols > n_words", 0.5),
+    "lines": ("100 * n_dup_lines > 30 * n_lines", 0.5),
+    "word_length": ("n_words > 0 and word_chars not between 3 * n_words and 12 * n_words", 0.5),
+}
+BASE_RULES = ["short", "repeats"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The frame with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    keep = [c for c in docs.columns if c not in MEASURES]
+    """The frame with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (long) and base_failed."""
+    keep = [c for c in docs.columns if c not in (*MEASURES, "n_lines")]
     ws = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
     text = f"coalesce(`{text_col}`, '')"
     split = r"'[\\x20\\x09-\\x0D]+'"
@@ -50,29 +61,58 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": f"cast(char_length(translate({text}, {ws}, '')) as long)",
         "n_symbols": f"cast(char_length({text}) - char_length(translate({text}, '{SYMBOLS}', '')) as long)",
         "n_dup_lines": "cast(size(__lines) - size(array_distinct(__lines)) as long)",
+        "n_lines": "cast(size(__lines) as long)",
         "n_repeat_words": f"cast(coalesce({covered}, 0) as long)",
     }
     # as rows of a generator: a later filter on the measures is not pushed below, where it would work them out again
     struct = ", ".join(f"'{k}', {v}" for k, v in measures.items())
     df = df.selectExpr(*(f"`{c}`" for c in keep), f"inline(array(named_struct({struct})))")
-    return df.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"))
+    return df.withColumn("base_failed", F.expr(" or ".join(RULES[r][0] for r in BASE_RULES)))
+
+
+def failures() -> dict[str, Column]:
+    """Each rule's failure as a column over the measures."""
+    return {f"failed_{r}": F.expr(test) for r, (test, _) in RULES.items()}
 
 
-def host_verdicts(rows: DataFrame, host_col: str = "source", failed_col: str = "base_failed", most: float = MOST_FAILURES) -> DataFrame:
-    """Per host: n_docs, n_failed, rate (shrunk) and host_kept."""
-    hosts = rows.filter(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count("*").alias("n_docs"), F.count_if(F.col(failed_col)).alias("n_failed"))
-    # the prior from the mean and the variance of the hosts' rates: two numbers
-    m, v = hosts.agg(F.avg(F.col("n_failed") / F.col("n_docs")), F.var_pop(F.col("n_failed") / F.col("n_docs"))).first()
-    m, v = m or 0.0, v or 0.0
-    weight = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1.0
-    rate = (F.col("n_failed") + F.lit(m * weight)) / (F.col("n_docs") + F.lit(weight))
-    return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= most)
+def prior(n_hosts: float, total: float, squares: float, failed: float, spread: float) -> tuple[float, float]:
+    """Mean and weight of a rule's beta prior from five sums over hosts: hosts, documents, their squares, failures, and
+    squared failures by documents.
+
+    The weighted variance of the rates, less what binomial chance gives, is the hosts' own correlation r; the weight is
+    1 / r - 1, one document at least and all documents at most.
+    """
+    if not total:
+        return 0.0, 1.0
+    mean = failed / total
+    chance = mean * (1 - mean)
+    room = total - squares / total - (n_hosts - 1)
+    if chance <= 0 or room <= 0:
+        return mean, total
+    own = ((spread - failed * mean) / chance - (n_hosts - 1)) / room
+    return mean, min(total, max(1.0, 1 / own - 1)) if own > 0 else total
+
+
+def host_verdicts(rows: DataFrame, host_col: str = "source") -> DataFrame:
+    """Per host: n_docs, failed_* and rate_* (shrunk) of each rule, host_rate (the highest) and host_kept.
+
+    rows: the host and a boolean failed_* for each rule.
+    """
+    sums = [F.count_if(F.col(f"failed_{r}")).alias(f"failed_{r}") for r in RULES]
+    hosts = rows.filter(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count("*").alias("n_docs"), *sums)
+    n = F.col("n_docs").cast("double")
+    moments = [F.sum(x) for r in RULES for x in (F.col(f"failed_{r}").cast("double"), F.col(f"failed_{r}") * F.col(f"failed_{r}") / n)]
+    got = [x or 0.0 for x in hosts.agg(F.count("*"), F.sum(n), F.sum(n * n), *moments).first()]  # a few numbers
+    priors = {r: prior(*got[:3], *got[3 + 2 * i : 5 + 2 * i]) for i, r in enumerate(RULES)}
+    rates = {f"rate_{r}": (F.col(f"failed_{r}") + F.lit(m * w)) / (n + F.lit(float(w))) for r, (m, w) in priors.items()}
+    kept = [F.col(f"rate_{r}") <= most for r, (_, most) in RULES.items()]
+    return hosts.withColumns(rates).withColumns({"host_rate": F.greatest(*rates), "host_kept": reduce(Column.__and__, kept)})
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per document: the key, the base measures, base_failed, host_rate and kept."""
     rows = staged(measured(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(host_col).alias("__host")), "__text").drop("__text"), "measures")
-    hosts = host_verdicts(rows, "__host").select("__host", F.col("rate").alias("host_rate"), "host_kept")
+    hosts = host_verdicts(rows.select("__host", *(c.alias(k) for k, c in failures().items())), "__host").select("__host", "host_rate", "host_kept")
     out = rows.join(hosts, "__host", "left")
     return out.select(F.col("__id").alias(id_col), *MEASURES, "host_rate", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
 
@@ -84,8 +124,8 @@ def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     """
     rows = measured(docs.select(*docs.columns), text_col)
     own = [F.when(~F.col("base_failed"), F.col(c)).alias(c) if c != host_col else F.col(c) for c in docs.columns]
-    rows = staged(rows.select(*own, F.col("base_failed").alias("__failed")), "rules")
-    bad = staged(host_verdicts(rows, host_col, "__failed").filter("not host_kept").select(host_col), "hosts")
+    rows = staged(rows.select(*own, F.col("base_failed").alias("__failed"), *(c.alias(k) for k, c in failures().items())), "rules")
+    bad = staged(host_verdicts(rows, host_col).filter("not host_kept").select(host_col), "hosts")
     good = rows.filter("not __failed").select(*docs.columns)
     return good if bad.isEmpty() else good.join(bad, host_col, "left_anti").select(*docs.columns)
 
@@ -99,11 +139,13 @@ d AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, gram) AS k F
 c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM d) GROUP BY r),
 b AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r)),
-f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-p AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1.0 END AS weight FROM m),
-s AS (SELECT source, (k + m * weight) / (n + weight) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= {MOST_FAILURES}, true) AS kept
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r)),
+f AS (SELECT *, {" OR ".join(RULES[r][0] for r in BASE_RULES)} AS base_failed FROM b),
+h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER ({test})::DOUBLE AS k_{r}" for r, (test, _) in RULES.items())} FROM f WHERE source IS NOT NULL GROUP BY source),
+e AS (SELECT source, n, unnest([{", ".join(f"{{'rule': '{r}', 'k': k_{r}, 'most': {most}}}" for r, (_, most) in RULES.items())}], recursive := true) FROM h),
+m AS (SELECT rule, count(*) AS hosts, sum(n) AS total, sum(k) / sum(n) AS m, sum(k * k / n) - sum(k) * (sum(k) / sum(n)) AS s, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM e GROUP BY rule),
+o AS (SELECT *, CASE WHEN m * (1 - m) > 0 AND room > 0 THEN (s / (m * (1 - m)) - (hosts - 1)) / room ELSE 0 END AS own FROM m),
+p AS (SELECT rule, m, CASE WHEN own > 0 THEN least(total, greatest(1.0, 1 / own - 1)) ELSE total END AS weight FROM o),
+s AS (SELECT source, bool_and((k + m * weight) / (n + weight) <= most) AS host_kept FROM e JOIN p USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, true) AS kept
 FROM f LEFT JOIN s USING (source)"""
