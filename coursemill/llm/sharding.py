@@ -6,8 +6,8 @@ a row's shard is the shortest prefix whose bucket fits, so the directory comes f
 and the next 15 only for prefixes that are still too large.
 
 Defined cases: a null text has no bytes; null keys hash like any value; a row larger than the limit is alone in its
-shard; fully equal rows cannot be told apart by bits, so where their bucket is too large it is cut by counting rows
-within each input partition; an empty table gives an empty result. Extra columns are not returned.
+shard; fully equal rows cannot be told apart by bits, so where their bucket is too large they are numbered from 0 and cut
+by count, which gives the same shards however the input is partitioned; an empty table gives an empty result. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -35,15 +35,18 @@ def _directory(rows: DataFrame, low: int, limit: int) -> DataFrame:
     prefix = F.expr(f"shiftright(leaf, {high} - depth)")
     sums = by_depth.groupBy("depth", prefix.alias("prefix")).agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
     fits = sums.filter((F.col("total") <= limit) | (F.col("least") == F.col("most"))).select("depth", "prefix", "total")
+    if low == 0:  # at most 2 ** (STEP + 1) rows; deeper down a prefix has at most 2 ** (STEP - 1) leaves
+        fits = F.broadcast(fits)
     found = by_depth.select("leaf", "depth", prefix.alias("prefix")).join(fits, ["depth", "prefix"])
     best = found.groupBy("leaf").agg(F.min(F.struct("depth", "total")).alias("b")).select("leaf", "b.depth", "b.total")
     return leaves.select("leaf").join(best, "leaf", "left")
 
 
-def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """One row per document: the key, n_bytes, shard (the prefix as 0s and 1s, with a suffix where equal rows are cut),
-    shard_depth and shard_bytes (of the whole prefix)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(id_col, text_col).alias("h"))
+    shard_depth and shard_bytes (of the whole prefix); with `whole` also the document's row, as a struct `row`."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(id_col, text_col).alias("h"), *row)
     rows = staged(rows, "rows")
     todo, done = rows, None
     for low in range(0, BITS, STEP):
@@ -58,20 +61,27 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
             break
         todo = staged(placed.filter("depth is null").drop("depth", "total"), "rows")
     bits = F.expr(f"case when depth = 0 then '' else lpad(bin(shiftright(h, cast({BITS} - depth as int))), cast(depth as int), '0') end")
-    out = done.select("id", "n_bytes", "h", bits.alias("shard"), F.col("depth").cast("int").alias("shard_depth"), F.col("total").alias("shard_bytes"))
-    # only equal rows are left in a bucket over the limit: cut them by count within each input partition
-    over = out.filter((F.col("shard_bytes") > limit) & (F.col("shard_bytes") > F.col("n_bytes")))
-    fine = out.filter(~((F.col("shard_bytes") > limit) & (F.col("shard_bytes") > F.col("n_bytes"))))
-    over = over.withColumn("part", F.spark_partition_id())
-    nth = F.row_number().over(W.partitionBy("h", "part").orderBy("n_bytes")) - 1
+    out = done.select("id", "n_bytes", "h", *(["row"] if whole else []), bits.alias("shard"), F.col("depth").cast("int").alias("shard_depth"), F.col("total").alias("shard_bytes"))
+    # only equal rows are left in a bucket over the limit: cut them by their number, counted by task and then over tasks
+    large = (F.col("shard_bytes") > limit) & (F.col("shard_bytes") > F.col("n_bytes"))
+    over = staged(out.filter(large).withColumn("part", F.spark_partition_id()), "over")
+    before = over.groupBy("h", "part").agg(F.count("*").alias("n")).select("h", "part", (F.sum("n").over(W.partitionBy("h").orderBy("part")) - F.col("n")).alias("before"))
+    over = over.join(before, ["h", "part"]).withColumn("nth", F.col("before") + F.row_number().over(W.partitionBy("h", "part").orderBy("n_bytes")) - 1)
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
-    over = over.withColumn("shard", F.concat("shard", F.lit("."), F.col("part").cast("string"), F.lit("."), F.floor(nth / each).cast("string"))).drop("part")
-    return fine.union(over).select(F.col("id").alias(id_col), "n_bytes", "shard", "shard_depth", "shard_bytes")
+    over = over.withColumn("shard", F.concat("shard", F.lit("."), F.floor(F.col("nth") / each).cast("string")))
+    done = ["id", "n_bytes", "shard", "shard_depth", "shard_bytes", *(["row"] if whole else [])]
+    return out.filter(~large).select(*done).union(over.select(*done)).withColumnRenamed("id", id_col)
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The documents as Parquet, one folder per shard."""
-    docs.join(assigned.select(id_col, "shard"), id_col).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The documents as Parquet, one folder per shard; every row once, null and repeated ids too.
+
+    A document's row goes with its shard through the operator, so nothing is joined back. A column `shard` of the
+    documents is replaced.
+    """
+    columns = [c for c in docs.columns if c != "shard"]
+    found = shard(docs, limit, id_col, text_col, whole=True)
+    found.select(*(F.col("row")[c].alias(c) for c in columns), "shard").write.partitionBy("shard").parquet(path)
 
 
 def oracle(limit: int) -> str:
