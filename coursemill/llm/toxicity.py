@@ -9,7 +9,7 @@ every whole text.
 
 Defined cases: a null or empty text has features of zero; no labels or one class alone give every text the smoothed
 share of label 1; a null id is never held out; repeated rows score alike; an empty table gives an empty result. Only
-key, held_out, score and predicted are returned.
+key, held_out, score, predicted and margin are returned.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from coursemill.llm.common import kind, small_batches
+from coursemill.llm.common import kind, small_batches, staged
 from coursemill.llm.spans import LOWER, mix, row_chunks, span_hashes, text_buffer
 from coursemill.llm.training import fold, isotonic, labelled_sample
 
@@ -240,7 +240,7 @@ def _dense_rows(df: DataFrame, lexicon: tuple[np.ndarray, np.ndarray]) -> DataFr
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """A model fitted to at most SAMPLE labelled rows: lexicon, trees and calibration."""
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, learn, SAMPLE, id_col, text_col)
+    sample = staged(labelled_sample(docs, labels, label, learn, SAMPLE, id_col, text_col), "sample")
     lexicon = _lexicon(sample.filter(f"part < {LEXICON_PART}"))
     got = _dense_rows(sample.filter(f"part >= {LEXICON_PART}"), lexicon).toArrow()
     y, part = np.asarray(got["y"]).astype(np.int64), np.asarray(got["part"]).astype(np.int64)
@@ -257,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "tox
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The key and `score` of every whole text."""
+    """The key, `score` and `margin` (of the trees, before calibration: it orders equal scores) of every whole text."""
     small_batches(docs.sparkSession)
     person = _second_person()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON entries and TREES trees
@@ -266,20 +266,18 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         m = sent.value
         for batch in batches:
             raw, off = text_buffer(batch.column(1))
-            out = []
+            margins = [np.zeros(0)]
             for a, b in row_chunks(off, 1_000_000):
                 x = dense(raw[off[a] : off[b]], off[a : b + 1] - off[a], m["lexicon"], person)
-                margin = m["trees"].margin(x) if m["trees"] is not None else np.zeros(b - a)
-                # the margin's own curve breaks ties inside a calibrated step, by a thousandth
-                p = np.interp(margin, m["x"], m["p"])
-                out.append(np.clip(0.999 * p + 0.001 / (1 + np.exp(-margin)), 0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], [id_col, "score"])
+                margins.append(m["trees"].margin(x) if m["trees"] is not None else np.zeros(b - a))
+            margin = np.concatenate(margins)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.interp(margin, m["x"], m["p"])), pa.array(margin)], [id_col, "score", "margin"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind(docs, id_col)}, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind(docs, id_col)}, score double, margin double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the key, held_out, score and predicted; learns from rows that are not held out."""
     model = train(docs, labels, fold("id", 4) != 2, id_col=id_col, text_col=text_col)
     out = score(docs, model, id_col, text_col)
-    return out.select(id_col, F.coalesce(fold(id_col, 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select(id_col, F.coalesce(fold(id_col, 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "margin")
