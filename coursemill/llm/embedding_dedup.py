@@ -3,14 +3,20 @@
 Equal vectors of one label become one class first. In each pass every class gets a key, the concatenated signs of its
 products with random directions of that pass; classes are sorted by label, key and id, and every class is compared
 with the next WINDOW ones in that order, across partition borders too. Pairs at or above the threshold (in double
-precision, over the vectors as they are) become links; links of all passes are put together.
+precision, over the vectors as they are) tie classes together; a task returns a tree over the classes that its pairs
+tie, not the pairs. The ties of all passes give components.
+
+Links are then counted within each component, all of it: its classes are dealt to blocks of BLOCK, and each pair of
+blocks is one task that multiplies them and returns a number per class, so no pair leaves a task and none inside a
+component is missed, however dense it is. The work for a component still grows with the square of its size.
 
 Vectors below the threshold are never linked. A pair at a cosine of 0.98 stays next to each other in a pass with a
 fair chance only, so the passes are many; recall against brute force is tested.
 
 Defined cases: vectors that are null, empty or zero, or that hold null or non-finite components, and rows with a null
-label or id link with nothing; vectors of different lengths do not link; repeated rows are copies; one id with
-different vectors has the links of all; an empty table gives an empty result. Extra columns are not returned.
+label or id link with nothing; vectors of different lengths do not link; repeated rows are copies; rows
+of one id with different vectors are one node of the components, each with the links of its own vector; an empty table gives an empty result; very large and very small components are
+scaled before they are squared. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -20,16 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from coursemill.llm.common import binary_column, kind, staged
+from coursemill.llm.common import binary_column, kind, spread_join, staged
 from coursemill.llm.components import components
 
 PASSES, WINDOW = 24, 128
 #: Passes that are sorted together: so many times the vectors' size is on disk at once.
 TOGETHER = 6
-#: Neighbouring partitions whose border rows are compared in one task.
-BORDERS = 32
+#: Border rows of partitions, in sorted order, that are compared in one task.
+BORDERS = 8192
+#: Classes of a block when the links of a component are counted.
+BLOCK = 4096
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -41,7 +49,7 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
 
 
 def links_of_pass(rows: DataFrame, threshold: float, window: int) -> DataFrame:
-    """One table with the links (a, b) found inside partitions of rows (pass, label, dims, key, rep, v) in sorted order,
+    """One table with ties (a, b) of the links found inside partitions of rows (pass, label, dims, key, rep, v) in sorted order,
     and with each partition's first and last rows as borders (pid, idx, and their columns)."""
     names = rows.columns
     types = ", ".join(f"`{c}` {kind(rows, c)}" for c in names)
@@ -57,8 +65,9 @@ def links_of_pass(rows: DataFrame, threshold: float, window: int) -> DataFrame:
                 yield _out(None, None, first)
             both = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
             a, b = _compare(both, 0 if tail is None else tail.num_rows, threshold, window)
+            a, b = _tree(a, b, both.num_rows)
             if len(a):
-                yield _out(both.column("rep").take(a), both.column("rep").take(b), None)
+                yield _out(both.column("rep").take(pa.array(a)), both.column("rep").take(pa.array(b)), None)
             tail = both.slice(max(0, both.num_rows - window))
         if tail is not None:  # the last rows, but for those that went out as the first
             at = np.asarray(tail.column("idx"))
@@ -81,7 +90,30 @@ def links_of_pass(rows: DataFrame, threshold: float, window: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {rep}, b {rep}, pid long, idx long, {types}")
 
 
-def _compare(batch: pa.RecordBatch, old: int, threshold: float, window: int, apart: bool = False) -> tuple[pa.Array, pa.Array]:
+def _units(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of one length from their bytes, scaled to unit length."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), dims)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _tree(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (i, j) of n rows: each row that another one is tied to, with the least row of its component."""
+    root = np.arange(n)
+    while len(i):
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], least)
+        np.minimum.at(root, root[j], least)
+        root = root[root]
+        open_ = root[i] != root[j]
+        i, j = i[open_], j[open_]
+    while (root != root[root]).any():
+        root = root[root]
+    at = np.flatnonzero(root != np.arange(n))
+    return at, root[at]
+
+
+def _compare(batch: pa.RecordBatch, old: int, threshold: float, window: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of linked pairs at most `window` apart; pairs among the first `old` rows are known already."""
     n = batch.num_rows
     dims = np.asarray(batch.column("dims"))
@@ -90,8 +122,7 @@ def _compare(batch: pa.RecordBatch, old: int, threshold: float, window: int, apa
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for d in np.unique(dims):
         rows = np.flatnonzero(dims == d)
-        x = np.frombuffer(b"".join(batch.column("v").take(pa.array(rows)).to_pylist()), dtype="<f8").reshape(len(rows), int(d))
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = _units(batch.column("v").take(pa.array(rows)), int(d))
         for t in range(1, min(window, len(rows) - 1) + 1):
             i, j = rows[:-t], rows[t:]
             ask = (group[i] == group[j]) & (j >= old) & (j - i <= window)
@@ -100,8 +131,7 @@ def _compare(batch: pa.RecordBatch, old: int, threshold: float, window: int, apa
             p = np.flatnonzero(ask)
             good = np.einsum("ij,ij->i", x[p], x[p + t]) >= threshold
             found.append((i[p[good]], j[p[good]]))
-    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return pa.array(i), pa.array(j)
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def _changes(batch: pa.RecordBatch) -> np.ndarray:
@@ -154,32 +184,78 @@ def near_duplicates(
         step = staged(links_of_pass(ordered, threshold, window), "passes")
         inner = step.filter("a is not null").select("a", "b")
         border = step.filter("a is null").drop("a", "b")
-        # a border row is compared with those of the next partitions: once in its own group, once in the one before
-        group = F.floor(F.col("pid") / BORDERS)
-        border = border.withColumn("group", F.explode(F.when(F.pmod("pid", F.lit(BORDERS)) == 0, F.array(group, group - 1)).otherwise(F.array(group))))
+        # border rows in sorted order, BORDERS in a task and with them the window that follows
+        sizes = border.groupBy("pid").agg((F.max("idx") + 1).alias("size"))  # one row a partition
+        before = sizes.select("pid", (F.sum("size").over(W.orderBy("pid")) - F.col("size")).alias("before"))
+        border = border.join(F.broadcast(before), "pid").withColumn("rank", F.col("before") + F.col("idx")).drop("before")
+        group = F.floor(F.col("rank") / BORDERS)
+        border = border.withColumn("group", F.explode(F.when(F.pmod("rank", F.lit(BORDERS)) < window, F.array(group, group - 1)).otherwise(F.array(group))))
         outer = border.groupBy("group").applyInArrow(_across(threshold, window), f"a {kind(classes, 'rep')}, b {kind(classes, 'rep')}")
-        links = inner.union(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
+        links = inner.union(outer).filter("a != b").distinct()
         found = links if found is None else found.union(links)
-    links = staged(found.distinct(), "links")
-    both = links.union(links.select("b", "a"))
-    copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    near = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("near")).withColumnRenamed("a", "rep")
-    facts = classes.select("h1", "h2", "rep", "copies").join(near, "rep", "left").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    out = rows.select("id", "h1", "h2").join(facts, ["h1", "h2"], "left")
-    own = F.coalesce("root", "id").cast("long")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    roots = staged(components(found), "roots")
+    near = _counts(classes, roots, threshold)
+    facts = classes.select("h1", "h2", "rep", "copies").join(near, ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    facts = facts.select("h1", "h2", F.coalesce("near", F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    rows = rows.select("id", "h1", "h2")
+    out = spread_join(rows.filter("h1 is not null"), facts, ["h1", "h2"], "id").select("id", "n_links", "root")
+    out = out.union(rows.filter("h1 is null").select("id", F.lit(0).cast("long"), F.col("id")))
+    own = F.col("root").cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+
+
+def _counts(classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(h1, h2, near): the number of other vectors that a vector with ties links with, its own copies included."""
+    vectors = classes.select("h1", "h2", "rep", "copies", "v").join(roots.withColumnRenamed("node", "rep"), "rep")
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    vectors = spread_join(vectors, sizes, ["root"], "rep", roots)
+    vectors = vectors.withColumn("own", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    vectors = vectors.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h1", "h2", "copies", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, copies = (table.column(c).to_numpy().astype(np.int64) for c in ("own", "copies"))
+        lists = table.column("v").combine_chunks()
+        dims, flat = np.asarray(lists.value_lengths()), np.asarray(lists.flatten())
+        off = np.r_[0, np.cumsum(dims)]
+        near = np.zeros(len(own), dtype=np.int64)
+        two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        for d in np.unique(dims):  # one id may hold vectors of several lengths
+            at = np.flatnonzero(dims == d)
+            x = flat[off[at, None] + np.arange(int(d))]
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            first = at[own[at] == own.min()] if two else at
+            second = at[own[at] != own.min()] if two else at
+            where = np.zeros(len(own), dtype=np.int64)
+            where[at] = np.arange(len(at))
+            y = x[where[second]]
+            for k in range(0, len(first), 512):
+                part = first[k : k + 512]
+                dots = x[where[part]] @ y.T
+                close = np.argwhere(np.abs(dots - threshold) < 1e-9)  # on the edge: summed as in the passes
+                dots[close[:, 0], close[:, 1]] = np.einsum("ij,ij->i", x[where[part[close[:, 0]]]], y[close[:, 1]])
+                linked = dots >= threshold
+                near[part] += linked @ copies[second]
+                if two:
+                    near[second] += copies[part] @ linked
+        if not two:
+            near -= 1  # a vector is no link of its own
+        return pa.table({"h1": table.column("h1"), "h2": table.column("h2"), "near": pa.array(near)})
+
+    each = vectors.groupBy("root", "lo", "hi").applyInArrow(run, "h1 long, h2 long, near long")
+    return each.groupBy("h1", "h2").agg(F.sum("near").alias("near"))
 
 
 def _across(threshold: float, window: int):
-    """Links between border rows of different partitions."""
+    """Ties of the links between border rows of different partitions."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("pid", "ascending"), ("idx", "ascending")]).combine_chunks()
         if not table.num_rows:
             return pa.table({"a": table["rep"], "b": table["rep"]})
         batch = table.to_batches()[0]
-        a, b = _compare(batch, 0, threshold, window, apart=True)
+        a, b = map(pa.array, _tree(*_compare(batch, 0, threshold, window, apart=True), batch.num_rows))
         return pa.table({"a": batch.column("rep").take(a), "b": batch.column("rep").take(b)})
 
     return run
