@@ -35,9 +35,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates over five-word shingles."""
-    kept = minhash.near_duplicates(docs, k=5, threshold=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+    """Keeps one row of each group of near-duplicates over two-word sets, as `op8_minhash_near_dedup` groups them.
+
+    It is the row with the smallest id. Of rows with the same id the least by text stays; a row with a null id stays
+    only where no row with an id has the same set, one of each set. Documents without a word all stay.
+    """
+    rows = minhash.near_duplicates(docs, k=minhash.PAIR_WORDS, threshold=80)
+    kept = rows.filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    many = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")  # odd tables only
+    least = named.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return named.join(many, "doc_id", "left_anti").select(*COLUMNS).union(least.select(*COLUMNS)).union(minhash.unnamed_firsts(docs, minhash.PAIR_WORDS).select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
