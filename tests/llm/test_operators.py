@@ -121,8 +121,8 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), 10).count() == 0
 
 
-def lines_of(t):
-    units = re.sub(r"([.!?] |\n)", "\\1\x01", t or "").split("\x01")
+def lines_of(t, sentences=False):
+    units = re.sub(r"([.!?] |\n)" if sentences else r"(\n)", "\\1\x01", t or "").split("\x01")
     out = []  # tiles of lines with a word; blank lines go with the line before
     for u in units:
         if re.search(r"[^\x20\x09-\x0D]", u) or not out:
@@ -135,38 +135,48 @@ def lines_of(t):
     return [u for u in out if u.strip(" \t\n\x0b\x0c\r")] or out
 
 
-def test_line_dedup(spark):
-    passage = "one two three four five.\nsix seven eight nine ten. eleven twelve thirteen fourteen fifteen.\nsixteen seventeen"
-    texts = [f"Intro a b c.\n{passage}\nend of one", f"Other d e f.\n\n{passage}\nend of two", "short. text", None, "", "same line of words here now\n" * 5, passage, "a.\nb.\nc.", "x\n a.\nb.\nc."]
-    df = frame(spark, [*texts, passage], ids=[*range(9), None]).withColumnRenamed("lang", "n_lines")
-    got = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
-    seen = {}
+def without_windows(texts, sentences=False, least_words=0):
+    """Brute force: (text, lines removed) of each text, by its place."""
+    first, out = {}, []
     for i, t in enumerate(texts):
-        tiles = lines_of(t)
+        tiles = lines_of(t, sentences)
         keys = [u.strip(" \t\n\x0b\x0c\r") for u in tiles]
         gone, own = set(), set()
         for j in range(len(keys) - 2):
             w = tuple(keys[j : j + 3])
-            if sum(len(k.split()) for k in w) < line_dedup.LEAST_WORDS:
+            if sum(len(k.split()) for k in w) < least_words:
                 continue
-            if w in own or seen.get(w, i) < i:
+            if w in own or first.get(w, i) < i:
                 gone |= {j, j + 1, j + 2}
             own.add(w)
         for w in own:
-            seen.setdefault(w, i)
-        want = None if t is None else "".join(u for j, u in enumerate(tiles) if j not in gone)
-        assert got[i].text == want and got[i].n_removed == len(gone), i
-    assert got[1].text == "Other d e f.\n\nend of two" and got[6].text == "" and got[7].text == "a.\nb.\nc."
-    assert got[None].text == "" and got[0].text == texts[0]
+            first.setdefault(w, i)
+        out.append((None if t is None else "".join(u for j, u in enumerate(tiles) if j not in gone), len(gone)))
+    return out
+
+
+PASSAGE = "one two three four five.\nsix seven eight nine ten. eleven twelve thirteen.\nsixteen seventeen"
+
+
+@pytest.mark.parametrize(("sentences", "least_words"), [(False, 0), (True, 0), (True, 10)])
+def test_line_dedup(spark, sentences, least_words):
+    texts = [f"Intro a b c.\n{PASSAGE}\nend of one", f"Other d e f.\n\n{PASSAGE}\nend of two", "short. text", None, "", "same line of words here now\n" * 5, PASSAGE, "a.\nb.\nc.", "x\n a.\nb.\nc.", "a. b. c.", "d. a. b. c. e."]
+    df = frame(spark, [*texts, PASSAGE], ids=[*range(len(texts)), None]).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "__w")
+    got = {r.doc_id: r for r in line_dedup.dedup(df, sentences=sentences, least_words=least_words).collect()}
+    for i, want in enumerate(without_windows(texts, sentences, least_words)):
+        assert (got[i].text, got[i].n_removed) == want, i
+    assert got[1].text == "Other d e f.\n\nend of two" and got[6].text == "" and got[None].text == "" and got[0].text == texts[0]
+    assert got[8].text == ("x\n a.\nb.\nc." if least_words else "x\n") and got[10].text == ("d. e." if sentences and not least_words else texts[10])
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_line_dedup_of_short_lines(spark):
+def test_line_dedup_of_short_and_common_lines(spark, monkeypatch):
     poem = "".join(f"row {n}.\n" for n in range(60))  # a passage of 120 words in lines of two
-    shouts = "".join(f"W{n}!! " for n in range(60))  # and one of 60 words in one line
-    texts = [f"{poem}end of one", f"start\n{poem}end of two", f"{shouts}and one", f"Start. {shouts}and two", "a. b. c.", "d. a. b. c. e."]
+    texts = [f"{poem}end of one", f"start\n{poem}end of two", *(f"head {i}\nhome\nabout\nlogin\ntail {i}" for i in range(40)), "home\nabout\nlogin"]
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 10)  # the window of the menu is a hot one
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(frame(spark, texts)).collect()}
-    assert got == {0: (texts[0], 0), 1: ("start\nend of two", 60), 2: (texts[2], 0), 3: ("Start. and two", 60), 4: (texts[4], 0), 5: ("d. e.", 3)}
+    assert got == dict(enumerate(without_windows(texts)))
+    assert got[1] == ("start\nend of two", 60) and got[3] == ("head 1\ntail 1", 3) and got[42] == ("", 3)
 
 
 def test_quality_rules(spark):
@@ -186,8 +196,53 @@ def test_quality_rules(spark):
         assert not (r.base_failed and r.kept)
 
 
+def host_rates(rows):
+    """Brute force over (host, failures by rule): hosts whose shrunk rate of a rule is above its limit."""
+    hosts, bad = {}, set()
+    for h, failed in rows:
+        if h is not None:
+            hosts.setdefault(h, []).append(failed)
+    for rule, (_, most) in quality_rules.RULES.items():
+        n = {h: len(v) for h, v in hosts.items()}
+        k = {h: sum(f[rule] for f in v) for h, v in hosts.items()}
+        total = sum(n.values())
+        mean = sum(k.values()) / total
+        between = sum(n[h] * (k[h] / n[h] - mean) ** 2 for h in hosts)
+        room = total - sum(x * x for x in n.values()) / total - (len(hosts) - 1)
+        own = (between / (mean * (1 - mean)) - (len(hosts) - 1)) / room if 0 < mean < 1 and room > 0 else 0
+        weight = min(total, max(1, 1 / own - 1)) if own > 0 else total
+        bad |= {h for h in hosts if (k[h] + mean * weight) / (n[h] + weight) > most}
+    return bad
+
+
+def test_hosts_decide(spark):
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(99)) for _ in range(30))
+    kinds = {"marks": lambda: plain() + " #### $$$$", "menus": lambda: "\n".join([plain(), "top", "top", "end", "end"]), "runs": lambda: "x" * 900 + " " + plain(), "fine": plain, "tiny": plain}
+    texts, sources = [], []
+    for host, size in [("marks", 30), ("menus", 25), ("runs", 20), ("fine", 60), *((f"h{i}", 4) for i in range(12))]:
+        for i in range(size):
+            odd = kinds[host] if host in kinds and i % 5 else rng.choice([plain, plain, plain, kinds["marks"]])
+            texts.append(odd())
+            sources.append(host)
+    texts += [plain() + " ####", plain()]
+    sources += ["tiny", None]
+    rows = quality_rules.judge(frame(spark, texts, source=lambda i: sources[i])).collect()
+    facts = []
+    for t, h in zip(texts, sources, strict=True):
+        w, ls = t.split(), [x for x in t.split("\n") if x.strip()]
+        n, mean = len(w), sum(map(len, w)) / len(w)
+        facts.append((h, {"short": n < 20, "repeats": False, "symbols": 10 * len(re.findall(r"[#*$%&|<>]", t)) > n, "lines": 100 * (len(ls) - len(set(ls))) > 30 * len(ls), "word_length": not 3 <= mean <= 12}))
+    bad = host_rates(facts)
+    assert {"marks", "menus", "runs"} <= bad and "fine" not in bad and "h0" not in bad
+    assert {r.doc_id for r in rows if not r.kept} == {i for i, h in enumerate(sources) if h in bad} and not any(r.base_failed for r in rows)
+    assert quality_rules.judge(frame(spark, ["a"]).limit(0)).count() == 0
+    clash = frame(spark, ["a"]).withColumnsRenamed({"lang": "n_words", "n_chars": "host_rate"})
+    assert quality_rules.judge(clash).count() == 1 and quality_rules.kept_documents(clash).columns == clash.columns
+
+
 def test_host_verdicts(spark):
-    good = " ".join(f"w{i}" for i in range(30))
+    good = " ".join(f"word{i}" for i in range(30))
     rows = [(i, good if i % 10 else "x", "en", "good", 0) for i in range(200)] + [(1000 + i, "x" if i % 10 else good, "en", "bad", 0) for i in range(200)] + [(2000, good, "en", "new", 0), (2001, good, "en", None, 0)]
     got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, DDL)).collect()}
     assert got[1] and not got[0] and not got[1000] and got[2000] and got[2001]

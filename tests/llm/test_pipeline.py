@@ -7,8 +7,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from coursemill.llm import line_dedup, quality_classifier  # noqa: E402
-from tests.llm.test_operators import DDL, ODD, frame, lines_of, roots, shingles  # noqa: E402
+from coursemill.llm import quality_classifier  # noqa: E402
+from tests.llm.test_operators import DDL, ODD, frame, roots, shingles, without_windows  # noqa: E402
 
 
 def rows_of(df):
@@ -37,24 +37,11 @@ def test_stages(spark, sf, tmp_path):
         if len(w) < 20 or 100 * len(covered) > 30 * len(w):
             failed.add(i)
     assert set(rules) == set(quality) - failed  # no host fails as a whole here
-    first = {}
-    for i in sorted(rules):
-        tiles = lines_of(rules[i].text)
-        keys = [u.strip(" \t\n\x0b\x0c\r") for u in tiles]
-        gone, own = set(), set()
-        for j in range(len(keys) - 2):
-            win = tuple(keys[j : j + 3])
-            if sum(len(k.split()) for k in win) < line_dedup.LEAST_WORDS:
-                continue
-            if win in own or first.get(win, i) < i:
-                gone |= {j, j + 1, j + 2}
-            own.add(win)
-        for win in own:
-            first.setdefault(win, i)
-        text = "".join(u for j, u in enumerate(tiles) if j not in gone)
+    order = sorted(rules)
+    for i, (text, _) in zip(order, without_windows([rules[i].text for i in order]), strict=True):
         assert lines[i].text == text and lines[i].n_chars == len(text) and lines[i].source == start[i].source
     assert set(lines) == set(rules)
-    sets = {i: shingles(r.text, 5) for i, r in lines.items()}
+    sets = {i: shingles(r.text, 2) for i, r in lines.items()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = roots(list(sets), links)
     assert set(near) == {i for i in sets if want[i] == i} and all(near[i] == lines[i] for i in near)
@@ -74,3 +61,10 @@ def test_odd_documents(spark, sf):
             out = stage(spark, docs, sf)
             assert out.count() <= max(docs.count() * 20, 1)
             docs = out if out.columns == docs.columns else docs
+
+
+def test_odd_rows_of_the_near_duplicate_stage(spark, sf):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "x y z"), (None, "a b c"), (None, "p q r"), (None, "p q r"), (None, ""), (None, None), (3, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DDL)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(1, "a b c"), (None, "p q r"), (None, ""), (None, None), (3, ""), (4, None)], key=str)
