@@ -28,7 +28,44 @@ ADMIN_PHRASES = ["suspensao de aulas", "suspensao das aulas", "suspensao aulas",
 REVIEW_WORDS = ["revisao", "avaliacao", "prova 1", "prova 2", "prova final", "teste"]
 CONTINUATION_WORDS = ["atividade assincrona", "complementar os estudos", "leituras recomendadas", "estudo de caso", "revisao", "exercicio", "exercicios", "lista", "listas", "gabarito", "respostas"]
 SOFT_WORDS = ["unidade", "continuacao", "finalizacao", "apresentacao"]
-#: Words of units' titles that tell nothing.
-UNIT_GENERIC = "unidade aprendizagem introducao conceitos fundamentos geral estudo metodos".split()
+#: Words of units' topics that tell nothing (fixed values).
+UNIT_GENERIC = [
+    "metodos", "formais", "formal", "logica", "logicas", "especificacao", "especificacoes", "verificacao", "verificacoes", "programas", "programa", "modelos",
+    "modelo", "fundamentos", "sistemas", "software", "softwares", "suporte", "propriedades", "aplicacoes", "sequenciais", "concorrentes", "linguagens",
+]
+#: Words that count little for a unit (fixed values).
+UNIT_NEUTRAL = [
+    "algoritmo", "algoritmos", "aplicacao", "aplicacoes", "computa", "computacao", "computacoes", "estado", "estados", "fundamentos", "formal", "formais", "logica",
+    "logicas", "para", "passo", "passos", "sequencia", "sequencias", "metodos", "modelo", "modelos", "predicado", "predicados", "programa", "programas", "proposicional",
+    "substituicao", "simplificacao", "software", "softwares", "suporte", "sistemas", "semantica", "sintaxe", "variavel", "variaveis", "verificacao", "verificacoes",
+]
 #: Study states.
 STATUSES = ["pendente", "em_progresso", "compreendido", "revisao"]
+#: Words of a course that name tools, general slugs, headings that structure a document, signs of a bibliography, weak
+#: beginnings of headings, and words that link a heading to a topic on their own (fixed values).
+KNOWN_TOOLS = ["isabelle", "dafny", "coq", "lean", "z3", "nuxmv", "alloy", "tla+", "tla", "nu smv", "nusmv"]
+GENERIC_SLUGS = [
+    "curso", "conteudo", "conteudos", "arquivo", "pdf", "estudo", "material", "aula", "topicos", "termos", "termo", "disciplina", "estrutura-do-curso", "bibliografia", "avaliacao",
+    "ementa", "complementar", "introducao", "formato-de-entrada", "objetivos-de-aprendizagemcompetencias", "procedimentos-metodologicos", "timeline-cronograma-x-unidades",
+]
+STRUCTURAL_HEADINGS = [
+    "como usar", "formato de entrada", "termos", "estrutura do curso", "bibliografia", "avaliacao", "ementa", "conteudos", "conteudo", "complementar", "objetivos de aprendizagemcompetencias",
+    "procedimentos metodologicos", "notas do professor", "topicos de alta incidencia em prova", "timeline cronograma x unidades", "revisao", "exercicios",
+]
+BIBLIOGRAPHY_MARKERS = ["springer", "cambridge", "university press", "undergraduate topics", "lncs", "disponivel", "colecao", "collection", "press", "verlag", "editora", "ed ", "eds "]
+WEAK_STARTS = ["seja ", "considere ", "suponha ", "mostre ", "prove ", "resolva ", "um primeiro ", "uma primeira "]
+OVERLAP_CUES, WEAK_CUES = ["proposicional", "hoare"], ["recursiv", "indutiv", "predicad", "isabelle", "kripke", "modelo"]
+#: Headings that are no topics as a whole, beginnings of goals, endings of goals (fixed values).
+WEAK_HEADINGS, GOAL_STARTS, GOAL_ENDS = ["revisao", "exercicios", "atividade assincrona"], ["entender ", "aprender ", "adquirir ", "julgar ", "compreender "], [" software", " sistemas", " programas"]
+#: Words around the names of tools, and words that are no tools (fixed values).
+TOOL_CONTEXT = ["ferramenta", "solver", "proof assistant", "assistente de prova", "framework", "biblioteca", "library", "parser", "parsers", "linguagem"]
+TOOL_STOPWORDS = [
+    "curso", "disciplina", "aula", "aulas", "material", "materiais", "conteudo", "conteudos", "introducao", "fundamentos", "teoria", "pratica", "revisao", "exercicios", "atividade",
+    "atividades", "lista", "listas", "prova", "provas", "projeto", "projetos", "sistema", "sistemas", "analise", "estudo",
+]
+#: Cues of review and of exams, and words of formal-methods courses (fixed values).
+REVIEW_CUES = ["revisao", "revisao para prova", "revisao de prova", "preparacao para prova", "preparacao de prova", "preparatorio para prova", "simulado"]
+EXAM_CUES = ["prova", "exame", "avaliacao", "teste", "p1", "p2", "p3", "pf", "av1", "av2", "n1", "n2"]
+FORMAL_WORDS = ["metodos formais", "formal methods", "isabelle", "coq", "lean", "dafny", "theorem prover", "provadores de teoremas", "tla", "alloy", "nusmv", "nuxmv"]
+#: Type tags by a part of the category, in order (fixed values).
+TYPE_TAGS = [("listas", "tipo:lista"), ("gabaritos", "tipo:gabarito"), ("provas", "tipo:prova"), ("material de aula", "tipo:material-base"), ("codigo professor", "tipo:codigo"), ("codigo aluno", "tipo:codigo")]

@@ -5,29 +5,63 @@ Frames are keyed by course_id. IDs in brackets are those of the operator invento
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from coursemill.functions.text import collapse_ws, fold, headings, match_text, slugify, tokens, unit_slug
+from coursemill.functions import vocab
+from coursemill.functions.text import collapse_ws, fold, headings, match_text, slugify, text_lines, tokens, unit_slug
+from coursemill.operators import scoring
+
+@dataclass(frozen=True)
+class Profile:
+    """Vocabularies of a course that rules about topics, tags and tools read."""
+
+    known_tools: list[str] = field(default_factory=lambda: vocab.KNOWN_TOOLS)
+    generic_slugs: list[str] = field(default_factory=lambda: vocab.GENERIC_SLUGS)
+    structural_headings: list[str] = field(default_factory=lambda: vocab.STRUCTURAL_HEADINGS)
+    bibliography_markers: list[str] = field(default_factory=lambda: vocab.BIBLIOGRAPHY_MARKERS)
+    weak_starts: list[str] = field(default_factory=lambda: vocab.WEAK_STARTS)
+    overlap_cues: list[str] = field(default_factory=lambda: vocab.OVERLAP_CUES)
+
 
-#: Headings that never are topics, weak first words, and tools that are known (fixed values).
-GENERIC_SLUGS = ["introducao", "conclusao", "referencias", "bibliografia", "exercicios", "sumario", "objetivos", "resumo", "agenda", "exemplo", "exemplos", "conteudo", "untitled"]
-WEAK_STARTS = ["de", "do", "da", "para", "com", "sem", "sobre", "entre", "que", "como", "por", "em", "no", "na", "um", "uma", "os", "as", "the", "of", "and"]
-KNOWN_TOOLS = ["isabelle", "coq", "dafny", "z3", "python", "java", "spark", "hadoop", "docker", "git", "matlab", "latex", "prolog", "haskell"]
-EXAM_CUES = ["prova", "exame", "p1", "p2", "p3", "revisao para prova", "simulado"]
-CATEGORY_TAGS = {"listas": "tipo:lista", "gabaritos": "tipo:gabarito", "provas": "tipo:prova", "fotos-de-prova": "tipo:prova", "material-de-aula": "tipo:aula", "trabalhos": "tipo:trabalho", "codigo-professor": "tipo:codigo", "codigo-aluno": "tipo:codigo"}
+DEFAULT = Profile()
 #: Points of a heading for a topic (fixed values).
 SUPPORT = {"equal": 10.0, "inside": 8.0, "stems": 5.5, "each": 0.4, "cue": 3.4, "weak_cue": 2.8, "subtopic": 0.08, "least": 2.8}
 
 
-def is_topic_candidate(text: Column) -> Column:
+def _holds(norm: Column, words: list[str], start: str = "", end: str = "") -> Column:
+    """Whether a text holds one of the words; with `^` or `$` at its start or end."""
+    return norm.rlike(f"{start}(?:{'|'.join(map(re.escape, words))}){end}")
+
+
+def is_topic_candidate(text: Column, profile: Profile = DEFAULT) -> Column:
     """Whether a heading or term may be a topic. [P14]"""
-    norm, raw = match_text(text, "c"), collapse_ws(text)
-    words = F.split(norm, " ")
-    bad = (
-        slugify(text).isin(GENERIC_SLUGS) | (F.length(norm) < 4) | F.get(words, F.lit(0)).isin(WEAK_STARTS) | (F.size(words) > 6) | norm.isin(KNOWN_TOOLS)
-        | raw.rlike(r"\b(?:19|20)\d{2}\b") | (F.regexp_count(raw, F.lit(" ")) >= 9) | (F.regexp_count(raw, F.lit("-")) >= 2) | (F.regexp_count(norm, F.lit(r"\b[a-z]\b")) >= 3)
-    )
-    return ~bad
+    norm, slug = match_text(text, "c"), slugify(text)
+    weak = norm.isin(vocab.WEAK_HEADINGS + profile.structural_headings) | _holds(norm, profile.weak_starts + vocab.GOAL_STARTS, "^") | (F.size(F.split(norm, " ")) > 6)
+    book = _holds(norm, profile.bibliography_markers) | norm.rlike(r"\b(?:19|20)\d{2}\b") | (F.regexp_count(norm, F.lit(r"\b[a-z]\b")) >= 3)
+    goal = (_holds(norm, vocab.GOAL_ENDS, end="$") & (F.regexp_count(norm, F.lit(" ")) >= 5))
+    return ~(slug.isin(profile.generic_slugs) | (F.length(slug) < 4) | weak | _holds(norm, profile.known_tools) | book | goal)
+
+
+def strip_topic_prefix(text: Column) -> Column:
+    """A heading without its number, `unidade 1 -` and the like. [P14]"""
+    s = F.regexp_replace(collapse_ws(text), r"^\d+(?:\.\d+)*\.?\s*", "")
+    s = F.regexp_replace(s, r"(?i)^(?:unidade|tema|topico)\s+\d+\s*[-\u2014:]?\s*", "")
+    s = F.regexp_replace(s, r"(?i)^(?:especificacao|especifica\u00e7\u00e3o)\s+de\s+", "")
+    return F.regexp_replace(s, r"^[ \-:\t]+|[ \-:\t]+$", "")
+
+
+def topic_lines(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Candidates for topics in texts (course_id, text): `## x`, bullets, numbered lines and unit lines that may be one. [A5]"""
+    line = collapse_ws(F.col("raw"))
+    lines = texts.select("course_id", F.explode(text_lines("text")).alias("raw")).select("course_id", line.alias("line"))
+    body = F.when(F.col("line").rlike(r"^(?:## |- )"), F.trim(F.regexp_replace("line", r"^(?:## |- \[ \] |- )", "")))
+    body = body.when(F.col("line").rlike(r"(?i)^(?:\d+(?:\.\d+)*\.?|unidade\s+\d+)"), F.col("line"))
+    found = lines.select("course_id", strip_topic_prefix(body).alias("text")).filter("text is not null")
+    return found.filter(is_topic_candidate(F.col("text"), profile)).groupBy("course_id", slugify("text").alias("slug")).agg(F.min("text").alias("text"))
 
 
 def plan_lines(plans: DataFrame, text: str = "plan") -> DataFrame:
@@ -79,8 +113,8 @@ def glossary(texts: DataFrame, text: str = "glossary") -> DataFrame:
     lines = texts.select("course_id", F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("pos", "line"))
     w = W.partitionBy("course_id").orderBy("pos")
     df = lines.withColumn("n", F.sum(F.col("line").rlike(r"^##\s+\S").cast("int")).over(w)).filter("n > 0")
-    field = lambda names: F.first(F.nullif(collapse_ws(F.regexp_extract("line", rf"(?i)^\s*(?:[-*]\s*)?\**(?:{names})\**\s*:\**\s*(.+)$", 1)), F.lit("")), ignorenulls=True)
-    out = df.groupBy("course_id", "n").agg(F.min_by(F.regexp_extract("line", r"^##\s+(.+?)\s*$", 1), "pos").alias("term"), field("unidade|unit").alias("unit_hint"), field("sin[oô]nimos?(?: aceitos?)?|aliases").alias("s"), field("defini[cç][aã]o").alias("definition"))
+    part = lambda names: F.first(F.nullif(collapse_ws(F.regexp_extract("line", rf"(?i)^\s*(?:[-*]\s*)?\**(?:{names})\**\s*:\**\s*(.+)$", 1)), F.lit("")), ignorenulls=True)
+    out = df.groupBy("course_id", "n").agg(F.min_by(F.regexp_extract("line", r"^##\s+(.+?)\s*$", 1), "pos").alias("term"), part("unidade|unit").alias("unit_hint"), part("sin[oô]nimos?(?: aceitos?)?|aliases").alias("s"), part("defini[cç][aã]o").alias("definition"))
     synonyms = F.filter(F.transform(F.split(F.coalesce("s", F.lit("")), r"[,;/|]"), collapse_ws), lambda x: x != "")
     return out.select("course_id", "n", "term", "unit_hint", synonyms.alias("synonyms"), "definition")
 
@@ -100,29 +134,59 @@ def glossary_aliases(topics: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def stems(c: Column | str) -> Column:
-    """First five letters of the words of a match text. [J16]"""
-    return F.array_distinct(F.transform(tokens(c), lambda x: F.substring(x, 1, 5)))
+    """First five letters of the words of a text without its number, but for a few small words. [J16]"""
+    text = F.col(c) if isinstance(c, str) else c
+    words = F.filter(tokens(match_text(strip_topic_prefix(text), "c")), lambda x: ~x.isin("sobre", "para", "entre"))
+    return F.array_distinct(F.transform(words, lambda x: F.substring(x, 1, 5)))
+
+
+def near_texts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (course_id, l_norm, r_norm) of texts (course_id, norm, stems) that share a stem or of which one may hold the
+    other: joins on stems and on the first four letters anywhere in the other text. [J16]"""
+    l, r = (df.select("course_id", F.col("norm").alias(f"{x}_norm"), F.col("stems").alias(f"{x}_stems")).filter(F.size("stems") > 0).distinct() for df, x in ((left, "l"), (right, "r")))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(F.col(c), i, F.lit(4)))))
+    keyed = [
+        (l.withColumn("k", F.explode("l_stems")), r.withColumn("k", F.explode("r_stems"))),
+        (l.withColumn("k", grams("l_norm")), r.withColumn("k", F.substring("r_norm", 1, 4))),
+        (l.withColumn("k", F.substring("l_norm", 1, 4)), r.withColumn("k", grams("r_norm"))),
+    ]
+    return reduce(DataFrame.union, (a.join(b, ["course_id", "k"]).select("course_id", "l_norm", "r_norm") for a, b in keyed)).distinct()
 
 
-def heading_support(heads: DataFrame, topics: DataFrame, cues: Column | None = None) -> DataFrame:
+def _normed(df: DataFrame, text: str) -> DataFrame:
+    return df.select("course_id", match_text(text, "c").alias("norm"), stems(text).alias("stems"))
+
+
+def heading_support(heads: DataFrame, topics: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """The topic of its course that best supports each heading (course_id, heading, ord), with its points. [J16]
 
-    Headings and topics meet on shared stems, so the join has a key besides the course. A heading that reaches
+    Headings and topics meet as `near_texts`, so the joins have a key besides the course. A heading that reaches
     SUPPORT['least'] is an alias of that topic.
     """
-    h = heads.withColumns({"h_norm": match_text("heading", "c")}).withColumn("h_stems", stems("h_norm"))
-    t = topics.withColumns({"t_norm": match_text("topic_label", "c")}).withColumn("t_stems", stems("t_norm"))
-    left = h.withColumn("stem", F.explode("h_stems"))
-    right = t.withColumn("stem", F.explode("t_stems")).select("course_id", "stem", "topic_slug", "topic_ord", "kind", "t_norm", "t_stems")
-    pairs = left.join(right, ["course_id", "stem"]).dropDuplicates([*heads.columns, "topic_slug"])
-    n = F.size(F.array_intersect("h_stems", "t_stems"))
-    cue = F.size(F.array_intersect("h_stems", cues)) > 0 if cues is not None else F.lit(False)
-    points = F.when(F.col("h_norm") == F.col("t_norm"), SUPPORT["equal"]).when(F.col("h_norm").contains(F.col("t_norm")) | F.col("t_norm").contains(F.col("h_norm")), SUPPORT["inside"]).when(n >= 2, SUPPORT["stems"] + SUPPORT["each"] * n).when(n == 1, F.when(cue, SUPPORT["cue"]).otherwise(0.0)).otherwise(0.0)
-    scored = pairs.withColumn("points", points + F.when((F.col("kind") == "subtopic") & (points > 0), SUPPORT["subtopic"]).otherwise(0.0)).filter(F.col("points") >= SUPPORT["least"])
+    h = heads.withColumns({"h_norm": match_text("heading", "c"), "h_stems": stems("heading")})
+    t = topics.select("course_id", "topic_slug", "topic_ord", "kind", match_text("topic_label", "c").alias("t_norm"), stems("topic_label").alias("t_stems"))
+    near = near_texts(_normed(heads, "heading"), _normed(topics, "topic_label")).withColumnsRenamed({"l_norm": "h_norm", "r_norm": "t_norm"})
+    pairs = h.join(near, ["course_id", "h_norm"]).join(t, ["course_id", "t_norm"])
+    n, words = F.size(F.array_intersect("h_stems", "t_stems")), F.size("h_stems")
+    cue = F.when(_holds(F.col("h_norm"), profile.overlap_cues), SUPPORT["cue"]).when(_holds(F.col("h_norm"), vocab.WEAK_CUES), SUPPORT["weak_cue"]).otherwise(0.0)
+    points = F.when(F.col("h_norm") == F.col("t_norm"), SUPPORT["equal"]).when(F.col("h_norm").contains(F.col("t_norm")) | F.col("t_norm").contains(F.col("h_norm")), SUPPORT["inside"]).when(n >= 2, SUPPORT["stems"] + SUPPORT["each"] * n).when((n == 1) & words.between(2, 6), cue).otherwise(0.0)
+    scored = pairs.withColumn("points", points + F.when(F.col("kind") == "subtopic", SUPPORT["subtopic"]).otherwise(0.0)).filter(F.col("points") >= SUPPORT["least"])
     best = scored.groupBy(*heads.columns).agg(F.min(F.struct((-F.col("points")).alias("neg"), "topic_ord", "topic_slug")).alias("b"))
     return best.select(*heads.columns, F.col("b.topic_slug").alias("topic_slug"), (-F.col("b.neg")).alias("points"))
 
 
+def supported_headings(heads: DataFrame, base: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """The headings (course_id, text) that a base candidate of their course (course_id, text) stands behind. [A5]"""
+    h = heads.withColumns({"l_norm": match_text("text", "c"), "l_stems": stems("text")})
+    b = base.select("course_id", match_text("text", "c").alias("r_norm"), stems("text").alias("r_stems")).distinct()
+    pairs = h.join(near_texts(_normed(heads, "text"), _normed(base, "text")), ["course_id", "l_norm"]).join(b, ["course_id", "r_norm"])
+    n, mine, other = F.size(F.array_intersect("l_stems", "r_stems")), F.size("l_stems"), F.size("r_stems")
+    inside = F.col("l_norm").contains(F.col("r_norm")) | F.col("r_norm").contains(F.col("l_norm"))
+    cue = (n == 1) & mine.between(2, 4) & _holds(F.col("l_norm"), profile.overlap_cues)
+    most = (n >= 2) & (((n == other) & (mine - n <= 1)) | ((n == mine) & (other - n <= 1)))
+    return pairs.filter(inside | cue | most).select(*heads.columns).distinct()
+
+
 def merge_topics(topics: DataFrame) -> DataFrame:
     """Topics of one slug as one: first filled code, label and kind, and all aliases by slug, sorted. [W13]"""
     order = F.struct("unit_ord", "topic_ord")
@@ -140,17 +204,22 @@ def heading_cues(lines: DataFrame, most: int = 24) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def tool_candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Names of tools in texts: known ones, or special shapes (inner capitals, digits, `+` or `#`) in two sources. [A4]
+def tool_candidates(sources: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Names that may be tools, per course: name, sources, context. [A4] sources: course_id, source (in order), text.
 
-    Words are made distinct per source before they are counted, so a frequent word costs one row a source.
+    A name counts once a source, where it stands first; it is taken if it is known, has a special shape (`+`, `#`, `.`, a
+    digit, a capital inside) where it first stands, or is in two sources and in one of them beside a word of tools.
     """
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}][\p{L}\p{N}+#]{1,23}"), F.lit(0)))).alias("word")
-    each = docs.select("course_id", key, word)
-    each = each.withColumns({"name": F.lower("word"), "special": F.col("word").rlike(r"^\p{Lu}?\p{Ll}+\p{Lu}|\p{L}\d|[+#]")})
-    counts = each.groupBy("course_id", "name").agg(F.countDistinct(key).alias("sources"), F.max(F.col("special").cast("int")).alias("special"))
-    known = F.col("name").isin(KNOWN_TOOLS)
-    return counts.filter(known | ((F.col("special") == 1) & (F.col("sources") >= 2)))
+    lines = sources.select("course_id", "source", F.posexplode(text_lines("text")).alias("pos", "line"))
+    lines = lines.withColumn("context", _holds(match_text("line", "d"), vocab.TOOL_CONTEXT))
+    words = lines.select("course_id", "source", "pos", "context", F.posexplode(F.regexp_extract_all("line", F.lit(r"\b[A-Za-z][A-Za-z0-9.+#-]{1,24}\b"), F.lit(0))).alias("at", "raw"))
+    words = words.withColumn("name", match_text("raw", "d")).filter((F.length("name") >= 2) & ~F.col("name").isin(vocab.TOOL_STOPWORDS))
+    once = words.groupBy("course_id", "name", "source").agg(F.min(F.struct("pos", "at", "raw", "context")).alias("first"))
+    found = once.groupBy("course_id", "name").agg(F.count("*").alias("sources"), F.count_if("first.context").alias("context"), F.min_by("first.raw", "source").alias("raw"))
+    special = F.col("raw").rlike(r"[+#.\d]") | F.substring("raw", 2, 30).rlike(r"\p{Lu}")
+    known = F.array(*(match_text(F.lit(t), "d") for t in profile.known_tools))
+    beside = (F.col("context") >= 1) & (F.col("sources") >= 2) & (F.length("name") >= 3)
+    return found.filter(F.array_contains(known, F.col("name")) | special | beside).select("course_id", "name", "sources", "context")
 
 
 def strong_headings(docs: DataFrame, each: int = 4) -> DataFrame:
@@ -159,46 +228,71 @@ def strong_headings(docs: DataFrame, each: int = 4) -> DataFrame:
     return df.groupBy("course_id", slugify("heading").alias("slug")).agg(F.min(F.struct("ord", "pos", "heading")).alias("x")).select("course_id", "slug", F.col("x.heading").alias("heading"), F.col("x.ord").alias("ord"))
 
 
-def tag_catalog(candidates: DataFrame) -> DataFrame:
-    """Tags `prefix:slug` per course from candidates (course_id, prefix, text): topics must be able to be one. [A5]"""
-    good = candidates.filter((F.col("prefix") != "topico") | is_topic_candidate(F.col("text")))
-    tags = good.select("course_id", F.concat_ws(":", "prefix", slugify("text")).alias("tag")).filter(~F.col("tag").endswith(":untitled"))
-    return tags.groupBy("course_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+def tag_catalog(candidates: DataFrame, heads: DataFrame | None = None, profile: Profile = DEFAULT) -> DataFrame:
+    """Tags of each course, sorted: topics among the candidates (course_id, text), headings (the same) that one of them
+    stands behind (any, where a course has none), and known tools that headings name. [A5]"""
+    base = candidates.filter(is_topic_candidate(F.col("text"), profile)).select("course_id", "text").distinct()
+    tags = base.select("course_id", F.concat(F.lit("topico:"), slugify("text")).alias("tag"))
+    if heads is not None:
+        good = heads.filter(is_topic_candidate(F.col("text"), profile)).select("course_id", "text").distinct()
+        alone = good.join(base.select("course_id").distinct(), "course_id", "left_anti")
+        named = supported_headings(good, base, profile).unionByName(alone)
+        tools = F.explode(F.filter(F.array(*(F.lit(t) for t in profile.known_tools)), lambda t: match_text("text", "c").contains(match_text(t, "c"))))
+        tags = tags.union(named.select("course_id", F.concat(F.lit("topico:"), slugify("text")))).union(heads.select("course_id", tools.alias("tool")).select("course_id", F.concat(F.lit("ferramenta:"), slugify("tool"))))
+    return tags.filter(~F.col("tag").endswith(":untitled")).groupBy("course_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 def exam_review(norm: Column) -> Column:
-    """Whether a match text speaks of exam review, by whole cues. [F32]"""
-    return norm.rlike("(?:^| )(?:" + "|".join(EXAM_CUES) + ")(?: |$)")
+    """Whether a match text speaks of review and, as a whole word, of an exam. [F32]"""
+    return norm.rlike("|".join(vocab.REVIEW_CUES)) & norm.rlike(r"(?<![a-z0-9])(?:" + "|".join(vocab.EXAM_CUES) + r")(?![a-z0-9])")
 
 
 def formal_course(norm: Column) -> Column:
     """Whether a match text is of a formal-methods course. [F32]"""
-    return norm.rlike("logica|prova formal|verificacao formal|isabelle|teorema|hoare|semantica formal")
+    return norm.rlike("|".join(vocab.FORMAL_WORDS))
 
 
 def auto_tags(entries: DataFrame, catalog: DataFrame, most: int = 6) -> DataFrame:
-    """Tags of each entry: catalogue tags found in its title and headings, its type, exam review. [A6]
+    """Tags of each entry: catalogue tags that its title and headings name, its type, exam review; the first `most`. [A6]
 
-    entries: course_id, entry_id, title, head_text, category; catalog: course_id, tags.
+    entries: course_id, entry_id, title, head_text, category, and raw_target if it has it; catalog: course_id, tags (in
+    order). A topic of one word must be a word of the text, of five letters or more; other tags stand there as a phrase or
+    with all their words of four letters.
     """
-    norm = F.concat(F.lit(" "), match_text(F.concat_ws(" ", "title", "head_text"), "c"), F.lit(" "))
-    phrase = lambda t: F.concat(F.lit(" "), F.replace(F.element_at(F.split(t, ":"), 2), F.lit("-"), F.lit(" ")), F.lit(" "))
-    df = entries.join(catalog, "course_id", "left").withColumn("__n", norm)
-    found = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.col("__n").contains(phrase(t)))
-    kind = F.element_at(F.create_map(*(F.lit(x) for kv in CATEGORY_TAGS.items() for x in kv)), F.col("category"))
-    extra = F.filter(F.array(kind, F.when(exam_review(F.trim("__n")), F.lit("uso:revisao-prova"))), lambda x: x.isNotNull())
+    raw = "raw_target" if "raw_target" in entries.columns else None
+    strong = F.concat_ws(" ", *(F.nullif(match_text(c, "c"), F.lit("")) for c in ("title", "head_text")))
+    review = F.concat_ws(" ", *(F.nullif(match_text(c, "c"), F.lit("")) for c in ("title", *([raw] if raw else []), "head_text")))
+    df = entries.join(catalog, "course_id", "left").withColumns({"__n": strong, "__w": tokens(strong), "__r": review})
+
+    def named(tag: Column) -> Column:
+        phrase = match_text(F.replace(F.regexp_extract(tag, "^[^:]*:(.*)$", 1), F.lit("-"), F.lit(" ")), "c")
+        words = tokens(phrase)
+        all_there = F.forall(words, lambda w: F.array_contains("__w", w))
+        one = (F.size(words) == 1) & (F.length(F.get(words, F.lit(0))) >= 5) & all_there
+        loose = F.col("__n").contains(phrase) | one | ((F.size(words) >= 2) & all_there)
+        lone_topic = tag.startswith("topico:") & (F.size(words) == 1)
+        return (phrase != "") & tag.rlike("^(?:topico|ferramenta):") & F.when(lone_topic, one).otherwise(loose)
+
+    found = F.filter(F.coalesce("tags", F.array().cast("array<string>")), named)
+    category = match_text("category", "c")
+    kind = F.coalesce(*(F.when(category.contains(part), F.lit(tag)) for part, tag in vocab.TYPE_TAGS))
+    extra = F.filter(F.array(kind, F.when(exam_review(F.col("__r")), F.lit("uso:revisao-prova"))), lambda x: x.isNotNull())
     return df.withColumn("auto_tags", F.slice(F.array_distinct(F.concat(found, extra)), 1, most)).select(*entries.columns, "auto_tags")
 
 
 def glossary_evidence(terms: DataFrame, docs: DataFrame) -> DataFrame:
     """The best document for each term: 8 points for the phrase, 1 for each of its words found, 3 at least. [J17]
 
-    terms: course_id, term; docs: course_id, doc_ord, haystack (match text). The first document wins a tie.
+    terms: course_id, term; docs: course_id, doc_ord, haystack (match text). The first document wins a tie. A term is
+    looked for as letters anywhere, so three points ask for three of its words or the phrase; a course's terms are one
+    array that meets each document once.
     """
-    t = terms.withColumn("t_norm", match_text("term", "c")).withColumn("t_tokens", F.array_distinct(tokens("t_norm")))
-    pairs = t.join(docs, "course_id")
-    points = F.when(F.col("haystack").contains(F.col("t_norm")) & (F.col("t_norm") != ""), 8).otherwise(0) + F.size(F.filter("t_tokens", lambda x: F.col("haystack").contains(x)))
-    best = pairs.withColumn("points", points).filter("points >= 3").groupBy("course_id", "term").agg(F.min(F.struct((-F.col("points")).alias("neg"), "doc_ord")).alias("b"))
+    t = terms.select("course_id", "term", match_text("term", "c").alias("norm"), F.array_distinct(tokens(match_text("term", "c"))).alias("words"))
+    course = t.groupBy("course_id").agg(F.collect_list(F.struct("term", "norm", "words")).alias("__terms"))
+    met = scoring.with_course(docs, t, course, "haystack")
+    held = lambda x: F.when(F.col("haystack").contains(x["norm"]) & (x["norm"] != ""), 8).otherwise(0) + F.size(F.filter(x["words"], lambda w: F.col("haystack").contains(w)))
+    scored = met.select("course_id", "doc_ord", F.inline(F.filter(F.transform("__terms", lambda x: F.struct(x["term"].alias("term"), held(x).alias("points"))), lambda x: x["points"] >= 3)))
+    best = scored.groupBy("course_id", "term").agg(F.min(F.struct((-F.col("points")).alias("neg"), "doc_ord")).alias("b"))
     return best.select("course_id", "term", F.col("b.doc_ord").alias("doc_ord"), (-F.col("b.neg")).alias("points"))
 
 
@@ -214,14 +308,16 @@ def best_sentence(pairs: DataFrame, key: list[str]) -> DataFrame:
     return best.select(*key, (-F.col("b.neg")).alias("points"), short.alias("sentence"))
 
 
-def seeded_definition(terms: DataFrame, rules: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Definitions of terms by the first seed rule that their match text holds, else by evidence. [F26]
+def seeded_fields(terms: DataFrame, rules: list[tuple[str, str, str, str]], evidence: DataFrame) -> DataFrame:
+    """Terms (course_id, term) with definition, synonyms and not_confuse: of the first rule (needle as match text,
+    definition, synonyms, what it is not) that the term's match text holds, else the evidence's sentence. [F26]
 
-    rules: rule_id, needle (match text), definition; evidence: course_id, term, sentence.
+    The rules are a list of a few dozen; a chain of conditions tests them in order, and no join is needed.
     """
-    hit = terms.withColumn("t_norm", match_text("term", "c")).join(rules, F.col("t_norm").contains(F.col("needle")))
-    seed = hit.groupBy("course_id", "term").agg(F.min_by("definition", "rule_id").alias("seed"))
-    return terms.join(seed, ["course_id", "term"], "left").join(evidence, ["course_id", "term"], "left").withColumn("definition", F.coalesce("seed", "sentence", F.lit(""))).drop("seed", "sentence")
+    norm = match_text("term", "c")
+    pick = lambda k: F.coalesce(*(F.when(norm.contains(r[0]), F.lit(r[k])) for r in rules), F.lit(None).cast("string"))
+    out = terms.withColumns({"__d": pick(1), "synonyms": F.coalesce(pick(2), F.lit("")), "not_confuse": F.coalesce(pick(3), F.lit(""))})
+    return out.join(evidence, ["course_id", "term"], "left").withColumn("definition", F.coalesce("__d", "sentence", F.lit(""))).drop("__d", "sentence")
 
 
 def derive_units(maps: DataFrame, blocks: DataFrame) -> DataFrame:

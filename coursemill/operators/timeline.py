@@ -1,17 +1,17 @@
 """Course schedules: rows, blocks, sessions, units of blocks, periods, assessments.
 
-A schedule is rows keyed by course_id and row_index. Only block segmentation needs rows one after the other: a
-small fold per course in `applyInPandas`, whose groups are one course's schedule. Everything else is joins, windows,
-aggregates and folds over short arrays. IDs in brackets are those of the operator inventory.
+A schedule is rows keyed by course_id and row_index. Where rows must be taken one after the other (blocks, starts of
+units), a course's schedule is one short array that is folded in the JVM. Everything else is joins, windows and
+aggregates. IDs in brackets are those of the operator inventory.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
-from coursemill.functions.text import collapse_ws, kind_marker, match_text, parse_date, slugify, tokens
+from coursemill.functions.text import collapse_ws, kind_marker, match_text, parse_date, session_signals, slugify, tokens
+from coursemill.operators import scoring
 
 
 def read_schedule(courses: DataFrame, text: str = "schedule") -> DataFrame:
@@ -85,63 +85,51 @@ def core_text(content: Column) -> Column:
 def segment_blocks(rows: DataFrame) -> DataFrame:
     """Rows with content and their block_no: a row joins the block before it if it goes on with its theme. [W5]
 
-    All tests on single rows are columns; the fold only keeps the words of the block so far.
+    All tests on single rows are columns; the fold over a course's rows only keeps the words of the block so far.
     """
     norm = F.col("content_norm")
     cls = row_class(norm)
     core = core_text(F.col("content"))
     facts = rows.filter(F.trim(F.coalesce("content", F.lit(""))) != "").withColumns({"__c": cls, "__core": core, "__words": specific_tokens(norm)}).withColumn("__core_words", specific_tokens("__core"))
     facts = facts.select(*rows.columns, "__c.review", "__c.continuation", "__c.anchor_only", "__core", "__words", "__core_words")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", block_no int"
-    columns = rows.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_index", kind="stable").reset_index(drop=True)
-        numbers, block, before = [], 0, None
-        words: set[str] = set()
-        anchors = True
-        for row in pdf.itertuples(index=False):
-            r = dict(zip(pdf.columns, row, strict=True))
-            mine = set(r["__words"])
-            if before is None:
-                joins = False
-            elif r["review"]:
-                joins = False
-            elif r["continuation"]:
-                joins = bool(words) and not anchors
-            elif not len(r["__core_words"]):
-                joins = True
-            else:
-                a, b = before["__core"], r["__core"]
-                inside = bool(a and b) and (a == b or (a in b or b in a) and len((b if len(b) <= len(a) else a).split()) > 0 and len(r["__core_words"] if len(b) <= len(a) else before["__core_words"]) >= 2)
-                joins = inside or len(set(r["__core_words"]) & words) >= 2
-            if not joins:
-                block, words, anchors = block + 1, set(), True
-            words |= mine
-            anchors = anchors and bool(r["anchor_only"])
-            numbers.append(block)
-            before = r
-        return pdf[columns].assign(block_no=pd.array(numbers, dtype="int32"))
-
-    return facts.groupBy("course_id").applyInPandas(fold, schema)
+    row = F.struct("row_index", F.struct(*rows.columns).alias("row"), "review", "continuation", "anchor_only", F.col("__core").alias("core"), F.array_distinct("__words").alias("words"), F.array_distinct("__core_words").alias("core_words"))
+    course = facts.groupBy("course_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.expr("named_struct('no', 0, 'words', cast(array() as array<string>), 'anchors', true, 'core', '', 'core_words', cast(array() as array<string>), 'out', cast(array() as array<int>))")
+
+    def step(acc: Column, r: Column) -> Column:
+        a, b = acc["core"], r["core"]
+        shorter = F.when(F.length(b) <= F.length(a), F.size(r["core_words"])).otherwise(F.size(acc["core_words"]))
+        inside = (a != "") & (b != "") & ((a == b) | ((a.contains(b) | b.contains(a)) & (shorter >= 2)))
+        shared = F.size(F.array_intersect(r["core_words"], acc["words"])) >= 2
+        joins = F.when((acc["no"] == 0) | r["review"], False).when(r["continuation"], (F.size(acc["words"]) > 0) & ~acc["anchors"]).when(F.size(r["core_words"]) == 0, True).otherwise(inside | shared)
+        no = acc["no"] + F.when(joins, 0).otherwise(1)
+        words = F.when(joins, F.array_union(acc["words"], r["words"])).otherwise(r["words"])
+        return F.struct(no.alias("no"), words.alias("words"), (r["anchor_only"] & (acc["anchors"] | ~joins)).alias("anchors"), b.alias("core"), r["core_words"].alias("core_words"), F.concat(acc["out"], F.array(no)).alias("out"))
+
+    numbered = course.select("rows", F.aggregate("rows", start, step, lambda acc: acc["out"]).alias("numbers"))
+    pairs = numbered.select(F.explode(F.zip_with("rows", "numbers", lambda r, n: F.struct(r["row"].alias("row"), n.alias("block_no")))).alias("x"))
+    return pairs.select("x.row.*", "x.block_no")
 
 
 def block_attributes(rows: DataFrame) -> DataFrame:
-    """One row per block: ids, period, topics (at most 6), aliases (at most 6, 5 letters), topic_text, source rows. [W6]"""
+    """One row per block: ids, period, topics (at most 6), aliases (at most 6, 5 letters), topic_text, source rows, and
+    what its rows are as a whole: administrative, taught (some row teaches), soft (goes on with what came before). [W6]"""
     first = lambda c: F.min_by(c, "row_index")
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("row_index", c))), lambda x: x[c])
-    df = rows.withColumn("core", core_text(F.col("content")))
+    df = rows.withColumns({"core": core_text(F.col("content")), "__c": row_class(F.col("content_norm"))})
+    quiet = F.col("__c.administrative") | F.col("__c.review") | (F.col("__c.continuation") & (F.size(specific_tokens("content_norm")) <= 1))
+    goes_on = ~F.col("__c.review") & (F.col("__c.continuation") | F.col("content_norm").rlike("|".join(vocab.SOFT_WORDS)))
     out = df.groupBy("course_id", "block_no").agg(
         first("date_text").alias("start_text"), F.max_by("date_text", "row_index").alias("end_text"),
         first("date_dt").alias("period_start"), F.max_by("date_dt", "row_index").alias("period_end"),
         ordered("core").alias("cores"), ordered("content_norm").alias("norms"), F.sort_array(F.collect_list("row_index")).alias("source_rows"),
-        F.bool_and(row_class(F.col("content_norm"))["administrative"]).alias("administrative"),
-        F.bool_and(~F.col("ignored")).alias("scored"),
+        F.bool_and(F.col("ignored") | F.col("__c.administrative")).alias("administrative"), (~F.bool_and(quiet)).alias("taught"), F.bool_and(goes_on).alias("soft"),
+        F.bool_or(~F.col("ignored")).alias("scored"),
     )
     topics = F.slice(F.array_distinct(F.filter("cores", lambda x: F.size(specific_tokens(x)) > 0)), 1, 6)
     aliases = F.slice(F.array_distinct(F.filter(F.flatten(F.transform("norms", specific_tokens)), lambda x: F.length(x) >= 5)), 1, 6)
     label = F.when(F.col("start_text") == "", F.col("end_text")).when((F.col("end_text") == "") | (F.col("end_text") == F.col("start_text")), F.col("start_text")).otherwise(F.concat_ws(" a ", "start_text", "end_text"))
-    return out.select("course_id", F.format_string("bloco-%02d", "block_no").alias("block_id"), F.col("block_no").alias("block_ord"), "period_start", "period_end", label.alias("period_label"), topics.alias("topics"), aliases.alias("aliases"), F.array_join("norms", " ").alias("topic_text"), "source_rows", "administrative", "scored")
+    return out.select("course_id", F.format_string("bloco-%02d", "block_no").alias("block_id"), F.col("block_no").alias("block_ord"), "period_start", "period_end", label.alias("period_label"), topics.alias("topics"), aliases.alias("aliases"), F.array_join("norms", " ").alias("topic_text"), "source_rows", "administrative", "taught", "soft", "scored")
 
 
 def number_sessions(sessions: DataFrame) -> DataFrame:
@@ -152,19 +140,6 @@ def number_sessions(sessions: DataFrame) -> DataFrame:
     return once.withColumn("session_id", sid)
 
 
-def session_signals(content: Column) -> Column:
-    """Signals array<struct(kind, date, label)> of a schedule text: dated parts, then asynchronous lines. [F5]"""
-    text = F.coalesce(content, F.lit(""))
-    date = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})"
-    dated = F.regexp_extract_all(text, F.lit(rf"(?m)({date}\)?\s*[:\-–—]?[^\n;]*)"), F.lit(1))
-    one = lambda x: F.struct(F.when(match_text(x, "c").contains("assincron"), "async").otherwise("class").alias("kind"), parse_date(x).alias("date"), collapse_ws(F.regexp_replace(F.regexp_replace(x, date, ""), r"\{kind=\w+\}|^[\s:)\-–—]+", "")).alias("label"))
-    loose = F.filter(F.split(text, r"[\n;]"), lambda x: match_text(x, "c").contains("assincron") & ~x.rlike(date))
-    rest = F.transform(loose, lambda x: F.struct(F.lit("async").alias("kind"), F.lit(None).cast("date").alias("date"), collapse_ws(F.regexp_replace(x, r"\{kind=\w+\}", "")).alias("label")))
-    skip = text.contains("⊘") | kind_marker(text)["ignored"]
-    both = F.array_distinct(F.concat(F.transform(dated, one), rest))
-    return F.when(skip, F.slice(both, 1, 0)).otherwise(both)
-
-
 def token_weights(rows: DataFrame, key: list[str], unit: str, token_array: str) -> DataFrame:
     """Tokens that tell units apart: in one unit, or in two at most and six letters long. [A2]"""
     each = rows.select(*key, unit, F.explode(F.array_distinct(token_array)).alias("token")).distinct()
@@ -175,55 +150,87 @@ def token_weights(rows: DataFrame, key: list[str], unit: str, token_array: str)
 def row_unit_scores(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Schedule texts with the units of their course and `score`; administrative texts score 0. [J6]
 
-    rows: course_id, row_index, content_norm; units: `scoring.unit_index` with unit_number.
+    rows: course_id, row_index, content_norm; units: `scoring.unit_index`. A text that names a unit by number scores for
+    that unit alone.
     """
-    pairs = rows.join(units, "course_id")
     said = F.nullif(F.regexp_extract("content_norm", r"\bunidade(?: de aprendizagem)?\s*0*(\d+)\b", 1), F.lit("")).cast("int")
-    words = F.array_distinct(tokens("content_norm"))
-    title = F.when((F.size(F.filter(F.split("normalized_title", " "), lambda x: F.length(x) >= 4)) > 0) & F.col("content_norm").contains(F.col("normalized_title")), 2.6).otherwise(0.0)
-    phrase = F.aggregate("phrases", F.lit(0.0), lambda a, p: a + F.when(F.col("content_norm").contains(p), 2.2).otherwise(0.0))
-    weight = F.aggregate(F.array_intersect(words, F.col("words")), F.lit(0.0), lambda a, t: a + 0.95 * F.coalesce(F.element_at("token_weights", t), F.lit(1.0)))
-    rare = 0.6 * F.size(F.array_intersect(words, F.col("distinctive")))
-    raw = title + phrase + weight + rare + F.when(said == F.col("unit_number"), 6.0).otherwise(0.0)
-    veto = said.isNotNull() & (said != F.col("unit_number"))
-    admin = row_class(F.col("content_norm"))["administrative"]
-    return pairs.withColumn("score", F.when(admin | veto, 0.0).otherwise(raw)).select("course_id", "row_index", "unit_ord", "unit_slug", "score")
-
-
-#: Least score and lead over the next topic, by the number of a topic's tokens (fixed values).
-WEAK_TOPIC = "case when n_tokens <= 1 then score < 1.85 or score - second < 0.8 when n_tokens = 2 then score < 1.75 or score - second < 0.9 else score < 1.35 or score - second < 0.72 end"
+    df = scoring.with_course(rows.withColumn("__said", said), units, scoring.unit_arrays(units), "content_norm")
+    df = df.withColumns({"__held": F.array_intersect(tokens("content_norm"), "__keys"), "__admin": row_class(F.col("content_norm"))["administrative"]})
+    text, held, said = F.col("content_norm"), F.col("__held"), F.col("__said")
+
+    def score(u: Column) -> Column:
+        title, number = u["normalized_title"], F.nullif(F.regexp_extract(u["unit_slug"], r"^unidade(?:-de-aprendizagem)?-(\d+)\b", 1), F.lit("")).cast("int")
+        named = (title != "") & text.contains(title)
+        total = F.when(said.isNotNull(), 6.0).otherwise(0.0) + F.when(named, 2.6).otherwise(0.55 * scoring.phrase_points(text, held, u, title))
+        total = total + F.aggregate(u["phrases"], F.lit(0.0), lambda a, p: a + scoring.phrase_points(text, held, u, p))
+        exact = named.cast("int") + F.size(F.filter(u["phrases"], lambda p: text.contains(p)))
+        words = F.array_intersect(u["words"], held)
+        neutral = lambda t: t.isin(vocab.UNIT_NEUTRAL)
+        total = total + F.aggregate(words, F.lit(0.0), lambda a, t: a + 0.95 * scoring.weight_of(u, t) * F.when(neutral(t), 0.2).otherwise(1.0))
+        matched, rare = F.filter(words, lambda t: ~neutral(t)), F.array_intersect(u["distinctive"], held)
+        total = total + F.aggregate(rare, F.lit(0.0), lambda a, t: a + F.when(F.array_contains(matched, t), 0.25).otherwise(0.8))
+        of_title, of_topics = F.array_intersect(u["title_anchors"], held), F.array_intersect(u["topic_anchors"], held)
+        both = (u["n_extra"] > 0) & (F.size(of_title) > 0) & (F.size(of_topics) > 0)
+        total = total + F.when(both, 0.95 + 0.2 * F.size(F.array_union(of_title, of_topics)) + 0.12 * F.size(F.array_intersect(of_title, of_topics))).otherwise(0.0)
+        n = F.size(F.array_union(matched, rare))
+        none = said.isNull() & (exact == 0) & (n == 0) & ~both
+        lone = said.isNull() & (exact == 0) & (n == 1)
+        out = F.when(F.col("__admin") | none | (said.isNotNull() & ~F.equal_null(said, number)), 0.0).otherwise(total * F.when(lone, 0.35).otherwise(1.0))
+        return F.struct(u["unit_ord"].alias("unit_ord"), u["unit_slug"].alias("unit_slug"), out.alias("score"))
+
+    return df.select("course_id", "row_index", F.inline(F.transform("__units", score)))
+
+
+#: Least score and confidence of a topic by the number of its label's words: one at most, two, more (fixed values).
+WEAK_TOPIC = "case when label_tokens <= 1 then score < 1.85 or confidence < 0.8 when label_tokens = 2 then score < 1.75 or confidence < 0.9 else score < 1.35 or confidence < 0.72 end"
 
 
 def block_topic_candidates(scored: DataFrame, most: int = 5, gap: float = 0.7) -> DataFrame:
-    """Per block the best topics with score and share of the best, and the primary topic with its doubts. [W2]
+    """Per block the best topics with score and share of the best, and the primary topic with its doubts; a weak topic is
+    none. [W2]
 
-    scored: course_id, block_id, topic_ord, topic_slug, n_tokens, score.
+    scored: course_id, block_id, topic_ord, topic_slug, unit_slug, topic_label, score. A block's topics are those of its
+    course that have a score.
     """
-    w = W.partitionBy("course_id", "block_id").orderBy(F.desc("score"), "topic_ord")
-    ranked = scored.filter("score > 0").withColumns({"rank": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(0.0)), "best": F.first("score").over(w)}).filter(F.col("rank") <= most)
-    item = F.struct("rank", "topic_slug", F.round("score", 3).alias("score"), F.round(F.col("score") / F.col("best"), 3).alias("confidence"))
-    return ranked.groupBy("course_id", "block_id").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["topic_slug"], x["score"], x["confidence"])).alias("topic_candidates"),
-        F.min_by("topic_slug", "rank").alias("primary_topic_slug"),
-        F.min_by((F.col("best") - F.col("second") < gap) | F.expr(WEAK_TOPIC), "rank").alias("topic_ambiguous"),
-        F.min_by(F.least(F.lit(1.0), F.col("best") - F.col("second") + 0.2 * F.col("best")), "rank").alias("primary_topic_confidence"),
-    )
+    item = F.struct((-F.col("score")).alias("neg"), "topic_ord", "topic_slug", "unit_slug", F.size(tokens(match_text("topic_label"))).alias("label_tokens"))
+    df = scored.filter("score > 0").groupBy("course_id", "block_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    one, two = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    df = df.withColumns({"score": -one["neg"], "second": F.coalesce(-two["neg"], F.lit(0.0)), "label_tokens": one["label_tokens"], "primary": one["topic_slug"], "primary_unit": one["unit_slug"]})
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") - F.col("second") + 0.2 * F.col("score")))
+    lone = F.size("c") == 1
+    df = df.withColumn("confidence", F.when(lone, F.greatest(conf, F.lit(0.72))).otherwise(conf)).withColumn("weak", F.expr(WEAK_TOPIC))
+    ambiguous = F.col("weak") | (~lone & (F.col("score") - F.col("second") < gap))
+    share = lambda x: F.round(F.least(F.lit(1.0), x["neg"] / -F.col("score")), 3)
+    listed = F.transform(F.slice("c", 1, most), lambda x: F.struct(x["topic_slug"].alias("topic_slug"), F.round(-x["neg"], 3).alias("score"), share(x).alias("confidence")))
+    return df.select("course_id", "block_id", listed.alias("topic_candidates"), F.when(F.col("weak"), "").otherwise(F.col("primary")).alias("primary_topic_slug"), F.when(F.col("weak"), "").otherwise(F.col("primary_unit")).alias("primary_topic_unit"),
+        ambiguous.alias("topic_ambiguous"), F.when(ambiguous, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")).alias("primary_topic_confidence"))
+
+
+def block_unit_scores(blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """Blocks with the units of their course and `score`: of all their rows, and 0.7 of the topic text's where that is
+    another text. [W3] blocks: course_id, block_id, full_text, topic_text (match texts)."""
+    texts = F.array(F.struct(F.col("full_text").alias("content_norm"), F.lit(1.0).alias("w")), F.struct(F.when(F.col("topic_text") != F.col("full_text"), F.col("topic_text")).otherwise("").alias("content_norm"), F.lit(0.7).alias("w")))
+    rows = blocks.select("course_id", "block_id", F.inline(texts)).filter("content_norm != ''").withColumn("row_index", F.struct("block_id", "w"))
+    scored = row_unit_scores(rows.select("course_id", "row_index", "content_norm"), units)
+    return scored.groupBy("course_id", F.col("row_index.block_id").alias("block_id"), "unit_ord", "unit_slug").agg(F.sum(F.col("score") * F.col("row_index.w")).alias("score"))
 
 
 def block_units(blocks: DataFrame, scored: DataFrame) -> DataFrame:
     """The unit of each block: from a sure topic, else the best unit with score 1 and a lead of 0.35. [W3]
 
-    blocks: course_id, block_id, block_ord, administrative, topic_unit, topic_ambiguous, topic_confidence; scored:
-    course_id, block_id, unit_ord, unit_slug, score.
+    blocks: course_id, block_id, taught, topic_unit, topic_ambiguous, topic_confidence; scored: course_id, block_id,
+    unit_ord, unit_slug, score. A block that does not teach has none of the latter.
     """
-    w = W.partitionBy("course_id", "block_id").orderBy(F.desc("score"), "unit_ord")
-    best = scored.withColumns({"rank": F.row_number().over(w), "second": F.coalesce(F.lead("score").over(w), F.lit(0.0))}).filter("rank = 1 and score >= 1 and score - second >= 0.35")
-    best = best.select("course_id", "block_id", F.col("unit_slug").alias("__unit"), F.least(F.lit(1.0), F.col("score") - F.col("second")).alias("__conf"))
-    sure = (F.col("topic_unit") != "") & ~F.col("topic_ambiguous") & (F.col("topic_confidence") >= 0.65)
+    item = F.struct((-F.col("score")).alias("neg"), "unit_ord", "unit_slug")
+    best = scored.filter("score > 0").groupBy("course_id", "block_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    one, two = -F.get("c", F.lit(0))["neg"], F.coalesce(-F.get("c", F.lit(1))["neg"], F.lit(0.0))
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), one - two + 0.18 * one))
+    best = best.filter((one >= 1) & (one - two >= 0.35)).select("course_id", "block_id", F.get("c", F.lit(0))["unit_slug"].alias("__unit"), conf.alias("__conf"))
+    sure = F.coalesce((F.col("topic_unit") != "") & ~F.col("topic_ambiguous") & (F.col("topic_confidence") >= 0.65), F.lit(False))
     out = blocks.join(best, ["course_id", "block_id"], "left")
     return out.withColumns({
-        "unit_slug": F.when(F.col("administrative"), "").when(sure, F.col("topic_unit")).otherwise(F.coalesce("__unit", F.lit(""))),
-        "unit_confidence": F.when(F.col("administrative"), 0.0).when(sure, F.col("topic_confidence")).otherwise(F.coalesce("__conf", F.lit(0.0))),
+        "unit_slug": F.when(sure, F.col("topic_unit")).when(~F.col("taught"), "").otherwise(F.coalesce("__unit", F.lit(""))),
+        "unit_confidence": F.when(sure, F.col("topic_confidence")).when(~F.col("taught"), 0.0).otherwise(F.coalesce("__conf", F.lit(0.0))),
     }).drop("__unit", "__conf")
 
 
@@ -289,10 +296,20 @@ def assessments(plans: DataFrame, text: str = "plan") -> DataFrame:
     return first.select("course_id", "label_slug", "x.*")
 
 
+def assessment_aliases(label: Column) -> Column:
+    """Ways to write an assessment's label, as match texts. [J13]"""
+    norm = match_text(label)
+    number = F.regexp_extract(norm, r"^(?:p|prova)\s*(\d+)$", 1).try_cast("int")
+    named = F.when(norm == "pf", F.array(F.lit("pf"), F.lit("prova final"), F.lit("exame final"))).when(number.isNotNull(), F.array(F.format_string("p%d", number), F.format_string("p %d", number), F.format_string("prova %d", number), F.format_string("prova %02d", number), norm)).otherwise(F.array(norm))
+    return F.array_distinct(F.filter(named, lambda x: x != ""))
+
+
 def assessment_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """The first schedule row, with its date, that holds an assessment's label as a whole word. [J13]"""
-    alias = match_text("label", "c")
-    hit = found.withColumn("alias", alias).join(rows.select("course_id", "row_index", "content_norm", "date_dt"), "course_id")
+    """The first schedule row that holds an assessment's label, in any of its forms, as whole words, and the date of the
+    first such row that has one. [J13] Forms meet rows by their first word."""
+    forms = found.withColumn("alias", F.explode(assessment_aliases(F.col("label")))).withColumn("__word", F.substring_index("alias", " ", 1))
+    worded = rows.select("course_id", "row_index", "content_norm", "date_dt", F.explode(F.array_distinct(F.split("content_norm", " "))).alias("__word"))
+    hit = forms.join(worded, ["course_id", "__word"])
     hit = hit.filter(F.concat(F.lit(" "), F.col("content_norm"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
     return hit.groupBy(*found.columns).agg(F.min("row_index").alias("row_index"), F.min_by("date_dt", F.when(F.col("date_dt").isNotNull(), F.col("row_index"))).alias("assessment_date"))
 

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.functions import html as H, text as X
+from coursemill.functions import html as H, text as X, vocab
 from coursemill.operators import documents as D, progress as P, scoring as S, timeline as T
 from coursemill.plans.tables import SQL_TOPICS, documents, query, sql_norm, sql_tokens, table, topics
-from coursemill.plans.text_queries import SQL_SCORED
+from coursemill.plans.text_queries import SQL_SCORED, SQL_UNIT_WORDS, course_units
 from coursemill.streaming import jobs
 
 
@@ -37,7 +37,28 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.block_attributes(T.segment_blocks(T.candidate_rows(T.read_schedule(_schedules(spark, sf_dir)))))
 
 
-@query("schedule_blocks")
+_SQL_GENERIC = f"{vocab.SCHEDULE_GENERIC}"
+SQL_SEGMENTS = rf"""sr AS (SELECT conv_id AS course_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, trim(array_to_string(string_split(trim(regexp_replace(replace(text, '|', ' '), '\s+', ' ', 'g')), ' ')[1:8], ' ')) AS content FROM conversations),
+sn AS (SELECT *, {sql_norm('content')} AS n, string_split_regex(content, '\s*:\s*') AS colon, string_split_regex(content, '\s+[—–-]\s+') AS dash FROM sr WHERE content <> ''),
+sc AS (SELECT *, CASE WHEN len(colon) > 1 AND len(list_filter({sql_tokens(sql_norm('colon[1]'))}, lambda x: NOT list_contains({_SQL_GENERIC}, x))) >= 2 THEN {sql_norm('colon[1]')} WHEN len(dash) > 1 AND len(list_filter({sql_tokens(sql_norm('dash[1]'))}, lambda x: NOT list_contains({_SQL_GENERIC}, x))) >= 2 THEN {sql_norm('dash[1]')} ELSE n END AS core FROM sn),
+sf AS (SELECT course_id, row_number() OVER (PARTITION BY course_id ORDER BY i) AS i, turn, content, n, core, list_filter({sql_tokens('n')}, lambda x: NOT list_contains({_SQL_GENERIC}, x)) AS words, list_filter({sql_tokens('core')}, lambda x: NOT list_contains({_SQL_GENERIC}, x)) AS cw,
+    n IN ('p1', 'p2', 'p3', 'pf') OR regexp_matches(n, '{"|".join(vocab.REVIEW_WORDS)}') AS review, regexp_matches(n, '{"|".join(vocab.CONTINUATION_WORDS)}') AS cont, regexp_matches(n, '{"|".join(vocab.ADMIN_PHRASES)}') AS admin FROM sc),
+st AS (SELECT *, contains(n, 'unidade') AND len(words) <= 2 AS anchor FROM sf),
+seg AS (SELECT course_id, i, 1 AS no, words AS seen, anchor AS anchors, core, cw FROM st WHERE i = 1
+UNION ALL SELECT s.course_id, s.i, CASE WHEN s.j THEN s.no ELSE s.no + 1 END, CASE WHEN s.j THEN list_concat(s.seen, s.words) ELSE s.words END, s.anchor AND (s.anchors OR NOT s.j), s.core, s.cw FROM (
+  SELECT t.*, g.no, g.seen, g.anchors, CASE WHEN t.review THEN false WHEN t.cont THEN len(g.seen) > 0 AND NOT g.anchors WHEN len(t.cw) = 0 THEN true
+    ELSE (g.core <> '' AND t.core <> '' AND (g.core = t.core OR ((contains(g.core, t.core) OR contains(t.core, g.core)) AND CASE WHEN length(t.core) <= length(g.core) THEN len(list_distinct(t.cw)) ELSE len(list_distinct(g.cw)) END >= 2))) OR len(list_intersect(list_distinct(t.cw), list_distinct(g.seen))) >= 2 END AS j
+  FROM seg g JOIN st t ON t.course_id = g.course_id AND t.i = g.i + 1) s)"""
+
+
+@query("schedule_blocks", rf"""WITH RECURSIVE {SQL_SEGMENTS},
+b AS (SELECT course_id, no, min(i) AS a, max(i) AS z, count(*) AS n_rows FROM seg GROUP BY ALL),
+tp AS (SELECT course_id, no, list(core ORDER BY f)[1:6] AS topics FROM (SELECT seg.course_id, no, st.core, min(st.i) AS f FROM seg JOIN st USING (course_id, i) WHERE len(st.cw) > 0 GROUP BY ALL) GROUP BY ALL),
+al AS (SELECT course_id, no, list(w ORDER BY f)[1:6] AS aliases FROM (SELECT course_id, no, w, min(f) AS f FROM (SELECT seg.course_id, no, unnest(st.words) AS w, st.i * 1000 + generate_subscripts(st.words, 1) AS f FROM seg JOIN st USING (course_id, i)) WHERE length(w) >= 5 GROUP BY ALL) GROUP BY ALL),
+d AS (SELECT course_id, i, (DATE '2026-03-02' + (turn * 2)::INT)::DATE AS d FROM st)
+SELECT b.course_id, 'bloco-' || CASE WHEN b.no < 10 THEN '0' ELSE '' END || b.no AS block_id, x.d AS period_start, y.d AS period_end, strftime(x.d, '%d/%m/%Y') || CASE WHEN x.d = y.d THEN '' ELSE ' a ' || strftime(y.d, '%d/%m/%Y') END AS period_label,
+  coalesce(array_to_string(topics, '; '), '') AS topics, coalesce(array_to_string(aliases, '; '), '') AS aliases, n_rows::INT AS n_rows
+FROM b JOIN d x ON x.course_id = b.course_id AND x.i = a JOIN d y ON y.course_id = b.course_id AND y.i = z LEFT JOIN tp ON tp.course_id = b.course_id AND tp.no = b.no LEFT JOIN al ON al.course_id = b.course_id AND al.no = b.no""")
 def schedule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedules cut into blocks by theme. W5, W6"""
     return _blocks(spark, sf_dir).select("course_id", "block_id", "period_start", "period_end", "period_label", F.array_join("topics", "; ").alias("topics"), F.array_join("aliases", "; ").alias("aliases"), F.size("source_rows").alias("n_rows"))
@@ -80,48 +101,57 @@ def unit_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.unit_periods(_line_blocks(spark, sf_dir)).select("course_id", "unit_slug", "start", "end", "n_blocks")
 
 
-@query("block_topics", f"""WITH {SQL_SCORED}, p AS (SELECT *, row_number() OVER w AS r, coalesce(lead(score) OVER w, 0) AS second2, first_value(score) OVER w AS best FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY course_id, doc_id ORDER BY score DESC, topic_ord)), q AS (SELECT * FROM p WHERE r <= 5)
-SELECT course_id, doc_id AS block_id, min_by(topic_slug, r) AS primary_topic, array_to_string(list(topic_slug ORDER BY r), ',') AS candidates,
-    min_by(best - second2 < 0.7 OR CASE WHEN n_tokens <= 1 THEN score < 1.85 OR score - second2 < 0.8 WHEN n_tokens = 2 THEN score < 1.75 OR score - second2 < 0.9 ELSE score < 1.35 OR score - second2 < 0.72 END, r) AS ambiguous FROM q GROUP BY ALL""")
+@query("block_topics", f"""WITH {SQL_SCORED}, p AS (SELECT *, row_number() OVER w AS r, coalesce(lead(score) OVER w, 0) AS second2, first_value(score) OVER w AS best, count(*) OVER (PARTITION BY course_id, doc_id) AS n, len({sql_tokens(sql_norm('topic_label'))}) AS k FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY course_id, doc_id ORDER BY score DESC, topic_ord)),
+q AS (SELECT *, greatest(CASE WHEN n = 1 THEN 0.72 ELSE 0 END, least(1.0, greatest(0.0, score - second2 + 0.2 * score))) AS c FROM p WHERE r = 1),
+v AS (SELECT *, CASE WHEN k <= 1 THEN score < 1.85 OR c < 0.8 WHEN k = 2 THEN score < 1.75 OR c < 0.9 ELSE score < 1.35 OR c < 0.72 END AS weak FROM q), a AS (SELECT *, weak OR (n > 1 AND score - second2 < 0.7) AS amb FROM v)
+SELECT a.course_id, a.doc_id AS block_id, CASE WHEN weak THEN '' ELSE a.topic_slug END AS primary_topic, l.candidates, amb AS ambiguous, round(CASE WHEN amb THEN least(c, 0.45) ELSE c END, 6)::DOUBLE AS confidence
+FROM a JOIN (SELECT course_id, doc_id, array_to_string(list(topic_slug ORDER BY r), ',') AS candidates FROM p WHERE r <= 5 GROUP BY ALL) l USING (course_id, doc_id)""")
 def block_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic candidates of documents as blocks. W2"""
-    t = topics(spark, sf_dir)
-    words = F.array_distinct(F.concat(X.tokens(X.match_text("topic_label")), X.tokens(X.match_text(F.replace("topic_slug", F.lit("-"), F.lit(" ")))), X.tokens(X.match_text(F.get("aliases", F.lit(0))))))
-    counted = t.select("course_id", "topic_ord", F.size(F.array_except(words, F.array(*(F.lit(w) for w in ("unidade", "aprendizagem", "introducao", "conceitos", "fundamentos", "geral", "estudo", "metodos"))))).alias("n_tokens"))
-    scored = S.topic_scores(S.signals(documents(spark, sf_dir)), t).select("course_id", F.col("doc_id").alias("block_id"), "topic_ord", "topic_slug", "score").join(counted, ["course_id", "topic_ord"])
+    scored = S.topic_scores(S.signals(documents(spark, sf_dir)), topics(spark, sf_dir), rest=5).select("course_id", F.col("doc_id").alias("block_id"), "topic_ord", "topic_slug", "topic_label", "unit_slug", "score")
     out = T.block_topic_candidates(scored)
-    return out.select("course_id", "block_id", F.col("primary_topic_slug").alias("primary_topic"), F.array_join(F.transform("topic_candidates", lambda x: x["topic_slug"]), ",").alias("candidates"), F.col("topic_ambiguous").alias("ambiguous"))
+    return out.select("course_id", "block_id", F.col("primary_topic_slug").alias("primary_topic"), F.array_join(F.transform("topic_candidates", lambda x: x["topic_slug"]), ",").alias("candidates"), F.col("topic_ambiguous").alias("ambiguous"), F.round("primary_topic_confidence", 6).alias("confidence"))
 
 
 @query("block_units", """
 WITH s AS (SELECT l_orderkey AS course_id, l_suppkey % 3 AS u, sum(l_quantity) / 20 AS score FROM lineitem GROUP BY ALL),
-r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY course_id ORDER BY score DESC, u)),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM s WHERE score > 0 WINDOW w AS (PARTITION BY course_id ORDER BY score DESC, u)),
 b AS (SELECT * FROM r WHERE k = 1 AND score >= 1 AND score - second >= 0.35)
-SELECT o_orderkey AS course_id, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderkey % 4 = 0 THEN 'unit-t' ELSE coalesce('unit-' || u, '') END AS unit_slug,
-  round(CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderkey % 4 = 0 THEN 0.7 WHEN u IS NULL THEN 0 ELSE least(1.0, score - second) END, 6)::DOUBLE AS unit_confidence FROM orders LEFT JOIN b ON course_id = o_orderkey""")
+SELECT o_orderkey AS course_id, CASE WHEN o_orderkey % 4 = 0 THEN 'unit-t' WHEN o_orderstatus = 'P' THEN '' ELSE coalesce('unit-' || u, '') END AS unit_slug,
+  round(CASE WHEN o_orderkey % 4 = 0 THEN 0.7 WHEN o_orderstatus = 'P' THEN 0 WHEN u IS NULL THEN 0 ELSE least(1.0, score - second + 0.18 * score) END, 6)::DOUBLE AS unit_confidence FROM orders LEFT JOIN b ON course_id = o_orderkey""")
 def block_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of blocks from sure topics, else from scores. W3"""
     o = table(spark, sf_dir, "orders")
     sure = F.col("o_orderkey") % 4 == 0
-    blocks = o.select(F.col("o_orderkey").alias("course_id"), F.lit("b").alias("block_id"), F.lit(1).alias("block_ord"), (F.col("o_orderstatus") == "P").alias("administrative"), F.when(sure, "unit-t").otherwise("").alias("topic_unit"), F.lit(False).alias("topic_ambiguous"), F.lit(0.7).alias("topic_confidence"))
+    blocks = o.select(F.col("o_orderkey").alias("course_id"), F.lit("b").alias("block_id"), (F.col("o_orderstatus") != "P").alias("taught"), F.when(sure, "unit-t").otherwise("").alias("topic_unit"), F.lit(False).alias("topic_ambiguous"), F.lit(0.7).alias("topic_confidence"))
     u = F.col("l_suppkey") % 3
     scored = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("course_id"), u.alias("unit_ord")).agg((F.sum("l_quantity") / 20).alias("score")).select("course_id", F.lit("b").alias("block_id"), "unit_ord", F.concat(F.lit("unit-"), "unit_ord").alias("unit_slug"), "score")
     return T.block_units(blocks, scored).select("course_id", "unit_slug", F.round("unit_confidence", 6).alias("unit_confidence"))
 
 
-@query("row_units", f"""WITH {SQL_TOPICS}, d AS (SELECT source AS course_id, doc_id, {sql_norm("CASE WHEN doc_id % 5 = 0 THEN 'Unidade 1 ' WHEN doc_id % 5 = 1 THEN 'Feriado ' ELSE '' END || left(text, 200)")} AS x FROM documents),
-u AS (SELECT course_id, unit_slug, unit_ord, list(DISTINCT {sql_norm('topic_label')}) AS ph FROM topics GROUP BY ALL)
-SELECT d.course_id, doc_id, unit_slug, CASE WHEN doc_id % 5 = 1 THEN true WHEN doc_id % 5 = 0 THEN unit_ord <> 1 ELSE false END AS vetoed FROM d JOIN u USING (course_id)""")
+_SQL_SAID = "CASE WHEN doc_id % 5 = 0 THEN 'Unidade 1 ' WHEN doc_id % 5 = 1 THEN 'Feriado ' ELSE '' END || coalesce(text, '')"
+
+
+@query("row_units", f"""WITH {SQL_UNIT_WORDS}, d AS (SELECT source AS course_id, doc_id, {sql_norm(_SQL_SAID)} AS x FROM documents), t AS (SELECT *, list_distinct({sql_tokens('x')}) AS held FROM d),
+u AS (SELECT course_id, unit_ord, unit_slug, min_by(p, topic_ord) AS title FROM labels3 GROUP BY ALL),
+ph AS (SELECT course_id, unit_ord, p, 1.0 AS share, false AS is_title, topic_ord AS o FROM labels3 WHERE p <> '' UNION ALL SELECT course_id, unit_ord, title, 0.55, true, -1 FROM u WHERE title <> ''),
+pw AS (SELECT y.course_id, y.unit_ord, y.o, y.token, coalesce(1.0 / df, 1.0)::DOUBLE AS w FROM (SELECT course_id, unit_ord, o, unnest(list_filter({sql_tokens('p')}, lambda z: NOT list_contains({vocab.UNIT_NEUTRAL}, z))) AS token FROM ph) y LEFT JOIN dfs ON dfs.course_id = y.course_id AND dfs.unit_ord = y.unit_ord AND dfs.token = y.token),
+fall AS (SELECT doc_id, pw.course_id, pw.unit_ord, o, count(*) AS words, count(*) FILTER (list_contains(held, token)) AS h, sum(w) FILTER (list_contains(held, token)) AS s FROM t JOIN pw USING (course_id) GROUP BY ALL),
+sp AS (SELECT t.doc_id, ph.course_id, ph.unit_ord, sum(CASE WHEN contains(x, p) THEN CASE WHEN is_title THEN 2.6 ELSE 3.8 END ELSE share * CASE WHEN coalesce(h, 0) = 0 THEN 0 WHEN words = 1 THEN 1.15 * s WHEN h = words THEN 1.15 + 0.95 * s WHEN h >= 2 THEN 0.85 * s ELSE 0 END END)::DOUBLE AS s, count(*) FILTER (contains(x, p)) AS exact FROM t JOIN ph USING (course_id) LEFT JOIN fall USING (doc_id, course_id, unit_ord, o) GROUP BY ALL),
+uw AS (SELECT DISTINCT course_id, unit_ord, token, list_contains({vocab.UNIT_NEUTRAL}, token) AS neutral FROM (SELECT course_id, unit_ord, unnest(list_concat(list_filter({sql_tokens('p')}, lambda z: NOT list_contains({vocab.UNIT_GENERIC}, z)), CASE WHEN contains(p, ' ') THEN [] ELSE [p] END)) AS token FROM labels3 WHERE p <> '')),
+sk AS (SELECT doc_id, uw.course_id, uw.unit_ord, sum(0.95 * coalesce(1.0 / df, 1.0) * CASE WHEN neutral THEN 0.2 ELSE 1 END + CASE WHEN coalesce(df = 1 AND length(uw.token) >= 5, false) THEN CASE WHEN neutral THEN 0.8 ELSE 0.25 END ELSE 0 END)::DOUBLE AS s, count(*) FILTER (NOT neutral OR coalesce(df = 1 AND length(uw.token) >= 5, false)) AS n
+    FROM t JOIN uw USING (course_id) LEFT JOIN dfs ON dfs.course_id = uw.course_id AND dfs.unit_ord = uw.unit_ord AND dfs.token = uw.token WHERE list_contains(held, uw.token) GROUP BY ALL)
+SELECT t.course_id, t.doc_id, u.unit_slug, round(CASE WHEN t.doc_id % 5 = 1 OR (t.doc_id % 5 = 0 AND u.unit_ord <> 1) THEN 0 WHEN t.doc_id % 5 = 0 THEN 6.0 + coalesce(sp.s, 0) + coalesce(sk.s, 0)
+    WHEN coalesce(exact, 0) = 0 AND coalesce(n, 0) = 0 THEN 0 ELSE (coalesce(sp.s, 0) + coalesce(sk.s, 0)) * CASE WHEN coalesce(exact, 0) = 0 AND n = 1 THEN 0.35 ELSE 1 END END, 6)::DOUBLE AS score
+FROM t JOIN u USING (course_id) LEFT JOIN sp ON sp.doc_id = t.doc_id AND sp.course_id = t.course_id AND sp.unit_ord = u.unit_ord LEFT JOIN sk ON sk.doc_id = t.doc_id AND sk.course_id = t.course_id AND sk.unit_ord = u.unit_ord""")
 def row_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schedule texts against units: administrative rows and rows of another unit score zero. J6"""
+    """Whole texts against the units of their course: some name a unit by number, some are administrative. J6"""
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.expr("case when doc_id % 5 = 0 then 'Unidade 1 ' when doc_id % 5 = 1 then 'Feriado ' else '' end"), F.substring("text", 1, 200))
+    text = F.concat(F.expr("case when doc_id % 5 = 0 then 'Unidade 1 ' when doc_id % 5 = 1 then 'Feriado ' else '' end"), F.coalesce("text", F.lit("")))
     rows = d.select(F.col("source").alias("course_id"), F.col("doc_id").alias("row_index"), X.match_text(text).alias("content_norm"))
-    t = topics(spark, sf_dir).groupBy("course_id", "unit_ord", "unit_slug").agg(F.collect_list("topic_label").alias("topics"))
-    units = S.unit_index(t.withColumn("unit_title", F.lit(""))).withColumn("unit_number", F.col("unit_ord"))
+    units = course_units(spark, sf_dir).withColumn("unit_slug", F.concat(F.lit("unidade-"), "unit_ord"))
     scored = T.row_unit_scores(rows, units)
-    said = F.when(F.col("row_index") % 5 == 0, F.col("unit_ord") != 1).otherwise(F.col("row_index") % 5 == 1)
-    return scored.filter((F.col("score") > 0) | said | (F.col("score") == 0)).select("course_id", F.col("row_index").alias("doc_id"), "unit_slug", (said & (F.col("score") == 0)).alias("vetoed"))
+    return scored.select("course_id", F.col("row_index").alias("doc_id"), F.concat(F.lit("unit-"), "unit_ord").alias("unit_slug"), F.round("score", 6).alias("score"))
 
 
 @query("distinct_tokens", f"""WITH {SQL_TOPICS}, w AS (SELECT DISTINCT course_id, unit_slug, unnest({sql_tokens(sql_norm('text'))}) AS token FROM topics), d AS (SELECT *, count(*) OVER (PARTITION BY course_id, token) AS df FROM w)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.functions import text as X
+from coursemill.functions import text as X, vocab
 from coursemill.operators import catalog as C, documents as D, taxonomy
-from coursemill.plans.tables import query, table
+from coursemill.plans.tables import query, sql_any, sql_norm, table
 
 
 def _ordered(df: DataFrame, key: str, order: str, line: F.Column) -> DataFrame:
@@ -92,11 +92,13 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(docs, "doc_id").select("doc_id", "fname", "page", F.md5(X.relink_images("t", "base/")).alias("relinked_md5"))
 
 
-@query("course_flags", """
-SELECT conv_id, turn, turn % 3 = 0 AS review, turn % 3 = 1 AS formal FROM conversations""")
+_SAID = "case turn % 4 when 0 then 'Simulado da P2: ' when 1 then 'Revisão ' when 2 then 'Prova 1 com ' else '' end || case when turn % 5 = 0 then 'Isabelle ' else '' end || coalesce(text, '')"
+
+
+@query("course_flags", rf"""
+WITH n AS (SELECT conv_id, turn, {sql_norm(_SAID)} AS n FROM conversations)
+SELECT conv_id, turn, {sql_any('n', vocab.REVIEW_CUES)} AND regexp_matches(n, '(?:^|[^a-z0-9])(?:{"|".join(vocab.EXAM_CUES)})(?:$|[^a-z0-9])') AS review, {sql_any('n', vocab.FORMAL_WORDS)} AS formal FROM n""")
 def course_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exam review and formal-methods flags of texts. F32"""
-    c = table(spark, sf_dir, "conversations")
-    t = F.concat(F.expr("case turn % 3 when 0 then 'Simulado: ' when 1 then 'Lógica de Hoare ' else 'Aula ' end"), F.substring("text", 1, 12))
-    n = c.select("conv_id", "turn", X.match_text(t, "c").alias("n"))
+    """Exam review and formal-methods flags of whole texts, some of which begin with cues. F32"""
+    n = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.match_text(F.expr(_SAID), "c").alias("n"))
     return n.select("conv_id", "turn", taxonomy.exam_review(F.col("n")).alias("review"), taxonomy.formal_course(F.col("n")).alias("formal"))

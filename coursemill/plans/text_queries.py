@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.functions import text as X
+from coursemill.functions import text as X, vocab
 from coursemill.operators import catalog, documents as D, scoring, taxonomy
-from coursemill.plans.tables import SQL_TOPICS, SQL_WS, documents, query, sql_norm, sql_tokens, table, topics
+from coursemill.plans.tables import SQL_LINES, SQL_TOPICS, SQL_WS, documents, query, sql_any, sql_candidate, sql_norm, sql_slug, sql_stems, sql_tokens, table, topics
 
 _LEAD = SQL_WS.format("coalesce(text, '')")
 
@@ -51,7 +51,7 @@ SQL_ENTRIES = rf"""entries AS (SELECT source AS course_id, doc_id, {sql_norm('le
 tokened AS (SELECT *, {sql_tokens('title')} AS t_title, {sql_tokens('lead')} AS t_lead, list_distinct({sql_tokens('body')}) AS t_body FROM entries)"""
 SQL_SCORED = rf"""{SQL_TOPICS}, {SQL_ENTRIES},
 phrases AS (SELECT *, {sql_norm('topic_label')} AS p_label, {sql_norm("replace(topic_slug, '-', ' ')")} AS p_slug, {sql_norm('alias')} AS p_alias FROM topics),
-ptok AS (SELECT *, list_distinct(list_filter({sql_tokens("p_label || ' ' || p_slug || ' ' || p_alias")}, lambda x: NOT list_contains(['unidade', 'aprendizagem', 'introducao', 'conceitos', 'fundamentos', 'geral', 'estudo', 'metodos'], x))) AS p_tokens FROM phrases),
+ptok AS (SELECT *, list_distinct(list_filter({sql_tokens("p_label || ' ' || p_slug || ' ' || p_alias")}, lambda x: NOT list_contains({vocab.UNIT_GENERIC}, x))) AS p_tokens FROM phrases),
 pairs AS (SELECT t.course_id, doc_id, topic_ord, topic_slug, topic_label, unit_slug, kind, len(p_tokens) AS n_tokens, len(list_filter(p_tokens, lambda x: list_contains(t_body, x) OR list_contains(t_title, x) OR list_contains(t_lead, x))) AS shared,
     {' + '.join(f"({_sql_holds(f, 'p_label')}) * {w} + ({_sql_holds(f, 'p_slug')}) * {w * 0.65} + ({_sql_holds(f, 'p_alias')}) * {w * 0.82}" for f, w in _FIELDS.items())} AS exact,
     {' + '.join(f"({_sql_holds(f, p)})" for f in _FIELDS for p in ('p_label', 'p_slug', 'p_alias'))} AS hits
@@ -65,9 +65,9 @@ final AS (SELECT *, CASE WHEN ambiguous THEN least(0.45, c) WHEN n = 1 THEN grea
 
 
 def topic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = scoring.signals(documents(spark, sf_dir))
-    scored = scoring.topic_scores(entries, topics(spark, sf_dir)).select("course_id", "doc_id", "topic_ord", "topic_slug", "topic_label", "unit_slug", "score")
-    return scoring.winner_by_window(scored, ["course_id", "doc_id"], "topic", "topic_ord", ["topic_slug", "topic_label", "unit_slug"])
+    """Every document's best topic; texts stay in their row and go with it."""
+    found = scoring.best_topic(scoring.topic_candidates(scoring.signals(documents(spark, sf_dir)), topics(spark, sf_dir)))
+    return found.select("course_id", "doc_id", "topic_slug", "topic_label", F.col("topic_unit").alias("unit_slug"), "best", "second", "confidence", "ambiguous")
 
 
 @query("file_map_topics", f"""
@@ -82,43 +82,47 @@ def file_map_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("course_id", "doc_id", "topic_slug", "unit_slug", F.round("best", 6).alias("best"), F.round("confidence", 6).alias("confidence"), "ambiguous", label.alias("label"), catalog.unit_cell(F.col("unit_slug"), F.col("confidence"), F.col("ambiguous")).alias("unit_cell"))
 
 
-def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def course_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = topics(spark, sf_dir).groupBy("course_id", "unit_ord", "unit_slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_ord", "topic_label"))), lambda x: x["topic_label"]).alias("topics"))
     return scoring.unit_index(t.withColumn("unit_title", F.get("topics", F.lit(0))))
 
 
-_SQL_UNIT_WORDS = f"""{SQL_TOPICS}, labels3 AS (SELECT course_id, unit_ord, unit_slug, topic_ord, {sql_norm('topic_label')} AS p FROM topics),
-words AS (SELECT DISTINCT course_id, unit_ord, unit_slug, unnest({sql_tokens('p')}) AS token FROM labels3),
-kept AS (SELECT * FROM words WHERE NOT regexp_matches(token, '^\\d+$') AND token NOT IN ('unidade', 'aprendizagem', 'introducao', 'conceitos', 'fundamentos', 'geral', 'estudo', 'metodos')),
+SQL_UNIT_WORDS = f"""{SQL_TOPICS}, labels3 AS (SELECT course_id, unit_ord, unit_slug, topic_ord, {sql_norm('topic_label')} AS p FROM topics),
+kept AS (SELECT DISTINCT course_id, unit_ord, unit_slug, token FROM (SELECT course_id, unit_ord, unit_slug, unnest({sql_tokens('p')}) AS token FROM labels3) WHERE NOT regexp_matches(token, '^\\d+$') AND NOT list_contains({vocab.UNIT_GENERIC}, token)),
 dfs AS (SELECT *, count(*) OVER (PARTITION BY course_id, token) AS df FROM kept)"""
 
 
-@query("unit_token_weights", f"""WITH {_SQL_UNIT_WORDS}
+@query("unit_token_weights", f"""WITH {SQL_UNIT_WORDS}
 SELECT course_id, unit_slug, token, 1.0::DOUBLE / df AS weight, df = 1 AND length(token) >= 5 AS is_distinctive FROM dfs""")
 def unit_token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every unit with weight and whether they are distinctive. A1"""
-    u = _units(spark, sf_dir)
+    u = course_units(spark, sf_dir)
     return u.select("course_id", "unit_slug", "distinctive", F.explode("token_weights").alias("token", "weight")).select("course_id", "unit_slug", "token", "weight", F.array_contains("distinctive", F.col("token")).alias("is_distinctive"))
 
 
 _LADDER = "CASE WHEN contains(lead, p) THEN 2.8 WHEN contains(title, p) THEN 2.7 WHEN contains(body, p) THEN 1.4 END"
-_UNIT_FIELDS = {"body": 0.32, "lead": 0.7, "title": 0.55}
-
-
-@query("unit_scores", f"""
-WITH {_SQL_UNIT_WORDS}, {SQL_ENTRIES},
-u AS (SELECT DISTINCT course_id, unit_ord, unit_slug FROM labels3),
-ph AS (SELECT DISTINCT ON (course_id, unit_ord, p) * FROM labels3 ORDER BY topic_ord),
+_SHARES = {"lead": 0.48, "body": 0.18, "title": 0.45}
+_PARTS = " + ".join(f"{w} * CASE WHEN coalesce(h_{f}, 0) = 0 THEN 0 WHEN words = 1 THEN 1.15 * s_{f} WHEN h_{f} = words THEN 1.15 + 0.95 * s_{f} WHEN h_{f} >= 2 THEN 0.85 * s_{f} ELSE 0 END" for f, w in _SHARES.items())
+SQL_UNIT_SCORES = f"""u AS (SELECT DISTINCT course_id, unit_ord, unit_slug FROM labels3),
+ph AS (SELECT * FROM labels3 WHERE p <> ''),
 first AS (SELECT course_id, unit_ord, min_by(p, topic_ord) AS title_norm FROM labels3 GROUP BY ALL),
-s_phrase AS (SELECT e.doc_id, ph.course_id, ph.unit_ord, sum(coalesce({_LADDER}, 0)) AS s, count({_LADDER}) AS exact FROM tokened e JOIN ph USING (course_id) GROUP BY ALL),
+pw AS (SELECT x.course_id, x.unit_ord, topic_ord, x.token, coalesce(1.0 / df, 1.0)::DOUBLE AS w FROM (SELECT course_id, unit_ord, topic_ord, unnest(list_filter({sql_tokens('p')}, lambda x: NOT list_contains({vocab.UNIT_NEUTRAL}, x))) AS token FROM ph) x LEFT JOIN dfs ON dfs.course_id = x.course_id AND dfs.unit_ord = x.unit_ord AND dfs.token = x.token),
+fall AS (SELECT e.doc_id, pw.course_id, pw.unit_ord, pw.topic_ord, count(*) AS words, {", ".join(f"count(*) FILTER (list_contains(t_{f}, token)) AS h_{f}, sum(w) FILTER (list_contains(t_{f}, token)) AS s_{f}" for f in _SHARES)} FROM tokened e JOIN pw USING (course_id) GROUP BY ALL),
+s_phrase AS (SELECT e.doc_id, ph.course_id, ph.unit_ord, sum(coalesce(({_LADDER})::DOUBLE, {_PARTS})) AS s, count({_LADDER}) AS exact FROM tokened e JOIN ph USING (course_id) LEFT JOIN fall USING (doc_id, course_id, unit_ord, topic_ord) GROUP BY ALL),
 s_title AS (SELECT e.doc_id, f.course_id, f.unit_ord, CASE WHEN len(list_filter(string_split(title_norm, ' '), lambda x: length(x) >= 5)) >= 3 THEN 1.1 * contains(body, title_norm)::INT + 1.6 * contains(lead, title_norm)::INT + contains(title, title_norm)::INT ELSE 0 END AS s FROM tokened e JOIN first f USING (course_id)),
-tok AS (SELECT e.doc_id, d.course_id, d.unit_ord, token, df, length(token) >= 5 AND df = 1 AS rare, list_contains(t_body, token) AS b, list_contains(t_lead, token) AS l, list_contains(t_title, token) AS t FROM tokened e JOIN dfs d USING (course_id)),
-s_tok AS (SELECT doc_id, course_id, unit_ord, sum((0.32 * b::INT + 0.7 * l::INT + 0.55 * t::INT) / df) AS s, count(*) FILTER (b OR l OR t) AS matched, sum(CASE WHEN rare THEN 0.25 * b::INT + 0.15 * t::INT ELSE 0 END) AS d FROM tok GROUP BY ALL)
-SELECT u.course_id, doc_id, u.unit_slug, round((st.s + sp.s + coalesce(sk.s + sk.d, 0)) * CASE WHEN exact = 0 AND coalesce(matched, 0) = 0 THEN 0.55 WHEN exact = 0 AND matched = 1 THEN 0.45 ELSE 1 END, 6)::DOUBLE AS score
-FROM u JOIN s_phrase sp USING (course_id, unit_ord) JOIN s_title st USING (course_id, unit_ord, doc_id) LEFT JOIN s_tok sk USING (course_id, unit_ord, doc_id)""")
+uw AS (SELECT DISTINCT course_id, unit_ord, unnest(list_concat(list_filter({sql_tokens('p')}, lambda x: NOT list_contains({vocab.UNIT_GENERIC}, x)), CASE WHEN contains(p, ' ') THEN [] ELSE [p] END)) AS token FROM ph),
+tok AS (SELECT e.doc_id, uw.course_id, uw.unit_ord, uw.token, coalesce(1.0 / df, 1.0)::DOUBLE * CASE WHEN neutral THEN 0.2 ELSE 1 END AS w, neutral, coalesce(df = 1 AND length(uw.token) >= 5, false) AS rare, list_contains(t_body, uw.token) AS b, list_contains(t_lead, uw.token) AS l, list_contains(t_title, uw.token) AS t
+    FROM tokened e JOIN (SELECT *, list_contains({vocab.UNIT_NEUTRAL}, token) AS neutral FROM uw) uw USING (course_id) LEFT JOIN dfs ON dfs.course_id = uw.course_id AND dfs.unit_ord = uw.unit_ord AND dfs.token = uw.token),
+s_tok AS (SELECT doc_id, course_id, unit_ord, sum((0.32 * b::INT + 0.7 * l::INT + 0.55 * t::INT) * w) AS s, count(*) FILTER (((b OR l OR t) AND NOT neutral) OR (rare AND (b OR t))) AS matched,
+    sum(CASE WHEN rare THEN CASE WHEN b THEN CASE WHEN neutral THEN 0.7 ELSE 0.25 END ELSE 0 END + CASE WHEN t THEN CASE WHEN neutral AND NOT b THEN 0.35 ELSE 0.15 END ELSE 0 END ELSE 0 END) AS d FROM tok GROUP BY ALL),
+uscored AS (SELECT u.course_id, doc_id, u.unit_ord, u.unit_slug, (st.s + sp.s + coalesce(sk.s + sk.d, 0)) * CASE WHEN exact = 0 AND coalesce(matched, 0) = 0 THEN 0.55 WHEN exact = 0 AND matched = 1 THEN 0.45 ELSE 1 END AS score
+FROM u JOIN s_phrase sp USING (course_id, unit_ord) JOIN s_title st USING (course_id, unit_ord, doc_id) LEFT JOIN s_tok sk USING (course_id, unit_ord, doc_id))"""
+
+
+@query("unit_scores", f"""WITH {SQL_UNIT_WORDS}, {SQL_ENTRIES}, {SQL_UNIT_SCORES} SELECT course_id, doc_id, unit_slug, round(score, 6)::DOUBLE AS score FROM uscored""")
 def unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document against the units of its course. J5, A1"""
-    scored = scoring.unit_scores(scoring.signals(documents(spark, sf_dir)), _units(spark, sf_dir))
+    scored = scoring.unit_scores(scoring.signals(documents(spark, sf_dir)), course_units(spark, sf_dir))
     return scored.select("course_id", "doc_id", "unit_slug", F.round("score", 6).alias("score"))
 
 
@@ -131,38 +135,57 @@ def topic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.topic_unit(topic_matches(spark, sf_dir).select("course_id", "doc_id", "topic_slug", "unit_slug"), t, units).select("course_id", "doc_id", "topic_slug", "derived_unit")
 
 
-@query("row_overlap", f"""
-WITH {SQL_TOPICS}, e AS (SELECT source AS course_id, doc_id, unnest({sql_tokens(sql_norm('left(text, 60)'))}) AS a FROM documents), r AS (SELECT course_id, topic_ord AS row_index, unnest(list_distinct({sql_tokens(sql_norm('topic_label'))})) AS b FROM topics),
-p AS (SELECT course_id, doc_id, row_index, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.45 WHEN length(a) >= 5 AND length(b) >= 5 AND left(a, 5) = left(b, 5) THEN 0.2 ELSE 0 END AS p FROM e JOIN r USING (course_id))
-SELECT course_id, doc_id, row_index, round(sum(p), 6)::DOUBLE AS score FROM p WHERE p > 0 GROUP BY ALL""")
+_SQL_ROWS = f"""r AS (SELECT course_id, topic_ord AS row_index, unit_slug, topic_slug, topic_ord = min(topic_ord) OVER (PARTITION BY course_id, unit_slug) AS anchor, {sql_norm('topic_label')} AS x FROM topics),
+rt AS (SELECT course_id, row_index, unnest({sql_tokens('x')}) AS b FROM r),
+et AS (SELECT course_id, doc_id, a, sum(w) AS w FROM (SELECT course_id, doc_id, unnest({sql_tokens('title')}) AS a, 1.25 AS w FROM entries UNION ALL SELECT course_id, doc_id, unnest({sql_tokens('body')}), 1.0 FROM entries) GROUP BY ALL),
+op AS (SELECT et.course_id, doc_id, row_index, sum(w * CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.45 WHEN length(a) >= 5 AND length(b) >= 5 AND left(a, 5) = left(b, 5) THEN 0.2 ELSE 0 END) AS s FROM et JOIN rt USING (course_id) GROUP BY ALL HAVING s > 0),
+ins AS (SELECT e.course_id, doc_id, row_index, sum(least(1.5, greatest(0.35, length(t.x) / 18.0)) * t.w) AS s FROM entries e, LATERAL (SELECT unnest([title, body]) AS x, unnest([1.25, 1.0]) AS w) t JOIN r ON r.course_id = e.course_id AND t.x <> '' AND contains(r.x, t.x) GROUP BY ALL),
+rs AS (SELECT course_id, doc_id, row_index, sum(s)::DOUBLE AS s FROM (SELECT * FROM op UNION ALL SELECT * FROM ins) GROUP BY ALL)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics as schedule rows; the rows of a unit are a block."""
+    t = topics(spark, sf_dir)
+    return t.select("course_id", F.col("topic_ord").alias("row_index"), X.match_text("topic_label").alias("content_norm"), F.col("unit_slug").alias("block_id"), F.lit(False).alias("ignored"), "topic_slug")
+
+
+def _entry_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = scoring.signals(documents(spark, sf_dir)).withColumn("exercise", scoring.is_exercise())
+    return e, scoring.row_scores(e, _rows(spark, sf_dir), ["doc_id"], {"s_title": 1.25, "s_body": 1.0})
+
+
+@query("row_overlap", f"""WITH {SQL_TOPICS}, {SQL_ENTRIES}, {_SQL_ROWS} SELECT course_id, doc_id, row_index, round(s, 6)::DOUBLE AS score FROM rs""")
 def row_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token overlap of document titles with schedule rows. J7"""
-    e = documents(spark, sf_dir).select("course_id", "doc_id", X.match_text("title").alias("title"))
-    r = topics(spark, sf_dir).select("course_id", F.col("topic_ord").alias("row_index"), F.array_distinct(X.tokens(X.match_text("topic_label"))).alias("row_tokens"))
-    return scoring.row_scores(e, r, ["doc_id"], {"title": 1.0}).select("course_id", "doc_id", "row_index", F.round("score", 6).alias("score"))
+    """Titles and whole texts of documents against the schedule rows of their course. J7"""
+    return _entry_rows(spark, sf_dir)[1].select("course_id", "doc_id", "row_index", F.round("score", 6).alias("score"))
 
 
-@query("block_scores", f"""
-WITH {SQL_TOPICS}, e AS (SELECT source AS course_id, doc_id, unnest({sql_tokens(sql_norm('left(text, 60)'))}) AS a FROM documents), r AS (SELECT course_id, topic_ord AS row_index, unit_slug, topic_ord = min(topic_ord) OVER (PARTITION BY course_id, unit_slug) AS anchor, unnest(list_distinct({sql_tokens(sql_norm('topic_label'))})) AS b FROM topics),
-p AS (SELECT course_id, doc_id, unit_slug, anchor, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.45 WHEN length(a) >= 5 AND length(b) >= 5 AND left(a, 5) = left(b, 5) THEN 0.2 ELSE 0 END AS p FROM e JOIN r USING (course_id))
-SELECT course_id, doc_id, unit_slug AS block_id, round(1.15 * coalesce(sum(p) FILTER (anchor), 0) + least(2.25, 0.18 * coalesce(sum(p) FILTER (NOT anchor), 0)), 6)::DOUBLE AS score FROM p WHERE p > 0 GROUP BY ALL""")
+@query("block_scores", f"""WITH {SQL_TOPICS}, {SQL_ENTRIES}, {_SQL_ROWS},
+m AS (SELECT course_id, doc_id, unit_slug, coalesce(sum(s) FILTER (anchor), 0) AS a, coalesce(sum(s) FILTER (NOT anchor), 0) AS o FROM rs JOIN r USING (course_id, row_index) GROUP BY ALL),
+k AS (SELECT course_id, unit_slug, unit_slug = 'unit-0' AS preferred, min_by(topic_slug, row_index) AS topic, list(topic_slug) AS listed FROM r GROUP BY ALL)
+SELECT e.course_id, e.doc_id, k.unit_slug AS block_id, round(1.15 * coalesce(a, 0) + least(2.25, 0.18 * coalesce(o, 0)) + CASE WHEN preferred THEN 0.35 + 0.25 * 0.6 ELSE -0.45 END
+  + CASE e.doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN preferred THEN 0.8 + 0.35 * 0.5 ELSE -0.18 END ELSE CASE WHEN k.topic = x.topic THEN 0.8 + 0.35 * 0.5 WHEN list_contains(listed, x.topic) THEN 0.48 ELSE -0.18 END END, 6)::DOUBLE AS score
+FROM entries e JOIN k USING (course_id) JOIN (SELECT course_id, min_by(topic_slug, row_index) FILTER (unit_slug = 'unit-0') AS topic0, max_by(topic_slug, row_index) AS topic FROM r GROUP BY ALL) x USING (course_id) LEFT JOIN m USING (course_id, doc_id, unit_slug)""")
 def block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row scores of documents gathered by block. J8"""
-    e = documents(spark, sf_dir).select("course_id", "doc_id", X.match_text("title").alias("title"))
-    t = topics(spark, sf_dir)
-    r = t.select("course_id", F.col("topic_ord").alias("row_index"), F.array_distinct(X.tokens(X.match_text("topic_label"))).alias("row_tokens"))
-    first = t.groupBy("course_id", "unit_slug").agg(F.min("topic_ord").alias("f"))
-    anchors = t.join(first, ["course_id", "unit_slug"]).select("course_id", F.col("unit_slug").alias("block_id"), F.col("topic_ord").alias("row_index"), (F.col("topic_ord") == F.col("f")).alias("is_anchor"))
-    return scoring.block_scores(scoring.row_scores(e, r, ["doc_id"], {"title": 1.0}), anchors, ["doc_id"]).select("course_id", "doc_id", "block_id", F.round("score", 6).alias("score"))
+    """Documents against all blocks of their course; unit-0 is preferred, and for some a topic of it or of the last row. J8"""
+    entries, scored = _entry_rows(spark, sf_dir)
+    rows = _rows(spark, sf_dir)
+    blocks = rows.groupBy("course_id", "block_id").agg(F.col("block_id").alias("block_unit"), F.lit(0.6).alias("unit_confidence"), F.min_by("topic_slug", "row_index").alias("primary_topic_slug"), F.lit(0.5).alias("primary_topic_confidence"), F.collect_list("topic_slug").alias("topic_slugs"))
+    chosen = rows.groupBy("course_id").agg(F.min_by("topic_slug", F.when(F.col("block_id") == "unit-0", F.col("row_index"))).alias("t1"), F.max_by("topic_slug", "row_index").alias("t2"))
+    topic = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("t1")).otherwise(F.col("t2"))
+    pairs = entries.select("course_id", "doc_id", "exercise").join(chosen, "course_id").join(blocks.select("course_id", "block_id"), "course_id")
+    pairs = pairs.select("course_id", "doc_id", "block_id", "exercise", F.lit("unit-0").alias("preferred_unit"), topic.alias("preferred_topic"))
+    return scoring.block_scores(pairs, blocks, rows, scored, ["doc_id"]).select("course_id", "doc_id", "block_id", F.round("score", 6).alias("score"))
 
 
 @query("card_scores", f"""
-WITH {SQL_TOPICS}, e AS (SELECT source AS course_id, doc_id, {sql_norm('left(text, 400)')} AS x FROM documents), c AS (SELECT course_id, {sql_norm('topic_label')} AS k, kind FROM topics),
-h AS (SELECT doc_id, kind, CASE WHEN k <> '' AND contains(x, k) THEN 0.5 ELSE (CASE len(list_intersect(list_distinct({sql_tokens('k')}), list_distinct({sql_tokens('x')}))) WHEN 0 THEN 0 WHEN 1 THEN 0.16 ELSE 0.34 END) END AS p FROM e JOIN c USING (course_id))
+WITH {SQL_TOPICS}, e AS (SELECT source AS course_id, doc_id, {sql_norm('text')} AS x FROM documents), c AS (SELECT course_id, {sql_norm('topic_label')} AS k, kind FROM topics),
+t AS (SELECT *, list_distinct({sql_tokens('x')}) AS w FROM e), d AS (SELECT *, list_distinct({sql_tokens('k')}) AS kw FROM c),
+h AS (SELECT doc_id, kind, CASE WHEN len(kw) = 0 OR len(w) = 0 THEN 0 WHEN contains(x, k) THEN 0.5 ELSE (CASE len(list_filter(kw, lambda y: list_contains(w, y))) WHEN 0 THEN 0 WHEN 1 THEN 0.16 ELSE 0.34 END) END AS p FROM t JOIN d USING (course_id))
 SELECT doc_id, round(least(0.7, sum(CASE WHEN p > 0 THEN p + CASE WHEN kind = 'topic' THEN 0.05 ELSE 0.03 END ELSE 0 END)), 6)::DOUBLE AS card_score FROM h GROUP BY doc_id""")
 def card_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of cards in documents. J22"""
-    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), "doc_id", X.match_text(F.substring("text", 1, 400)).alias("text_norm"))
+    """Evidence of cards in whole documents. J22"""
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), "doc_id", X.match_text("text").alias("text_norm"))
     cards = topics(spark, sf_dir).select("course_id", X.match_text("topic_label").alias("card_norm"), "kind")
     return scoring.card_scores(texts, cards, ["doc_id"]).select("doc_id", F.round("card_score", 6).alias("card_score"))
 
@@ -175,13 +198,10 @@ def heading_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.heading_cues(table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.col("text").alias("line")))
 
 
-@query("tool_candidates", r"""
-WITH w AS (SELECT DISTINCT source AS course_id, doc_id, unnest(regexp_extract_all(text, '[\p{L}][\p{L}\p{N}+#]{1,23}')) AS word FROM documents),
-g AS (SELECT course_id, lower(word) AS name, count(DISTINCT doc_id) AS sources, max(regexp_matches(word, '^\p{Lu}?\p{Ll}+\p{Lu}|\p{L}\d|[+#]')::INT)::INT AS special FROM w GROUP BY ALL)
-SELECT * FROM g WHERE name IN ('isabelle', 'coq', 'dafny', 'z3', 'python', 'java', 'spark', 'hadoop', 'docker', 'git', 'matlab', 'latex', 'prolog', 'haskell') OR (special = 1 AND sources >= 2)""")
+@query("tool_candidates")
 def tool_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of special shape in two or more documents of a course. A4"""
-    return taxonomy.tool_candidates(table(spark, sf_dir, "documents").withColumnRenamed("source", "course_id"))
+    """Names that may be tools in the documents of a course. A4"""
+    return taxonomy.tool_candidates(table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.col("doc_id").alias("source"), "text"))
 
 
 @query("glossary_evidence", f"""
@@ -195,50 +215,88 @@ def glossary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.glossary_evidence(terms, docs)
 
 
-@query("best_sentences")
+#: Seed rules of the query, as data: needle, definition, synonyms, what it is not.
+RULES = [("inthe", "Regra um.", "um", "dois"), ("ther", "Regra dois.", "", "um"), ("estand", "Regra tres.", "tres", "")]
+
+
+@query("best_sentences", rf"""
+WITH {SQL_TOPICS}, d AS (SELECT source AS course_id, doc_id, text, {sql_norm('left(text, 4000)')} AS h FROM documents), t AS (SELECT DISTINCT course_id, topic_label AS term, {sql_norm('topic_label')} AS n FROM topics),
+p AS (SELECT t.course_id, term, n, doc_id, text, 8 * (n <> '' AND contains(h, n))::INT + len(list_filter(list_distinct({sql_tokens('n')}), lambda x: contains(h, x))) AS points FROM t JOIN d USING (course_id)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY course_id, term ORDER BY points DESC, doc_id) AS r FROM p WHERE points >= 3) WHERE r = 1),
+s AS (SELECT course_id, term, n, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split(regexp_replace({SQL_WS.format("coalesce(text, '')")}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM f)),
+q AS (SELECT *, {sql_norm('s')} AS sn FROM s WHERE length(s) BETWEEN 40 AND 220 AND NOT regexp_matches(s, 'https?://|\||^[^\w]*\d+[^\w]*$')),
+k AS (SELECT *, 6 * (n <> '' AND contains(sn, n))::INT + len(list_filter(list_distinct({sql_tokens('n')}), lambda x: list_contains({sql_tokens('sn')}, x))) AS points FROM q),
+w AS (SELECT course_id, term, CASE WHEN length(s) <= 180 THEN s ELSE regexp_replace(left(s, 177), '\s+\S*$', '') || '...' END AS s FROM (SELECT *, row_number() OVER (PARTITION BY course_id, term ORDER BY points DESC, i) AS r FROM k WHERE points > 0) WHERE r = 1)
+SELECT t.course_id, t.term, coalesce({"CASE " + " ".join(f"WHEN contains(n, '{r[0]}') THEN '{r[1]}'" for r in RULES) + " END"}, s, '') AS definition, {", ".join("coalesce(CASE " + " ".join(f"WHEN contains(n, '{r[0]}') THEN '{r[k]}'" for r in RULES) + f" END, '') AS {name}" for k, name in ((2, "synonyms"), (3, "not_confuse")))}
+FROM t LEFT JOIN w USING (course_id, term)""")
 def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best sentence for each term in its best document, and the definition made of it. F25, F26"""
-    found = glossary_evidence(spark, sf_dir)
+    """The best sentence for each term in its best document, and the fields that rules give or it fills. F25, F26"""
+    terms = topics(spark, sf_dir).select("course_id", F.col("topic_label").alias("term")).distinct()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), "text")
-    sentences = taxonomy.best_sentence(found.join(docs, "doc_ord").select("course_id", "term", "text").withColumn("term_key", F.col("term")), ["course_id", "term_key"])
-    evidence = sentences.select("course_id", F.col("term_key").alias("term"), "sentence")
-    rules = topics(spark, sf_dir).filter("kind = 'topic'").select(F.col("topic_ord").alias("rule_id"), X.match_text(F.substring_index("topic_label", " ", 1)).alias("needle"), F.col("topic_label").alias("definition")).filter("length(needle) >= 6")
-    return taxonomy.seeded_definition(topics(spark, sf_dir).select("course_id", F.col("topic_label").alias("term")).distinct(), rules, evidence)
+    found = glossary_evidence(spark, sf_dir).join(docs, "doc_ord").select("course_id", "term", "text", F.col("term").alias("term_key"))
+    evidence = taxonomy.best_sentence(found, ["course_id", "term_key"]).select("course_id", F.col("term_key").alias("term"), "sentence")
+    return taxonomy.seeded_fields(terms, RULES, evidence)
+
+
+_FIRST_LINE = SQL_WS.format(SQL_LINES.format("coalesce(text, '')") + "[1]")
+
+
+def _first_line() -> F.Column:
+    return X.collapse_ws(F.get(X.text_lines("text"), F.lit(0)))
 
 
 @query("heading_support", f"""
-WITH {SQL_TOPICS}, h AS (SELECT DISTINCT source AS course_id, array_to_string(string_split({_LEAD}, ' ')[1:40], ' ') AS heading, doc_id AS ord FROM documents),
-hn AS (SELECT *, {sql_norm('heading')} AS hn FROM h), tn AS (SELECT course_id, topic_slug, topic_ord, kind, {sql_norm('topic_label')} AS tn FROM topics),
-hs AS (SELECT *, list_distinct(list_transform({sql_tokens('hn')}, lambda x: left(x, 5))) AS hs FROM hn), ts AS (SELECT *, list_distinct(list_transform({sql_tokens('tn')}, lambda x: left(x, 5))) AS ts FROM tn),
-p AS (SELECT hs.*, topic_slug, topic_ord, kind, tn, len(list_intersect(hs, ts)) AS n FROM hs JOIN ts USING (course_id) WHERE len(list_intersect(hs, ts)) > 0),
-s AS (SELECT *, CASE WHEN hn = tn THEN 10 WHEN contains(hn, tn) OR contains(tn, hn) THEN 8 WHEN n >= 2 THEN 5.5 + 0.4 * n ELSE 0 END AS base FROM p),
-b AS (SELECT *, base + CASE WHEN kind = 'subtopic' AND base > 0 THEN 0.08 ELSE 0 END AS points FROM s)
+WITH {SQL_TOPICS}, h AS (SELECT source AS course_id, {_FIRST_LINE} AS heading, doc_id AS ord FROM documents),
+hs AS (SELECT *, {sql_norm('heading')} AS hn, {sql_stems('heading')} AS hs FROM h), ts AS (SELECT course_id, topic_slug, topic_ord, kind, {sql_norm('topic_label')} AS tn, {sql_stems('topic_label')} AS ts FROM topics),
+p AS (SELECT hs.*, topic_slug, topic_ord, kind, tn, len(list_intersect(hs, ts)) AS n FROM hs JOIN ts USING (course_id) WHERE len(hs) > 0 AND len(ts) > 0),
+b AS (SELECT *, CASE WHEN hn = tn THEN 10 WHEN contains(hn, tn) OR contains(tn, hn) THEN 8 WHEN n >= 2 THEN 5.5 + 0.4 * n WHEN n = 1 AND len(hs) BETWEEN 2 AND 6 THEN CASE WHEN {sql_any('hn', vocab.OVERLAP_CUES)} THEN 3.4 WHEN {sql_any('hn', vocab.WEAK_CUES)} THEN 2.8 ELSE 0 END ELSE 0 END + CASE WHEN kind = 'subtopic' THEN 0.08 ELSE 0 END AS points FROM p)
 SELECT course_id, heading, ord, topic_slug, round(points, 6)::DOUBLE AS points FROM (SELECT *, row_number() OVER (PARTITION BY course_id, heading, ord ORDER BY points DESC, topic_ord) AS r FROM b WHERE points >= 2.8) WHERE r = 1""")
 def heading_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic that supports each document's heading (its first forty words). J16"""
-    heads = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.array_join(F.slice(F.split(X.collapse_ws("text"), " "), 1, 40), " ").alias("heading"), F.col("doc_id").alias("ord"))
+    """The topic that supports each document's heading (its first line). J16"""
+    heads = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), _first_line().alias("heading"), F.col("doc_id").alias("ord"))
     return taxonomy.heading_support(heads, topics(spark, sf_dir)).withColumn("points", F.round("points", 6))
 
 
 @query("tag_catalog", f"""
-WITH {SQL_TOPICS}, c AS (SELECT course_id, topic_label AS t FROM topics UNION ALL SELECT course_id, alias FROM topics),
-n AS (SELECT *, {sql_norm('t')} AS n, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(strip_accents(t))), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM c),
-g AS (SELECT * FROM n WHERE slug NOT IN ('introducao', 'conclusao', 'referencias', 'bibliografia', 'exercicios', 'sumario', 'objetivos', 'resumo', 'agenda', 'exemplo', 'exemplos', 'conteudo', 'untitled', '') AND length(n) >= 4
-  AND string_split(n, ' ')[1] NOT IN ('de', 'do', 'da', 'para', 'com', 'sem', 'sobre', 'entre', 'que', 'como', 'por', 'em', 'no', 'na', 'um', 'uma', 'os', 'as', 'the', 'of', 'and') AND len(string_split(n, ' ')) <= 6)
-SELECT course_id, array_to_string(list_sort(list_distinct(list('topico:' || slug))), ' ') AS tags FROM g GROUP BY course_id""")
+WITH {SQL_TOPICS}, c AS (SELECT course_id, topic_label AS t FROM topics UNION SELECT course_id, alias FROM topics), base AS (SELECT * FROM c WHERE {sql_candidate('t')}),
+h AS (SELECT DISTINCT source AS course_id, array_to_string(string_split({_FIRST_LINE}, ' ')[1:4], ' ') AS t FROM documents), hg AS (SELECT * FROM h WHERE {sql_candidate('t')}),
+bs AS (SELECT course_id, {sql_norm('t')} AS n, {sql_stems('t')} AS s FROM base), hs AS (SELECT course_id, t, {sql_norm('t')} AS n, {sql_stems('t')} AS s FROM hg),
+j AS (SELECT hs.course_id, t, hs.n AS hn, bs.n AS bn, len(hs.s) AS mine, len(bs.s) AS other, len(list_intersect(hs.s, bs.s)) AS k FROM hs JOIN bs USING (course_id) WHERE len(hs.s) > 0 AND len(bs.s) > 0),
+ok AS (SELECT DISTINCT course_id, t FROM j WHERE contains(hn, bn) OR contains(bn, hn) OR (k = 1 AND mine BETWEEN 2 AND 4 AND {sql_any('hn', vocab.OVERLAP_CUES)}) OR (k >= 2 AND ((k = other AND mine - k <= 1) OR (k = mine AND other - k <= 1)))),
+tags AS (SELECT course_id, 'topico:' || {sql_slug('t')} AS tag FROM (SELECT * FROM base UNION SELECT * FROM ok UNION SELECT * FROM hg WHERE course_id NOT IN (SELECT course_id FROM base))
+  UNION SELECT course_id, 'ferramenta:' || {sql_slug('tool')} FROM (SELECT course_id, {sql_norm('t')} AS n FROM h) h JOIN (SELECT unnest({vocab.KNOWN_TOOLS}) AS tool) k ON contains(n, trim(regexp_replace(tool, '[^a-z0-9 ]', ' ', 'g'))))
+SELECT course_id, array_to_string(list_sort(list_distinct(list(tag))), ' ') AS tags FROM tags WHERE tag NOT LIKE '%:untitled' GROUP BY course_id""")
 def tag_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic tags of each course from labels and aliases that may be topics. A5, P14"""
+    """Tags of each course from labels and aliases of its topics and from the beginnings of its documents. A5, P14"""
     t = topics(spark, sf_dir)
-    c = t.select("course_id", F.lit("topico").alias("prefix"), F.col("topic_label").alias("text")).union(t.select("course_id", F.lit("topico"), F.get("aliases", F.lit(0))))
-    return taxonomy.tag_catalog(c).select("course_id", F.array_join("tags", " ").alias("tags"))
+    c = t.select("course_id", F.col("topic_label").alias("text")).union(t.select("course_id", F.get("aliases", F.lit(0))))
+    heads = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.array_join(F.slice(F.split(_first_line(), " "), 1, 4), " ").alias("text")).distinct()
+    return taxonomy.tag_catalog(c, heads).select("course_id", F.array_join("tags", " ").alias("tags"))
+
+
+_SQL_PHRASE = f"{sql_norm("replace(regexp_extract(tag, '^[^:]*:(.*)$', 1), '-', ' ')")}"
+_SQL_REVIEW = f"{sql_any('{0}', vocab.REVIEW_CUES)} AND regexp_matches({{0}}, '(?:^|[^a-z0-9])(?:{'|'.join(vocab.EXAM_CUES)})(?:$|[^a-z0-9])')"
 
 
-@query("auto_tags")
+@query("auto_tags", rf"""
+WITH {SQL_TOPICS}, c AS (SELECT DISTINCT course_id, array_to_string(string_split(topic_label, ' ')[1:k], ' ') AS t FROM topics, (SELECT unnest([1, 2]) AS k)),
+g AS (SELECT DISTINCT course_id, 'topico:' || {sql_slug('t')} AS tag FROM c WHERE {sql_candidate('t')}), cat AS (SELECT *, {_SQL_PHRASE} AS ph, row_number() OVER (PARTITION BY course_id ORDER BY tag) AS o FROM g WHERE tag NOT LIKE '%:untitled'),
+l AS (SELECT source AS course_id, doc_id, left(text, 60) AS title, CASE doc_id % 4 WHEN 0 THEN 'listas' WHEN 1 THEN 'provas' WHEN 2 THEN 'material-de-aula' ELSE 'outros' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'Simulado ' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN 'P2 ' ELSE '' END AS said, {SQL_LINES.format("'# ' || coalesce(text, '')")} AS l FROM documents),
+e AS (SELECT *, {sql_norm("title")} AS tn, {sql_norm("array_to_string(list_filter(list_transform(list_filter(l, lambda x: regexp_matches(x, '^#{1,6}\s+(.+?)\s*$')), lambda x: trim(regexp_replace(regexp_extract(x, '^#{1,6}\s+(.+?)\s*$', 1), '\s+', ' ', 'g'))), lambda x: x <> '')[1:8], ' ')")} AS hn, {sql_norm("said")} AS rn FROM l),
+s AS (SELECT *, trim(tn || ' ' || hn) AS n, trim(tn || ' ' || rn || ' ' || hn) AS r FROM e), w AS (SELECT *, list_distinct({sql_tokens('n')}) AS w FROM s),
+m AS (SELECT course_id, doc_id, tag, o FROM w JOIN cat USING (course_id) WHERE ph <> '' AND CASE WHEN len({sql_tokens('ph')}) = 1 THEN length({sql_tokens('ph')}[1]) >= 5 AND list_contains(w, {sql_tokens('ph')}[1]) ELSE contains(n, ph) OR (len({sql_tokens('ph')}) >= 2 AND len(list_filter({sql_tokens('ph')}, lambda y: NOT list_contains(w, y))) = 0) END),
+a AS (SELECT course_id, doc_id, list(tag ORDER BY o) AS tags FROM m GROUP BY ALL)
+SELECT w.course_id, w.doc_id AS entry_id, array_to_string(list_concat(coalesce(a.tags, []), CASE category WHEN 'listas' THEN ['tipo:lista'] WHEN 'provas' THEN ['tipo:prova'] WHEN 'material-de-aula' THEN ['tipo:material-base'] ELSE [] END, CASE WHEN {_SQL_REVIEW.format('r')} THEN ['uso:revisao-prova'] ELSE [] END)[1:6], '; ') AS auto_tags
+FROM w LEFT JOIN a ON a.course_id = w.course_id AND a.doc_id = w.doc_id""")
 def auto_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Automatic tags of every document from its course's catalogue. A6, F32"""
+    """Automatic tags of every document from its course's catalogue, with its first line as a heading. A6, F32"""
     t = topics(spark, sf_dir)
-    catalog_ = taxonomy.tag_catalog(t.select("course_id", F.lit("topico").alias("prefix"), F.substring_index("topic_label", " ", 1).alias("text")))
-    e = documents(spark, sf_dir).select("course_id", F.col("doc_id").alias("entry_id"), "title", F.array_join(X.headings("markdown"), " ").alias("head_text"), "category")
+    words = F.split("topic_label", " ")
+    catalog_ = taxonomy.tag_catalog(t.select("course_id", F.explode(F.array(*(F.array_join(F.slice(words, 1, k), " ") for k in (1, 2)))).alias("text")))
+    d = documents(spark, sf_dir)
+    category = F.expr("case doc_id % 4 when 0 then 'listas' when 1 then 'provas' when 2 then 'material-de-aula' else 'outros' end")
+    said = F.expr("concat(if(doc_id % 3 = 0, 'Simulado ', ''), if(doc_id % 7 = 0, 'P2 ', ''))")
+    e = d.select("course_id", F.col("doc_id").alias("entry_id"), "title", F.array_join(X.headings(F.concat(F.lit("# "), "markdown")), " ").alias("head_text"), category.alias("category"), said.alias("raw_target"))
     return taxonomy.auto_tags(e, catalog_).select("course_id", "entry_id", F.array_join("auto_tags", "; ").alias("auto_tags"))
 
 
@@ -254,7 +312,12 @@ def taxonomy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.drop("topic_label").join(first, ["course_id", "topic_slug"]).select("course_id", "topic_slug", "topic_label", "unit_slug", F.size("aliases").alias("n_aliases"))
 
 
-@query("glossary_aliases")
+@query("glossary_aliases", f"""
+WITH t AS (SELECT DISTINCT p_size::VARCHAR AS course_id, {sql_slug('p_type')} AS topic_slug, p_type AS label, {sql_norm('p_type')} AS ln FROM part),
+g AS (SELECT DISTINCT p_size::VARCHAR AS course_id, string_split(p_type, ' ')[-1] AS term, p_brand AS synonym FROM part),
+m AS (SELECT t.course_id, topic_slug, label, unnest([term, synonym]) AS alias FROM t JOIN g USING (course_id) WHERE ln = {sql_norm('term')} OR (length({sql_norm('term')}) >= 4 AND contains(ln, {sql_norm('term')})) OR (length(ln) >= 4 AND contains({sql_norm('term')}, ln))),
+o AS (SELECT course_id, topic_slug, {sql_slug('alias')} AS s, min(alias) AS alias FROM m WHERE {sql_slug('alias')} <> {sql_slug('label')} GROUP BY ALL)
+SELECT course_id, topic_slug, array_to_string(list_sort(list_distinct(list(alias))), '; ') AS aliases FROM o GROUP BY ALL""")
 def glossary_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases of part types from the names of parts as glossary terms. J15"""
     p = table(spark, sf_dir, "part")
