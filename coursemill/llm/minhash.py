@@ -60,7 +60,7 @@ def sketch(shingles: np.ndarray) -> bytes:
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted set of k-word shingle hashes of each row."""
     raw, off = text_buffer(column)
-    for a, b in row_chunks(off, 2_000_000):
+    for a, b in row_chunks(off, 1_000_000):
         part, own = LOWER[raw[off[a] : off[b]]], off[a : b + 1] - off[a]
         starts, lengths, upto = word_spans(part, own)
         words = span_hashes(part, starts, lengths)[0]
@@ -138,10 +138,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     links = _links(docs, classes, k, threshold, id_col, text_col)
     roots = components(links)
     found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
-    # empty texts and null ids stay out of the join; a class of very many copies is dealt over tasks
+    # empty texts and null ids stay out of the join
     full = F.expr("n_shingles > 0 and id is not null")
     rows = rows.select("id", "n_shingles", "h1", "h2")
-    linked = spread_join(rows.filter(full), found, ["h1", "h2"], "id").select("id", "n_shingles", F.col("root").alias("own"))
+    linked = rows.filter(full).join(found, ["h1", "h2"]).select("id", "n_shingles", F.col("root").alias("own"))
     linked = linked.union(rows.filter(~full).select("id", "n_shingles", F.col("id")))
     return linked.select(F.col("id").alias(id_col), "n_shingles", F.col("own").alias("component_id"), F.coalesce(F.col("id") == F.col("own"), F.lit(True)).alias("kept"))
 
@@ -172,11 +172,11 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, id_col:
     # a class that shares many bands with many others lies in the middle of its group: the best one to compare with
     shared = large.groupBy("rep").agg(F.sum("size").alias("shared"))
     middle = large.select("key", "rep").join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", "rep")).alias("m")).select("key", F.col("m.rep").alias("middle"))
-    spokes = spread_join(large, middle, ["key"], "rep")
+    spokes = large.join(middle, "key")
     pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     for center in ("first", "middle"):
         pairs = pairs.union(spokes.filter(f"rep != {center}").select(F.least(center, "rep").alias("a"), F.greatest(center, "rep").alias("b")))
-    links = staged(_confirmed(docs, reps, staged(pairs.distinct(), "pairs"), k, threshold, id_col, text_col), "links")
+    links = staged(_confirmed(docs, reps, pairs.distinct(), k, threshold, id_col, text_col), "links")
     return links.union(_settled(docs, reps, large.select("key", "band", "rep"), links, k, threshold, id_col, text_col))
 
 
@@ -258,16 +258,15 @@ def _spanning(threshold: int):
 
 
 def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that hold on their signatures and then on their full sets; a class in very many pairs is dealt
-    over tasks."""
+    """The pairs (a, b) that hold on their signatures and then on their full sets."""
     sketches = reps.select("rep", "n", "sketch")
     one, two = (sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     # the smaller set must be large enough for the threshold at all
-    sized = spread_join(spread_join(pairs, one, ["a"], "b"), two, ["b"], "a", pairs).filter(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
+    sized = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
     likely = staged(_alike(sized).distinct(), "likely")
     ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = staged(_sets_of(docs, ids, k, id_col, text_col).join(ids, "id", "left_semi"), "sets")
-    # whole sets move twice: the first time for one end of the pairs, the second for the other
+    # whole sets meet both ends of the pairs; a class in very many pairs is dealt over tasks
     one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = spread_join(spread_join(likely, two, ["b"], "a"), one, ["a"], "b", likely)
     shared = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
