@@ -5,6 +5,11 @@ from __future__ import annotations
 #: File categories that old names map to.
 LEGACY_CATEGORIES = {"course-material": "material-de-aula", "exams": "provas", "exercise-lists": "listas", "rubrics": "gabaritos", "schedule": "cronograma", "references": "referencias", "photos-of-exams": "fotos-de-prova", "answer-keys": "gabaritos", "other": "outros"}
 EXAM, EXERCISE, CODE, ASSIGNMENT, WHITEBOARD = ["provas", "fotos-de-prova"], ["listas", "gabaritos"], ["codigo-professor", "codigo-aluno"], ["trabalhos"], ["quadro-branco"]
+#: When to open an entry, and the categories of each use (fixed values).
+USES = [
+    ("teoria base", ["material-de-aula", "slides", "apostila"]), ("provas e revisão", EXAM), ("exercícios", EXERCISE), ("trabalhos", ASSIGNMENT), ("exemplos de código", CODE),
+    ("explicações do professor", WHITEBOARD), ("referência geral", ["cronograma", "bibliografia", "referencias"]),
+]
 NO_TIMELINE = ["cronograma", "bibliografia", "referencias"]
 CODE_EXTENSIONS = ["py", "js", "ts", "jsx", "tsx", "java", "c", "cpp", "h", "hpp", "cs", "go", "rs", "rb", "php", "swift", "kt", "scala", "r", "m", "sh", "bat", "ps1", "sql", "html", "css", "scss", "ipynb", "thy"]
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "jsx", "tsx": "tsx", "java": "java", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "r": "r", "sh": "bash", "bat": "batch", "ps1": "powershell", "sql": "sql", "html": "html", "css": "css", "scss": "scss", "ipynb": "json", "thy": "isabelle"}

@@ -70,32 +70,39 @@ def route_extraction(mode: Column, profile_: Column, preferred: Column, has_adva
     return F.struct(base.alias("base"), advanced.alias("advanced"), F.filter(reasons, lambda x: x.isNotNull()).alias("reasons"))
 
 
-def priority_label(category: Column, relevant: Column) -> Column:
-    """alta, media or normal. [P8]"""
-    return F.when(category.isin(vocab.EXAM) | (relevant & category.isin(vocab.EXERCISE)), "alta").when(category.isin(*vocab.EXERCISE, "material-de-aula", *vocab.ASSIGNMENT), "media").otherwise("normal")
+def priority_label(category: Column, chosen: Column) -> Column:
+    """alta, media or normal; `chosen` is relevant for exams or in the bundle. [P8]"""
+    low = F.lower(F.trim(F.coalesce(category, F.lit(""))))
+    return F.when(chosen | low.isin(*vocab.EXAM, *vocab.EXERCISE), "alta").when(low.isin("material-de-aula", "codigo-professor", "quadro-branco"), "media").otherwise("normal")
 
 
 def usage_label(category: Column) -> Column:
     """When to open an entry, by category. [P8]"""
-    uses = {"provas": "revisao de prova", "fotos-de-prova": "revisao de prova", "listas": "exercicios", "gabaritos": "conferir respostas", "material-de-aula": "teoria", "cronograma": "datas", "bibliografia": "aprofundar", "referencias": "aprofundar", "trabalhos": "entregas", "codigo-professor": "exemplos de codigo", "codigo-aluno": "revisar codigo", "quadro-branco": "notas de aula"}
-    return F.coalesce(F.element_at(_map(uses), category), F.lit("consulta"))
+    low = F.lower(F.trim(F.coalesce(category, F.lit(""))))
+    return F.coalesce(*(F.when(low.isin(kinds), use) for use, kinds in vocab.USES), F.lit("consulta pontual"))
+
+
+def markdown_cell(path: Column) -> Column:
+    """An entry's Markdown in the routing table: its path, or that it waits for review. [P11]"""
+    p = F.trim(F.coalesce(path, F.lit("")))
+    return F.when(p == "", "\u2014").when(F.replace(p, F.lit("\\"), F.lit("/")).startswith("staging/"), "A revisar").otherwise(F.concat(F.lit("`"), p, F.lit("`")))
 
 
 def confidence_label(manual_unit: Column, unit: Column, confidence: Column, ambiguous: Column, evidence: Column) -> Column:
-    """Alta, Media or Baixa for a routing row; evidence counts topic, period and manual block. [P9]"""
+    """Alta, Média or Baixa for a routing row; evidence counts topic, period and manual block. [P9]"""
     return (
         F.when(F.coalesce(manual_unit, F.lit("")) != "", "Alta")
         .when(F.coalesce(unit, F.lit("")) == "", "Baixa")
         .when(unit == "curso-inteiro", "Alta")
         .when(ambiguous | (confidence < 0.45), "Baixa")
         .when((confidence >= 0.85) | (evidence >= 2), "Alta")
-        .otherwise("Media")
+        .otherwise("Média")
     )
 
 
 def unit_cell(unit: Column, confidence: Column, ambiguous: Column) -> Column:
     """A unit with its doubts. [P10]"""
-    return F.when(F.coalesce(unit, F.lit("")) == "", "").when(ambiguous, F.concat(unit, F.lit(" (ambíguo)"))).when(confidence < 0.45, F.concat(unit, F.lit(" (baixa confiança)"))).otherwise(unit)
+    return F.when(F.coalesce(unit, F.lit("")) == "", "").when(ambiguous, F.concat(unit, F.lit(" _(ambíguo)_"))).when(confidence < 0.45, F.concat(unit, F.lit(" _(baixa confiança)_"))).otherwise(unit)
 
 
 ROUTING_ORDER = ["approved_markdown", "curated_markdown", "base_markdown", "advanced_markdown"]

@@ -132,6 +132,14 @@ def section_headers(docs: DataFrame, key: list[str], text: str = "markdown") ->
     return df.filter((F.col("fences") % 2 == 0) & (F.col("inside") <= 0) & F.col("line").rlike(r"^#{2,3}\s+\S")).select(*key, F.col("pos").alias("line_no"), F.regexp_extract("line", r"^(#+)", 1).alias("level"), F.regexp_extract("line", r"^#+\s+(.+?)\s*$", 1).alias("header"))
 
 
+def section_list(markdown: Column, most: int = 4) -> Column:
+    """The first `##` headers of a text, outside code fences and the summary block, joined by two spaces. [F9]"""
+    text = F.regexp_replace(F.coalesce(markdown, F.lit("")), r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)", "")
+    text = F.regexp_replace(text, rf"(?s){SUMMARY_START}.*?(?:{SUMMARY_END}|\z)", "")
+    heads = F.regexp_extract_all(text, F.lit(r"(?m)^##[ \t]+(\S.*?)[ \t\r]*$"), F.lit(1))
+    return F.array_join(F.slice(heads, 1, most), "  ")
+
+
 SUMMARY_START, SUMMARY_END = "<!-- summary:start -->", "<!-- summary:end -->"
 
 

@@ -28,15 +28,16 @@ DISTINCT_POINTS = [("body", 0.25, 0.7), ("title", 0.15, 0.35), ("tags", 0.12, 0.
 #: Courses' topics or units (rows) that are broadcast at most, about 1 KB each; parts that a course is dealt to beyond.
 MOST_BROADCAST, SALTS = 100_000, 16
 
-_EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
-def with_course(entries: DataFrame, rows: DataFrame, side: DataFrame, by: str) -> DataFrame:
-    """Each entry with its course's row of `side`, which was made of `rows`; entries of other courses go."""
+def with_course(entries: DataFrame, rows: DataFrame, side: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """Each entry with its course's row of `side`, which was made of `rows`; of other courses' entries by `how`."""
     if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return entries.join(F.broadcast(side), "course_id")
+        return entries.join(F.broadcast(side), "course_id", how)
     dealt = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return entries.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, ["course_id", "__salt"]).drop("__salt")
+    return entries.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, ["course_id", "__salt"], how).drop("__salt")
 
 
 def signals(entries: DataFrame, markdown: str = "markdown") -> DataFrame:
@@ -46,7 +47,7 @@ def signals(entries: DataFrame, markdown: str = "markdown") -> DataFrame:
     """
     has = set(entries.columns)
     text = lambda c: F.col(c) if c in has else F.lit("")
-    joined = lambda c: F.array_join(F.coalesce(F.col(c), _EMPTY), "; ") if c in has else F.lit("")
+    joined = lambda c: F.array_join(F.coalesce(F.col(c), _empty()), "; ") if c in has else F.lit("")
     fields = {
         "title": text("title"), "headings": F.array_join(headings(markdown), " "), "lead": lead_text(markdown), "category": text("category"),
         "manual_tags": joined("manual_tags"), "auto_tags": joined("auto_tags"), "legacy_tags": text("tags"), "raw": text("raw_target"), "body": F.col(markdown),
@@ -81,7 +82,7 @@ def topic_index(topics: DataFrame) -> DataFrame:
     named = topics.select(
         "course_id", "topic_ord", "topic_slug", "topic_label", "unit_slug", "kind", match_text("topic_label").alias("label"),
         match_text(F.replace(F.coalesce("topic_slug", F.lit("")), F.lit("-"), F.lit(" "))).alias("slug"),
-        F.filter(F.transform(F.coalesce("aliases", _EMPTY), lambda x: match_text(x)), lambda x: x != "").alias("aliases"),
+        F.filter(F.transform(F.coalesce("aliases", _empty()), lambda x: match_text(x)), lambda x: x != "").alias("aliases"),
     )
     phrases = F.filter(F.concat(F.array("label", "slug"), F.col("aliases")), lambda x: x != "")
     usable = lambda x: (F.length(x) >= 4) & ~x.isin(vocab.UNIT_GENERIC)
@@ -96,11 +97,11 @@ def topic_candidates(entries: DataFrame, topics: DataFrame, rest: int = 2) -> Da
     unit_slug, n_tokens), best first (neg is the score below zero), and the number of the course's topics. [J4]
 
     All topics that share a word or a phrase anchor with the document are there; of the others, which only differ by
-    their kind, the first `rest` of each kind.
+    their kind, the first `rest` of each kind. `topics` is null where the course has none.
     """
     fields = [f for f in TOPIC_WEIGHTS]
     df = entries.withColumns({"__all": _anchors(F.concat_ws(" | ", *(f"s_{f}" for f in fields))), **{f"x_{f}": F.concat(F.lit(" "), f"s_{f}", F.lit(" ")) for f in fields}})
-    df = with_course(df, topics, topic_index(topics), "s_body").withColumn("__hits", F.array_intersect("__all", "__keys")).drop("__all", "__keys")
+    df = with_course(df, topics, topic_index(topics), "s_body", "left").withColumn("__hits", F.array_intersect("__all", "__keys")).drop("__all", "__keys")
     near = lambda t: F.arrays_overlap(t["anchors"], F.col("__hits")) | (F.size(t["words"]) == 0)
     df = df.withColumns({"__near": F.filter("__topics", near), "__far": F.filter("__topics", lambda t: ~near(t)), "__n": F.size("__topics")})
 
@@ -183,8 +184,8 @@ def unit_index(units: DataFrame) -> DataFrame:
 
     units: course_id, unit_ord, unit_slug, unit_title, topics (array of texts), and extra_signals (the same) if it has it.
     """
-    extra = F.coalesce("extra_signals", _EMPTY) if "extra_signals" in units.columns else _EMPTY
-    phrases = F.filter(F.transform(F.concat(F.coalesce("topics", _EMPTY), extra), lambda x: match_text(x)), lambda x: x != "")
+    extra = F.coalesce("extra_signals", _empty()) if "extra_signals" in units.columns else _empty()
+    phrases = F.filter(F.transform(F.concat(F.coalesce("topics", _empty()), extra), lambda x: match_text(x)), lambda x: x != "")
     df = units.withColumns({"normalized_title": match_text("unit_title"), "phrases": phrases, "n_extra": F.size(extra)})
     words_of = lambda p, skip: F.filter(F.split(p, " "), lambda x: (F.length(x) >= 4) & ~x.isin(skip))
     single = F.filter("phrases", lambda p: F.instr(p, " ") == 0)
@@ -198,7 +199,7 @@ def unit_index(units: DataFrame) -> DataFrame:
     weights = each.join(each.groupBy("course_id", "token").agg(F.count("*").alias("df")), ["course_id", "token"])
     maps = weights.groupBy("course_id", "unit_ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", (1.0 / F.col("df")).alias("w"))))).alias("token_weights"), F.sort_array(F.collect_list(F.when((F.col("df") == 1) & (F.length("token") >= 5), F.col("token")))).alias("distinctive"))
     empty_map = F.expr("cast(map() as map<string,double>)")
-    return df.drop("__counted").join(maps, ["course_id", "unit_ord"], "left").withColumns({"token_weights": F.coalesce("token_weights", empty_map), "distinctive": F.coalesce("distinctive", _EMPTY)})
+    return df.drop("__counted").join(maps, ["course_id", "unit_ord"], "left").withColumns({"token_weights": F.coalesce("token_weights", empty_map), "distinctive": F.coalesce("distinctive", _empty())})
 
 
 def unit_arrays(units: DataFrame) -> DataFrame:
@@ -228,7 +229,7 @@ def unit_candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
     """Each document (`signals`) with its course's units as `units`: struct(neg, unit_ord, unit_slug, topic_score), best
     first. [J5] units: `unit_index`. Where the frame has `topics` (`topic_candidates`), a unit's best topic adds to it.
     """
-    df = with_course(entries, units, unit_arrays(units), "s_body")
+    df = with_course(entries, units, unit_arrays(units), "s_body", "left")
     # of a text's tokens only those of the course's units: arrays of a few words
     df = df.withColumns({f"h_{f}": F.array_intersect(tokens(f"s_{f}"), "__keys") for f in (*TOKEN_WEIGHTS, "tags")})
     held = lambda f, t: F.array_contains(f"h_{f}", t)
@@ -360,7 +361,7 @@ def inside_scores(entries: DataFrame, rows: DataFrame, key: list[str], fields: d
     longest = rows.agg(F.max(F.length("content_norm"))).first()[0] or 0
     texts = F.array(*(F.struct(F.col(f).alias("text"), F.lit(float(w)).alias("w")) for f, w in fields.items()))
     each = entries.select("course_id", *key, F.inline(texts)).filter((F.col("text") != "") & (F.length("text") <= longest)).withColumn("g", F.substring("text", 1, 3))
-    of_size = lambda n: F.when(F.length("content_norm") >= n, F.transform(F.sequence(F.lit(1), F.length("content_norm") - (n - 1)), lambda i: F.substring(F.col("content_norm"), i, F.lit(n)))).otherwise(_EMPTY)
+    of_size = lambda n: F.when(F.length("content_norm") >= n, F.transform(F.sequence(F.lit(1), F.length("content_norm") - (n - 1)), lambda i: F.substring(F.col("content_norm"), i, F.lit(n)))).otherwise(_empty())
     grams = F.array_distinct(F.concat(of_size(1), of_size(2), of_size(3)))
     hit = each.join(rows.select("course_id", "row_index", "content_norm", F.explode(grams).alias("g")), ["course_id", "g"]).filter(F.col("content_norm").contains(F.col("text")))
     points = F.least(F.lit(1.5), F.greatest(F.lit(0.35), F.length("text") / 18.0)) * F.col("w")

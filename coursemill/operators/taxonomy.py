@@ -60,7 +60,7 @@ def topic_lines(texts: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     lines = texts.select("course_id", F.explode(text_lines("text")).alias("raw")).select("course_id", line.alias("line"))
     body = F.when(F.col("line").rlike(r"^(?:## |- )"), F.trim(F.regexp_replace("line", r"^(?:## |- \[ \] |- )", "")))
     body = body.when(F.col("line").rlike(r"(?i)^(?:\d+(?:\.\d+)*\.?|unidade\s+\d+)"), F.col("line"))
-    found = lines.select("course_id", strip_topic_prefix(body).alias("text")).filter("text is not null")
+    found = lines.select("course_id", body.alias("body")).filter("body is not null").select("course_id", strip_topic_prefix(F.col("body")).alias("text")).filter("text != ''")
     return found.filter(is_topic_candidate(F.col("text"), profile)).groupBy("course_id", slugify("text").alias("slug")).agg(F.min("text").alias("text"))
 
 

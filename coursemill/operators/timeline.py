@@ -112,11 +112,11 @@ def segment_blocks(rows: DataFrame) -> DataFrame:
 
 
 def block_attributes(rows: DataFrame) -> DataFrame:
-    """One row per block: ids, period, topics (at most 6), aliases (at most 6, 5 letters), topic_text, source rows, and
+    """One row per block: ids, period, topics and aliases (at most 6 each), topic_text (its own words), full_text, source rows, and
     what its rows are as a whole: administrative, taught (some row teaches), soft (goes on with what came before). [W6]"""
     first = lambda c: F.min_by(c, "row_index")
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("row_index", c))), lambda x: x[c])
-    df = rows.withColumns({"core": core_text(F.col("content")), "__c": row_class(F.col("content_norm"))})
+    df = rows.withColumns({"core": specific_tokens(core_text(F.col("content"))), "__c": row_class(F.col("content_norm"))})
     quiet = F.col("__c.administrative") | F.col("__c.review") | (F.col("__c.continuation") & (F.size(specific_tokens("content_norm")) <= 1))
     goes_on = ~F.col("__c.review") & (F.col("__c.continuation") | F.col("content_norm").rlike("|".join(vocab.SOFT_WORDS)))
     out = df.groupBy("course_id", "block_no").agg(
@@ -126,10 +126,11 @@ def block_attributes(rows: DataFrame) -> DataFrame:
         F.bool_and(F.col("ignored") | F.col("__c.administrative")).alias("administrative"), (~F.bool_and(quiet)).alias("taught"), F.bool_and(goes_on).alias("soft"),
         F.bool_or(~F.col("ignored")).alias("scored"),
     )
-    topics = F.slice(F.array_distinct(F.filter("cores", lambda x: F.size(specific_tokens(x)) > 0)), 1, 6)
-    aliases = F.slice(F.array_distinct(F.filter(F.flatten(F.transform("norms", specific_tokens)), lambda x: F.length(x) >= 5)), 1, 6)
+    topics = F.slice(F.array_distinct(F.filter(F.transform("cores", lambda x: F.array_join(x, " ")), lambda x: x != "")), 1, 6)
+    aliases = F.slice(F.array_distinct(F.filter(F.flatten("cores"), lambda x: F.length(x) >= 5)), 1, 6)
+    words = F.array_distinct(F.flatten(F.transform("norms", specific_tokens)))
     label = F.when(F.col("start_text") == "", F.col("end_text")).when((F.col("end_text") == "") | (F.col("end_text") == F.col("start_text")), F.col("start_text")).otherwise(F.concat_ws(" a ", "start_text", "end_text"))
-    return out.select("course_id", F.format_string("bloco-%02d", "block_no").alias("block_id"), F.col("block_no").alias("block_ord"), "period_start", "period_end", label.alias("period_label"), topics.alias("topics"), aliases.alias("aliases"), F.array_join("norms", " ").alias("topic_text"), "source_rows", "administrative", "taught", "soft", "scored")
+    return out.select("course_id", F.format_string("bloco-%02d", "block_no").alias("block_id"), F.col("block_no").alias("block_ord"), "period_start", "period_end", label.alias("period_label"), topics.alias("topics"), aliases.alias("aliases"), F.array_join(words, " ").alias("topic_text"), F.array_join("norms", " ").alias("full_text"), "source_rows", "administrative", "taught", "soft", "scored")
 
 
 def number_sessions(sessions: DataFrame) -> DataFrame:

@@ -36,14 +36,14 @@ WITH p AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'prova-' WHEN 1 THEN 'li
 s AS (SELECT *, regexp_replace(name, '\\.[^.]+$', '') AS stem FROM p)
 SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'provas' WHEN 1 THEN 'listas' WHEN 2 THEN 'provas' WHEN 3 THEN 'material-de-aula' WHEN 4 THEN 'gabaritos' WHEN 5 THEN 'codigo-professor' WHEN 6 THEN 'bibliografia' ELSE 'outros' END AS category,
   CASE page_id % 8 WHEN 0 THEN 'Prova ' || page_id WHEN 1 THEN 'Lista ' || page_id WHEN 2 THEN 'P1 ' || page_id WHEN 3 THEN 'Cap1 ' || page_id WHEN 4 THEN 'Gabarito ' || page_id WHEN 5 THEN 'Main' WHEN 6 THEN 'Livro ' || page_id ELSE 'X ' || page_id END AS title,
-  CASE WHEN page_id % 8 IN (0, 2) THEN 'alta' WHEN page_id % 8 IN (1, 4) THEN 'alta' WHEN page_id % 8 = 3 THEN 'media' ELSE 'normal' END AS priority FROM s""")
+  CASE WHEN page_id % 3 = 0 OR page_id % 8 IN (0, 1, 2, 4) THEN 'alta' WHEN page_id % 8 IN (3, 5) THEN 'media' ELSE 'normal' END AS priority FROM s""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category, title and priority of file names. P4, P5, P8"""
     prefix = F.expr("case page_id % 8 when 0 then 'prova-' when 1 then 'lista_' when 2 then 'P1 ' when 3 then 'cap1-' when 4 then 'gabarito.' when 5 then 'main.py' when 6 then 'livro_' else 'x-' end")
     name = F.when(F.col("page_id") % 8 == 5, prefix).otherwise(F.concat(prefix, "page_id", F.lit(".pdf")))
     p = table(spark, sf_dir, "pages").select("page_id", name.alias("name"))
     category = C.category_of_name(F.col("name"))
-    return p.select("page_id", category.alias("category"), C.title_of_name(F.col("name")).alias("title"), C.priority_label(category, F.lit(True)).alias("priority"))
+    return p.select("page_id", category.alias("category"), C.title_of_name(F.col("name")).alias("title"), C.priority_label(category, F.col("page_id") % 3 == 0).alias("priority"))
 
 
 _LABELLED = "d AS (SELECT source AS course_id, doc_id, lang, left(text, 60) AS title, coalesce(quality, 0) = 1 AS relevant, coalesce(toxic, 0) = 0 AS in_bundle FROM documents LEFT JOIN labels USING (doc_id)), e AS (SELECT *, CASE lang WHEN 'en' THEN 'material-de-aula' WHEN 'fr' THEN 'provas' WHEN 'de' THEN 'listas' ELSE 'bibliografia' END AS category FROM d)"
@@ -67,11 +67,12 @@ def bundle_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.bundle_seed(e).select("course_id", "doc_id", "bundle_score", "reasons", "rank")
 
 
-@query("category_index", f"""WITH {_LABELLED} SELECT course_id, doc_id AS entry_ord, category, 'geral' AS kind, regexp_matches(lower(strip_accents(title)), 'gabarito|resol|soluc') AS has_solution, CASE WHEN category = 'provas' OR relevant THEN 'alta' ELSE 'media' END AS priority, CASE category WHEN 'provas' THEN 'revisao de prova' ELSE 'exercicios' END AS usage
-FROM e WHERE category IN ('provas', 'listas') AND NOT regexp_matches(lower(strip_accents(title)), 'final|substitu|p[123]|av[12]')""")
+@query("category_index", f"""WITH {_LABELLED}, t AS (SELECT *, lower(strip_accents(coalesce(title, ''))) AS t FROM e)
+SELECT course_id, doc_id AS entry_ord, category, CASE WHEN regexp_matches(t, 'final|substitu') THEN 'final' WHEN regexp_matches(t, 'p[123]|av[12]') THEN 'parcial' ELSE 'geral' END AS kind, category = 'gabaritos' OR regexp_matches(t, 'gabarito|resol|soluc') AS has_solution,
+  CASE WHEN category IN ('provas', 'listas') OR relevant THEN 'alta' WHEN category = 'material-de-aula' THEN 'media' ELSE 'normal' END AS priority, CASE category WHEN 'provas' THEN 'provas e revisão' WHEN 'listas' THEN 'exercícios' WHEN 'material-de-aula' THEN 'teoria base' ELSE 'referência geral' END AS usage FROM t""")
 def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exam and exercise indexes of every course, general ones. A16, P8"""
-    return C.category_index(_entries(spark, sf_dir), ["provas", "listas"]).filter("kind = 'geral'").drop("title")
+    """Indexes of every course by category group. A16, P8"""
+    return C.category_index(_entries(spark, sf_dir), ["provas", "listas", "material-de-aula", "bibliografia"]).drop("title")
 
 
 @query("log_tail", """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 200""")

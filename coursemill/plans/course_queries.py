@@ -53,8 +53,8 @@ UNION ALL SELECT s.course_id, s.i, CASE WHEN s.j THEN s.no ELSE s.no + 1 END, CA
 
 @query("schedule_blocks", rf"""WITH RECURSIVE {SQL_SEGMENTS},
 b AS (SELECT course_id, no, min(i) AS a, max(i) AS z, count(*) AS n_rows FROM seg GROUP BY ALL),
-tp AS (SELECT course_id, no, list(core ORDER BY f)[1:6] AS topics FROM (SELECT seg.course_id, no, st.core, min(st.i) AS f FROM seg JOIN st USING (course_id, i) WHERE len(st.cw) > 0 GROUP BY ALL) GROUP BY ALL),
-al AS (SELECT course_id, no, list(w ORDER BY f)[1:6] AS aliases FROM (SELECT course_id, no, w, min(f) AS f FROM (SELECT seg.course_id, no, unnest(st.words) AS w, st.i * 1000 + generate_subscripts(st.words, 1) AS f FROM seg JOIN st USING (course_id, i)) WHERE length(w) >= 5 GROUP BY ALL) GROUP BY ALL),
+tp AS (SELECT course_id, no, list(core ORDER BY f)[1:6] AS topics FROM (SELECT seg.course_id, no, array_to_string(st.cw, ' ') AS core, min(st.i) AS f FROM seg JOIN st USING (course_id, i) WHERE len(st.cw) > 0 GROUP BY ALL) GROUP BY ALL),
+al AS (SELECT course_id, no, list(w ORDER BY f)[1:6] AS aliases FROM (SELECT course_id, no, w, min(f) AS f FROM (SELECT seg.course_id, no, unnest(st.cw) AS w, st.i * 1000 + generate_subscripts(st.cw, 1) AS f FROM seg JOIN st USING (course_id, i)) WHERE length(w) >= 5 GROUP BY ALL) GROUP BY ALL),
 d AS (SELECT course_id, i, (DATE '2026-03-02' + (turn * 2)::INT)::DATE AS d FROM st)
 SELECT b.course_id, 'bloco-' || CASE WHEN b.no < 10 THEN '0' ELSE '' END || b.no AS block_id, x.d AS period_start, y.d AS period_end, strftime(x.d, '%d/%m/%Y') || CASE WHEN x.d = y.d THEN '' ELSE ' a ' || strftime(y.d, '%d/%m/%Y') END AS period_label,
   coalesce(array_to_string(topics, '; '), '') AS topics, coalesce(array_to_string(aliases, '; '), '') AS aliases, n_rows::INT AS n_rows

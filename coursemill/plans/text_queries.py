@@ -49,8 +49,7 @@ def _sql_holds(field: str, phrase: str) -> str:
 _FIELDS = {"title": 3.8, "lead": 2.8, "body": 1.1}
 SQL_ENTRIES = rf"""entries AS (SELECT source AS course_id, doc_id, {sql_norm('left(text, 60)')} AS title, {sql_norm(f"CASE WHEN length({_LEAD}) <= 2600 THEN {_LEAD} ELSE regexp_replace(left({_LEAD}, 2600), chr(92) || 's+' || chr(92) || 'S*$', '') END")} AS lead, {sql_norm('text')} AS body FROM documents),
 tokened AS (SELECT *, {sql_tokens('title')} AS t_title, {sql_tokens('lead')} AS t_lead, list_distinct({sql_tokens('body')}) AS t_body FROM entries)"""
-SQL_SCORED = rf"""{SQL_TOPICS}, {SQL_ENTRIES},
-phrases AS (SELECT *, {sql_norm('topic_label')} AS p_label, {sql_norm("replace(topic_slug, '-', ' ')")} AS p_slug, {sql_norm('alias')} AS p_alias FROM topics),
+SQL_MATCH = rf"""phrases AS (SELECT *, {sql_norm('topic_label')} AS p_label, {sql_norm("replace(topic_slug, '-', ' ')")} AS p_slug, {sql_norm('alias')} AS p_alias FROM topics),
 ptok AS (SELECT *, list_distinct(list_filter({sql_tokens("p_label || ' ' || p_slug || ' ' || p_alias")}, lambda x: NOT list_contains({vocab.UNIT_GENERIC}, x))) AS p_tokens FROM phrases),
 pairs AS (SELECT t.course_id, doc_id, topic_ord, topic_slug, topic_label, unit_slug, kind, len(p_tokens) AS n_tokens, len(list_filter(p_tokens, lambda x: list_contains(t_body, x) OR list_contains(t_title, x) OR list_contains(t_lead, x))) AS shared,
     {' + '.join(f"({_sql_holds(f, 'p_label')}) * {w} + ({_sql_holds(f, 'p_slug')}) * {w * 0.65} + ({_sql_holds(f, 'p_alias')}) * {w * 0.82}" for f, w in _FIELDS.items())} AS exact,
@@ -62,19 +61,20 @@ ranked AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS next, count
 won AS (SELECT *, score AS best, coalesce(next, 0) AS second, score <= 0 OR (n > 1 AND abs(score - coalesce(next, 0)) < 0.65) AS ambiguous FROM ranked WHERE r = 1),
 conf AS (SELECT *, least(1.0, greatest(0.0, best - second + 0.2 * best)) AS c FROM won),
 final AS (SELECT *, CASE WHEN ambiguous THEN least(0.45, c) WHEN n = 1 THEN greatest(c, 0.72) ELSE c END AS confidence FROM conf)"""
+SQL_SCORED = f"{SQL_TOPICS}, {SQL_ENTRIES}, {SQL_MATCH}"
 
 
 def topic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best topic; texts stay in their row and go with it."""
-    found = scoring.best_topic(scoring.topic_candidates(scoring.signals(documents(spark, sf_dir)), topics(spark, sf_dir)))
+    found = scoring.best_topic(scoring.topic_candidates(scoring.signals(documents(spark, sf_dir)), topics(spark, sf_dir)).filter("topics is not null"))
     return found.select("course_id", "doc_id", "topic_slug", "topic_label", F.col("topic_unit").alias("unit_slug"), "best", "second", "confidence", "ambiguous")
 
 
 @query("file_map_topics", f"""
 WITH {SQL_SCORED}
 SELECT course_id, doc_id, topic_slug, unit_slug, round(best, 6) AS best, round(confidence, 6) AS confidence, ambiguous,
-    CASE WHEN ambiguous OR confidence < 0.45 THEN 'Baixa' WHEN confidence >= 0.85 THEN 'Alta' ELSE 'Media' END AS label,
-    CASE WHEN ambiguous THEN unit_slug || ' (ambíguo)' WHEN confidence < 0.45 THEN unit_slug || ' (baixa confiança)' ELSE unit_slug END AS unit_cell FROM final""")
+    CASE WHEN ambiguous OR confidence < 0.45 THEN 'Baixa' WHEN confidence >= 0.85 THEN 'Alta' ELSE 'Média' END AS label,
+    CASE WHEN ambiguous THEN unit_slug || ' _(ambíguo)_' WHEN confidence < 0.45 THEN unit_slug || ' _(baixa confiança)_' ELSE unit_slug END AS unit_cell FROM final""")
 def file_map_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topic of every document with confidence and labels. J4, W1, P9, P10"""
     m = topic_matches(spark, sf_dir)
@@ -135,14 +135,21 @@ def topic_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.topic_unit(topic_matches(spark, sf_dir).select("course_id", "doc_id", "topic_slug", "unit_slug"), t, units).select("course_id", "doc_id", "topic_slug", "derived_unit")
 
 
-_SQL_ROWS = f"""r AS (SELECT course_id, topic_ord AS row_index, unit_slug, topic_slug, topic_ord = min(topic_ord) OVER (PARTITION BY course_id, unit_slug) AS anchor, {sql_norm('topic_label')} AS x FROM topics),
+def sql_rows(fields: dict[str, float]) -> str:
+    """Points of entries' texts for the schedule rows of their course, topics as rows, in DuckDB."""
+    each = " UNION ALL ".join(f"SELECT course_id, doc_id, unnest({sql_tokens(f)}) AS a, {w}::DOUBLE AS w FROM entries" for f, w in fields.items())
+    whole = " UNION ALL ".join(f"SELECT course_id, doc_id, {f} AS t, {w}::DOUBLE AS w FROM entries" for f, w in fields.items())
+    return f"""r AS (SELECT course_id, topic_ord AS row_index, unit_slug, topic_slug, topic_ord = min(topic_ord) OVER (PARTITION BY course_id, unit_slug) AS anchor, {sql_norm('topic_label')} AS x FROM topics),
 rt AS (SELECT course_id, row_index, unnest({sql_tokens('x')}) AS b FROM r),
-et AS (SELECT course_id, doc_id, a, sum(w) AS w FROM (SELECT course_id, doc_id, unnest({sql_tokens('title')}) AS a, 1.25 AS w FROM entries UNION ALL SELECT course_id, doc_id, unnest({sql_tokens('body')}), 1.0 FROM entries) GROUP BY ALL),
+et AS (SELECT course_id, doc_id, a, sum(w) AS w FROM ({each}) GROUP BY ALL),
 op AS (SELECT et.course_id, doc_id, row_index, sum(w * CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.45 WHEN length(a) >= 5 AND length(b) >= 5 AND left(a, 5) = left(b, 5) THEN 0.2 ELSE 0 END) AS s FROM et JOIN rt USING (course_id) GROUP BY ALL HAVING s > 0),
-ins AS (SELECT e.course_id, doc_id, row_index, sum(least(1.5, greatest(0.35, length(t.x) / 18.0)) * t.w) AS s FROM entries e, LATERAL (SELECT unnest([title, body]) AS x, unnest([1.25, 1.0]) AS w) t JOIN r ON r.course_id = e.course_id AND t.x <> '' AND contains(r.x, t.x) GROUP BY ALL),
+ins AS (SELECT e.course_id, doc_id, row_index, sum(least(1.5, greatest(0.35, length(t) / 18.0)) * w) AS s FROM ({whole}) e JOIN r ON r.course_id = e.course_id AND t <> '' AND contains(x, t) GROUP BY ALL),
 rs AS (SELECT course_id, doc_id, row_index, sum(s)::DOUBLE AS s FROM (SELECT * FROM op UNION ALL SELECT * FROM ins) GROUP BY ALL)"""
 
 
+_SQL_ROWS = sql_rows({"title": 1.25, "body": 1.0})
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics as schedule rows; the rows of a unit are a block."""
     t = topics(spark, sf_dir)

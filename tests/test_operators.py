@@ -75,7 +75,7 @@ def test_categories(spark):
 def test_winners(spark):
     rows = [("a", 1, 2.0), ("a", 2, 2.0), ("b", 1, 3.0), ("b", 2, 1.0), ("c", 1, 1.0), ("d", 1, 0.0)]
     df = spark.createDataFrame(rows, "k string, ord int, score double")
-    for f in (scoring.winner, scoring.winner_by_window):
+    for f in (scoring.winner,):
         for n in (1, 7):
             got = {r.k: r for r in f(df.repartition(n), ["k"], "topic", "ord", ["ord"]).collect()}
             assert got["a"].ord == 1 and got["a"].ambiguous and got["a"].confidence <= 0.45
@@ -87,12 +87,12 @@ def test_winners(spark):
 def test_topics_and_units(spark):
     e = spark.createDataFrame([("c", "1", "Aula", "# Lógica de Hoare\ntexto sobre pré e pós condições")], "course_id string, doc_id string, title string, markdown string")
     t = spark.createDataFrame([("c", 1, "logica-de-hoare", "Lógica de Hoare", "u2", "topic", []), ("c", 2, "conjuntos", "Conjuntos indutivos", "u1", "topic", ["Isabelle"])], "course_id string, topic_ord int, topic_slug string, topic_label string, unit_slug string, kind string, aliases array<string>")
-    r = scoring.winner_by_window(scoring.topic_scores(scoring.signals(e), t), ["doc_id"], "topic", "topic_ord", ["topic_slug", "unit_slug"]).first()
-    assert r.topic_slug == "logica-de-hoare" and r.unit_slug == "u2" and not r.ambiguous
+    r = scoring.best_topic(scoring.topic_candidates(scoring.signals(e), t)).first()
+    assert r.topic_slug == "logica-de-hoare" and r.topic_unit == "u2" and not r.ambiguous
     u = spark.createDataFrame([("c", 1, "u1", "Unidade 1", ["lógica"]), ("c", 2, "u2", "Unidade 2", ["lógica"])], "course_id string, unit_ord int, unit_slug string, unit_title string, topics array<string>")
     body = spark.createDataFrame([("c", "1", "", "Revisão geral de lógica.")], e.schema)
-    r = scoring.winner_by_window(scoring.unit_scores(scoring.signals(body), scoring.unit_index(u)), ["doc_id"], "unit", "unit_ord", ["unit_slug"]).first()
-    assert r.ambiguous and r.confidence < 0.5
+    r = scoring.best_unit(scoring.unit_candidates(scoring.signals(body), scoring.unit_index(u))).first()
+    assert r.unit_ambiguous and r.unit_confidence < 0.5
 
 
 PLAN = """### Unidade 1 - Métodos formais
@@ -158,9 +158,9 @@ def test_inherit(spark):
 
 
 def test_session_signals(spark):
-    s = one(spark, timeline.session_signals, "30/03/2026: aula\nAtividade assíncrona\n01/04/2026: lab")
+    s = one(spark, text.session_signals, "30/03/2026: aula\nAtividade assíncrona\n01/04/2026: lab")
     assert {(x.kind, str(x.date)) for x in s} == {("class", "2026-03-30"), ("async", "None"), ("class", "2026-04-01")}
-    assert one(spark, timeline.session_signals, "30/03/2026 ⊘") == []
+    assert one(spark, text.session_signals, "30/03/2026 ⊘") == []
 
 
 def test_assessments(spark):
