@@ -315,6 +315,10 @@ class Lexicon:
         return out
 
 
+#: A worker remembers up to 0.6 * 2 ** MEMO_BITS merged words.
+MEMO_BITS = 18
+
+
 class Encoder:
     """Texts to ids for one worker; keeps a bounded memo of the words it has met."""
 
@@ -323,7 +327,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo = Memo()
+        self.memo = Memo(MEMO_BITS)
         self.store, self.fill = np.zeros(1 << 20, dtype=np.int32), 0
         self.start, self.count = (np.zeros(self.memo.room, dtype=np.int64) for _ in range(2))
 

@@ -35,8 +35,7 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text decoded from them, as digests."""
-    tokenizer = _tokenizer()
-    both = bpe_codec.decode(bpe_codec.encode(_documents(spark, sf_dir), tokenizer), tokenizer)
+    both = bpe_codec.round_trip(_documents(spark, sf_dir), _tokenizer())
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
