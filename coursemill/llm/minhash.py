@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from coursemill.llm.common import binary_column, filter_bits, kind, packed, small_batches, spread_join, staged
 from coursemill.llm.components import components
@@ -170,8 +170,8 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, id_col:
     seated = staged(members.join(buckets, "key"), "buckets")
     small, large = seated.filter(f"size <= {SMALL}").select("key", "rep"), seated.filter(f"size > {SMALL}").select("key", "band", "rep", "size", "first")
     # a class that shares many bands with many others lies in the middle of its group: the best one to compare with
-    shared = large.groupBy("rep").agg(F.sum("size").alias("shared"))
-    middle = large.select("key", "rep").join(shared, "rep").groupBy("key").agg(F.max(F.struct("shared", "rep")).alias("m")).select("key", F.col("m.rep").alias("middle"))
+    shared = large.select("key", "rep", F.sum("size").over(W.partitionBy("rep")).alias("shared"))
+    middle = shared.groupBy("key").agg(F.max(F.struct("shared", "rep")).alias("m")).select("key", F.col("m.rep").alias("middle"))
     spokes = large.join(middle, "key")
     pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     for center in ("first", "middle"):
