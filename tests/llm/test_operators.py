@@ -121,6 +121,18 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), 10).count() == 0
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(None, "x" * 30), (None, "x" * 30), (None, None), *[(7, "same")] * 40, *((i, "t" * (i % 50)) for i in range(100))]
+    df = spark.createDataFrame([(*r, "s", "d") for r in rows], "doc_id long, text string, shard string, depth string")
+    sharding.write_shards(df.repartition(3), 100, f"{tmp_path}/a")
+    back = spark.read.parquet(f"{tmp_path}/a")
+    assert sorted(map(str, back.select("doc_id", "text", "depth").collect())) == sorted(map(str, df.select("doc_id", "text", "depth").collect()))
+    size = {r.shard: r.n for r in back.selectExpr("shard", "coalesce(octet_length(text), 0) as n").groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert max(size.values()) <= 100
+    names = lambda n: sorted(r.shard for r in sharding.shard(df.repartition(n), 100).collect())
+    assert names(1) == names(5)
+
+
 def lines_of(t, sentences=False):
     units = re.sub(r"([.!?] |\n)" if sentences else r"(\n)", "\\1\x01", t or "").split("\x01")
     out = []  # tiles of lines with a word; blank lines go with the line before
@@ -326,6 +338,23 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_dense_embeddings(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(24)
+    rows = [(i, (center * 10.0 ** (i % 3) + rng.standard_normal(24) * 0.14 * 10.0 ** (i % 3)).tolist(), 1) for i in range(900)]
+    rows += [(900 + i, v, 1) for i, v in enumerate([rows[0][1]] * 5)] + [(950, [1e200] * 24, 2), (951, [2e200] * 24, 2), (952, [1e-200] * 24, 2), (953, [1.0] * 23, 2)]
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)  # many pairs of blocks
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(40)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df.withColumn("rep", df.label), window=8, passes=6).collect()}
+    x = np.array([v for _, v, c in rows if c == 1])
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    linked = x @ x.T >= 0.98
+    assert 0.2 < linked.mean() < 1
+    want = linked.sum(axis=1) - 1
+    assert np.mean([got[r[0]].n_links == n for r, n in zip(rows, want, strict=False)]) > 0.99  # whole, though the window is small
+    assert got[950].n_links == 2 and got[952].component_id == 950 and got[953].n_links == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     rows, i = [], 0
@@ -381,6 +410,47 @@ def test_url_rules(spark):
     assert url_filters.judge(pages.limit(0), labels).count() == 0
 
 
+def brute_rules(rows, least, sure):
+    """All minimal token sets of at most four tokens that go with bad pages often enough."""
+    from itertools import combinations
+
+    found = []
+    every = sorted({t for ts, _ in rows for t in ts})
+    for n in range(1, 5):
+        for c in combinations(every, n):
+            hit = [bad for ts, bad in rows if set(c) <= set(ts)]
+            if sum(hit) >= least and sum(hit) >= sure * len(hit) and not any(set(f) < set(c) for f in found):
+                found.append(c)
+    return found
+
+
+def test_url_rules_are_the_minimal_ones(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        ts = sorted(set(rng.choices("abcdefgh", k=rng.randint(1, 5))))
+        rows.append((ts, {"a", "b"} <= set(ts) and rng.random() < 0.9 or {"c", "d", "e"} <= set(ts) or rng.random() < 0.1))
+    df = spark.createDataFrame([(ts, bool(b)) for ts, b in rows], "tokens array<string>, bad boolean")
+    share = sum(b for _, b in rows) / len(rows)
+    want = brute_rules(rows, 5, max(0.6, 1.5 * share))
+    got = {tuple(sorted(r.tokens)) for r in url_filters.mine(df, support=0.0).collect()}
+    # of tokens in just the same pages one stands for all; here no two are
+    assert got == {c for c in want} and ("a", "b") in got
+    blocked = {r.url for r in url_filters.matched(spark.createDataFrame([("".join(ts), ts) for ts, _ in rows], "url string, tokens array<string>").distinct(), url_filters.mine(df, support=0.0)).collect()}
+    assert blocked == {"".join(ts) for ts, _ in rows if any(set(c) <= set(ts) for c in want)}
+
+
+def test_long_urls(spark):
+    long = "http://spam.example.biz/" + "/".join(f"{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(5)) + "?" + "&".join(f"q{i}=1" for i in range(20))
+    rows = [(i, long) for i in range(12)] + [(100 + i, f"http://site{i}.org/news/{i}") for i in range(40)]
+    labels = [(i, 0, 0) for i in range(12)] + [(100 + i, 1, 0) for i in range(40)]
+    pages = spark.createDataFrame([*rows, (900, long + "&more=1"), (901, long), (902, None), (None, long)], "page_id long, url string")
+    got = [(r.page_id, r.verdict) for r in url_filters.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    assert len(got) == 56 and dict(got)[900] == dict(got)[0] == dict(got)[None] == "block" and dict(got)[902] == dict(got)[100] == "allow"
+    few = url_filters.judge(pages.filter("page_id < 2"), spark.createDataFrame(labels[:2], "doc_id long, quality int, toxic int")).collect()
+    assert {r.verdict for r in few} == {"allow"}  # two labelled pages are no rule
+
+
 def test_url_mining(spark):
     rows, bad = [], []
     for i in range(400):
@@ -403,8 +473,72 @@ def test_calibration():
     assert abs(a - 2) < 0.3 and abs(b + 1) < 0.3
 
 
+def test_dual_solver_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    n = 60
+    sets = [np.unique(rng.integers(0, 40, rng.integers(4, 12))) for _ in range(n)]
+    y = np.array([int((s < 15).sum() * 2 > len(s)) if rng.random() < 0.9 else int(rng.random() < 0.5) for s in sets])
+    flat, off = np.concatenate(sets).astype(np.int32), np.r_[0, np.cumsum([len(s) for s in sets])]
+    part = np.arange(n) * 100 // n
+    m = quality_classifier.fit(flat, off, y, part)
+    learn = part < 80
+    x = np.zeros((n, 40))
+    for i, s in enumerate(sets):
+        x[i, s] = m["ratio"][s]
+    x = np.c_[x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12), np.ones(n)][learn]
+    sign = np.where(y[learn] == 1, 1.0, -1.0)
+    alpha, q = np.zeros(len(x)), (sign[:, None] * x) @ (sign[:, None] * x).T
+    for _ in range(20_000):  # plain projected gradient on the dual
+        alpha = np.clip(alpha - 0.02 * (q @ alpha - 1), 0, quality_classifier.COST)
+    best = 0.5 * alpha @ q @ alpha - alpha.sum()
+    w = np.r_[np.divide(m["weight"], m["ratio"], out=np.zeros_like(m["weight"]), where=m["ratio"] != 0)[:40], m["bias"]]
+    primal = 0.5 * w @ w + quality_classifier.COST * np.maximum(0, 1 - sign * (x @ w)).sum()
+    assert primal <= -best * 1.02 + 1e-6  # within 2 % of the optimum, by duality
+    counts = [np.bincount(np.concatenate([s for s, c, k in zip(sets, y, learn, strict=True) if c == v and k]), minlength=40) + 1.0 for v in (1, 0)]
+    ratio = np.log(counts[0] / (learn & (y == 1)).sum()) - np.log(counts[1] / (learn & (y == 0)).sum())
+    assert np.allclose(np.where(counts[0] + counts[1] > 3, ratio, 0), m["ratio"][:40])
+
+
+def test_trees_split_as_a_naive_search():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 4))
+    y = (x[:, 1] + 0.5 * (x[:, 2] > 0) + 0.3 * rng.standard_normal(300) > 0.4).astype(float)
+    trees = toxicity.Trees(x, y)
+    bins = trees._bins(x)
+    p = 1 / (1 + np.exp(-trees.start))
+    g, h = y - p, np.full(300, p * (1 - p) + 1e-6)
+    best = (0.0, -1, 0)
+    for f in range(4):
+        for k in range(toxicity.BINS - 1):
+            left = bins[:, f] <= k
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best, (gain, f, k))
+    assert tuple(trees.trees[0][0, :2].astype(int)) == best[1:]
+    value = trees.trees[0]
+    for row in range(300):  # a walk by hand ends in the leaf whose value is the Newton step of its rows
+        node = 0
+        while value[node, 0] >= 0:
+            node = 2 * node + 1 + int(bins[row, int(value[node, 0])] > value[node, 1])
+        assert trees._walk(value, bins[row : row + 1])[0] == value[node, 2]
+    loss = lambda m: np.mean(np.log1p(np.exp(-np.where(y == 1, m, -m))))
+    assert loss(trees.margin(x)) < 0.6 * loss(np.full(300, trees.start))
+
+
+def auc(score, y):
+    order = np.argsort(np.argsort(score)) + 1.0
+    score = np.asarray(score)
+    for v in np.unique(score):
+        order[score == v] = order[score == v].mean()
+    n1 = y.sum()
+    return (order[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+
+
 def held_out(rows, labels, held):
     s = [(r.score, r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    y = np.array([v for _, _, v in s])
+    rare = int(y.mean() < 0.5)
+    assert auc([v for v, _, _ in s], y) > 0.95 and np.mean([p == v for _, p, v in s if v == rare]) > 0.8
     assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     return sum(p == y for _, p, y in s) / len(s)
 
