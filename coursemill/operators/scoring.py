@@ -473,11 +473,25 @@ def period_blocks(docs: DataFrame, blocks: DataFrame, key: list[str]) -> DataFra
     return pairs.join(best, key).filter("tier = __tier").select(*docs.columns, "block_id", "tier")
 
 
+#: Weights of a document's fields for a block's text (fixed values).
+RECONCILE_WEIGHTS = {"s_title": 1.25, "s_tags": 1.05, "s_headings": 0.95, "s_lead": 0.75, "s_body": 0.18}
+
+
+def reconcile_texts(entries: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
+    """Documents (`signals`) with the blocks whose text they share points with: key, course_id, block_id, text_score. [J25]
+
+    blocks: course_id, block_id, text_norm (label of the topic, topic text, topics and aliases as one match text).
+    """
+    rows = blocks.select("course_id", F.col("block_id").alias("row_index"), tokens("text_norm").alias("row_tokens"))
+    scored = overlap_scores(entries, rows, key, RECONCILE_WEIGHTS)
+    return scored.select("course_id", *key, F.col("row_index").alias("block_id"), F.col("score").alias("text_score"))
+
+
 def reconcile(pairs: DataFrame, key: list[str]) -> DataFrame:
     """The best block of an already mapped document, with `review` where the next one is closer than 0.2. [J25]
 
     pairs: key, block_id, block_ord, same_unit (boolean, null if the document has none), tier (of `period_blocks`),
-    text_score, unit_confidence, topic_confidence.
+    text_score (`reconcile_texts`, 0 where absent), unit_confidence, topic_confidence.
     """
     score = F.when(F.col("same_unit"), 1.25).when(~F.col("same_unit"), -0.35).otherwise(0.0) + F.when(F.col("tier") == 0, 0.85).when(F.col("tier") == 1, 0.45).otherwise(0.0) + F.col("text_score") + 0.25 * F.col("unit_confidence") + 0.1 * F.col("topic_confidence")
     w = W.partitionBy(*key).orderBy(F.desc("score"), "block_ord")

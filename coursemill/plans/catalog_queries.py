@@ -237,13 +237,13 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("truncated_blocks", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
-s AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY ord) AS upto FROM l), t AS (SELECT *, upto <= 2000 AS fits, 2000 - (upto - length(block) - 2) AS room FROM s),
+s AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY ord) AS upto FROM l), t AS (SELECT *, upto <= 15000 AS fits, 15000 - (upto - length(block) - 2) AS room FROM s),
 u AS (SELECT *, NOT fits AND coalesce(lag(fits) OVER (PARTITION BY doc_id ORDER BY ord), true) AS f FROM t)
 SELECT doc_id, ord::INT AS ord, CASE WHEN fits THEN block WHEN room > 160 THEN rtrim(substr(block, 1, room::INT)) || chr(10) || chr(10) || '[...]' ELSE '[...]' END AS block FROM u WHERE fits OR f""")
 def truncated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every text while 2000 characters last. W14"""
+    """Lines of every text while 15000 characters last. W14"""
     b = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "block"))
-    return D.truncate_blocks(b, ["doc_id"], most=2000)
+    return D.truncate_blocks(b, ["doc_id"], most=15_000)
 
 
 @query("code_files", r"""

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coursemill.functions import html as H, text as X, vocab
 from coursemill.operators import documents as D, progress as P, scoring as S, timeline as T
-from coursemill.plans.tables import SQL_TOPICS, documents, query, sql_norm, sql_tokens, table, topics
-from coursemill.plans.text_queries import SQL_SCORED, SQL_UNIT_WORDS, course_units
+from coursemill.plans.tables import SQL_TOPICS, documents, query, sql_any, sql_norm, sql_tokens, table, topics
+from coursemill.plans.text_queries import SQL_ENTRIES, SQL_SCORED, SQL_UNIT_WORDS, course_units, sql_rows
+from coursemill.sources.staging import scratch
 from coursemill.streaming import jobs
 
 
@@ -64,14 +65,15 @@ def schedule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("course_id", "block_id", "period_start", "period_end", "period_label", F.array_join("topics", "; ").alias("topics"), F.array_join("aliases", "; ").alias("aliases"), F.size("source_rows").alias("n_rows"))
 
 
+_SQL_CLASSED = "CASE turn % 6 WHEN 0 THEN 'Suspensão de aulas ' WHEN 1 THEN 'Prova 1 ' WHEN 2 THEN 'Lista de exercícios ' WHEN 3 THEN 'Unidade 2 ' ELSE '' END || coalesce(text, '')"
+
+
 @query("row_classes", f"""
-WITH n AS (SELECT conv_id, turn, {sql_norm("CASE turn % 6 WHEN 0 THEN 'Suspensão de aulas ' WHEN 1 THEN 'Prova 1 ' WHEN 2 THEN 'Lista de exercícios ' WHEN 3 THEN 'Unidade 2 ' ELSE '' END || left(text, 30)")} AS x FROM conversations)
-SELECT conv_id, turn, turn % 6 = 0 AS administrative, turn % 6 = 1 AS review, turn % 6 = 2 AS continuation, len(list_filter({sql_tokens('x')}, lambda t: NOT list_contains(['unidade', 'prova', 'lista', 'exercicios', 'aulas'], t)))::INT AS n_specific FROM n""")
+WITH n AS (SELECT conv_id, turn, {sql_norm(_SQL_CLASSED)} AS x FROM conversations)
+SELECT conv_id, turn, {sql_any('x', vocab.ADMIN_PHRASES)} AS administrative, x IN ('p1', 'p2', 'p3', 'pf') OR {sql_any('x', vocab.REVIEW_WORDS)} AS review, {sql_any('x', vocab.CONTINUATION_WORDS)} AS continuation, len(list_filter({sql_tokens('x')}, lambda t: NOT list_contains({vocab.SCHEDULE_GENERIC}, t)))::INT AS n_specific FROM n""")
 def row_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of schedule texts and their specific words. P15"""
-    c = table(spark, sf_dir, "conversations")
-    text = F.concat(F.expr("case turn % 6 when 0 then 'Suspensão de aulas ' when 1 then 'Prova 1 ' when 2 then 'Lista de exercícios ' when 3 then 'Unidade 2 ' else '' end"), F.substring("text", 1, 30))
-    n = c.select("conv_id", "turn", X.match_text(text).alias("x"))
+    """Classes of whole texts as schedule texts and their specific words. P15"""
+    n = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.match_text(F.expr(_SQL_CLASSED)).alias("x"))
     return n.select("conv_id", "turn", T.row_class(F.col("x")).alias("c"), F.size(T.specific_tokens("x")).alias("n_specific")).select("conv_id", "turn", "c.administrative", "c.review", "c.continuation", "n_specific")
 
 
@@ -177,15 +179,16 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("unit_starts", """
-WITH a AS (SELECT l_orderkey AS course_id, l_suppkey % 3 AS u, l_linenumber AS r FROM lineitem), f AS (SELECT course_id, u, min(r) AS s FROM a WHERE u = (SELECT min(u) FROM a x WHERE x.course_id = a.course_id) GROUP BY ALL)
-SELECT course_id, u AS unit_ord, s::BIGINT AS start_row FROM f""")
+WITH RECURSIVE g AS (SELECT l_orderkey AS course_id, l_suppkey % 3 AS u, list_sort(list(l_linenumber::BIGINT)) AS rows FROM lineitem GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY u) AS i FROM g),
+f AS (SELECT course_id, u, i, rows[1] AS s, rows[1] AS before FROM a WHERE i = 1
+UNION ALL SELECT a.course_id, a.u, a.i, coalesce(list_filter(a.rows, lambda r: r > f.before)[1], a.rows[1]), greatest(f.before, coalesce(list_filter(a.rows, lambda r: r > f.before)[1], a.rows[1])) FROM f JOIN a ON a.course_id = f.course_id AND a.i = f.i + 1)
+SELECT course_id, u AS unit_ord, s AS start_row, lead(s) OVER (PARTITION BY course_id ORDER BY s, u) - 1 AS end_row FROM f""")
 def unit_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first unit of every schedule starts. W8"""
+    """Where the units of every schedule start and end. W8"""
     li = table(spark, sf_dir, "lineitem")
     anchors = li.select(F.col("l_orderkey").alias("course_id"), (F.col("l_suppkey") % 3).alias("unit_ord"), F.concat(F.lit("unit-"), F.col("l_suppkey") % 3).alias("unit_slug"), F.col("l_linenumber").alias("row_index"))
-    starts = T.unit_start_anchors(anchors)
-    first = starts.groupBy("course_id").agg(F.min("unit_ord").alias("unit_ord"))
-    return starts.join(first, ["course_id", "unit_ord"]).select("course_id", "unit_ord", "start_row")
+    return T.unit_start_anchors(anchors).select("course_id", "unit_ord", "start_row", "end_row")
 
 
 @query("session_numbers", """
@@ -198,15 +201,23 @@ def session_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.number_sessions(s).select(F.col("block_id").cast("long").alias("user_id"), "label", "date", "session_id")
 
 
-@query("session_signals", r"""
-SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0 ELSE 2 END AS n_signals, CASE WHEN turn % 4 = 3 THEN NULL ELSE DATE '2026-03-30' END AS first_date FROM conversations""")
+_SAID = "regexp_replace(coalesce(text, ''), '[;0-9{}]', ' '{flag})"
+
+
+@query("session_signals", rf"""
+WITH c AS (SELECT conv_id, turn, DATE '2026-03-02' + (turn * 2 + conv_id % 90)::INT AS d, {_SAID.replace("{flag}", ", 'g'")} AS t FROM conversations),
+x AS (SELECT *, strftime(d, '%d/%m/%Y') || ': ' || t || chr(10) || CASE turn % 3 WHEN 0 THEN 'Atividade assíncrona: leitura' WHEN 1 THEN strftime(d + 2, '%Y-%m-%d') || ' lab assíncrono' ELSE 'livre' END || CASE WHEN turn % 4 = 3 THEN ' {{kind=event}}' ELSE '' END AS s FROM c),
+l AS (SELECT *, list_filter(string_split(s, chr(10)), lambda y: contains({sql_norm('y')}, 'assincron') AND NOT regexp_matches(y, '\d{{2}}/\d{{2}}/\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}')) AS loose FROM x)
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0 ELSE 1 + (turn % 3 = 1)::INT + len(list_distinct(list_transform(loose, lambda y: trim(regexp_replace(y, '\s+', ' ', 'g'))))) END::INT AS n_signals, CASE WHEN turn % 4 = 3 THEN NULL ELSE d::DATE END AS first_date,
+  CASE WHEN turn % 4 = 3 THEN NULL ELSE trim(regexp_replace(string_split(t, chr(10))[1], '\s+', ' ', 'g')) END AS label FROM l""")
 def session_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated and asynchronous sessions told by schedule texts. F5"""
-    c = table(spark, sf_dir, "conversations")
-    words = F.regexp_replace(F.substring("text", 1, 20), r"[\n;0-9]", " ")
-    text = F.concat(F.lit("30/03/2026: "), words, F.lit("\nAtividade assíncrona: leitura"), F.when(F.col("turn") % 4 == 3, " {kind=event}").otherwise(""))
-    s = c.select("conv_id", "turn", T.session_signals(text).alias("s"))
-    return s.select("conv_id", "turn", F.size("s").alias("n_signals"), F.get("s", F.lit(0))["date"].alias("first_date"))
+    """Dated and asynchronous sessions told by whole texts. F5"""
+    day = F.expr("date_add(date'2026-03-02', cast(turn * 2 + conv_id % 90 as int))")
+    second = F.expr("case turn % 3 when 0 then 'Atividade assíncrona: leitura' when 1 then concat(date_format(date_add(date'2026-03-02', cast(turn * 2 + conv_id % 90 + 2 as int)), 'yyyy-MM-dd'), ' lab assíncrono') else 'livre' end")
+    text = F.concat(F.date_format(day, "dd/MM/yyyy"), F.lit(": "), F.expr(_SAID.replace("{flag}", "")), F.lit("\n"), second, F.when(F.col("turn") % 4 == 3, " {kind=event}").otherwise(""))
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.session_signals(text).alias("s"))
+    first = F.get("s", F.lit(0))
+    return s.select("conv_id", "turn", F.size("s").alias("n_signals"), first["date"].alias("first_date"), first["label"].alias("label"))
 
 
 @query("html_schedules", """
@@ -240,15 +251,22 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDERS = "o AS (SELECT o_custkey AS course_id, o_orderkey, o_orderdate::DATE AS d FROM orders), l AS (SELECT DISTINCT o_custkey AS course_id, l_shipdate::DATE AS date, CASE WHEN l_returnflag = 'R' THEN 'async' ELSE 'class' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-@query("session_matches", f"""WITH {_ORDERS}, p AS (SELECT o.course_id, o_orderkey, date, kind, CASE WHEN date = d THEN 3.0 ELSE 2.2 END + CASE WHEN kind = 'async' THEN 0.9 ELSE 0 END AS s FROM o JOIN l ON o.course_id = l.course_id AND date BETWEEN d AND d + 30)
-SELECT course_id, o_orderkey, date || '-' || kind AS session_id, s::DOUBLE AS score FROM p""")
+_SQL_SESSIONS = """o AS (SELECT o_custkey AS course_id, o_orderkey, o_orderdate::DATE AS d, o_orderpriority < '3' AS sa, o_orderstatus = 'F' AS sc FROM orders),
+l AS (SELECT DISTINCT o_custkey AS course_id, l_shipdate::DATE AS date, CASE l_returnflag WHEN 'R' THEN 'async' ELSE 'class' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("session_matches", f"""WITH {_SQL_SESSIONS}
+SELECT o.course_id, o_orderkey, date || '-' || kind AS session_id, (CASE WHEN date = d THEN 3.0 WHEN date BETWEEN d AND d + 30 THEN 2.2 ELSE 0 END + CASE WHEN kind = 'async' AND sa THEN 0.9 WHEN kind = 'class' AND sc THEN 0.15 ELSE 0 END)::DOUBLE AS score
+FROM o JOIN l ON o.course_id = l.course_id AND date_trunc('month', date) BETWEEN date_trunc('month', d) AND date_trunc('month', d + 30)""")
 def session_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions on an order's date or inside its thirty days. J9"""
+    """Sessions of the months (blocks) of an order's thirty days: on its date, inside them, or neither. J9"""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     d = F.to_date("o_orderdate")
-    entries = o.select(F.col("o_custkey").alias("course_id"), "o_orderkey", F.array(d).alias("dates"), d.alias("start"), F.date_add(d, 30).alias("end"))
+    months = F.explode(F.sequence(F.trunc(d, "month"), F.trunc(F.date_add(d, 30), "month"), F.expr("interval 1 month")))
+    pairs = o.select(F.col("o_custkey").alias("course_id"), "o_orderkey", months.alias("block_id"), F.array(d).alias("dates"), d.alias("start"), F.date_add(d, 30).alias("end"), (F.col("o_orderpriority") < "3").alias("says_async"), (F.col("o_orderstatus") == "F").alias("says_class"))
     s = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("course_id"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_returnflag") == "R", "async").otherwise("class").alias("kind")).distinct()
-    return S.session_scores(entries, s.withColumn("session_id", F.concat_ws("-", F.col("date").cast("string"), "kind")), ["o_orderkey"])
+    s = s.withColumns({"block_id": F.trunc("date", "month"), "session_id": F.concat_ws("-", F.col("date").cast("string"), "kind"), "ord": F.lit(1)})
+    return S.session_scores(pairs, s, ["o_orderkey"]).select("course_id", "o_orderkey", "session_id", "score")
 
 
 @query("period_blocks", """
@@ -276,6 +294,14 @@ def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reconcile(pairs, ["l_orderkey"]).select("l_orderkey", F.round("score", 6).alias("score"), "review")
 
 
+@query("reconciled_texts", f"""WITH {SQL_TOPICS}, {SQL_ENTRIES}, {sql_rows({"title": 1.25, "lead": 0.75, "body": 0.18})} SELECT course_id, doc_id, row_index AS block_ord, round(s, 6)::DOUBLE AS text_score FROM op""")
+def reconciled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of documents against the texts of their course's blocks. J25"""
+    blocks = topics(spark, sf_dir).select("course_id", F.col("topic_ord").alias("block_id"), X.match_text("topic_label").alias("text_norm"))
+    scored = S.reconcile_texts(S.signals(documents(spark, sf_dir)), blocks, ["doc_id"])
+    return scored.select("course_id", "doc_id", F.col("block_id").alias("block_ord"), F.round("text_score", 6).alias("text_score"))
+
+
 @query("manual_blocks", """
 WITH b AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS u, o_orderpriority = '1-URGENT' AS adm FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY c, u ORDER BY k) AS n FROM b WHERE NOT adm)
 SELECT c_custkey, n.k AS block_id FROM customer LEFT JOIN n ON c = c_custkey AND u = 'F' AND n = 2""")
@@ -515,13 +541,7 @@ def reasoning_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _out(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/coursemill/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/coursemill/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from coursemill.functions import text as X
@@ -9,6 +11,8 @@ from coursemill.operators import taxonomy
 from coursemill.plans import jobs
 from coursemill.plans.tables import documents, query, sql_norm, table, topics
 from coursemill.plans.text_queries import RULES, SQL_ENTRIES, SQL_MATCH, SQL_UNIT_SCORES, SQL_UNIT_WORDS, sql_rows
+from coursemill.sources import readers
+from coursemill.sources.staging import scratch
 
 _CATEGORY = "case doc_id % 6 when 0 then 'provas' when 1 then 'material-de-aula' when 2 then 'cronograma' when 3 then 'outros' when 4 then 'trabalhos' else 'codigo-professor' end"
 
@@ -134,6 +138,28 @@ def glossaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.glossary(topics(spark, sf_dir).withColumn("unit_title", F.col("unit_slug")), docs, RULES)
 
 
+@query("markdown_files", "SELECT item_id, md5(coalesce(text, '') || chr(10)) AS markdown_md5 FROM benchmark")
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts written as files, one each, and read again whole. S2"""
+    root = f"{scratch(spark)}/coursemill/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("value")).repartition("item_id").write.partitionBy("item_id").text(root)
+    found = readers.read_markdown(spark, root, "*.txt")
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), F.md5("markdown").alias("markdown_md5"))
+
+
+@query("image_facts", """
+WITH p AS (SELECT p_partkey, p_size * 7 AS w, p_partkey % 900 + 1 AS h, p_partkey % 3 = 0 AS jpg FROM part),
+b AS (SELECT *, unhex(CASE WHEN jpg THEN 'FFD8FFE000104A46' ELSE '89504E470D0A1A0A' END || '0000000D49484452' || printf('%08X', w::BIGINT) || printf('%08X', h::BIGINT) || '0802000000' || hex(p_partkey::VARCHAR)) AS c FROM p)
+SELECT p_partkey, octet_length(c)::INT AS bytes, sha1(c) AS sha1, CASE WHEN NOT jpg THEN w::INT END AS width, CASE WHEN NOT jpg THEN h::INT END AS height FROM b""")
+def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, digest and dimensions of images whose heads are made of parts. S8"""
+    head = F.when(F.col("p_partkey") % 3 == 0, "FFD8FFE000104A46").otherwise("89504E470D0A1A0A")
+    size = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    content = F.unhex(F.concat(head, F.lit("0000000D49484452"), size(F.col("p_size") * 7), size(F.col("p_partkey") % 900 + 1), F.lit("0802000000"), F.hex(F.col("p_partkey").cast("string"))))
+    facts = readers.image_facts(table(spark, sf_dir, "part").select("p_partkey", content.alias("content")))
+    return facts.select("p_partkey", "bytes", "sha1", "width", "height")
+
+
 @query("vocabulary_lines")
 def vocabulary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of teaching plans that may be topics. A5, P14"""

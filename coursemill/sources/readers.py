@@ -56,9 +56,9 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("course.course_slug").alias("course_id"), F.posexplode("logs").alias("ord", "message"))
 
 
-def read_markdown(spark: SparkSession, root: str) -> DataFrame:
+def read_markdown(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """Whole Markdown files below a folder: path (relative to it) and markdown. [S2]"""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     base = root.rstrip("/").rpartition(":")[2]
     return files.select(F.regexp_extract("_metadata.file_path", rf"{base}/(.*)$", 1).alias("path"), F.col("value").alias("markdown"))
 
