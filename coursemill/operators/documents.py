@@ -331,6 +331,21 @@ def inject_descriptions(docs: DataFrame, matched: DataFrame, key: str = "doc_id"
     return docs.join(body, key, "left").withColumn(text, F.coalesce("__text", text)).select(*docs.columns)
 
 
+def append_orphans(docs: DataFrame, placed: DataFrame, key: str = "doc_id", text: str = "markdown") -> DataFrame:
+    """Texts with descriptions that no reference matched: at the end of the section that `place_orphans` found for them,
+    the others in a list at the end. [F31] placed: key, fname, description, section (a number of `split_sections`)."""
+    item = F.struct("fname", F.concat(F.lit("> **Image ("), "fname", F.lit("):** "), compact_description("description")).alias("line"))
+    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n\n")
+    near = placed.filter("section is not null").groupBy(key, "section").agg(gathered.alias("__near"))
+    far = placed.filter("section is null").groupBy(key).agg(gathered.alias("__far"))
+    parts = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"(?m)(?=^#{2,6}\s)")).alias("section", "part")).join(near, [key, "section"], "left")
+    body = F.when(F.col("__near").isNull(), F.col("part")).otherwise(F.concat(F.rtrim(F.regexp_replace("part", r"\s+$", "")), F.lit("\n\n"), "__near", F.lit("\n\n")))
+    whole = parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", body.alias("part")))), lambda x: x["part"]), "").alias("__text"))
+    out = docs.join(whole, key, "left").join(far, key, "left")
+    tail = F.when(F.col("__far").isNotNull(), F.concat(F.regexp_replace("__text", r"\s+$", ""), F.lit("\n\n## Other images\n\n"), "__far", F.lit("\n"))).otherwise(F.col("__text"))
+    return out.withColumn(text, F.coalesce(tail, text)).select(*docs.columns)
+
+
 def table_markdown(rows: DataFrame, key: list[str]) -> DataFrame:
     """Markdown tables from rows (key, row, cells array): all rows as wide as the widest. [S10]"""
     width = rows.groupBy(*key).agg(F.max(F.size("cells")).alias("w"))

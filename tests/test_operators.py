@@ -201,6 +201,14 @@ def test_images(spark):
     assert (f[0].width, f[0].height, f[1].width) == (300, 200, None)
 
 
+def test_orphans(spark):
+    docs = spark.createDataFrame([(1, "intro\n## Grafos\nbusca em grafos\n\n## Logica\nhoare\n"), (2, "nada"), (3, None)], "doc_id int, markdown string")
+    orphans = spark.createDataFrame([(1, "a.png", "Busca em grafos dirigidos"), (1, "b.png", "sem assunto"), (2, "c.png", "outro")], "doc_id int, fname string, description string")
+    got = {r.doc_id: r.markdown for r in documents.append_orphans(docs, documents.place_orphans(orphans, documents.split_sections(docs, ["doc_id"]))).collect()}
+    assert got[1] == "intro\n## Grafos\nbusca em grafos\n\n> **Image (a.png):** Busca em grafos dirigidos\n\n## Logica\nhoare\n\n## Other images\n\n> **Image (b.png):** sem assunto\n"
+    assert got[2] == "nada\n\n## Other images\n\n> **Image (c.png):** outro\n" and got[3] in (None, "")
+
+
 def test_html(spark):
     page = "<html><head><title>T &amp; x</title><meta name=description content=d></head><body><nav><p>menu</p></nav><div class=sidebar><p>side</p></div><article><h1>Head</h1><p>One<p>Two<ul><li>a</li></ul><script>x</script><table><tr><td>1<td>2</tr></table></article><footer><p>foot</p></footer></body></html>"
     df = spark.createDataFrame([(1, "https://Ex.org/a", page), (2, None, None)], "page_id long, url string, html string")
