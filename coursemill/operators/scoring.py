@@ -97,10 +97,11 @@ def topic_candidates(entries: DataFrame, topics: DataFrame, rest: int = 2) -> Da
     unit_slug, n_tokens), best first (neg is the score below zero), and the number of the course's topics. [J4]
 
     All topics that share a word or a phrase anchor with the document are there; of the others, which only differ by
-    their kind, the first `rest` of each kind. `topics` is null where the course has none.
+    their kind, the first `rest` of each kind. `topics` is null where the course has none. The lead has no anchors of its
+    own: it stands in the body.
     """
     fields = [f for f in TOPIC_WEIGHTS]
-    df = entries.withColumns({"__all": _anchors(F.concat_ws(" | ", *(f"s_{f}" for f in fields))), **{f"x_{f}": F.concat(F.lit(" "), f"s_{f}", F.lit(" ")) for f in fields}})
+    df = entries.withColumns({"__all": _anchors(F.concat_ws(" | ", *(f"s_{f}" for f in fields if f != "lead"))), **{f"x_{f}": F.concat(F.lit(" "), f"s_{f}", F.lit(" ")) for f in fields}})
     df = with_course(df, topics, topic_index(topics), "s_body", "left").withColumn("__hits", F.array_intersect("__all", "__keys")).drop("__all", "__keys")
     near = lambda t: F.arrays_overlap(t["anchors"], F.col("__hits")) | (F.size(t["words"]) == 0)
     df = df.withColumns({"__near": F.filter("__topics", near), "__far": F.filter("__topics", lambda t: ~near(t)), "__n": F.size("__topics")})
@@ -136,7 +137,7 @@ def topic_candidates(entries: DataFrame, topics: DataFrame, rest: int = 2) -> Da
 
 def topic_scores(entries: DataFrame, topics: DataFrame, rest: int = 2) -> DataFrame:
     """`topic_candidates` as rows: the document with topic_ord, topic_slug, topic_label, unit_slug, n_tokens and score. [J4]"""
-    rows = topic_candidates(entries, topics, rest).select(*entries.columns, F.inline("topics"))
+    rows = topic_candidates(entries, topics, rest).select(*entries.columns, F.inline_outer("topics")).filter("topic_ord is not null")
     return rows.withColumn("score", -F.col("neg")).drop("neg")
 
 
@@ -190,6 +191,7 @@ def unit_index(units: DataFrame) -> DataFrame:
     words_of = lambda p, skip: F.filter(F.split(p, " "), lambda x: (F.length(x) >= 4) & ~x.isin(skip))
     single = F.filter("phrases", lambda p: F.instr(p, " ") == 0)
     df = df.withColumns({
+        "parts": F.transform("phrases", lambda p: words_of(p, vocab.UNIT_NEUTRAL)),
         "words": F.array_distinct(F.concat(single, F.flatten(F.transform("phrases", lambda p: words_of(p, vocab.UNIT_GENERIC))))),
         "title_anchors": F.array_distinct(words_of(F.col("normalized_title"), ["unidade", "aprendizagem", "verificacao"])),
         "topic_anchors": F.array_distinct(F.flatten(F.transform("phrases", lambda p: words_of(p, ["para", "sobre", "entre"])))),
@@ -204,7 +206,9 @@ def unit_index(units: DataFrame) -> DataFrame:
 
 def unit_arrays(units: DataFrame) -> DataFrame:
     """Per course its units (`unit_index`) in order as `__units`, and all their tokens as `__keys`."""
-    row = F.struct("unit_ord", "unit_slug", "normalized_title", "phrases", "words", "token_weights", "distinctive", "title_anchors", "topic_anchors", "n_extra")
+    named = F.zip_with("phrases", "parts", lambda p, w: F.struct(p.alias("p"), w.alias("words")))
+    title = F.filter(F.split("normalized_title", " "), lambda x: (F.length(x) >= 4) & ~x.isin(vocab.UNIT_NEUTRAL))
+    row = F.struct("unit_ord", "unit_slug", F.struct(F.col("normalized_title").alias("p"), title.alias("words")).alias("title"), named.alias("phrases"), "words", "token_weights", "distinctive", "title_anchors", "topic_anchors", "n_extra")
     every = F.concat("words", "distinctive", "title_anchors", "topic_anchors", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))), F.split("normalized_title", " "))
     course = units.groupBy("course_id").agg(F.collect_list(row).alias("__u"), F.array_distinct(F.flatten(F.collect_list(every))).alias("__keys"))
     order = lambda a, b: F.when(a["unit_ord"] < b["unit_ord"], -1).when(a["unit_ord"] > b["unit_ord"], 1).otherwise(0)
@@ -217,12 +221,13 @@ def weight_of(unit: Column, token: Column) -> Column:
 
 
 def phrase_points(text: Column, held: Column, unit: Column, phrase: Column) -> Column:
-    """Points of a unit's phrase in a match text of which `held` are the tokens: whole, or by its words. [J5, J6]"""
-    words = F.filter(F.split(phrase, " "), lambda x: (F.length(x) >= 4) & ~x.isin(vocab.UNIT_NEUTRAL))
+    """Points of a unit's phrase (struct of p and its words) in a match text of which `held` are the tokens: whole, or by
+    its words. [J5, J6]"""
+    words = phrase["words"]
     hits = F.filter(words, lambda x: F.array_contains(held, x))
     weight = F.aggregate(hits, F.lit(0.0), lambda a, t: a + weight_of(unit, t))
-    by_words = F.when(F.size(hits) == 0, 0.0).when(F.size(words) == 1, 1.15 * weight).when(F.size(hits) == F.size(words), 1.15 + 0.95 * weight).when(F.size(hits) >= 2, 0.85 * weight).otherwise(0.0)
-    return F.when(phrase == "", 0.0).when(text.contains(phrase), 3.8).otherwise(by_words)
+    by_words = F.when(F.size(words) == 1, 1.15 * weight).when(F.size(hits) == F.size(words), 1.15 + 0.95 * weight).when(F.size(hits) >= 2, 0.85 * weight).otherwise(0.0)
+    return F.when(phrase["p"] == "", 0.0).when(text.contains(phrase["p"]), 3.8).when(F.arrays_overlap(words, held), by_words).otherwise(0.0)
 
 
 def unit_candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
@@ -232,19 +237,22 @@ def unit_candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
     df = with_course(entries, units, unit_arrays(units), "s_body", "left")
     # of a text's tokens only those of the course's units: arrays of a few words
     df = df.withColumns({f"h_{f}": F.array_intersect(tokens(f"s_{f}"), "__keys") for f in (*TOKEN_WEIGHTS, "tags")})
+    df = df.withColumn("h_any", F.array_distinct(F.concat(*(f"h_{f}" for f in TOKEN_WEIGHTS))))
     held = lambda f, t: F.array_contains(f"h_{f}", t)
 
     def score(u: Column) -> Column:
-        title = u["normalized_title"]
+        title = u["title"]["p"]
         long_title = F.size(F.filter(F.split(title, " "), lambda x: F.length(x) >= 5)) >= 3
         total = sum((F.when(long_title & F.col(f"s_{f}").contains(title), p).otherwise(0.0) for f, p in (("body", 1.1), ("lead", 1.6), ("headings", 1.8), ("title", 1.0))), F.lit(0.0))
         rung = lambda p: F.coalesce(*(F.when(F.col(f"s_{f}").contains(p), w) for f, w in PHRASE_LADDER))
         parts = lambda p: sum((phrase_points(F.col(f"s_{f}"), F.col(f"h_{f}"), u, p) * w for f, w in PHRASE_SHARES.items()), F.lit(0.0))
-        phrases = F.transform(u["phrases"], lambda p: F.struct(rung(p).alias("whole"), p.alias("p")))
-        total = total + F.aggregate(phrases, F.lit(0.0), lambda a, x: a + F.coalesce(x["whole"], parts(x["p"])))
+        # the whole raw text aside, a phrase without one of its words anywhere gives nothing
+        some = lambda p: F.arrays_overlap(p["words"], F.col("h_any")) | F.col("s_raw").contains(p["p"])
+        phrases = F.transform(u["phrases"], lambda p: F.struct(rung(p["p"]).alias("whole"), p.alias("p")))
+        total = total + F.aggregate(phrases, F.lit(0.0), lambda a, x: a + F.when(x["whole"].isNotNull(), x["whole"]).when(some(x["p"]), parts(x["p"])).otherwise(0.0))
         exact = F.size(F.filter(phrases, lambda x: x["whole"].isNotNull()))
         share = lambda t: sum((F.when(held(f, t), w).otherwise(0.0) for f, w in TOKEN_WEIGHTS.items()), F.lit(0.0))
-        weighed = F.transform(u["words"], lambda t: F.struct(t.alias("t"), share(t).alias("s")))
+        weighed = F.transform(F.array_intersect(u["words"], F.col("h_any")), lambda t: F.struct(t.alias("t"), share(t).alias("s")))
         total = total + F.aggregate(weighed, F.lit(0.0), lambda a, x: a + F.when(x["s"] > 0, x["s"] * weight_of(u, x["t"]) * F.when(x["t"].isin(vocab.UNIT_NEUTRAL), 0.2).otherwise(1.0)).otherwise(0.0))
         matched = F.transform(F.filter(weighed, lambda x: (x["s"] > 0) & ~x["t"].isin(vocab.UNIT_NEUTRAL)), lambda x: x["t"])
         # a distinctive token gives more at the first field that holds it if no earlier rule matched it
@@ -279,7 +287,7 @@ def unit_candidates(entries: DataFrame, units: DataFrame) -> DataFrame:
 
 def unit_scores(entries: DataFrame, units: DataFrame) -> DataFrame:
     """`unit_candidates` as rows: the document with unit_ord, unit_slug, topic_score and score. [J5]"""
-    return unit_candidates(entries, units).select(*entries.columns, F.inline("units")).withColumn("score", -F.col("neg")).drop("neg")
+    return unit_candidates(entries, units).select(*entries.columns, F.inline_outer("units")).filter("unit_ord is not null").withColumn("score", -F.col("neg")).drop("neg")
 
 
 def best_unit(candidates: DataFrame) -> DataFrame:

@@ -160,11 +160,11 @@ def row_unit_scores(rows: DataFrame, units: DataFrame) -> DataFrame:
     text, held, said = F.col("content_norm"), F.col("__held"), F.col("__said")
 
     def score(u: Column) -> Column:
-        title, number = u["normalized_title"], F.nullif(F.regexp_extract(u["unit_slug"], r"^unidade(?:-de-aprendizagem)?-(\d+)\b", 1), F.lit("")).cast("int")
+        title, number = u["title"]["p"], F.nullif(F.regexp_extract(u["unit_slug"], r"^unidade(?:-de-aprendizagem)?-(\d+)\b", 1), F.lit("")).cast("int")
         named = (title != "") & text.contains(title)
-        total = F.when(said.isNotNull(), 6.0).otherwise(0.0) + F.when(named, 2.6).otherwise(0.55 * scoring.phrase_points(text, held, u, title))
+        total = F.when(said.isNotNull(), 6.0).otherwise(0.0) + F.when(named, 2.6).otherwise(0.55 * scoring.phrase_points(text, held, u, u["title"]))
         total = total + F.aggregate(u["phrases"], F.lit(0.0), lambda a, p: a + scoring.phrase_points(text, held, u, p))
-        exact = named.cast("int") + F.size(F.filter(u["phrases"], lambda p: text.contains(p)))
+        exact = named.cast("int") + F.size(F.filter(u["phrases"], lambda p: text.contains(p["p"])))
         words = F.array_intersect(u["words"], held)
         neutral = lambda t: t.isin(vocab.UNIT_NEUTRAL)
         total = total + F.aggregate(words, F.lit(0.0), lambda a, t: a + 0.95 * scoring.weight_of(u, t) * F.when(neutral(t), 0.2).otherwise(1.0))

@@ -66,7 +66,7 @@ SQL_SCORED = f"{SQL_TOPICS}, {SQL_ENTRIES}, {SQL_MATCH}"
 
 def topic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best topic; texts stay in their row and go with it."""
-    found = scoring.best_topic(scoring.topic_candidates(scoring.signals(documents(spark, sf_dir)), topics(spark, sf_dir)).filter("topics is not null"))
+    found = scoring.best_topic(scoring.topic_candidates(scoring.signals(documents(spark, sf_dir)), topics(spark, sf_dir)).filter("n_topics is not null"))
     return found.select("course_id", "doc_id", "topic_slug", "topic_label", F.col("topic_unit").alias("unit_slug"), "best", "second", "confidence", "ambiguous")
 
 
