@@ -25,11 +25,14 @@ def _fold_tables() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_tables()
+#: Combining marks: letters behind the table's end have no counterpart, so `translate` drops them.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def fold(c: Column | str) -> Column:
-    """Letters without their marks (Latin range), combining marks dropped."""
-    return F.regexp_replace(F.translate(_col(c), FOLD_FROM, FOLD_TO), "[\u0300-\u036f]", "")
+    """Letters without their marks (Latin range), combining marks dropped; plain ASCII is left as it is."""
+    x = _col(c)
+    return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.translate(x, FOLD_FROM + MARKS, FOLD_TO))
 
 
 def collapse_ws(c: Column | str) -> Column:
@@ -63,7 +66,7 @@ def match_text(c: Column | str, kind: str = "a") -> Column:
         s = F.regexp_replace(s, "[\u2010-\u2015]", "-")
     if mend:
         s = F.replace(s, F.lit("propocional"), F.lit("proposicional"))
-    return collapse_ws(F.regexp_replace(s, rf"(?U)[^a-z0-9\s{keep}]", " "))
+    return F.trim(F.regexp_replace(s, f"[^a-z0-9{keep}]+", " "))
 
 
 def tokens(c: Column | str, least: int = 4) -> Column:

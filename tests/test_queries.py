@@ -29,8 +29,8 @@ def test_entry(spark):
 
 def test_auto_tags_read_headings_anywhere(spark, tmp_path):
     long = "word " * 200
-    docs = [(1, f"{long}\n## Grafos  \n{long}", "src1", "en"), (2, f"{'x ' * 40}grafos {long}", "src1", "en"), (3, f"{long}\n####### Grafos\n#Grafos", "src1", "en"), (4, None, "src1", "en")]
+    docs = [(1, f"\n{long}\n## Grafos  \n{long}", "src1", "en"), (2, f"\n{'x ' * 40}grafos {long}", "src1", "en"), (3, f"\n{long}\n####### Grafos\n#Grafos", "src1", "en"), (4, None, "src1", "en")]
     spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "Grafos e arvores de busca")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.entry_id: r.auto_tags for r in registry.QUERIES["auto_tags"](spark, str(tmp_path)).collect()}
-    assert got == {1: "topico:grafos", 2: "", 3: "", 4: ""}
+    assert got == {1: "topico:grafos; topico:grafos-e; tipo:prova", 2: "tipo:material-base", 3: "", 4: "tipo:lista"}
