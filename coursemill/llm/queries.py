@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.llm import bpe_codec, embedding_dedup, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, toxicity, url_filters
+from coursemill.llm import bpe_codec, embedding_dedup, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filters
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -75,6 +75,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer(), end_id=2)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it has more than 1024 tokens."""
+    return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_extendible_sharding": op2_extendible_sharding,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES: dict[str, str] = {
