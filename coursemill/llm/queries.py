@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemill.llm import bpe_codec, embedding_dedup, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filters
+from coursemill.llm import bpe_codec, embedding_dedup, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, source_divergence, spelling_variants, token_counts, toxicity, url_filters
 
 
 def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -80,6 +80,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer())
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, its form and its root."""
+    return spelling_variants.variants(_documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and the terms that it uses more than its language."""
+    return source_divergence.divergence(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_extendible_sharding": op2_extendible_sharding,
@@ -92,10 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_extendible_sharding": sharding.oracle(SHARD_BYTES),
     "op4_quality_rules": quality_rules.ORACLE,
+    "op12_spelling_variants": spelling_variants.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
