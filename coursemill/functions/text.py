@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 
@@ -146,6 +148,56 @@ def session_signals(content: Column) -> Column:
     return F.when(skip, F.slice(both, 1, 0)).otherwise(both)
 
 
+def first_of(items: Column, keys: list[str], kind: str) -> Column:
+    """An array of structs (`kind`) without those whose keys an earlier one has."""
+    same = lambda x, y: reduce(Column.__and__, [F.equal_null(x[k], y[k]) for k in keys])
+    return F.aggregate(items, F.expr(f"cast(array() as array<struct<{kind}>>)"), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+#: Dated and asynchronous sessions in folded text: what leads up to them, then their parts (fixed patterns).
+_LEAD, _DAY = r"(?:^|[\n;]\s*|:\s*)\s*(?:[-*•]\s*)?", r"\d{2}/\d{2}/\d{4}"
+PREFIXED_SESSION = _LEAD + r"(aula|encontro|reuniao|atividade(?:\s+assincrona|(?:\s+async)?)?)\s+(" + _DAY + r")(?:\s*(?:[:\-–—]\s*)?([^;\n]*))?"
+LABELLED_SESSION = _LEAD + r"\(?\s*((?:" + _DAY + r")|(?:atividade\s+assincrona|assincrona|atividade\s+async|async))\s*\)?\s*(?:[a-z]{3}\s+)?\s*[:\-–—]\s*([^;\n]*)"
+
+
+def timed_sessions(c: Column | str) -> Column:
+    """Sessions array<struct(kind, date, label, signals)> of a schedule text: those behind a word like `aula`, then those
+    that a date or an asynchronous mark starts; ignored kinds and suspended ones left out. [F5, F6]"""
+    text = F.trim(F.lower(fold(F.coalesce(_col(c), F.lit("")))))
+    every = lambda pattern, day, body: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("head"), (F.regexp_extract(x, pattern, day) if day else F.lit("")).alias("day"), F.regexp_extract(x, pattern, body).alias("body")))
+    both = F.concat(every(PREFIXED_SESSION, 2, 3), every(LABELLED_SESSION, 0, 2))
+    marked = F.filter(both, lambda x: ~x["body"].contains("⊘") & ~F.regexp_extract(x["body"], r"\{kind=([a-z0-9_]+)\}", 1).isin(IGNORED_KINDS))
+
+    def session(x: Column) -> Column:
+        body = F.regexp_replace(F.when(x["body"].rlike(r"\{kind=[a-z0-9_]+\}"), collapse_ws(F.regexp_replace(x["body"], r"\{kind=[a-z0-9_]+\}", " "))).otherwise(x["body"]), r"^[ \t\-:;.,]+|[ \t\-:;.,]+$", "")
+        head = match_text(x["head"])
+        is_async = head.contains("assincr") | head.contains("async")
+        named = F.when(x["day"] != "", x["day"]).otherwise(F.when(~is_async, x["head"]))
+        date = parse_date(named)
+        label = F.coalesce(F.nullif(match_text(body), F.lit("")), head)
+        signals = F.concat(F.filter(F.array(date.cast("string")), lambda d: d.isNotNull()), signal_terms(x["head"]), signal_terms(body))
+        return F.struct(F.when(is_async, "async").otherwise("class").alias("kind"), date.alias("date"), label.alias("label"), signals.alias("signals"), match_text(body).alias("body"))
+
+    once = first_of(F.transform(marked, session), ["kind", "date", "label", "body"], "kind:string,date:date,label:string,signals:array<string>,body:string")
+    return F.transform(once, lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "date", "label", "signals"))))
+
+
+#: Marks of cards and of topics in schedule text (fixed patterns).
+CARD_MARKS = {"card-title": r"(?i)(?:^|[\n;]\s*)\s*card\s*[:\-]\s*([^;\n]+)", "topic-title": r"(?iu)(?:^|[\n;]\s*)\s*(?:topico|t[oó]pico)\s*[:\-]\s*([^;\n]+)"}
+
+
+def card_evidence(c: Column | str) -> Column:
+    """Cards array<struct(source_kind, normalized_title, title)> of a schedule text, `Card:` before `Tópico:`. [F27]"""
+    text = collapse_ws(c)
+
+    def of(kind: str, pattern: str) -> Column:
+        titles = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(collapse_ws(x), r"^[ \t\r\n\-:;,.]+|[ \t\r\n\-:;,.]+$", ""))
+        made = F.transform(F.filter(titles, lambda x: x != ""), lambda x: F.struct(F.lit(kind).alias("source_kind"), match_text(x).alias("normalized_title"), x.alias("title")))
+        return first_of(made, ["normalized_title"], "source_kind:string,normalized_title:string,title:string")
+
+    return F.concat(*(of(k, p) for k, p in CARD_MARKS.items()))
+
+
 def text_lines(c: Column | str) -> Column:
     """Lines of a text, at every line break that Python's splitlines knows."""
     return F.split(F.coalesce(_col(c), F.lit("")), "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]")

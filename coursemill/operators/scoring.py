@@ -507,22 +507,43 @@ def reconcile(pairs: DataFrame, key: list[str]) -> DataFrame:
     return ranked.filter("__n = 1").select(*key, "block_id", "score", (F.round(F.col("score") - F.coalesce("__next", F.lit(-1e9)), 9) < 0.2).alias("review"))
 
 
-def card_scores(texts: DataFrame, cards: DataFrame, key: list[str]) -> DataFrame:
-    """Evidence of cards (course_id, card_norm, kind) in texts (key, course_id, text_norm): at most 0.7 a text. [J22]
+def card_hits(texts: DataFrame, cards: DataFrame, key: list[str]) -> DataFrame:
+    """The cards (course_id, card_norm, kind) that texts (key, course_id, text_norm) hold something of: key, course_id, hits
+    array<struct(card_norm, kind, points)>; texts without any are left out. [J22]
 
     A course's cards are one array that meets each text once; of its words only those of the cards are kept.
     """
-    words = cards.select("course_id", "card_norm", "kind", F.array_distinct(tokens("card_norm")).alias("words")).filter(F.size("words") > 0)
+    words = cards.select("course_id", "card_norm", "kind").distinct().withColumn("words", F.array_distinct(tokens("card_norm"))).filter(F.size("words") > 0)
     course = words.groupBy("course_id").agg(F.collect_list(F.struct("card_norm", "kind", "words")).alias("__cards"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("__keys"))
-    df = with_course(texts, cards, course, "text_norm").withColumns({"__held": F.array_intersect(tokens("text_norm"), "__keys"), "__some": F.size(tokens("text_norm")) > 0})
+    df = with_course(texts, words, course, "text_norm").withColumn("__said", tokens("text_norm")).filter(F.size("__said") > 0).withColumn("__held", F.array_intersect("__said", "__keys"))
 
     def points(c: Column) -> Column:
         n = F.size(F.array_intersect(c["words"], F.col("__held")))
         hit = F.when(F.col("text_norm").contains(c["card_norm"]), 0.5).when(n >= 2, 0.34).when(n == 1, 0.16).otherwise(0.0)
-        return F.when(hit > 0, hit + F.when(c["kind"] == "topic", 0.05).otherwise(0.03)).otherwise(0.0)
+        return F.struct(c["card_norm"].alias("card_norm"), c["kind"].alias("kind"), F.when(hit > 0, hit + F.when(c["kind"] == "topic", 0.05).otherwise(0.03)).otherwise(0.0).alias("points"))
+
+    hits = F.filter(F.transform("__cards", points), lambda h: h["points"] > 0)
+    return df.select("course_id", *key, hits.alias("hits")).filter(F.size("hits") > 0)
+
+
+def held_cards(hits: DataFrame, holders: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Evidence of the cards that blocks or sessions hold, for the texts that hit one: key, course_id, `name`, card_score, at
+    most 0.7 each. [J22]
 
-    total = F.aggregate(F.transform("__cards", points), F.lit(0.0), lambda a, x: a + x)
-    return df.select(*key, F.when(F.col("__some"), F.least(F.lit(0.7), total)).otherwise(0.0).alias("card_score"))
+    hits: `card_hits`; holders: course_id, `name`, cards array<struct(card_norm, kind)>. A hit meets the holders of its
+    card by equality.
+    """
+    each = hits.select("course_id", *key, F.inline("hits"))
+    of_card = holders.select("course_id", name, F.inline("cards"))
+    return each.join(of_card, ["course_id", "card_norm", "kind"]).groupBy("course_id", *key, name).agg(F.least(F.lit(0.7), F.sum("points")).alias("card_score"))
+
+
+def card_scores(texts: DataFrame, cards: DataFrame, key: list[str]) -> DataFrame:
+    """Evidence of a course's cards (course_id, card_norm, kind) in its texts (key, course_id, text_norm): at most 0.7 a text. [J22]"""
+    held = cards.groupBy("course_id").agg(F.collect_list(F.struct("card_norm", "kind")).alias("cards")).withColumn("__all", F.lit(0))
+    found = held_cards(card_hits(texts, cards, key), held, key, "__all").drop("__all")
+    named = texts.join(held.select("course_id"), "course_id", "left_semi").select("course_id", *key)
+    return named.join(found, ["course_id", *key], "left").select(*key, F.coalesce("card_score", F.lit(0.0)).alias("card_score"))
 
 
 def topic_unit(matches: DataFrame, topics: DataFrame, units: DataFrame) -> DataFrame:
@@ -535,12 +556,18 @@ def topic_unit(matches: DataFrame, topics: DataFrame, units: DataFrame) -> DataF
 
 
 def manual_blocks(entries: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
-    """The block that an entry names: by id, or the n-th teaching block of its unit. [J12, W18]
+    """The block that an entry names: by id, or, as `bloco-n`, the n-th teaching block of its unit, or of its course where it
+    names no unit. [J12, W18]
 
     entries: key, course_id, manual_block, manual_unit; blocks: course_id, block_id, block_ord, unit_slug, administrative.
     """
-    nth = blocks.filter("not administrative").withColumn("n", F.row_number().over(W.partitionBy("course_id", "unit_slug").orderBy("block_ord")))
-    by_id = blocks.select("course_id", F.col("block_id").alias("manual_block"), F.col("block_id").alias("__by_id"))
-    by_n = nth.select("course_id", F.col("unit_slug").alias("manual_unit"), F.col("n").cast("string").alias("manual_block"), F.col("block_id").alias("__by_n"))
-    out = entries.join(by_id, ["course_id", "manual_block"], "left").join(by_n, ["course_id", "manual_unit", "manual_block"], "left")
-    return out.select(*key, F.coalesce("__by_id", "__by_n").alias("block_id"))
+    teaching = blocks.filter("not coalesce(administrative, false)").select("course_id", "block_id", "block_ord", F.trim(F.coalesce("unit_slug", F.lit(""))).alias("unit"))
+    nth = lambda *by: F.row_number().over(W.partitionBy("course_id", *by).orderBy("block_ord", "block_id")).cast("string")
+    counted = teaching.withColumns({"__in_unit": nth("unit"), "__in_course": nth()})
+    unit = F.trim(F.coalesce("manual_unit", F.lit("")))
+    names = F.array(F.when(F.col("unit") != "", F.concat_ws("\n", "__in_unit", "unit")), F.concat("__in_course", F.lit("\n")))
+    by_n = counted.select("course_id", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("__nth"), F.col("block_id").alias("__by_n"))
+    by_id = blocks.select("course_id", F.trim("block_id").alias("__named"), F.col("block_id").alias("__by_id"))
+    ordinal = F.nullif(F.regexp_replace(F.regexp_extract(F.trim("manual_block"), r"(?i)^bloco-(\d+)$", 1), "^0+(?=.)", ""), F.lit(""))
+    out = entries.withColumns({"__named": F.trim("manual_block"), "__nth": F.concat(ordinal, F.lit("\n"), unit)})
+    return out.join(by_id, ["course_id", "__named"], "left").join(by_n, ["course_id", "__nth"], "left").select(*key, F.coalesce("__by_id", "__by_n").alias("block_id"))

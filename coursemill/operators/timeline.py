@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
-from coursemill.functions.text import collapse_ws, kind_marker, match_text, parse_date, session_signals, slugify, tokens
+from coursemill.functions.text import card_evidence, collapse_ws, kind_marker, match_text, parse_date, session_signals, slugify, strip, text_lines, timed_sessions, tokens
 from coursemill.operators import scoring
 
 
@@ -116,7 +116,8 @@ def block_attributes(rows: DataFrame) -> DataFrame:
     what its rows are as a whole: administrative, taught (some row teaches), soft (goes on with what came before). [W6]"""
     first = lambda c: F.min_by(c, "row_index")
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("row_index", c))), lambda x: x[c])
-    df = rows.withColumns({"core": specific_tokens(core_text(F.col("content"))), "__c": row_class(F.col("content_norm"))})
+    df = rows.withColumns({"core": specific_tokens(core_text(F.col("content"))), "__c": row_class(F.col("content_norm")), "__cards": card_evidence("content")})
+    df = df.withColumn("__sessions", timed_sessions(F.concat_ws(": ", F.nullif(collapse_ws("date_text"), F.lit("")), F.nullif(collapse_ws("content"), F.lit("")))))
     quiet = F.col("__c.administrative") | F.col("__c.review") | (F.col("__c.continuation") & (F.size(specific_tokens("content_norm")) <= 1))
     goes_on = ~F.col("__c.review") & (F.col("__c.continuation") | F.col("content_norm").rlike("|".join(vocab.SOFT_WORDS)))
     out = df.groupBy("course_id", "block_no").agg(
@@ -124,13 +125,45 @@ def block_attributes(rows: DataFrame) -> DataFrame:
         first("date_dt").alias("period_start"), F.max_by("date_dt", "row_index").alias("period_end"),
         ordered("core").alias("cores"), ordered("content_norm").alias("norms"), F.sort_array(F.collect_list("row_index")).alias("source_rows"),
         F.bool_and(F.col("ignored") | F.col("__c.administrative")).alias("administrative"), (~F.bool_and(quiet)).alias("taught"), F.bool_and(goes_on).alias("soft"),
-        F.bool_or(~F.col("ignored")).alias("scored"),
+        F.bool_or(~F.col("ignored")).alias("scored"), F.flatten(ordered("__sessions")).alias("__sessions"), F.flatten(ordered("__cards")).alias("__cards"),
     )
+    out = out.withColumn("block_id", F.format_string("bloco-%02d", "block_no")).withColumn("card_evidence", F.filter(F.array_distinct("__cards"), lambda c: c["normalized_title"] != ""))
     topics = F.slice(F.array_distinct(F.filter(F.transform("cores", lambda x: F.array_join(x, " ")), lambda x: x != "")), 1, 6)
     aliases = F.slice(F.array_distinct(F.filter(F.flatten("cores"), lambda x: F.length(x) >= 5)), 1, 6)
     words = F.array_distinct(F.flatten(F.transform("norms", specific_tokens)))
     label = F.when(F.col("start_text") == "", F.col("end_text")).when((F.col("end_text") == "") | (F.col("end_text") == F.col("start_text")), F.col("start_text")).otherwise(F.concat_ws(" a ", "start_text", "end_text"))
-    return out.select("course_id", F.format_string("bloco-%02d", "block_no").alias("block_id"), F.col("block_no").alias("block_ord"), "period_start", "period_end", label.alias("period_label"), topics.alias("topics"), aliases.alias("aliases"), F.array_join(words, " ").alias("topic_text"), F.array_join("norms", " ").alias("full_text"), "source_rows", "administrative", "taught", "soft", "scored")
+    return out.select("course_id", "block_id", F.col("block_no").alias("block_ord"), "period_start", "period_end", label.alias("period_label"), topics.alias("topics"), aliases.alias("aliases"), F.array_join(words, " ").alias("topic_text"), F.array_join("norms", " ").alias("full_text"), "source_rows", "administrative", "taught", "soft", "scored", "card_evidence", block_sessions(F.col("block_id"), F.col("__sessions"), F.col("card_evidence")).alias("sessions"))
+
+
+def session_cards(session: Column, cards: Column) -> Column:
+    """The cards whose whole title stands in a session's text, or its one word of four letters, or two of its words. [J22]"""
+    text = match_text(F.concat_ws(" ", session["label"], F.array_join(session["signals"], " ")))
+    held = tokens(text)
+
+    def fits(card: Column) -> Column:
+        words = F.array_distinct(tokens(card["normalized_title"]))
+        shared = F.size(F.array_intersect(words, held))
+        return (F.size(words) > 0) & (text.contains(card["normalized_title"]) | (shared >= 2) | ((F.size(tokens(card["normalized_title"])) == 1) & (shared == 1)))
+
+    return F.filter(cards, fits)
+
+
+def block_sessions(block_id: Column, found: Column, cards: Column) -> Column:
+    """A block's sessions as an array: session_id, date, kind, label, signals, card_evidence. [W7, J22]
+
+    found: the sessions of its rows in order, of which equal ones count once. Asynchronous sessions count up; others take
+    their date, or count up among their kind. All inside the block's row.
+    """
+    once = F.array_distinct(found)
+    nth = lambda kind, i: F.format_string("%02d", F.size(F.filter(F.slice(once, F.lit(1), i + 1), kind)))
+    is_async = lambda x: x["kind"] == "async"
+
+    def named(x: Column, i: Column) -> Column:
+        dated = F.coalesce(x["date"].cast("string"), nth(lambda y: ~is_async(y), i))
+        name = F.concat(block_id, F.lit("-sessao-"), F.when(is_async(x), F.concat(F.lit("async-"), nth(is_async, i))).otherwise(dated))
+        return F.struct(name.alias("session_id"), x["date"].alias("date"), x["kind"].alias("kind"), x["label"].alias("label"), x["signals"].alias("signals"), session_cards(x, cards).alias("card_evidence"))
+
+    return F.transform(once, named)
 
 
 def number_sessions(sessions: DataFrame) -> DataFrame:
@@ -193,17 +226,17 @@ def block_topic_candidates(scored: DataFrame, most: int = 5, gap: float = 0.7) -
     scored: course_id, block_id, topic_ord, topic_slug, unit_slug, topic_label, score. A block's topics are those of its
     course that have a score.
     """
-    item = F.struct((-F.col("score")).alias("neg"), "topic_ord", "topic_slug", "unit_slug", F.size(tokens(match_text("topic_label"))).alias("label_tokens"))
+    item = F.struct((-F.col("score")).alias("neg"), "topic_ord", "topic_slug", "unit_slug", F.size(tokens(match_text("topic_label"))).alias("label_tokens"), "topic_label")
     df = scored.filter("score > 0").groupBy("course_id", "block_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
     one, two = F.get("c", F.lit(0)), F.get("c", F.lit(1))
-    df = df.withColumns({"score": -one["neg"], "second": F.coalesce(-two["neg"], F.lit(0.0)), "label_tokens": one["label_tokens"], "primary": one["topic_slug"], "primary_unit": one["unit_slug"]})
+    df = df.withColumns({"score": -one["neg"], "second": F.coalesce(-two["neg"], F.lit(0.0)), "label_tokens": one["label_tokens"], "primary": one["topic_slug"], "primary_unit": one["unit_slug"], "primary_label": one["topic_label"]})
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") - F.col("second") + 0.2 * F.col("score")))
     lone = F.size("c") == 1
     df = df.withColumn("confidence", F.when(lone, F.greatest(conf, F.lit(0.72))).otherwise(conf)).withColumn("weak", F.expr(WEAK_TOPIC))
     ambiguous = F.col("weak") | (~lone & (F.col("score") - F.col("second") < gap))
     share = lambda x: F.round(F.least(F.lit(1.0), x["neg"] / -F.col("score")), 3)
     listed = F.transform(F.slice("c", 1, most), lambda x: F.struct(x["topic_slug"].alias("topic_slug"), F.round(-x["neg"], 3).alias("score"), share(x).alias("confidence")))
-    return df.select("course_id", "block_id", listed.alias("topic_candidates"), F.when(F.col("weak"), "").otherwise(F.col("primary")).alias("primary_topic_slug"), F.when(F.col("weak"), "").otherwise(F.col("primary_unit")).alias("primary_topic_unit"),
+    return df.select("course_id", "block_id", listed.alias("topic_candidates"), F.when(F.col("weak"), "").otherwise(F.col("primary")).alias("primary_topic_slug"), F.when(F.col("weak"), "").otherwise(F.col("primary_unit")).alias("primary_topic_unit"), F.when(F.col("weak"), "").otherwise(F.col("primary_label")).alias("primary_topic_label"),
         ambiguous.alias("topic_ambiguous"), F.when(ambiguous, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")).alias("primary_topic_confidence"))
 
 
@@ -260,41 +293,131 @@ def unit_periods(blocks: DataFrame) -> DataFrame:
         F.min("period_start").alias("start"), F.max(F.coalesce("period_end", "period_start")).alias("end"), F.min_by("period_label", F.struct("period_start", "block_ord")).alias("start_label"), F.max_by("period_label", F.struct("period_start", "block_ord")).alias("end_label"), F.count("*").alias("n_blocks"))
 
 
+def period_range() -> Column:
+    """The period of a unit (`unit_periods`) as `start a end`: the first date of its first label and the last of its last."""
+    return F.when(F.col("start_label") == F.col("end_label"), F.col("start_label")).otherwise(F.concat_ws(" a ", F.substring_index("start_label", " a ", 1), F.substring_index("end_label", " a ", -1)))
+
+
+#: Characters behind which a unit's title has its description (fixed values).
+TITLE_CUT = "[â€”“:\\-]"
+
+
+def unit_descriptors(units: DataFrame) -> DataFrame:
+    """What tells a unit in a schedule: number, description, words of the title, topic phrases, distinctive words. [W8]
+
+    units: course_id, unit_ord, unit_slug, unit_title, topics (array of texts).
+    """
+    described = F.regexp_extract("unit_title", TITLE_CUT + r"\s*(.+)", 1)
+    words = lambda c: F.filter(tokens(c), lambda t: ~t.rlike(r"^\d+$"))
+    df = units.withColumns({"number": F.regexp_extract("unit_title", r"(\d+)", 1), "about": match_text(F.when(described != "", described).otherwise(F.col("unit_title")))})
+    df = df.withColumn("phrases", F.filter(F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: match_text(t)), lambda t: t != ""))
+    df = df.withColumns({"title_words": F.array_distinct(words("about")), "all_words": F.array_distinct(F.concat(words("about"), F.flatten(F.transform("phrases", words))))})
+    telling = token_weights(df, ["course_id"], "unit_ord", "all_words").groupBy("course_id", "unit_ord").agg(F.collect_list("token").alias("distinctive"))
+    df = df.join(telling, ["course_id", "unit_ord"], "left").withColumn("distinctive", F.coalesce("distinctive", F.array().cast("array<string>")))
+    return df.select("course_id", "unit_ord", "unit_slug", "unit_title", "number", F.regexp_replace("number", "^0+(?=.)", "").alias("number_int"), "about", "title_words", "phrases", "distinctive")
+
+
+def unit_anchor_scores(rows: DataFrame, descriptors: DataFrame, least: int = 4) -> DataFrame:
+    """Schedule rows that start or go on with a unit: course_id, unit_ord, unit_slug, unit_title, row_index, score. [W8]
+
+    A unit's number gives 10, its description 8, the words of its title 4, a topic 8, distinctive words 3 each up to 6; rows
+    with `least` are kept. rows: course_id, row_index, content_norm; descriptors: `unit_descriptors`. A course's units are
+    one array that meets each of its rows once.
+    """
+    course = descriptors.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct(*descriptors.columns[1:]))).alias("__units"))
+    df = scoring.with_course(rows.select("course_id", "row_index", "content_norm").filter("content_norm != ''"), descriptors, course, "content_norm")
+    said = lambda names: F.regexp_extract_all("content_norm", F.lit(rf"\b(?:{names})\s*(\d+)\b"), F.lit(1))
+    df = df.withColumns({"__whole": said("unidade"), "__any": said("unidade|unid|un"), "__words": F.array_distinct(F.split("content_norm", " "))})
+    text = F.col("content_norm")
+
+    def score(u: Column) -> Column:
+        numbered = (u["number"] != "") & (F.array_contains("__whole", u["number"]) | F.array_contains("__any", u["number_int"]))
+        n_title, held = F.size(u["title_words"]), F.size(F.array_intersect(u["title_words"], F.col("__words")))
+        rare = F.size(F.array_intersect(u["distinctive"], F.col("__words")))
+        points = F.when(numbered, 10).otherwise(0) + F.when((u["about"] != "") & text.contains(u["about"]), 8).otherwise(0)
+        points = points + F.when(held >= F.greatest(F.lit(1), F.least(F.lit(2), n_title)), 4).otherwise(0)
+        points = points + F.when(F.exists(u["phrases"], lambda p: text.contains(p)), 8).otherwise(0) + F.least(F.lit(6), 3 * rare)
+        return F.struct(u["unit_ord"].alias("unit_ord"), u["unit_slug"].alias("unit_slug"), u["unit_title"].alias("unit_title"), points.alias("score"))
+
+    scored = df.select("course_id", "row_index", F.inline(F.transform("__units", score)))
+    return scored.filter(F.col("score") >= least)
+
+
 def unit_start_anchors(anchors: DataFrame) -> DataFrame:
-    """Start rows of the units of each course: the first anchor row behind the start of the unit before. [W8]
+    """Start and end rows of the units of each course: the first anchor row behind the start of the unit before; a unit
+    without such a row takes its first anchor. A unit ends before the next one starts, the last at its last anchor, as does
+    one that would end before its start. [W8]
 
-    anchors: course_id, unit_ord, unit_slug, row_index. A unit without such a row takes its first anchor. A course's units
-    are one short array, folded in order.
+    anchors: course_id, unit_ord, unit_slug, row_index. A course's units are one short array, folded in order.
     """
     units = anchors.groupBy("course_id", "unit_ord", "unit_slug").agg(F.sort_array(F.collect_list(F.col("row_index").cast("long"))).alias("rows"))
     course = units.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "unit_slug", "rows"))).alias("units"))
     kind = dict(anchors.dtypes)["unit_ord"]
-    start = F.expr(f"named_struct('before', -1L, 'out', cast(array() as array<struct<unit_ord:{kind},unit_slug:string,start_row:bigint>>))")
+    start = F.expr(f"named_struct('before', -1L, 'out', cast(array() as array<struct<unit_ord:{kind},unit_slug:string,start_row:bigint,last_row:bigint>>))")
 
     def step(acc: Column, unit: Column) -> Column:
         row = F.coalesce(F.get(F.filter(unit["rows"], lambda r: r > acc["before"]), F.lit(0)), unit["rows"][0])
-        mine = F.struct(unit["unit_ord"].alias("unit_ord"), unit["unit_slug"].alias("unit_slug"), row.alias("start_row"))
-        return F.struct(F.greatest(acc["before"], row).alias("before"), F.concat(acc["out"], F.array(mine)).alias("out"))
+        mine = F.struct(unit["unit_ord"].alias("unit_ord"), unit["unit_slug"].alias("unit_slug"), row.alias("start_row"), F.element_at(unit["rows"], -1).alias("last_row"))
+        return F.struct(row.alias("before"), F.concat(acc["out"], F.array(mine)).alias("out"))
+
+    starts = course.select("course_id", F.aggregate("units", start, step, lambda acc: acc["out"]).alias("u"))
+    following = lambda u, i: F.get(F.col("u"), i + 1)["start_row"] - 1
+    ends = F.transform("u", lambda u, i: F.struct(u["unit_ord"].alias("unit_ord"), u["unit_slug"].alias("unit_slug"), u["start_row"].alias("start_row"), F.when(following(u, i) >= u["start_row"], following(u, i)).otherwise(u["last_row"]).alias("end_row")))
+    return starts.select("course_id", F.inline(ends))
+
+
+def unit_row_periods(starts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Period and dates of the units over their rows: course_id, unit_ord, unit_slug, start_row, end_row, period, dates. [W8]
+
+    starts: `unit_start_anchors`; rows: course_id, row_index, date_text. A course's dates are one array, cut by rows.
+    """
+    dates = rows.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct(F.col("row_index").cast("long").alias("row_index"), F.trim("date_text").alias("t")))).alias("__dates"))
+    df = starts.join(dates, "course_id", "left")
+    mine = F.filter(F.col("__dates"), lambda d: d["row_index"].between(F.col("start_row"), F.col("end_row")) & (d["t"] != ""))
+    df = df.withColumn("__d", F.array_distinct(F.transform(F.coalesce(mine, F.slice("__dates", 1, 0)), lambda d: d["t"])))
+    first, last = F.get("__d", F.lit(0)), F.try_element_at("__d", F.lit(-1))
+    return df.select("course_id", "unit_ord", "unit_slug", "start_row", "end_row", F.when(F.size("__d") > 1, F.concat_ws(" a ", first, last)).otherwise(F.coalesce(first, F.lit(""))).alias("period"), F.coalesce(F.array_join("__d", ", "), F.lit("")).alias("dates"))
+
+
+#: Lines that start and end a plan's section on assessments, and an assessment's line (fixed patterns).
+ASSESSMENT_START, ASSESSMENT_STOP = r"(?iu)^(?:AVALIA[ÇC][AÃ]O|AVALIACAO)\b", r"(?i)^(?:BIBLIOGRAFIA|METODOLOGIA|CRONOGRAMA|CONTEUDO PROGRAMATICO|CONTEUDO)\b"
+ASSESSMENT_LINE = r"(?i)^(P\s*\d+|PROVA\s*\d+|PF|PROVA\s+FINAL|EXAME\s+FINAL)\s*(?:[-:]\s*|\s+)(.+)$"
+#: What may stand before the numbers of the units that an assessment covers (fixed pattern).
+ASSESSMENT_SCOPE = r"\b(?:unidade(?:s)?(?: de aprendizagem)?|conteudo(?:s)?|abrangendo|abrange|cobre|cobrindo|inclui|incluindo)\b(.+)"
+
 
-    starts = course.select("course_id", F.inline(F.aggregate("units", start, step, lambda acc: acc["out"])))
-    return starts.withColumn("end_row", F.lead("start_row").over(W.partitionBy("course_id").orderBy("start_row", "unit_ord")) - 1)
+def declared_units(norm: Column, label_slug: Column) -> Column:
+    """Numbers from 1 to 20 behind a scope word; without one all numbers, the first that is the label's own left out. [F23]"""
+    scope = F.regexp_extract(norm, ASSESSMENT_SCOPE, 1)
+    found = F.transform(F.regexp_extract_all(F.when(scope != "", scope).otherwise(norm), F.lit(r"\b0*(\d+)\b"), F.lit(1)), lambda x: x.try_cast("int"))
+    numbers = F.filter(found, lambda x: x.between(1, 20))
+    own = F.nullif(F.regexp_extract(label_slug, r"^(?:p|prova)\s*(\d+)$", 1), F.lit("")).try_cast("int")
+    at = F.array_position(numbers, own).cast("int")
+    without = F.when((scope == "") & (at > 0), F.concat(F.slice(numbers, F.lit(1), at - 1), F.slice(numbers, at + 1, F.size(numbers)))).otherwise(numbers)
+    return F.array_distinct(without)
 
 
 def assessments(plans: DataFrame, text: str = "plan") -> DataFrame:
-    """Assessments of a plan's text: label, label_slug, description, declared_unit_numbers (1 to 20). [F23]
+    """Assessments of a plan, in order: ord, label, label_slug, description, declared_unit_numbers. [F23]
 
-    A line like `P1: ... unidades 1 e 2` names one; repeated labels keep the first.
+    Only lines between the heading `Avalia\u00e7\u00e3o` and the next stop heading are read; a line that names no assessment goes on
+    with the one before it. Marks and items are running windows over a course's lines.
     """
-    lines = plans.select("course_id", F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("pos", "line"))
-    pattern = r"(?i)^\s*(?:[-*•]\s*)?(P\d|PF|PS|G\d|T\d|prova\s*\d|trabalho\s*\d|av\d)\s*[:\-–—]\s*(.+)$"
-    found = lines.filter(F.col("line").rlike(pattern)).select("course_id", "pos", collapse_ws(F.regexp_extract("line", pattern, 1)).alias("label"), collapse_ws(F.regexp_extract("line", pattern, 2)).alias("description"))
-    norm = match_text("description", "c")
-    spans = F.regexp_extract_all(norm, F.lit(r"unidades?(?: de aprendizagem)?((?:\s*(?:\d+|e|a|ate))+)"), F.lit(1))
-    numbers = F.flatten(F.transform(spans, lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))))
-    ranged = F.when(norm.rlike(r"unidades?\s*\d+\s*(?:a|ate)\s*\d+"), F.sequence(F.array_min(numbers), F.array_max(numbers))).otherwise(numbers)
-    df = found.withColumns({"declared_unit_numbers": F.array_sort(F.array_distinct(F.filter(ranged, lambda x: x.between(1, 20)))), "label_slug": slugify("label")})
-    first = df.groupBy("course_id", "label_slug").agg(F.min_by(F.struct("label", "description", "declared_unit_numbers"), "pos").alias("x"))
-    return first.select("course_id", "label_slug", "x.*")
+    lines = plans.select("course_id", F.posexplode(text_lines(text)).alias("pos", "line"))
+    bare = F.trim(F.replace(F.regexp_replace(strip("line"), r"^#+\s*", ""), F.lit("*"), F.lit("")))
+    lines = lines.withColumn("line", strip(F.regexp_replace(strip(bare), r"^[-•*]\s*", ""))).filter("line != ''")
+    course = W.partitionBy("course_id")
+    lines = lines.withColumn("__from", F.min(F.when(F.col("line").rlike(ASSESSMENT_START), F.col("pos"))).over(course)).filter("pos > __from")
+    lines = lines.withColumn("__to", F.min(F.when(F.col("line").rlike(ASSESSMENT_STOP), F.col("pos"))).over(course)).filter("__to is null or pos < __to")
+    part = lambda i: F.regexp_extract("line", ASSESSMENT_LINE, i)
+    lines = lines.withColumns({"__label": part(1), "ord": F.sum(F.col("line").rlike(ASSESSMENT_LINE).cast("int")).over(course.orderBy("pos"))}).filter("ord > 0")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("__label") != "", part(2)).otherwise(F.col("line")).alias("t")))), lambda x: x["t"])
+    items = lines.groupBy("course_id", "ord").agg(F.max("__label").alias("__label"), collapse_ws(F.array_join(said, " ")).alias("description"))
+    norm = match_text("__label")
+    number = F.nullif(F.regexp_extract(norm, r"^p\s*(\d+)$", 1), F.lit("")).cast("int")
+    label = F.when(number.isNotNull(), F.concat(F.lit("P"), number)).when(norm.isin("pf", "p final", "prova final", "exame final"), "PF").otherwise(F.upper(norm))
+    items = items.withColumn("label", label).withColumn("label_slug", match_text("label"))
+    return items.select("course_id", "ord", "label", "label_slug", "description", declared_units(match_text("description"), F.col("label_slug")).alias("declared_unit_numbers"))
 
 
 def assessment_aliases(label: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
-from coursemill.functions.text import clamp, match_text, slugify, tokens
+from coursemill.functions.text import clamp, match_text, slugify, tokens, unit_slug
 from coursemill.operators import catalog, documents, scoring, taxonomy, timeline
 from coursemill.sources.staging import staged
 
@@ -38,7 +38,7 @@ def matched_entries(entries: DataFrame, topics: DataFrame, units: DataFrame) ->
     df = df.join(first, ["course_id", "topic_slug"], "left")
     known = lambda c: F.coalesce(F.exists("units", lambda u: u["unit_slug"] == c), F.lit(False))
     sure = F.coalesce((_blank(F.col("topic_slug")) != "") & ~F.col("ambiguous") & (F.col("confidence") >= 0.45), F.lit(False))
-    df = df.withColumns({"__manual": F.when(known(F.col("manual_unit_slug")), F.col("manual_unit_slug")).otherwise(""), "__sure": sure, "__derived": F.when(known(F.col("topic_unit")), F.col("topic_unit")).otherwise(_blank(F.col("__first")))})
+    df = df.withColumns({"__manual": F.when((_blank(F.trim("manual_unit_slug")) != "") & known(unit_slug("manual_unit_slug")), unit_slug("manual_unit_slug")).otherwise(""), "__sure": sure, "__derived": F.when(known(F.col("topic_unit")), F.col("topic_unit")).otherwise(_blank(F.col("__first")))})
     whole, by_hand = _blank(F.col("category")).isin(*vocab.NO_TIMELINE, "references"), F.col("__manual") != ""
     by_topic = F.col("__sure") & (F.col("__derived") != "")
     return df.withColumns({
@@ -50,17 +50,34 @@ def matched_entries(entries: DataFrame, topics: DataFrame, units: DataFrame) ->
     }).drop("__manual", "__sure", "__derived", "__first", "topics", "units", "n_topics", "topic_unit", "best", "second", "confidence", "ambiguous", "unit_best", "unit_confidence", "unit_ambiguous", "unit_slug")
 
 
+def _cards(column: str) -> Column:
+    """Cards of `card_evidence` as card_norm and kind (card or topic)."""
+    return F.transform(column, lambda c: F.struct(c["normalized_title"].alias("card_norm"), F.replace(c["source_kind"], F.lit("-title"), F.lit("")).alias("kind")))
+
+
+def block_sessions(blocks: DataFrame) -> DataFrame:
+    """The sessions that lie in blocks as rows: course_id, block_id, session_id, ord, date, kind, text_norm, cards. [W7, J22]"""
+    each = blocks.select("course_id", "block_id", F.posexplode("sessions").alias("ord", "s"))
+    text = F.concat_ws(" ", F.col("s.label"), F.array_join(F.transform("s.signals", lambda x: match_text(x)), " "))
+    # a session's id tells it within its block only if its date is its own: its place is added
+    return each.select("course_id", "block_id", F.concat_ws("#", "s.session_id", "ord").alias("session_id"), "ord", "s.date", "s.kind", text.alias("text_norm"), _cards("s.card_evidence").alias("cards"))
+
+
 def entry_periods(matched: DataFrame, blocks: DataFrame, rows: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """The period of each entry that one holds for: course_id, entry_id, period, block_id. [J7, J8, J9, W1]
+    """The period of each entry that one holds for: course_id, entry_id, period, block_id. [J7, J8, J9, J22, W1]
 
     matched: `matched_entries`; blocks: course_id, block_id, block_ord, period_label, unit_slug, unit_confidence,
     primary_topic_slug, primary_topic_confidence, topic_slugs, topic_text; rows: course_id, block_id, row_index,
-    content_norm, ignored; sessions: course_id, block_id, session_id, ord, date, kind, text_norm. The blocks of the entry's unit
-    come first, then those without one; where a block has the entry's topic, only such blocks compete.
+    content_norm, ignored; sessions: course_id, block_id, session_id, ord, date, kind, text_norm, and cards if there are any. Blocks
+    as `timeline_index` returns them hold their sessions and cards themselves. The blocks of the entry's unit come first,
+    then those without one; where a block has the entry's topic, only such blocks compete.
     """
     key = ["entry_id"]
+    if sessions is None and "sessions" in blocks.columns:
+        sessions = staged(block_sessions(blocks), "sessions")
+    cards = {"block": None, "session": None}
     timed = matched.filter("not whole_course and not match_ambiguous and match_slug != '' and match_confidence >= 0.45")
-    combined = F.concat_ws(" ", "s_title", "s_raw", "s_category", "s_tags", "s_body")
+    combined = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (F.col("s_title"), F.col("s_raw"), F.col("s_category"), match_text("tags"), F.col("s_body"))))
     raw = F.concat_ws("\n", "title", "raw_target", "category", "tags", "markdown")
     timed = timed.withColumns({"exercise": scoring.is_exercise(), "s_all": combined}).withColumns(scoring.temporal_signals(F.col("s_all"), raw))
     texts = timed.select("course_id", "entry_id", "s_title", "s_body", "s_raw", "s_tags", "s_category", "s_manual_tags", "s_auto_tags", "s_legacy_tags", "s_all")
@@ -75,14 +92,22 @@ def entry_periods(matched: DataFrame, blocks: DataFrame, rows: DataFrame, sessio
     topic_rows = blocks.select("course_id", F.col("block_id").alias("row_index"), tokens("topic_text").alias("row_tokens"))
     tag_scores = scoring.overlap_scores(texts, topic_rows, key, {"s_manual_tags": 0.35, "s_auto_tags": 0.12, "s_legacy_tags": 0.05}).select("course_id", "entry_id", F.col("row_index").alias("block_id"), F.col("score").alias("tag_score"))
     facts = blocks.select("course_id", "block_id", _blank(F.col("unit_slug")).alias("block_unit"), "unit_confidence", "primary_topic_slug", "primary_topic_confidence", "topic_slugs")
-    scored = scoring.block_scores(pairs, facts, rows, scored_rows, key, tag_scores).join(blocks.select("course_id", "block_id", "block_ord", "period_label"), ["course_id", "block_id"])
+    if "card_evidence" in blocks.columns:
+        holders = blocks.select("course_id", "block_id", _cards("card_evidence").alias("cards")).filter(F.size("cards") > 0)
+        named = staged(holders.select("course_id", F.inline("cards")).distinct(), "cards")
+        whole = lambda *columns: texts.select("course_id", "entry_id", F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in columns)).alias("text_norm"))
+        hits = scoring.card_hits(whole("s_title", "s_body", "s_category", "s_tags", "s_raw"), named, key)
+        cards["block"] = scoring.held_cards(hits, holders, key, "block_id")
+        if sessions is not None and "cards" in sessions.columns:
+            cards["session"] = scoring.held_cards(scoring.card_hits(whole("s_all"), named, key), sessions.filter(F.size("cards") > 0), key, "session_id")
+    scored = scoring.block_scores(pairs, facts, rows, scored_rows, key, tag_scores, cards["block"]).join(blocks.select("course_id", "block_id", "block_ord", "period_label"), ["course_id", "block_id"])
     group = ["course_id", "entry_id", "tier"]
     if sessions is None:
         best = scored.select(*group, "block_id", F.lit(None).cast("double").alias("session_score"), F.lit(0.0).alias("session_card"))
     else:
         words = sessions.select("course_id", F.col("session_id").alias("row_index"), tokens("text_norm").alias("row_tokens"))
         said = scoring.overlap_scores(texts, words, key, {"s_all": 1.1}).withColumnRenamed("row_index", "session_id")
-        each = scoring.session_scores(pairs, sessions.drop("text_norm"), key, said)
+        each = scoring.session_scores(pairs, sessions.drop("text_norm", "cards"), key, said, cards["session"])
         best = each.groupBy(*group, "block_id").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "session_card")).alias("s")).select(*group, "block_id", F.col("s.score").alias("session_score"), F.col("s.session_card").alias("session_card"))
     won = scoring.period_winner(scored, best, group).filter("period != '' and not ambiguous and confidence >= 0.5")
     return won.groupBy("course_id", "entry_id").agg(F.min(F.struct("tier", "period", "block_id")).alias("w")).select("course_id", "entry_id", "w.period", "w.block_id")
@@ -94,7 +119,7 @@ def file_map(entries: DataFrame, topics: DataFrame, units: DataFrame, blocks: Da
 
     entries: course_id, entry_id, entry_ord, title, category, markdown, and as far as there: manual_tags, auto_tags, tags,
     raw_target, manual_unit_slug, manual_timeline_block_id, relevant_for_exam, include_in_bundle, the four Markdown paths.
-    blocks: as for `entry_periods`, and administrative.
+    blocks, rows: as `timeline_index` returns them, or as for `entry_periods`, and administrative.
     """
     for c in ("tags", "raw_target", "manual_unit_slug", "manual_timeline_block_id", *_PATHS):
         entries = _has(entries, c)
@@ -102,6 +127,7 @@ def file_map(entries: DataFrame, topics: DataFrame, units: DataFrame, blocks: Da
         entries = _has(entries, c, "boolean")
     for c in ("manual_tags", "auto_tags"):
         entries = _has(entries, c, "array<string>")
+    topics, units, blocks, rows = (staged(t, n) for t, n in ((topics, "topics"), (units, "units"), (blocks, "blocks"), (rows, "rows")))  # each is read many times
     matched = staged(matched_entries(entries, topics, units), "matched")
     periods = entry_periods(matched, blocks, rows, sessions).select("course_id", "entry_id", "period")
     by_hand = scoring.manual_blocks(entries.filter("manual_timeline_block_id != ''").select("course_id", "entry_id", F.col("manual_timeline_block_id").alias("manual_block"), _blank(F.col("manual_unit_slug")).alias("manual_unit")), blocks, ["course_id", "entry_id"])
@@ -137,7 +163,8 @@ def file_map_markdown(table: DataFrame, most: int = 12_000) -> DataFrame:
 
 def timeline_index(courses: DataFrame, topics: DataFrame, units: DataFrame, text: str = "schedule") -> tuple[DataFrame, DataFrame]:
     """(blocks, rows) of every course's schedule: blocks with period, topics, unit and doubts, rows with their block.
-    [job timeline_index: S7, F7, F8, W5, W6, J4, W2, J6, W3, W4]
+    Sessions and cards are arrays inside their block.
+    [job timeline_index: S7, F7, F8, W5, W6, W7, J22, J4, W2, J6, W3, W4]
 
     courses: course_id and the schedule's Markdown; topics, units: as for `matched_entries`.
     """
@@ -149,13 +176,13 @@ def timeline_index(courses: DataFrame, topics: DataFrame, units: DataFrame, text
     scored = scoring.topic_scores(seen, topics, rest=5).join(topics.select("course_id", "topic_ord", "kind"), ["course_id", "topic_ord"])
     scored = scored.withColumn("score", F.col("score") + F.when(F.col("kind") == "subtopic", 0.18).otherwise(0.0))
     best = staged(timeline.block_topic_candidates(scored), "topics")
-    df = blocks.join(best, ["course_id", "block_id"], "left").withColumns({"primary_topic_slug": _blank(F.col("primary_topic_slug")), "primary_topic_confidence": F.coalesce("primary_topic_confidence", F.lit(0.0)), "topic_ambiguous": F.coalesce("topic_ambiguous", F.lit(True))})
+    df = blocks.join(best, ["course_id", "block_id"], "left").withColumns({"primary_topic_slug": _blank(F.col("primary_topic_slug")), "primary_topic_label": _blank(F.col("primary_topic_label")), "primary_topic_confidence": F.coalesce("primary_topic_confidence", F.lit(0.0)), "topic_ambiguous": F.coalesce("topic_ambiguous", F.lit(True))})
     named = scoring.topic_unit(df.withColumns({"topic_slug": F.col("primary_topic_slug"), "unit_slug": _blank(F.col("primary_topic_unit"))}), topics, units)
     ready = named.withColumns({"topic_unit": F.when(F.col("primary_topic_slug") != "", F.col("derived_unit")).otherwise(""), "topic_confidence": F.col("primary_topic_confidence")}).drop("derived_unit", "unit_slug", "topic_slug", "primary_topic_unit")
     placed = timeline.block_units(ready, timeline.block_unit_scores(blocks.select("course_id", "block_id", "full_text", "topic_text"), scoring.unit_index(units)))
     filled = timeline.inherit_unit(placed)
     slugs = F.transform(F.coalesce("topic_candidates", F.array().cast("array<struct<topic_slug:string,score:double,confidence:double>>")), lambda x: x["topic_slug"])
-    return filled.withColumn("topic_slugs", slugs).drop("topic_unit", "topic_confidence", "full_text"), rows
+    return staged(filled.withColumn("topic_slugs", slugs).drop("topic_unit", "topic_confidence", "full_text"), "timeline"), rows
 
 
 def content_taxonomy(plans: DataFrame, glossaries: DataFrame, heads: DataFrame) -> DataFrame:
@@ -188,35 +215,63 @@ def tagged_entries(entries: DataFrame, topics: DataFrame, heads: DataFrame) -> D
     return taxonomy.auto_tags(entries, taxonomy.tag_catalog(candidates, heads))
 
 
-def course_map(plans: DataFrame, blocks: DataFrame, conflicts: DataFrame | None = None, most: int = 14_000) -> DataFrame:
+def assessment_context(plans: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Assessments of every course's plan with their date in its schedule and the units that they come too early for:
+    course_id, ord, label, label_slug, declared_unit_numbers, assessment_date, conflicts array<string>. [F23, J13, J14, A8]
+
+    plans: course_id, plan; rows, blocks: `timeline_index`.
+    """
+    found = timeline.assessments(plans)
+    key = ["course_id", "ord"]
+    dated = timeline.assessment_rows(found.select("course_id", "ord", "label", "label_slug", "declared_unit_numbers"), rows)
+    number = F.nullif(F.regexp_extract("unit_slug", r"^unidade(?:-de-aprendizagem)?-(\d+)\b", 1), F.lit("")).try_cast("int")
+    titles = taxonomy.plan_units(plans).groupBy("course_id", "unit_slug").agg(F.min_by("unit_title", "unit_ord").alias("unit_title"))
+    spans = timeline.unit_periods(blocks.filter("unit_slug != ''")).withColumn("unit_number", number).filter("unit_number is not null").join(titles, ["course_id", "unit_slug"], "left")
+    early = timeline.assessment_conflicts(dated, spans.select("course_id", "unit_number", "start"))
+    said = F.concat(F.col("label"), F.lit(" em "), F.col("assessment_date").cast("string"), F.lit(" antecede "), F.coalesce("unit_title", "unit_slug"), F.lit(" (previsto para "), timeline.period_range(), F.lit(")."))
+    lines = early.join(spans.drop("start"), ["course_id", "unit_number"]).join(found.select(*key, "label", "label_slug"), ["course_id", "label_slug"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_set(F.struct("unit_number", said.alias("line")))), lambda x: x["line"]).alias("conflicts"))
+    out = found.drop("description").join(dated.select(*key, "assessment_date"), key, "left").join(lines, key, "left")
+    return out.withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
+
+
+#: A course without units in its plan and its schedule (fixed text).
+NO_UNITS = "### Unidade 1 — [Nome da unidade]\n- [ ] Tópico 1.1\n- [ ] Tópico 1.2\n\n### Unidade 2 — [Nome da unidade]\n- [ ] Tópico 2.1 -> requer: Tópico 1.2\n- [ ] Tópico 2.2"
+
+
+def course_map(plans: DataFrame, blocks: DataFrame, assessed: DataFrame | None = None, most: int = 14_000) -> DataFrame:
     """The map of every course as Markdown: units with their topics, periods of units, conflicts of assessments; clamped.
     [job course_map: F21, A8, J14, T4]
 
-    plans: course_id, plan; blocks: `timeline_index`; conflicts: course_id, label, assessment_date, unit_number, start. A course
-    without units in its plan lists the units of its blocks, six topics each.
+    plans: course_id, plan; blocks: `timeline_index`; assessed: `assessment_context`. A course without units in its plan
+    lists the units of its blocks with the labels of six topics each; one without either has a form to fill in.
     """
     found = taxonomy.plan_units(plans)
     item = F.struct("unit_ord", F.coalesce("topic_ord", F.lit(0)).alias("topic_ord"), F.when(F.col("topic_text").isNull(), "- [ ] [tópicos a preencher]").otherwise(F.concat(F.repeat(F.lit("  "), F.coalesce("depth", F.lit(0))), F.lit("- [ ] "), "topic_text")).alias("line"))
     lines = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"])
     of_plan = found.groupBy("course_id", "unit_ord", "unit_slug", "unit_title").agg(F.array_join(lines(item), "\n").alias("body"))
     labelled = blocks.filter("unit_slug != ''")
-    of_blocks = labelled.join(of_plan.select("course_id").distinct(), "course_id", "left_anti").groupBy("course_id", "unit_slug").agg(F.min("block_ord").alias("unit_ord"), F.transform(F.array_sort(F.collect_list(F.when(F.col("primary_topic_slug") != "", F.struct("block_ord", "primary_topic_slug")))), lambda x: x["primary_topic_slug"]).alias("t"))
+    label = F.when(F.col("primary_topic_label") != "", F.struct("block_ord", "primary_topic_label"))
+    of_blocks = labelled.join(of_plan.select("course_id").distinct(), "course_id", "left_anti").groupBy("course_id", "unit_slug").agg(F.min("block_ord").alias("unit_ord"), F.transform(F.array_sort(F.collect_list(label)), lambda x: x["primary_topic_label"]).alias("t"))
     of_blocks = of_blocks.select("course_id", "unit_ord", "unit_slug", F.initcap(F.replace("unit_slug", F.lit("-"), F.lit(" "))).alias("unit_title"), F.coalesce(F.nullif(F.array_join(F.transform(F.slice(F.array_distinct("t"), 1, 6), lambda x: F.concat(F.lit("- [ ] "), x)), "\n"), F.lit("")), F.lit("- [ ] [tópicos a preencher]")).alias("body"))
     units = of_plan.unionByName(of_blocks)
     chapter = F.struct("unit_ord", "unit_slug", F.concat(F.lit("### "), "unit_title", F.lit("\n"), "body").alias("line"))
     structure = units.groupBy("course_id").agg(F.array_join(lines(chapter), "\n\n").alias("__units"))
-    spans = timeline.unit_periods(labelled)
-    label = F.when(F.col("start_label") == F.col("end_label"), F.col("start_label")).otherwise(F.concat_ws(" a ", F.substring_index("start_label", " a ", 1), F.substring_index("end_label", " a ", -1)))
-    periods = of_plan.join(spans.select("course_id", "unit_slug", label.alias("period")), ["course_id", "unit_slug"])
+    spans = timeline.unit_periods(labelled).select("course_id", "unit_slug", timeline.period_range().alias("period"))
     row = F.struct("unit_ord", F.concat(F.lit("| "), "unit_title", F.lit(" | "), "period", F.lit(" | `"), "unit_slug", F.lit("` |")).alias("line"))
-    table = periods.groupBy("course_id").agg(F.concat(F.lit("\n\n## Timeline — Cronograma x Unidades\n\n| Unidade | Período | Slug |\n|---|---|---|\n"), F.array_join(lines(row), "\n")).alias("__periods"))
-    out = structure.join(table, "course_id", "left")
-    if conflicts is None:
+    held = F.coalesce("period", F.lit("")) != ""
+    table = of_plan.join(spans, ["course_id", "unit_slug"], "left").groupBy("course_id").agg(F.transform(F.array_sort(F.collect_list(F.when(held, row))), lambda x: x["line"]).alias("r"), F.count("*").alias("n")).filter(F.size("r") > 0)
+    omitted = F.when(F.size("r") < F.col("n"), "\n\n> Unidades sem período explícito foram omitidas para manter o mapa enxuto.").otherwise("")
+    table = table.select("course_id", F.concat(F.lit("\n\n## Timeline — Cronograma x Unidades\n\n| Unidade | Período | Slug |\n|---|---|---|\n"), F.array_join("r", "\n"), omitted).alias("__periods"))
+    every = plans.select("course_id").union(blocks.select("course_id")).distinct()
+    out = every.join(structure, "course_id", "left").join(table, "course_id", "left")
+    if assessed is None:
         out = out.withColumn("__conflicts", F.lit(None).cast("string"))
     else:
-        said = F.struct("assessment_date", "unit_number", F.format_string("- %s em %s antecede a unidade %d (previsto para %s).", "label", F.col("assessment_date").cast("string"), "unit_number", F.col("start").cast("string")).alias("line"))
-        out = out.join(conflicts.groupBy("course_id").agg(F.concat(F.lit("\n\n## Conflitos de avaliação\n\n"), F.array_join(lines(said), "\n")).alias("__conflicts")), "course_id", "left")
-    text = F.concat(F.lit("## Estrutura do curso\n\n"), "__units", _blank(F.col("__periods")), _blank(F.col("__conflicts")), F.lit("\n"))
+        scope = F.when(F.size("declared_unit_numbers") > 0, F.array_join(F.transform("declared_unit_numbers", lambda n: F.concat(F.lit("U"), n)), ", ")).otherwise("escopo não explicitado")
+        said = F.struct("ord", F.concat(F.lit("- "), "label", F.lit(" ("), F.coalesce(F.col("assessment_date").cast("string"), F.lit("data não localizada")), F.lit(") -> "), scope, F.lit(": "), F.array_join("conflicts", " ")).alias("line"))
+        of_course = assessed.filter(F.size("conflicts") > 0).groupBy("course_id").agg(F.concat(F.lit("\n\n## Conflitos de avaliação x cronograma\n\n**Resumo das inconsistências detectadas**\n\n"), F.array_join(lines(said), "\n")).alias("__conflicts"))
+        out = out.join(of_course, "course_id", "left")
+    text = F.concat(F.lit("## Estrutura do curso\n\n"), F.coalesce("__units", F.lit(NO_UNITS)), _blank(F.col("__periods")), _blank(F.col("__conflicts")), F.lit("\n"))
     return out.select("course_id", clamp(text, most).alias("markdown"))
 
 

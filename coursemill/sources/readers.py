@@ -226,5 +226,5 @@ def index_documents(rows: DataFrame, key: str, order: list[str], columns: list[s
 
 
 def write_index(index: DataFrame, path: str, key: str = "course_id") -> None:
-    """Index rows as JSON, one folder per course. [S9]"""
-    index.write.mode("overwrite").partitionBy(key).json(path)
+    """Index rows as JSON, one folder per course; courses that are not among the rows stay as they are. [S9]"""
+    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)

@@ -7,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from coursemill.functions import html, text
+from coursemill.functions.text import match_text, parse_date
 from coursemill.operators import catalog, documents, progress, scoring, taxonomy, timeline
 from coursemill.sources import readers
 from coursemill.streaming import jobs
@@ -164,9 +165,67 @@ def test_session_signals(spark):
 
 
 def test_assessments(spark):
-    plan = spark.createDataFrame([("c", "P1: prova das unidades 1 e 2\nP2: unidades 3 a 5")], "course_id string, plan string")
-    a = {r.label: r.declared_unit_numbers for r in timeline.assessments(plan).collect()}
-    assert a == {"P1": [1, 2], "P2": [3, 4, 5]}
+    plan = "P1: unidades 9\n## Avalia\u00e7\u00e3o\n- **P1: unidades 1 a 3**\nP2: prova sobre conteudos\n2 e 4\n\nProva 3 - prova 3 com 3, 5 e 40\nG1: nada\nexame final abrange tudo de 02\nP 01: repete 7\nBibliografia\nP3: unidade 5"
+    plans = spark.createDataFrame([("c", plan), ("d", "P1: unidade 1"), ("e", None), ("f", "AVALIACAO\nP1: 1 2 1\nConteudo\nAvalia\u00e7\u00e3o\nP2: 3")], "course_id string, plan string")
+    got = [(r.course_id, r.label, r.label_slug, r.description, r.declared_unit_numbers) for r in timeline.assessments(plans).orderBy("course_id", "ord").collect()]
+    assert got == [
+        ("c", "P1", "p1", "unidades 1 a 3", [1, 3]),
+        ("c", "P2", "p2", "prova sobre conteudos 2 e 4", [2, 4]),
+        ("c", "PROVA 3", "prova 3", "prova 3 com 3, 5 e 40 G1: nada", [3, 5]),  # of its own number only the first goes
+        ("c", "PF", "pf", "abrange tudo de 02", [2]),
+        ("c", "P1", "p1", "repete 7", [7]),
+        ("f", "P1", "p1", "1 2 1", [2, 1]),
+    ]
+
+
+def test_manual_blocks(spark):
+    blocks = spark.createDataFrame([("c", "bloco-01", 1, "u", False), ("c", "bloco-03", 3, "v", False), ("c", "bloco-04", 4, "u", True), ("c", "x", 5, "u", None), ("d", "bloco-09", 1, "u", False)], "course_id string, block_id string, block_ord int, unit_slug string, administrative boolean")
+    rows = [(1, "bloco-01", "v", "bloco-01"), (2, "BLOCO-2", "u", "x"), (3, "bloco-02", "", "bloco-03"), (4, "bloco-2", None, "bloco-03"), (5, "bloco-03", "u", "bloco-03"), (6, "bloco-2", "v", None), (7, "2", "u", None), (8, " x ", "", "x"), (9, "bloco-0", "", None), (10, "bloco-09", "", None), (11, None, "", None)]
+    entries = spark.createDataFrame([("c", i, b, u) for i, b, u, _ in rows], "course_id string, entry_id int, manual_block string, manual_unit string")
+    got = {r.entry_id: r.block_id for r in scoring.manual_blocks(entries, blocks, ["entry_id"]).collect()}
+    assert got == {i: want for i, *_, want in rows}
+
+
+def test_write_index_keeps_other_courses(spark, tmp_path):
+    index = lambda *courses: spark.createDataFrame([(c, [1, 2]) for c in courses], "course_id string, items array<int>")
+    readers.write_index(index("a", "b"), f"{tmp_path}/index")
+    readers.write_index(index("b", "c").withColumn("items", F.array(F.lit(7))), f"{tmp_path}/index")
+    got = {r.course_id: r["items"] for r in spark.read.json(f"{tmp_path}/index").collect()}
+    assert got == {"a": [1, 2], "b": [7], "c": [7]}
+
+
+def test_unit_anchors(spark):
+    units = spark.createDataFrame([("c", 1, "u1", "Unidade 01: Logica formal", ["Provas por tabelas"]), ("c", 2, "u2", "Unidade 2 - Conjuntos", []), ("c", 3, "u3", "Outra", ["grafos"]), ("d", 1, "u1", "Unidade 1: x", None)], "course_id string, unit_ord int, unit_slug string, unit_title string, topics array<string>")
+    texts = ["aula de abertura", "logica formal", "unidade 1 e unidade 11", "grafos e provas por tabelas", "unidade 02", "conjuntos finitos", "un 2 fim", "", "tabelas"]
+    rows = spark.createDataFrame([("c", i, t, f"d{i // 2}" if i != 5 else " ") for i, t in enumerate(texts)], "course_id string, row_index int, content_norm string, date_text string")
+    scored = timeline.unit_anchor_scores(rows, timeline.unit_descriptors(units))
+    assert {(r.unit_ord, r.row_index): r.score for r in scored.collect()} == {(1, 1): 8 + 4 + 6, (1, 2): 10, (1, 3): 8 + 6, (2, 5): 8 + 4 + 3, (2, 6): 10, (3, 3): 8 + 3}
+    starts = timeline.unit_start_anchors(scored.withColumn("row_index", F.col("row_index").cast("long")))
+    got = {r.unit_slug: (r.start_row, r.end_row, r.period, r.dates) for r in timeline.unit_row_periods(starts, rows).collect()}
+    # the third unit starts before the second: the second ends at its last anchor
+    assert got == {"u1": (1, 4, "d0 a d2", "d0, d1, d2"), "u2": (5, 6, "d3", "d3"), "u3": (3, 3, "d1", "d1")}
+
+
+def test_sessions_and_cards(spark):
+    rows = [
+        (1, 0, "02/03/2026", "Card: Lógica de Hoare; Tópico: triplas"), (1, 1, "04/03/2026", "Aula 04/03/2026: triplas e provas; atividade assíncrona: ler Hoare"), (1, 2, "04/03/2026", "Aula 04/03/2026: triplas e provas"),
+        (1, 3, "", "async - vídeo {kind=g2}; 31/02/2026: data que não há"), (2, 4, "09/03/2026", "suspensa ⊘"), (2, 5, "nada", "texto solto"),
+    ]
+    df = spark.createDataFrame([("c", b, i, t, d) for b, i, d, t in rows], "course_id string, block_no int, row_index int, content string, date_text string")
+    df = df.withColumns({"content_norm": match_text("content"), "date_dt": parse_date("date_text"), "ignored": F.lit(False)})
+    got = {r.block_id: r for r in timeline.block_attributes(df).collect()}
+    one = got["bloco-01"]
+    assert [(c.source_kind, c.normalized_title, c.title) for c in one.card_evidence] == [("card-title", "logica de hoare", "Lógica de Hoare"), ("topic-title", "triplas", "triplas")]
+    said = [(s.session_id, str(s.date), s.kind, s.label, [c.title for c in s.card_evidence]) for s in one.sessions]
+    assert said == [
+        ("bloco-01-sessao-2026-03-02", "2026-03-02", "class", "card logica de hoare", ["Lógica de Hoare"]),
+        ("bloco-01-sessao-2026-03-04", "2026-03-04", "class", "triplas e provas", ["triplas"]),
+        ("bloco-01-sessao-2026-03-04", "2026-03-04", "class", "aula 04 03 2026 triplas e provas", ["triplas"]),
+        ("bloco-01-sessao-async-01", "None", "async", "ler hoare", []),
+        ("bloco-01-sessao-04", "None", "class", "data que nao ha", []),
+    ]
+    assert one.sessions[1].signals[:4] == ["2026-03-04", "aula", "triplas e provas", "triplas"] and "e provas" in one.sessions[1].signals
+    assert got["bloco-02"].sessions == [] and got["bloco-02"].card_evidence == []
 
 
 def test_documents(spark):

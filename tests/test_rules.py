@@ -253,7 +253,7 @@ def test_whole_course(spark):
     page = jobs.course_map(plans, blocks).first().markdown
     assert "### Unidade 1 - Lógica\n- [ ] Lógica de Hoare\n  - [ ] Pré e pós condições" in page and "| Unidade 1 - Lógica | 02/03/2026" in page
     bare = jobs.course_map(plans.limit(0), blocks).first().markdown
-    assert "### Unidade 01 Logica\n- [ ] logica-de-hoare" in bare
+    assert "### Unidade 01 Logica\n- [ ] Lógica de Hoare" in bare
     docs = spark.createDataFrame([("c", 1, "A lógica de Hoare é um formalismo para verificar programas com triplas.")], "course_id string, doc_ord long, markdown string")
     g = jobs.glossary(topics, docs, [("indutiv", "Definidos por regras.", "indução", "recursão")]).first().markdown
     assert "## Conjuntos indutivos\n**Definição:** Definidos por regras.\n**Sinônimos aceitos:** indução" in g and "**Definição:** A lógica de Hoare é um formalismo" in g
