@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coursemill.functions import html as H, text as X, vocab
 from coursemill.operators import documents as D, progress as P, scoring as S, timeline as T
-from coursemill.plans.tables import SQL_TOPICS, documents, query, sql_any, sql_norm, sql_tokens, table, topics
+from coursemill.plans.tables import SQL_TOPICS, SQL_WS, documents, query, sql_any, sql_norm, sql_tokens, table, topics
 from coursemill.plans.text_queries import SQL_ENTRIES, SQL_SCORED, SQL_UNIT_WORDS, course_units, sql_rows
 from coursemill.sources.staging import scratch
 from coursemill.streaming import jobs
@@ -165,25 +165,32 @@ def distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("assessments", """
-WITH p AS (SELECT o_orderkey AS course_id, (o_custkey % 4 + 1)::INT AS a, (o_custkey % 4 + 2)::INT AS b, o_orderdate::DATE AS d FROM orders)
-SELECT course_id, 'p1' AS label_slug, a || ',' || b AS units, d AS assessment_date, (SELECT count(*) FROM (VALUES (a), (b)) t(u) WHERE d < p.d + (u - 2)::INT)::INT AS n_conflicts FROM p""")
+WITH o AS (SELECT o_orderkey AS course_id, o_custkey % 5 AS k, (o_custkey % 4 + 1)::INT AS a, o_orderdate::DATE AS d, o_orderpriority AS c, left(o_orderpriority, 1)::INT AS p FROM orders),
+f AS (SELECT course_id, d, unnest(CASE k WHEN 0 THEN [{'ord': 1, 'l': 'P1', 'x': 'prova das unidades ' || a || ' a ' || (a + 2) || ' ' || c, 'n': [a, a + 2, p]}] WHEN 1 THEN [{'ord': 1, 'l': 'P2', 'x': 'prova 2 com ' || a || ' ' || c, 'n': [a, p]}]
+  WHEN 2 THEN [{'ord': 1, 'l': 'PROVA ' || a, 'x': c || ' conteudos ' || a || ', 30 e 2', 'n': [a, 2]}] ELSE [] END, recursive := true) FROM o)
+SELECT course_id, ord, lower(l) AS label_slug, x AS description, array_to_string(list_sort(list_distinct(n)), ',') AS units, d AS assessment_date, len(list_filter(list_distinct(n), lambda u: u BETWEEN 3 AND 5))::INT AS n_conflicts FROM f WHERE l IN ('P1', 'P2', 'PROVA 1', 'PROVA 2')""")
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessments of plans, their dates in schedules and conflicts with unit periods. F23, J13, J14"""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("course_id"), (F.col("o_custkey") % 4 + 1).cast("int").alias("a"), F.to_date("o_orderdate").alias("d"))
-    plans = o.select("course_id", F.format_string("Avaliação\nP1: prova escrita sobre as unidades %d e %d\n", "a", F.col("a") + 1).alias("plan"))
-    rows = o.select("course_id", F.lit(3).alias("row_index"), F.lit("aula com a p1 da turma").alias("content_norm"), F.col("d").alias("date_dt")).union(o.select("course_id", F.lit(1), F.lit("p10 sem relacao"), F.col("d")))
+    """Assessments of plans with sections, wrapped lines and scopes, their dates in schedules and conflicts with unit
+    periods. F23, J13, J14"""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("course_id"), (F.col("o_custkey") % 5).alias("k"), (F.col("o_custkey") % 4 + 1).cast("int").alias("a"), F.to_date("o_orderdate").alias("d"), X.collapse_ws("o_orderpriority").alias("c"))
+    sections = F.expr("""case k when 0 then concat('## **Avaliação**\n- P1: prova das unidades ', a, ' a ', a + 2, '\n  ', c, '\n\nPROVA FINAL - abrange tudo\nBIBLIOGRAFIA\nP3: unidade 5')
+      when 1 then concat('P9: unidades 4\nAVALIACAO\nnada\n* P 2 prova 2 com ', a, '\n', c) when 2 then concat('Avaliação do curso\nProva ', a, ': ', c, '\nconteudos ', a, ', 30 e 2\nCronograma\nP2: 1') else concat('P1: unidade ', a, '\nBibliografia') end""")
+    plans = o.select("course_id", F.concat(F.lit("Unidade 1\nP1: unidade 7\n"), sections).alias("plan"))
+    said = F.explode(F.array(F.struct(F.lit(3).alias("row_index"), F.lit("aula com a p1 e a prova 02 da turma").alias("content_norm")), F.struct(F.lit(1).alias("row_index"), F.lit("p10 sem relacao").alias("content_norm"))))
+    rows = o.select("course_id", F.col("d").alias("date_dt"), said.alias("r")).select("course_id", "r.*", "date_dt")
     periods = o.select("course_id", "d", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("unit_number")).select("course_id", "unit_number", F.expr("date_add(d, unit_number - 2)").alias("start"))
     dated = T.assessment_rows(T.assessments(plans), rows)
-    conflicts = T.assessment_conflicts(dated, periods).groupBy("course_id").agg(F.count("*").cast("int").alias("n_conflicts"))
-    return dated.join(conflicts, "course_id", "left").select("course_id", "label_slug", F.array_join("declared_unit_numbers", ",").alias("units"), "assessment_date", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
+    conflicts = T.assessment_conflicts(dated, periods).groupBy("course_id", "label_slug").agg(F.count("*").cast("int").alias("n_conflicts"))
+    return dated.join(conflicts, ["course_id", "label_slug"], "left").select("course_id", "ord", "label_slug", "description", F.array_join(F.array_sort("declared_unit_numbers"), ",").alias("units"), "assessment_date", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 
 @query("unit_starts", """
 WITH RECURSIVE g AS (SELECT l_orderkey AS course_id, l_suppkey % 3 AS u, list_sort(list(l_linenumber::BIGINT)) AS rows FROM lineitem GROUP BY ALL),
 a AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY u) AS i FROM g),
-f AS (SELECT course_id, u, i, rows[1] AS s, rows[1] AS before FROM a WHERE i = 1
-UNION ALL SELECT a.course_id, a.u, a.i, coalesce(list_filter(a.rows, lambda r: r > f.before)[1], a.rows[1]), greatest(f.before, coalesce(list_filter(a.rows, lambda r: r > f.before)[1], a.rows[1])) FROM f JOIN a ON a.course_id = f.course_id AND a.i = f.i + 1)
-SELECT course_id, u AS unit_ord, s AS start_row, lead(s) OVER (PARTITION BY course_id ORDER BY s, u) - 1 AS end_row FROM f""")
+f AS (SELECT course_id, u, i, rows, rows[1] AS s FROM a WHERE i = 1
+UNION ALL SELECT a.course_id, a.u, a.i, a.rows, coalesce(list_filter(a.rows, lambda r: r > f.s)[1], a.rows[1]) FROM f JOIN a ON a.course_id = f.course_id AND a.i = f.i + 1),
+n AS (SELECT *, lead(s) OVER (PARTITION BY course_id ORDER BY i) - 1 AS e FROM f)
+SELECT course_id, u AS unit_ord, s AS start_row, CASE WHEN e >= s THEN e ELSE rows[len(rows)] END AS end_row FROM n""")
 def unit_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the units of every schedule start and end. W8"""
     li = table(spark, sf_dir, "lineitem")
@@ -191,6 +198,71 @@ def unit_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.unit_start_anchors(anchors).select("course_id", "unit_ord", "start_row", "end_row")
 
 
+def _unit_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Units of courses titled by their topics, and the whole benchmark texts as schedule rows that may name a unit."""
+    t = topics(spark, sf_dir)
+    of_unit = t.groupBy("course_id", "unit_ord", "unit_slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_ord", "topic_label"))), lambda x: x["topic_label"]).alias("topics"))
+    titled = of_unit.withColumn("unit_title", F.concat(F.lit("Unidade 0"), F.col("unit_ord") + 1, F.when(F.col("unit_ord") == 0, ": ").otherwise(" "), F.get("topics", F.lit(0))))
+    named = F.concat(F.when(F.col("topic_ord") % 5 == 0, F.concat(F.lit("unidade "), F.pmod("topic_ord", F.lit(4)), F.lit(" "))).otherwise(""), F.coalesce("text", F.lit("")))
+    rows = t.select("course_id", F.col("topic_ord").alias("row_index"), X.match_text(named).alias("content_norm"), F.date_format(F.date_add(F.lit("2026-03-02").cast("date"), (F.col("topic_ord") / 40).cast("int")), "dd/MM/yyyy").alias("date_text"))
+    return titled.select("course_id", "unit_ord", "unit_slug", "unit_title", F.slice("topics", 1, 2).alias("topics")), rows
+
+
+@query("unit_row_periods", rf"""
+WITH RECURSIVE {SQL_TOPICS}, g AS (SELECT course_id, unit_ord, unit_slug, list(topic_label ORDER BY topic_ord) AS t FROM topics GROUP BY ALL),
+u AS (SELECT course_id, unit_ord, unit_slug, (unit_ord + 1)::VARCHAR AS num, {sql_norm("CASE WHEN unit_ord = 0 THEN t[1] ELSE 'Unidade 0' || (unit_ord + 1) || ' ' || t[1] END")} AS about0, 'Unidade 0' || (unit_ord + 1) || CASE WHEN unit_ord = 0 THEN ': ' ELSE ' ' END || t[1] AS title, list_filter(list_transform(t[1:2], lambda x: {sql_norm("x")}), lambda x: x <> '') AS phrases FROM g),
+u1 AS (SELECT *, {sql_norm("coalesce(nullif(regexp_extract(title, '[â€”“:-]\s*(.+)', 1), ''), title)")} AS about FROM u),
+u2 AS (SELECT *, list_distinct(list_filter(string_split(about, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$'))) AS tw,
+    list_distinct(list_concat(list_filter(string_split(about, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$')), flatten(list_transform(phrases, lambda p: list_filter(string_split(p, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$')))))) AS aw FROM u1),
+df AS (SELECT course_id, w, count(*) AS k FROM (SELECT course_id, unnest(aw) AS w FROM u2) GROUP BY ALL),
+u3 AS (SELECT u2.*, coalesce((SELECT list(w) FROM df WHERE df.course_id = u2.course_id AND list_contains(u2.aw, w) AND (k = 1 OR (k <= 2 AND length(w) >= 6))), []) AS dw FROM u2),
+r AS (SELECT course_id, topic_ord AS i, {sql_norm("CASE WHEN topic_ord % 5 = 0 THEN 'unidade ' || (topic_ord % 4) || ' ' ELSE '' END || coalesce(text, '')")} AS x, strftime((DATE '2026-03-02' + (topic_ord // 40)::INT)::DATE, '%d/%m/%Y') AS d FROM topics),
+s AS (SELECT u3.course_id, unit_ord, unit_slug, i, list_distinct(string_split(x, ' ')) AS ws, CASE WHEN regexp_matches(x, '\b(unidade|unid|un)\s*' || num || '\b') OR regexp_matches(x, '\bunidade\s*0' || num || '\b') THEN 10 ELSE 0 END
+    + CASE WHEN about <> '' AND contains(x, about) THEN 8 ELSE 0 END + CASE WHEN len(list_intersect(tw, string_split(x, ' '))) >= greatest(1, least(2, len(tw))) THEN 4 ELSE 0 END
+    + CASE WHEN len(list_filter(phrases, lambda p: contains(x, p))) > 0 THEN 8 ELSE 0 END + least(6, 3 * len(list_intersect(dw, string_split(x, ' ')))) AS score FROM u3 JOIN r ON r.course_id = u3.course_id WHERE x <> ''),
+a0 AS (SELECT course_id, unit_ord, unit_slug, list(i ORDER BY i) AS rows FROM s WHERE score >= 4 GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY unit_ord) AS n FROM a0),
+f AS (SELECT *, rows[1] AS st FROM a WHERE n = 1 UNION ALL SELECT a.*, coalesce(list_filter(a.rows, lambda q: q > f.st)[1], a.rows[1]) FROM f JOIN a ON a.course_id = f.course_id AND a.n = f.n + 1),
+e AS (SELECT *, lead(st) OVER (PARTITION BY course_id ORDER BY n) - 1 AS nx FROM f), z AS (SELECT *, CASE WHEN nx >= st THEN nx ELSE rows[len(rows)] END AS en FROM e),
+p AS (SELECT z.course_id, unit_slug, st, en, list(d ORDER BY i) FILTER (i IS NOT NULL) AS ds FROM z LEFT JOIN r ON r.course_id = z.course_id AND r.i BETWEEN st AND en GROUP BY ALL)
+SELECT course_id, unit_slug, st AS start_row, en AS end_row, CASE WHEN ds IS NULL THEN '' WHEN ds[1] = ds[len(ds)] THEN ds[1] ELSE ds[1] || ' a ' || ds[len(ds)] END AS period, len(list_distinct(coalesce(ds, [])))::INT AS n_dates FROM p""")
+def unit_row_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the rows of every schedule to the periods of its units: scores, starts, ends and dates. W8"""
+    units, rows = _unit_rows(spark, sf_dir)
+    starts = T.unit_start_anchors(T.unit_anchor_scores(rows, T.unit_descriptors(units)))
+    found = T.unit_row_periods(starts, rows)
+    return found.select("course_id", "unit_slug", "start_row", "end_row", "period", F.when(F.col("dates") == "", 0).otherwise(F.size(F.split("dates", ", "))).alias("n_dates"))
+
+
+_SESSION_TEXT = "CASE turn % 4 WHEN 0 THEN 'Aula ' || d || ': ' || x WHEN 1 THEN 'atividade assíncrona: ' || x WHEN 2 THEN 'Card: ' || w || '; encontro ' || d || ' ' || x ELSE 'Tópico: ' || w || '; async - ' || x END"
+
+
+@query("block_sessions", rf"""
+WITH c AS (SELECT conv_id, turn, strftime((DATE '2026-03-02' + turn::INT)::DATE, '%d/%m/%Y') AS d, (DATE '2026-03-02' + turn::INT)::DATE AS dt, replace({SQL_WS.format("regexp_replace(coalesce(text, ''), '[;:⊘{}|]', ' ', 'g')")}, chr(9), ' ') AS x FROM conversations),
+w AS (SELECT *, array_to_string(string_split(x, ' ')[1:2], ' ') AS w, {sql_norm("x")} AS n FROM c),
+t AS (SELECT conv_id, turn // 3 AS block_no, turn, dt, w, {sql_norm("w")} AS wn, n, x FROM w),
+-- the date of the row starts a session of its own, whose text is all up to the next semicolon
+s AS (SELECT conv_id, block_no, turn, 1 AS k, 'class' AS kind, dt AS date, CASE turn % 4 WHEN 0 THEN 'aula ' || {sql_norm("strftime(dt, '%d/%m/%Y')")} || ' ' || n WHEN 1 THEN 'atividade assincrona ' || n WHEN 2 THEN 'card ' || wn ELSE 'topico ' || wn END AS label FROM t
+  UNION ALL SELECT conv_id, block_no, turn, 0, 'class', dt, CASE WHEN n <> '' THEN n WHEN turn % 4 = 0 THEN 'aula' ELSE 'encontro' END FROM t WHERE turn % 4 IN (0, 2)
+  UNION ALL SELECT conv_id, block_no, turn, 2, 'async', NULL, CASE WHEN n <> '' THEN n ELSE 'async' END FROM t WHERE turn % 4 = 3),
+l AS (SELECT conv_id, block_no, turn, k, kind, date, trim(label) AS label FROM s),
+m AS (SELECT *, count(*) FILTER (kind = 'async') OVER z AS na, count(*) FILTER (kind = 'class') OVER z AS nc FROM l WINDOW z AS (PARTITION BY conv_id, block_no ORDER BY turn, k))
+SELECT conv_id, block_no, kind, date, label, 'bloco-' || CASE WHEN block_no < 10 THEN '0' ELSE '' END || block_no || '-sessao-' || CASE WHEN kind = 'async' THEN 'async-' || CASE WHEN na < 10 THEN '0' ELSE '' END || na ELSE date::VARCHAR END AS session_id,
+  (SELECT count(DISTINCT (t.turn % 4, t.wn, t.w)) FROM t WHERE t.conv_id = m.conv_id AND t.block_no = m.block_no AND t.turn % 4 IN (2, 3) AND t.wn <> '' AND len(list_filter(string_split(t.wn, ' '), lambda y: length(y) >= 4)) > 0
+    AND (contains(m.label, t.wn) OR (len(list_distinct(list_filter(string_split(t.wn, ' '), lambda y: length(y) >= 4))) = 1 AND len(list_filter(string_split(t.wn, ' '), lambda y: length(y) >= 4)) = 1 AND list_contains(string_split(m.label, ' '), list_filter(string_split(t.wn, ' '), lambda y: length(y) >= 4)[1]))
+      OR len(list_intersect(list_filter(string_split(t.wn, ' '), lambda y: length(y) >= 4), string_split(m.label, ' '))) >= 2))::INT AS n_cards FROM m""")
+def block_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the blocks of every conversation's schedule (three turns a block, whole texts), with the cards that they
+    hold. W7, J22, F5, F6, F27"""
+    c = table(spark, sf_dir, "conversations").withColumn("x", X.collapse_ws(F.regexp_replace(F.coalesce("text", F.lit("")), "[;:⊘{}|]", " ")))
+    day = F.expr("date_add(date'2026-03-02', cast(turn as int))")
+    c = c.withColumns({"date_text": F.date_format(day, "dd/MM/yyyy"), "w": F.array_join(F.slice(F.split("x", " "), 1, 2), " ")}).withColumn("d", F.col("date_text"))
+    content = F.expr(_SESSION_TEXT)
+    rows = c.select(F.col("conv_id").alias("course_id"), F.expr("cast(turn div 3 as int)").alias("block_no"), F.col("turn").alias("row_index"), content.alias("content"), X.match_text(content).alias("content_norm"), "date_text", day.alias("date_dt"), F.lit(False).alias("ignored"))
+    blocks = T.block_attributes(rows)
+    each = blocks.select("course_id", "block_ord", F.inline("sessions"))
+    return each.select(F.col("course_id").alias("conv_id"), F.col("block_ord").alias("block_no"), "kind", "date", "label", "session_id", F.size("card_evidence").alias("n_cards"))
+
+
 @query("session_numbers", """
 WITH s AS (SELECT user_id, event_type, ts::DATE AS d, min(event_id) AS o FROM events GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, CASE WHEN event_type = 'error' THEN 'async' ELSE 'class' END ORDER BY o) AS k FROM s)
 SELECT user_id, event_type AS label, d AS date, CASE WHEN event_type = 'error' THEN user_id || '-async-' || k ELSE user_id || '-class-' || d END AS session_id FROM n""")
@@ -303,12 +375,16 @@ def reconciled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("manual_blocks", """
-WITH b AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS u, o_orderpriority = '1-URGENT' AS adm FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY c, u ORDER BY k) AS n FROM b WHERE NOT adm)
-SELECT c_custkey, n.k AS block_id FROM customer LEFT JOIN n ON c = c_custkey AND u = 'F' AND n = 2""")
+WITH b AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS u, o_orderpriority = '1-URGENT' AS adm FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY c, u ORDER BY k) AS nu, row_number() OVER (PARTITION BY c ORDER BY k) AS nc FROM b WHERE NOT adm),
+m AS (SELECT c_custkey, c_custkey % 3 + 1 AS o, c_custkey % 4 = 0 AS any_unit FROM customer)
+SELECT m.c_custkey, CASE WHEN m.c_custkey % 5 = 0 THEN (SELECT max(k) FROM b WHERE b.c = m.c_custkey) ELSE n.k END AS block_id FROM m LEFT JOIN n ON n.c = m.c_custkey AND CASE WHEN any_unit THEN n.nc ELSE n.nu END = m.o AND (any_unit OR n.u = 'F')""")
 def manual_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second teaching block of a unit, named by hand. J12, W18"""
+    """Blocks named by hand: by id, or as the n-th teaching block of a unit or of the course. J12, W18"""
     blocks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("course_id"), F.concat(F.lit("b"), "o_orderkey").alias("block_id"), F.col("o_orderkey").alias("block_ord"), F.col("o_orderstatus").alias("unit_slug"), (F.col("o_orderpriority") == "1-URGENT").alias("administrative"))
-    e = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("course_id"), F.lit("2").alias("manual_block"), F.lit("F").alias("manual_unit"))
+    last = blocks.groupBy("course_id").agg(F.max_by("block_id", "block_ord").alias("last"))
+    ordinal = F.concat(F.when(F.col("c_custkey") % 2 == 0, "bloco-0").otherwise("BLOCO-"), F.col("c_custkey") % 3 + 1)
+    e = table(spark, sf_dir, "customer").withColumn("course_id", F.col("c_custkey")).join(last, "course_id", "left")
+    e = e.select("c_custkey", "course_id", F.when(F.col("c_custkey") % 5 == 0, F.col("last")).otherwise(ordinal).alias("manual_block"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise("F").alias("manual_unit"))
     return S.manual_blocks(e, blocks, ["c_custkey"]).select("c_custkey", F.substring("block_id", 2, 20).cast("long").alias("block_id"))
 
 

@@ -12,7 +12,7 @@ from coursemill.plans import jobs
 from coursemill.plans.tables import documents, query, sql_norm, table, topics
 from coursemill.plans.text_queries import RULES, SQL_ENTRIES, SQL_MATCH, SQL_UNIT_SCORES, SQL_UNIT_WORDS, sql_rows
 from coursemill.sources import readers
-from coursemill.sources.staging import scratch
+from coursemill.sources.staging import scratch, staged
 
 _CATEGORY = "case doc_id % 6 when 0 then 'provas' when 1 then 'material-de-aula' when 2 then 'cronograma' when 3 then 'outros' when 4 then 'trabalhos' else 'codigo-professor' end"
 
@@ -124,11 +124,28 @@ def tagged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.tagged_entries(entries, topics(spark, sf_dir), heads).select("course_id", "entry_id", F.array_join("auto_tags", "; ").alias("auto_tags"))
 
 
+def _course_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of the courses that have schedules: their units and topics, and a first assessment over two units."""
+    t = topics(spark, sf_dir)
+    line = F.struct("topic_ord", F.format_string("%d.%d. %s", F.col("unit_ord") + 1, F.col("topic_ord") + 1, F.col("topic_label")).alias("t"))
+    units = t.filter("topic_label != ''").groupBy("course_id", "unit_ord").agg(F.min_by("topic_label", "topic_ord").alias("first"), F.array_sort(F.collect_list(line)).alias("l"))
+    unit = F.struct("unit_ord", F.concat(F.format_string("### Unidade %d - ", F.col("unit_ord") + 1), "first", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("t"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(unit)), lambda x: x["t"]), "\n")
+    return units.groupBy("course_id").agg(F.concat(body, F.lit("\n## Avaliação\nP1: prova das unidades 2 e 3\nBibliografia\n")).alias("plan"))
+
+
 @query("course_maps")
 def course_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of courses with plans (parts) and of those with schedules alone. Job course_map: F21, A8, T4"""
-    blocks, _ = jobs.timeline_index(_courses(spark, sf_dir), topics(spark, sf_dir), _units(spark, sf_dir))
-    return jobs.course_map(_plans(spark, sf_dir), blocks)
+    """Maps of courses with plans and schedules, with periods and early assessments, and of courses with plans alone (parts).
+    Job course_map: F21, F23, A8, J13, J14, T4"""
+    plans = staged(_course_plans(spark, sf_dir), "plans")
+    none = plans.select("course_id", F.lit(None).cast("string").alias("glossary"), F.lit(None).cast("string").alias("heading"))
+    named = staged(jobs.content_taxonomy(plans, none.drop("heading"), none.drop("glossary")), "taxonomy")
+    units = named.groupBy("course_id", "unit_ord", "unit_slug", "unit_title").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_ord", "topic_label"))), lambda x: x["topic_label"]).alias("topics"))
+    exam = _courses(spark, sf_dir).withColumn("schedule", F.concat("schedule", F.lit("\n| 02/03/2026 | Prova P1 |")))
+    blocks, rows = jobs.timeline_index(exam, named, units)
+    every = plans.union(_plans(spark, sf_dir))
+    return jobs.course_map(every, blocks, jobs.assessment_context(every, rows, blocks))
 
 
 @query("glossaries")

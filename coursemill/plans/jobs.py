@@ -168,6 +168,7 @@ def timeline_index(courses: DataFrame, topics: DataFrame, units: DataFrame, text
 
     courses: course_id and the schedule's Markdown; topics, units: as for `matched_entries`.
     """
+    topics, units = staged(topics, "topics"), staged(units, "units")
     cut = staged(timeline.segment_blocks(timeline.candidate_rows(timeline.read_schedule(courses, text))), "rows")
     rows = cut.select("course_id", F.format_string("bloco-%02d", "block_no").alias("block_id"), "row_index", "content", "content_norm", "date_text", "date_dt", "kind", "ignored")
     blocks = staged(timeline.block_attributes(cut), "blocks")

@@ -252,6 +252,11 @@ def test_whole_course(spark):
     assert text["c"].startswith("| # | Título") and "| 1 | Aula de Hoare |" in text["c"]
     page = jobs.course_map(plans, blocks).first().markdown
     assert "### Unidade 1 - Lógica\n- [ ] Lógica de Hoare\n  - [ ] Pré e pós condições" in page and "| Unidade 1 - Lógica | 02/03/2026" in page
+    exam = plans.withColumn("plan", F.concat("plan", F.lit("\n## Avaliação\nP1: prova escrita\nsobre as unidades 1 e 2\nP2: unidade 2"))).union(spark.createDataFrame([("e", "nada")], "course_id string, plan string"))
+    said = rows.union(rows.filter("row_index = 1").withColumns({"content_norm": F.lit("prova p1"), "row_index": F.lit(9)}).select(*rows.columns))
+    maps = {r.course_id: r.markdown for r in jobs.course_map(exam, blocks, jobs.assessment_context(exam, said, blocks)).collect()}
+    assert "## Conflitos de avaliação x cronograma\n\n**Resumo das inconsistências detectadas**\n\n- P1 (2026-03-04) -> U1, U2: P1 em 2026-03-04 antecede Unidade 2 - Conjuntos (previsto para " in maps["c"] and maps["c"].count("antecede") == 1
+    assert maps["e"] == f"## Estrutura do curso\n\n{jobs.NO_UNITS}\n"
     bare = jobs.course_map(plans.limit(0), blocks).first().markdown
     assert "### Unidade 01 Logica\n- [ ] Lógica de Hoare" in bare
     docs = spark.createDataFrame([("c", 1, "A lógica de Hoare é um formalismo para verificar programas com triplas.")], "course_id string, doc_ord long, markdown string")
