@@ -14,6 +14,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
+from coursemill.operators.dealing import deal
 from coursemill.functions.text import date_range_signal, headings, lead_text, match_text, session_signals, tokens
 
 #: Text fields of a document's signals with their weight for topics (fixed values).
@@ -25,8 +26,8 @@ PHRASE_LADDER = [("headings", 3.0), ("lead", 2.8), ("title", 2.7), ("body", 1.4)
 PHRASE_SHARES = {"headings": 0.55, "lead": 0.48, "body": 0.18, "title": 0.45, "manual_tags": 0.35, "auto_tags": 0.04, "legacy_tags": 0.02, "raw": 0.18}
 TOKEN_WEIGHTS = {"body": 0.32, "lead": 0.7, "headings": 0.8, "title": 0.55, "manual_tags": 0.45, "auto_tags": 0.05, "legacy_tags": 0.02, "raw": 0.2}
 DISTINCT_POINTS = [("body", 0.25, 0.7), ("title", 0.15, 0.35), ("tags", 0.12, 0.3), ("raw", 0.06, 0.15)]
-#: Courses' topics or units (rows) that are broadcast at most, about 1 KB each; parts that a course is dealt to beyond.
-MOST_BROADCAST, SALTS = 100_000, 16
+#: Courses' topics or units (rows) that are broadcast at most, about 1 KB each; beyond, courses are dealt by their weight.
+MOST_BROADCAST = 100_000
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -36,8 +37,8 @@ def with_course(entries: DataFrame, rows: DataFrame, side: DataFrame, by: str, h
     """Each entry with its course's row of `side`, which was made of `rows`; of other courses' entries by `how`."""
     if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return entries.join(F.broadcast(side), "course_id", how)
-    dealt = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return entries.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, ["course_id", "__salt"], how).drop("__salt")
+    dealt, sent = deal(entries, side, by)
+    return dealt.join(sent, ["course_id", "__part"], how).drop("__part")
 
 
 def signals(entries: DataFrame, markdown: str = "markdown") -> DataFrame:

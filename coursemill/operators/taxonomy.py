@@ -37,13 +37,18 @@ def _holds(norm: Column, words: list[str], start: str = "", end: str = "") -> Co
     return norm.rlike(f"{start}(?:{'|'.join(map(re.escape, words))}){end}")
 
 
+def topic_rule(norm: Column, slug: Column, general: Column, structural: Column, weak_start: Column, tool: Column, book: Column) -> Column:
+    """Whether a heading or term may be a topic, by what the course's vocabulary tells of it. [P14]"""
+    weak = norm.isin(vocab.WEAK_HEADINGS) | structural | weak_start | _holds(norm, vocab.GOAL_STARTS, "^") | (F.size(F.split(norm, " ")) > 6)
+    paper = book | norm.rlike(r"\b(?:19|20)\d{2}\b") | (F.regexp_count(norm, F.lit(r"\b[a-z]\b")) >= 3)
+    goal = _holds(norm, vocab.GOAL_ENDS, end="$") & (F.regexp_count(norm, F.lit(" ")) >= 5)
+    return ~(general | (F.length(slug) < 4) | weak | tool | paper | goal)
+
+
 def is_topic_candidate(text: Column, profile: Profile = DEFAULT) -> Column:
-    """Whether a heading or term may be a topic. [P14]"""
+    """Whether a heading or term may be a topic, by one vocabulary for all courses. [P14]"""
     norm, slug = match_text(text, "c"), slugify(text)
-    weak = norm.isin(vocab.WEAK_HEADINGS + profile.structural_headings) | _holds(norm, profile.weak_starts + vocab.GOAL_STARTS, "^") | (F.size(F.split(norm, " ")) > 6)
-    book = _holds(norm, profile.bibliography_markers) | norm.rlike(r"\b(?:19|20)\d{2}\b") | (F.regexp_count(norm, F.lit(r"\b[a-z]\b")) >= 3)
-    goal = (_holds(norm, vocab.GOAL_ENDS, end="$") & (F.regexp_count(norm, F.lit(" ")) >= 5))
-    return ~(slug.isin(profile.generic_slugs) | (F.length(slug) < 4) | weak | _holds(norm, profile.known_tools) | book | goal)
+    return topic_rule(norm, slug, slug.isin(profile.generic_slugs), norm.isin(profile.structural_headings), _holds(norm, profile.weak_starts, "^"), _holds(norm, profile.known_tools), _holds(norm, profile.bibliography_markers))
 
 
 def strip_topic_prefix(text: Column) -> Column:
@@ -175,14 +180,15 @@ def heading_support(heads: DataFrame, topics: DataFrame, profile: Profile = DEFA
     return best.select(*heads.columns, F.col("b.topic_slug").alias("topic_slug"), (-F.col("b.neg")).alias("points"))
 
 
-def supported_headings(heads: DataFrame, base: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """The headings (course_id, text) that a base candidate of their course (course_id, text) stands behind. [A5]"""
+def supported_headings(heads: DataFrame, base: DataFrame, profile: Profile = DEFAULT, cue: Column | None = None) -> DataFrame:
+    """The headings (course_id, text) that a base candidate of their course (course_id, text) stands behind; `cue` tells of a
+    heading whether it holds a cue of its course. [A5]"""
     h = heads.withColumns({"l_norm": match_text("text", "c"), "l_stems": stems("text")})
     b = base.select("course_id", match_text("text", "c").alias("r_norm"), stems("text").alias("r_stems")).distinct()
     pairs = h.join(near_texts(_normed(heads, "text"), _normed(base, "text")), ["course_id", "l_norm"]).join(b, ["course_id", "r_norm"])
     n, mine, other = F.size(F.array_intersect("l_stems", "r_stems")), F.size("l_stems"), F.size("r_stems")
     inside = F.col("l_norm").contains(F.col("r_norm")) | F.col("r_norm").contains(F.col("l_norm"))
-    cue = (n == 1) & mine.between(2, 4) & _holds(F.col("l_norm"), profile.overlap_cues)
+    cue = (n == 1) & mine.between(2, 4) & (_holds(F.col("l_norm"), profile.overlap_cues) if cue is None else cue)
     most = (n >= 2) & (((n == other) & (mine - n <= 1)) | ((n == mine) & (other - n <= 1)))
     return pairs.filter(inside | cue | most).select(*heads.columns).distinct()
 

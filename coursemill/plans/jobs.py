@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
 from coursemill.functions.text import clamp, match_text, slugify, tokens, unit_slug
-from coursemill.operators import catalog, documents, scoring, taxonomy, timeline
+from coursemill.operators import catalog, documents, profiles, scoring, taxonomy, timeline
 from coursemill.sources.staging import staged
 
 _PATHS = ["approved_markdown", "curated_markdown", "base_markdown", "advanced_markdown"]
@@ -207,13 +207,16 @@ def content_taxonomy(plans: DataFrame, glossaries: DataFrame, heads: DataFrame)
     return out.withColumn("aliases", F.array_sort(F.array_distinct(F.concat("aliases", more)))).drop("__heads")
 
 
-def tagged_entries(entries: DataFrame, topics: DataFrame, heads: DataFrame) -> DataFrame:
-    """Entries with their automatic tags from the catalogue of their course. [job taxonomy_and_tags: A5, A6]
+def tagged_entries(entries: DataFrame, topics: DataFrame, heads: DataFrame, sources: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Entries with their automatic tags from the catalogue of their course, by its own vocabulary.
+    [job taxonomy_and_tags: A3, A4, U4, P14, A5, A6]
 
-    entries: course_id, entry_id, title, head_text, category; topics: `content_taxonomy`; heads: course_id, text.
+    entries: course_id, entry_id, title, head_text, category; topics: `content_taxonomy`; heads: course_id, text; sources:
+    course_id, source, text (plan, map, glossary, headings); overrides: course_id, kind, word.
     """
     candidates = topics.select("course_id", F.col("topic_label").alias("text"))
-    return taxonomy.auto_tags(entries, taxonomy.tag_catalog(candidates, heads))
+    vocabulary = profiles.course_vocabulary(entries.select("course_id").union(topics.select("course_id")), sources, heads.select("course_id", F.col("text").alias("line")), overrides)
+    return taxonomy.auto_tags(entries, profiles.course_tags(candidates, heads, vocabulary))
 
 
 def assessment_context(plans: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:

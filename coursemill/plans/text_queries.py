@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coursemill.functions import text as X, vocab
-from coursemill.operators import catalog, documents as D, scoring, taxonomy
+from coursemill.operators import catalog, documents as D, profiles, scoring, taxonomy
 from coursemill.plans.tables import SQL_LINES, SQL_TOPICS, SQL_WS, documents, query, sql_any, sql_candidate, sql_norm, sql_slug, sql_stems, sql_tokens, table, topics
 
 _LEAD = SQL_WS.format("coalesce(text, '')")
@@ -281,6 +281,43 @@ def tag_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.tag_catalog(c, heads).select("course_id", F.array_join("tags", " ").alias("tags"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct parts of whole texts between marks, as headings of their course."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.explode(F.split(F.coalesce("text", F.lit("")), r"[.!?;:,\n]")).alias("text"))
+    return d.select("course_id", F.trim("text").alias("text")).filter("text != '' and course_id is not null").distinct()
+
+
+_SQL_OWN = f"{sql_candidate('t')} AND NOT coalesce(contains(n, tool), false) AND n IS DISTINCT FROM stop AND g <> {sql_slug('course_id')}"
+
+
+@query("course_tag_catalogs", rf"""
+WITH {SQL_TOPICS}, v0 AS (SELECT course_id, arg_min(text, topic_ord) AS a, arg_max(alias, topic_ord) AS stop0 FROM topics GROUP BY course_id),
+v AS (SELECT course_id, (SELECT arg_min(x, (-length(x), x)) FROM (SELECT unnest(string_split({sql_norm('a')}, ' ')) AS x)) AS tool, {sql_norm('stop0')} AS stop FROM v0),
+c AS (SELECT course_id, topic_label AS t FROM topics UNION SELECT course_id, alias FROM topics),
+h AS (SELECT DISTINCT source AS course_id, trim(unnest(string_split_regex(coalesce(text, ''), '[.!?;:,\n]'))) AS t FROM documents WHERE source IS NOT NULL), h1 AS (SELECT * FROM h WHERE t <> ''),
+q0 AS (SELECT course_id, w, count(*) AS k FROM (SELECT course_id, unnest({sql_tokens(sql_norm('t'))}) AS w FROM h1) GROUP BY ALL), q AS (SELECT course_id, w, row_number() OVER (PARTITION BY course_id ORDER BY k DESC, w) AS k FROM q0), cues AS (SELECT course_id, list(w) AS ws FROM q WHERE k <= 24 GROUP BY course_id),
+cn AS (SELECT c.*, tool, stop, {sql_norm('t')} AS n, {sql_slug('t')} AS g FROM c JOIN v USING (course_id)), hn0 AS (SELECT h1.*, tool, stop, {sql_norm('t')} AS n, {sql_slug('t')} AS g FROM h1 LEFT JOIN v USING (course_id)),
+base AS (SELECT course_id, t, n FROM cn WHERE {_SQL_OWN}),
+hg AS (SELECT course_id, t, n FROM hn0 WHERE {_SQL_OWN}),
+bs AS (SELECT DISTINCT course_id, n, {sql_stems('t')} AS s FROM base), hs AS (SELECT course_id, t, n, {sql_stems('t')} AS s FROM hg),
+j AS (SELECT hs.course_id, t, hs.n AS hn, bs.n AS bn, len(hs.s) AS mine, len(bs.s) AS other, len(list_intersect(hs.s, bs.s)) AS k FROM hs JOIN bs USING (course_id) WHERE len(hs.s) > 0 AND len(bs.s) > 0),
+ok AS (SELECT DISTINCT j.course_id, t FROM j LEFT JOIN cues USING (course_id) WHERE contains(hn, bn) OR contains(bn, hn) OR (k = 1 AND mine BETWEEN 2 AND 4 AND ({sql_any('hn', vocab.OVERLAP_CUES)} OR len(list_filter(ws, lambda x: contains(hn, x))) > 0)) OR (k >= 2 AND ((k = other AND mine - k <= 1) OR (k = mine AND other - k <= 1)))),
+tags AS (SELECT course_id, 'topico:' || {sql_slug('t')} AS tag FROM (SELECT course_id, t FROM base UNION SELECT * FROM ok UNION SELECT course_id, t FROM hg WHERE course_id NOT IN (SELECT course_id FROM base))
+  UNION SELECT course_id, 'ferramenta:' || {sql_slug('tool')} FROM hn0 WHERE contains(n, tool)
+  UNION SELECT course_id, 'ferramenta:' || {sql_slug('k.tool')} FROM hn0 JOIN (SELECT unnest({vocab.KNOWN_TOOLS}) AS tool) k ON contains(n, trim(regexp_replace(k.tool, '[^a-z0-9 ]', ' ', 'g'))))
+SELECT course_id, len(list_distinct(list(tag)))::INT AS n_tags, array_to_string(list_sort(list_distinct(list(tag))), ' ') AS tags FROM tags WHERE tag NOT LIKE '%:untitled' GROUP BY course_id""")
+def course_tag_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of each course by vocabularies of its own: a tool and a stop heading of its topics, cues of all its texts. A3, A5, P14, U4"""
+    t = topics(spark, sf_dir)
+    c = t.select("course_id", F.col("topic_label").alias("text")).union(t.select("course_id", F.get("aliases", F.lit(0))))
+    heads = _pieces(spark, sf_dir)
+    of = t.groupBy("course_id").agg(F.min_by("text", "topic_ord").alias("a"), F.max_by(F.get("aliases", F.lit(0)), "topic_ord").alias("stop"))
+    longest = F.array_min(F.transform(F.split(X.match_text("a"), " "), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))["x"]
+    own = of.select("course_id", F.inline(F.array(F.struct(F.lit("tool").alias("kind"), longest.alias("word")), F.struct(F.lit("whole").alias("kind"), X.match_text("stop").alias("word")))))
+    vocabulary = profiles.course_vocabulary(t.select("course_id").union(heads.select("course_id")), heads=heads.select("course_id", F.col("text").alias("line")), overrides=own)
+    return profiles.course_tags(c, heads, vocabulary).select("course_id", F.size("tags").alias("n_tags"), F.array_join("tags", " ").alias("tags"))
+
+
 _SQL_PHRASE = f"{sql_norm("replace(regexp_extract(tag, '^[^:]*:(.*)$', 1), '-', ' ')")}"
 _SQL_REVIEW = f"{sql_any('{0}', vocab.REVIEW_CUES)} AND regexp_matches({{0}}, '(?:^|[^a-z0-9])(?:{'|'.join(vocab.EXAM_CUES)})(?:$|[^a-z0-9])')"
 

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from coursemill.functions import vocab
-from coursemill.operators import scoring, taxonomy, timeline
+from coursemill.operators import dealing, profiles, scoring, taxonomy, timeline
 from coursemill.plans import jobs
 
 
@@ -269,3 +269,30 @@ def test_assessment_forms(spark):
     rows = spark.createDataFrame([("c", 1, "prova 20", None), ("c", 2, "aula e prova 02", None), ("c", 3, "prova 2 final", "2026-04-01"), ("c", 4, "exame final", "2026-07-01")], "course_id string, row_index int, content_norm string, d string").withColumn("date_dt", F.to_date("d"))
     got = {r.label: (r.row_index, str(r.assessment_date)) for r in timeline.assessment_rows(found, rows).collect()}
     assert got == {"P2": (2, "2026-04-01"), "PF": (4, "2026-07-01")}
+
+
+def test_course_vocabularies(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "course_id string, text string")
+    c = frame([("a", "Grafos dirigidos"), ("a", "Busca em Gephi"), ("b", "Grafos dirigidos"), ("b", "Busca em Gephi"), ("b", "b longo")])
+    h = frame([("a", "Aula de Gephi"), ("b", "Aula de Gephi"), ("a", "Notas soltas grafos"), ("b", "Notas soltas grafos"), ("a", "Seja x"), ("b", None), ("b", "Uso de Isabelle"), ("n", "Sozinho aqui"), ("n", "Notas")])
+    own = spark.createDataFrame([("a", "tool", "gephi"), ("b", "whole", "grafos dirigidos"), ("a", "cue", "soltas"), ("n", "start", "so"), ("z", "tool", "aula")], "course_id string, kind string, word string")
+    words = profiles.course_vocabulary(c.select("course_id"), overrides=own)
+    got = {r.course_id: r.tags for r in profiles.course_tags(c, h, words).collect()}
+    # Gephi is a tool of course a alone; the stop heading is one of course b alone; the cue lets a heading in
+    assert got == {
+        "a": ["ferramenta:gephi", "topico:grafos-dirigidos", "topico:notas-soltas-grafos"],
+        "b": ["ferramenta:isabelle", "topico:b-longo", "topico:busca-em-gephi"],
+        "n": ["topico:notas"],
+    }
+    texts = frame([("a", f"texto {i} com gephi") for i in range(40)] + [("b", "x")])
+    hits = profiles.scan(texts, words, together=5).collect()  # course a is dealt over parts
+    assert len(hits) == 41 and all([tuple(x) for x in r.hits] == ([("named", "gephi"), ("tool", "gephi")] if r.course_id == "a" else []) for r in hits)
+
+
+def test_courses_are_dealt_by_weight(spark):
+    rows = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 5000)).alias("course_id"), F.col("id").cast("string").alias("text"))
+    side = rows.select("course_id").distinct()
+    dealt, sent = dealing.deal(rows, side, "text", together=200)
+    parts = {r.course_id: r.n for r in dealt.groupBy("course_id").agg(F.countDistinct("__part").alias("n")).collect()}
+    assert parts["hot"] >= 100 and all(n == 1 for c, n in parts.items() if c != "hot")
+    assert dealt.join(sent, ["course_id", "__part"]).count() == 300_000
