@@ -11,7 +11,7 @@ from coursemill.operators import documents as D, progress as P, scoring as S, ti
 from coursemill.plans.tables import SQL_TOPICS, SQL_WS, documents, query, sql_any, sql_norm, sql_tokens, table, topics
 from coursemill.plans.text_queries import SQL_ENTRIES, SQL_SCORED, SQL_UNIT_WORDS, course_units, sql_rows
 from coursemill.sources.staging import scratch
-from coursemill.streaming import jobs
+from coursemill.streaming import jobs, study
 
 
 # schedules
@@ -642,3 +642,36 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "states")
     jobs.stream_study_sessions(s, ["unit", "topic_slug"], f"{out}/table", f"{out}/state").awaitTermination()
     return jobs.current_states(spark.read.option("mergeSchema", False).parquet(f"{out}/table"), ["unit", "topic_slug"]).select("unit", "topic_slug", "n_sessions", "status")
+
+
+_SQL_STUDY = f"""c AS (SELECT 'course-' || conv_id % 7 AS course_id, 'unit-' || conv_id % 3 AS unit_slug, 'topic-' || conv_id AS topic_slug, turn * 1000000000 + conv_id AS ord, {_STATUS} AS status,
+  strftime((DATE '2026-03-01' + turn::INT)::DATE, '%Y-%m-%d') AS date, CASE WHEN turn % 4 = 1 THEN 'topic-' || (conv_id + 1) ELSE '' END AS next_topic FROM conversations),
+s AS (SELECT *, row_number() OVER (PARTITION BY course_id, unit_slug, topic_slug ORDER BY ord) AS session FROM c)"""
+
+
+def _study(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as a stream of study sessions, a turn a session; the folder of its tables."""
+    c = _stream(spark, sf_dir, "conversations").filter("conv_id is not null")
+    s = c.select(
+        F.concat(F.lit("course-"), F.col("conv_id") % 7).alias("course_id"), F.concat(F.lit("unit-"), F.col("conv_id") % 3).alias("unit_slug"), F.concat(F.lit("topic-"), "conv_id").alias("topic_slug"), (F.col("turn").cast("long") * 1_000_000_000 + F.col("conv_id")).alias("ord"), F.expr(_STATUS.lower()).alias("status"),
+        F.date_format(F.expr("date_add(date'2026-03-01', cast(turn as int))"), "yyyy-MM-dd").alias("date"), F.when(F.col("turn") % 4 == 1, F.concat(F.lit("topic-"), F.col("conv_id") + 1)).otherwise("").alias("next_topic"),
+    )
+    out = _out(spark, "study")
+    study.stream_study(s, f"{out}/table", f"{out}/state").awaitTermination()
+    return f"{out}/table"
+
+
+@query("stream_study_sessions", f"WITH {_SQL_STUDY} SELECT course_id, topic_slug, ord, session, status FROM s")
+def stream_study_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Study sessions of a stream with their numbers. X2"""
+    return study.read_sessions(spark, _study(spark, sf_dir)).select("course_id", "topic_slug", "ord", "session", "status")
+
+
+@query("stream_student_states", f"""
+WITH {_SQL_STUDY}, l AS (SELECT course_id, max(ord) AS ord FROM s GROUP BY course_id), r AS (SELECT course_id, list(topic_slug || ' ' || date ORDER BY ord DESC)[1:{study.RECENT}] AS recent, arg_max(next_topic, ord) FILTER (next_topic <> '') AS next_topic FROM s GROUP BY course_id)
+SELECT course_id, unit_slug, topic_slug, status, session AS sessions, 'student/batteries/' || unit_slug || '/' || topic_slug || '.md' AS file, date AS updated, array_to_string(recent, ',') AS recent, r.next_topic AS next_topic FROM l JOIN s USING (course_id, ord) JOIN r USING (course_id)""")
+def stream_student_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every student of a stream: active topic, newest sessions, next topic. X2"""
+    s = study.read_students(spark, _study(spark, sf_dir))
+    recent = F.array_join(F.transform("recent", lambda x: F.concat_ws(" ", x["topic_slug"], x["date"])), ",")
+    return s.select("course_id", "active.unit_slug", "active.topic_slug", "active.status", "active.sessions", "active.file", "updated", recent.alias("recent"), "next_topic")

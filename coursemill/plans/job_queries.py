@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from coursemill.functions import text as X
 from coursemill.operators import taxonomy
-from coursemill.plans import jobs
+from coursemill.plans import incremental, jobs
 from coursemill.plans.tables import documents, query, sql_norm, table, topics
 from coursemill.plans.text_queries import RULES, SQL_ENTRIES, SQL_MATCH, SQL_UNIT_SCORES, SQL_UNIT_WORDS, sql_rows
 from coursemill.sources import readers
@@ -181,3 +181,22 @@ def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of teaching plans that may be topics. A5, P14"""
     return taxonomy.topic_lines(_plans(spark, sf_dir).withColumnRenamed("plan", "text"))
+
+
+@query("incremental_build", """
+WITH d AS (SELECT source AS course_id, doc_id, lang, md5(coalesce(text, '')) AS m FROM documents WHERE source IS NOT NULL), n AS (SELECT course_id, max(doc_id) AS newest FROM d GROUP BY course_id)
+SELECT course_id, count(*) AS n_entries, md5(string_agg(doc_id || ' ' || coalesce(lang, '') || ' ' || m, ',' ORDER BY doc_id, coalesce(lang, ''), m)) AS index_md5, CASE WHEN max(newest) % 2 = 0 THEN 2 ELSE 1 END AS version FROM d JOIN n USING (course_id) GROUP BY course_id""")
+def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of every course, built without the newest entry of some courses and then with it: only these are built twice.
+    X1, J1, S9, job incremental"""
+    d = table(spark, sf_dir, "documents").filter("source is not null").select(F.col("source").alias("course_id"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.md5(F.coalesce("text", F.lit(""))).alias("m"))
+    newest = d.groupBy("course_id").agg(F.max("doc_id").alias("doc_id")).filter("doc_id % 2 = 0")
+    root = f"{scratch(spark)}/coursemill/build-{uuid.uuid4().hex}"
+
+    def index(parts: dict[str, DataFrame]) -> DataFrame:
+        line = F.struct("doc_id", "lang", "m", F.concat_ws(" ", "doc_id", "lang", "m").alias("t"))
+        return parts["entries"].groupBy("course_id").agg(F.count("*").alias("n_entries"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), ",")).alias("index_md5"))
+
+    incremental.run(spark, root, {"entries": d.join(newest, ["course_id", "doc_id"], "left_anti").select(d.columns)}, index)
+    incremental.run(spark, root, {"entries": d}, index)
+    return incremental.read(spark, root).select("course_id", "n_entries", "index_md5", "version")
