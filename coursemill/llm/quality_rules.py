@@ -3,8 +3,9 @@
 Each text gets its base measures inside its own row (no line or word is exploded or shuffled). Five rules ask for one
 failure each: too few words, repeated windows of words, many symbols, repeated lines, odd word lengths. The first two
 fail the document itself. The failures of every rule are summed by host; each rule has a beta prior of its own, fitted
-to all hosts by moments that weigh a host by its documents and leave out the binomial part of the variance; a host is
-rejected with all its documents when the shrunk rate of a rule is above that rule's limit.
+to all hosts by moments that weigh a host by its documents and leave out the binomial part of the variance. A host is
+rejected with all its documents when its rate of some rule, as the posterior has it, is almost surely (LEVEL) above
+LEAST_RATE and above TIMES the common rate; the tail of the posterior is that of a normal with its mean and variance.
 
 Defined cases: null and empty texts have no words and fail; a null host is no host, it gets no verdict; one host alone,
 or hosts that differ by no more than chance, are shrunk to the common rate with the weight of all documents; repeated
@@ -17,20 +18,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from coursemill.llm.common import staged
+from coursemill.llm.common import spread_join, staged
 
 #: The white space of the rules, and the marks that count as symbols (fixed values of the contract).
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT, SPAN = 20, 30, 8
-#: Rules over the measures and the shrunk rate of failures above which a host is rejected.
+#: Rules over the measures.
 RULES = {
-    "short": (f"n_words < {LEAST_WORDS}", 0.5),
-    "repeats": (f"100 * n_repeat_words > {REPEAT_PERCENT} * n_words", 0.5),
-    "symbols": ("10 * n_symbols > n_words", 0.5),
-    "lines": ("100 * n_dup_lines > 30 * n_lines", 0.5),
-    "word_length": ("n_words > 0 and word_chars not between 3 * n_words and 12 * n_words", 0.5),
+    "short": f"n_words < {LEAST_WORDS}",
+    "repeats": f"100 * n_repeat_words > {REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "word_length": "n_words > 0 and word_chars not between 3 * n_words and 12 * n_words",
 }
+#: A rejected host's rate of a rule is above LEAST_RATE and above TIMES the common rate with a chance of 0.99 (LEVEL standard
+#: deviations of the posterior).
+LEAST_RATE, TIMES, LEVEL = 0.25, 1.5, 2.326
 BASE_RULES = ["short", "repeats"]
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -67,12 +71,12 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # as rows of a generator: a later filter on the measures is not pushed below, where it would work them out again
     struct = ", ".join(f"'{k}', {v}" for k, v in measures.items())
     df = df.selectExpr(*(f"`{c}`" for c in keep), f"inline(array(named_struct({struct})))")
-    return df.withColumn("base_failed", F.expr(" or ".join(RULES[r][0] for r in BASE_RULES)))
+    return df.withColumn("base_failed", F.expr(" or ".join(RULES[r] for r in BASE_RULES)))
 
 
 def failures() -> dict[str, Column]:
     """Each rule's failure as a column over the measures."""
-    return {f"failed_{r}": F.expr(test) for r, (test, _) in RULES.items()}
+    return {f"failed_{r}": F.expr(test) for r, test in RULES.items()}
 
 
 def prior(n_hosts: float, total: float, squares: float, failed: float, spread: float) -> tuple[float, float]:
@@ -105,15 +109,24 @@ def host_verdicts(rows: DataFrame, host_col: str = "source") -> DataFrame:
     got = [x or 0.0 for x in hosts.agg(F.count("*"), F.sum(n), F.sum(n * n), *moments).first()]  # a few numbers
     priors = {r: prior(*got[:3], *got[3 + 2 * i : 5 + 2 * i]) for i, r in enumerate(RULES)}
     rates = {f"rate_{r}": (F.col(f"failed_{r}") + F.lit(m * w)) / (n + F.lit(float(w))) for r, (m, w) in priors.items()}
-    kept = [F.col(f"rate_{r}") <= most for r, (_, most) in RULES.items()]
+    spread = lambda r, w: F.sqrt(F.col(f"rate_{r}") * (1 - F.col(f"rate_{r}")) / (n + F.lit(w + 1.0)))
+    kept = [F.col(f"rate_{r}") - LEVEL * spread(r, w) <= max(LEAST_RATE, TIMES * m) for r, (m, w) in priors.items()]
     return hosts.withColumns(rates).withColumns({"host_rate": F.greatest(*rates), "host_kept": reduce(Column.__and__, kept)})
 
 
+def _with_hosts(rows: DataFrame, hosts: DataFrame, host: str, by: Column) -> DataFrame:
+    """Each row with its host's columns, null for a null host. Rows of a hot host are dealt by `by`; those of no host stay
+    where they are."""
+    named = spread_join(rows.filter(F.col(host).isNotNull()).withColumn("__by", by), hosts, [host], "__by", how="left").drop("__by")
+    alone = rows.filter(F.col(host).isNull())
+    return named.unionByName(alone, allowMissingColumns=True)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per document: the key, the base measures, base_failed, host_rate and kept."""
     rows = staged(measured(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(host_col).alias("__host")), "__text").drop("__text"), "measures")
     hosts = host_verdicts(rows.select("__host", *(c.alias(k) for k, c in failures().items())), "__host").select("__host", "host_rate", "host_kept")
-    out = rows.join(hosts, "__host", "left")
+    out = _with_hosts(rows, hosts, "__host", F.hash("__id", "n_words", "word_chars"))
     return out.select(F.col("__id").alias(id_col), *MEASURES, "host_rate", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
 
 
@@ -127,7 +140,10 @@ def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     rows = staged(rows.select(*own, F.col("base_failed").alias("__failed"), *(c.alias(k) for k, c in failures().items())), "rules")
     bad = staged(host_verdicts(rows, host_col).filter("not host_kept").select(host_col), "hosts")
     good = rows.filter("not __failed").select(*docs.columns)
-    return good if bad.isEmpty() else good.join(bad, host_col, "left_anti").select(*docs.columns)
+    if bad.isEmpty():
+        return good
+    marked = _with_hosts(good, bad.withColumn("__bad", F.lit(True)), host_col, F.xxhash64(*docs.columns))
+    return marked.filter("__bad is null").select(*docs.columns)
 
 
 ORACLE = f"""
@@ -140,12 +156,13 @@ c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) A
 b AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r)),
-f AS (SELECT *, {" OR ".join(RULES[r][0] for r in BASE_RULES)} AS base_failed FROM b),
-h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER ({test})::DOUBLE AS k_{r}" for r, (test, _) in RULES.items())} FROM f WHERE source IS NOT NULL GROUP BY source),
-e AS (SELECT source, n, unnest([{", ".join(f"{{'rule': '{r}', 'k': k_{r}, 'most': {most}}}" for r, (_, most) in RULES.items())}], recursive := true) FROM h),
+f AS (SELECT *, {" OR ".join(RULES[r] for r in BASE_RULES)} AS base_failed FROM b),
+h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER ({test})::DOUBLE AS k_{r}" for r, test in RULES.items())} FROM f WHERE source IS NOT NULL GROUP BY source),
+e AS (SELECT source, n, unnest([{", ".join(f"{{'rule': '{r}', 'k': k_{r}}}" for r in RULES)}], recursive := true) FROM h),
 m AS (SELECT rule, count(*) AS hosts, sum(n) AS total, sum(k) / sum(n) AS m, sum(k * k / n) - sum(k) * (sum(k) / sum(n)) AS s, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM e GROUP BY rule),
 o AS (SELECT *, CASE WHEN m * (1 - m) > 0 AND room > 0 THEN (s / (m * (1 - m)) - (hosts - 1)) / room ELSE 0 END AS own FROM m),
 p AS (SELECT rule, m, CASE WHEN own > 0 THEN least(total, greatest(1.0, 1 / own - 1)) ELSE total END AS weight FROM o),
-s AS (SELECT source, bool_and((k + m * weight) / (n + weight) <= most) AS host_kept FROM e JOIN p USING (rule) GROUP BY source)
+q AS (SELECT source, m, n + weight + 1 AS t, (k + m * weight) / (n + weight) AS rate FROM e JOIN p USING (rule)),
+s AS (SELECT source, bool_and(rate - {LEVEL} * sqrt(rate * (1 - rate) / t) <= greatest({LEAST_RATE}, {TIMES} * m)) AS host_kept FROM q GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, true) AS kept
 FROM f LEFT JOIN s USING (source)"""

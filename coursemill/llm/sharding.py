@@ -77,11 +77,12 @@ def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id",
     """The documents as Parquet, one folder per shard; every row once, null and repeated ids too.
 
     A document's row goes with its shard through the operator, so nothing is joined back. A column `shard` of the
-    documents is replaced; its values begin with a `b`, so that readers do not take the bits for numbers.
+    documents is replaced; its values begin with a `b`, so that readers do not take the bits for numbers. A shard's rows
+    are brought together before they are written, so it is one file.
     """
     columns = [c for c in docs.columns if c != "shard"]
     found = shard(docs, limit, id_col, text_col, whole=True)
-    found.select(*(F.col("row")[c].alias(c) for c in columns), F.concat(F.lit("b"), "shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    found.select(*(F.col("row")[c].alias(c) for c in columns), F.concat(F.lit("b"), "shard").alias("shard")).repartitionByRange("shard").write.partitionBy("shard").parquet(path)
 
 
 def oracle(limit: int) -> str:

@@ -126,6 +126,7 @@ def test_shards_are_written_whole(spark, tmp_path):
     df = spark.createDataFrame([(*r, "s", "d") for r in rows], "doc_id long, text string, shard string, depth string")
     sharding.write_shards(df.repartition(3), 100, f"{tmp_path}/a")
     back = spark.read.parquet(f"{tmp_path}/a")
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in (tmp_path / "a").glob("shard=*"))
     assert sorted(map(str, back.select("doc_id", "text", "depth").collect())) == sorted(map(str, df.select("doc_id", "text", "depth").collect()))
     size = {r.shard: r.n for r in back.selectExpr("shard", "coalesce(octet_length(text), 0) as n").groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
     assert max(size.values()) <= 100
@@ -214,7 +215,7 @@ def host_rates(rows):
     for h, failed in rows:
         if h is not None:
             hosts.setdefault(h, []).append(failed)
-    for rule, (_, most) in quality_rules.RULES.items():
+    for rule in quality_rules.RULES:
         n = {h: len(v) for h, v in hosts.items()}
         k = {h: sum(f[rule] for f in v) for h, v in hosts.items()}
         total = sum(n.values())
@@ -223,7 +224,10 @@ def host_rates(rows):
         room = total - sum(x * x for x in n.values()) / total - (len(hosts) - 1)
         own = (between / (mean * (1 - mean)) - (len(hosts) - 1)) / room if 0 < mean < 1 and room > 0 else 0
         weight = min(total, max(1, 1 / own - 1)) if own > 0 else total
-        bad |= {h for h in hosts if (k[h] + mean * weight) / (n[h] + weight) > most}
+        for h in hosts:
+            rate = (k[h] + mean * weight) / (n[h] + weight)
+            if rate - quality_rules.LEVEL * (rate * (1 - rate) / (n[h] + weight + 1)) ** 0.5 > max(quality_rules.LEAST_RATE, quality_rules.TIMES * mean):
+                bad.add(h)
     return bad
 
 
