@@ -13,7 +13,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from coursemill.functions.text import match_text, slugify
+from coursemill.functions.text import match_text, slugify, tokens
 from coursemill.operators import taxonomy
 from coursemill.operators.dealing import TOGETHER, deal
 from coursemill.sources.staging import staged
@@ -42,31 +42,35 @@ def course_vocabulary(courses: DataFrame, sources: DataFrame | None = None, head
     return out.union(named).filter("word != '' and course_id is not null").distinct()
 
 
-def scan(texts: DataFrame, vocabulary: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """texts (course_id, text) with `norm`, their match text, and `hits`, the (kind, word) of their course that it holds.
+def scan(texts: DataFrame, vocabulary: DataFrame, keep: list[str] | None = None, together: int = TOGETHER) -> DataFrame:
+    """texts (course_id, text) with `hits`, the (kind, word) of their course that their match text holds, once each.
 
-    vocabulary: `course_vocabulary`. Texts of a course without words have no hits; null texts are dropped.
+    vocabulary: `course_vocabulary`, or rows of other kinds whose words are match texts. Returns course_id, the columns of
+    `keep`, hits; without `keep`, text and norm (the match text). Texts of a course without words have no hits; null texts
+    are dropped.
     """
-    words = vocabulary.filter("kind != 'slug'").withColumn("norm", F.when(F.col("kind") == "named", match_text("word", "c")).otherwise(F.col("word"))).filter("norm != ''")
-    asked = texts.filter("text is not null").select("course_id", "text", match_text("text", "c").alias("norm"))
-    dealt, sent = deal(asked, words, "norm", together=together)
-    null = F.lit(None).cast("string")
-    both = sent.select("course_id", "__part", F.lit(0).alias("side"), "norm", "kind", "word", null.alias("text")).union(dealt.select("course_id", "__part", F.lit(1), "norm", null, null, "text"))
+    names = ["text", "norm"] if keep is None else keep
+    words = vocabulary.filter("kind != 'slug'").withColumn("__norm", F.when(F.col("kind") == "named", match_text("word", "c")).otherwise(F.col("word"))).filter("__norm != ''")
+    asked = texts.filter("text is not null").withColumn("norm", match_text("text", "c")).withColumn("__norm", F.col("norm")).select("course_id", "__norm", *names)
+    dealt, sent = deal(asked, words, "__norm", together=together)
+    of = dict(asked.dtypes)
+    null = lambda kind: F.lit(None).cast(kind)
+    both = sent.select("course_id", "__part", F.lit(0).alias("side"), "__norm", "kind", "word", *(null(of[c]).alias(c) for c in names)).union(dealt.select("course_id", "__part", F.lit(1), "__norm", null("string"), null("string"), *names))
     stream = both.repartition("course_id", "__part").sortWithinPartitions("course_id", "__part", "side")
-    schema = "course_id string, text string, norm string, hits array<struct<kind:string,word:string>>"
-    out = pa.schema([("course_id", pa.string()), ("text", pa.string()), ("norm", pa.string()), ("hits", pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string())])))])
+    schema = ", ".join(["course_id string", *(f"`{c}` {of[c]}" for c in names), "hits array<struct<kind:string,word:string>>"])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         pending: dict[str, list[tuple[str, str]]] = {}
         machine = None
         for batch in batches:
-            found: list[list] = [[], [], [], []]
-            for course, part, side, norm, kind, word, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            rows, hits = [], []
+            for i, (course, part, side, norm, what, word) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
                 if held != (course, part):
                     held, pending, machine = (course, part), {}, None
                 if side == 0:
-                    pending.setdefault(norm, []).append((kind, word))
+                    pending.setdefault(norm, []).append((what, word))
                     continue
                 if machine is None and pending:
                     machine = ahocorasick.Automaton()
@@ -74,11 +78,13 @@ def scan(texts: DataFrame, vocabulary: DataFrame, together: int = TOGETHER) -> D
                         machine.add_word(w, (len(w), meanings))
                     machine.make_automaton()
                     pending = {}
-                for column, value in zip(found, (course, text, norm, _hits(machine, norm)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, out.types, strict=True)], schema=out)
+                rows.append(i)
+                hits.append(_hits(machine, norm))
+            taken = pa.array(rows, pa.int64())
+            columns = [batch.column(0), *(batch.column(6 + k) for k in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in columns), pa.array(hits, kind)], ["course_id", *names, "hits"])
 
-    return stream.select("course_id", "__part", "side", "norm", "kind", "word", "text").mapInArrow(run, schema)
+    return stream.mapInArrow(run, schema)
 
 
 def _hits(machine, text: str) -> list[dict[str, str]]:
@@ -92,6 +98,22 @@ def _hits(machine, text: str) -> list[dict[str, str]]:
     return [{"kind": k, "word": w} for k, w in sorted(seen)]
 
 
+def glossary_evidence(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """The best document for each term: 8 points for the phrase, 1 for each of its words found, 3 at least. [J17]
+
+    terms: course_id, term; docs: course_id, doc_ord, haystack (match text). The first document wins a tie. Phrases and words of
+    a course's terms are one automaton that reads each document once; only what a document holds meets the terms again.
+    """
+    t = terms.select("course_id", "term").distinct().withColumn("norm", match_text("term", "c"))
+    part = F.array(F.struct(F.lit("phrase").alias("kind"), F.array("norm").alias("words")), F.struct(F.lit("word").alias("kind"), F.array_distinct(tokens("norm")).alias("words")))
+    asked = t.select("course_id", "term", F.inline(part)).select("course_id", "term", "kind", F.explode("words").alias("word")).filter("word != ''")
+    found = scan(docs.select("course_id", "doc_ord", F.col("haystack").alias("text")), asked.select("course_id", "kind", "word").distinct(), keep=["doc_ord"])
+    held = found.select("course_id", "doc_ord", F.inline("hits")).join(asked, ["course_id", "kind", "word"])
+    scored = held.groupBy("course_id", "term", "doc_ord").agg(F.sum(F.when(F.col("kind") == "phrase", 8).otherwise(1)).cast("int").alias("points")).filter("points >= 3")
+    best = scored.groupBy("course_id", "term").agg(F.min(F.struct((-F.col("points")).alias("neg"), "doc_ord")).alias("b"))
+    return best.select("course_id", "term", F.col("b.doc_ord").alias("doc_ord"), (-F.col("b.neg")).alias("points"))
+
+
 def course_candidates(scanned: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The scanned texts (`scan`) that may be topics of their course. [P14]"""
     has = lambda kind: F.exists("hits", lambda h: h["kind"] == kind)

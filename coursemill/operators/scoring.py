@@ -471,15 +471,33 @@ def period_winner(scored: DataFrame, sessions: DataFrame, key: list[str]) -> Dat
     return df.withColumns({"__v": v, "__low": low}).select(*key, "w.block_id", F.when(F.col("__low"), "").otherwise(F.col("w.period_label")).alias("period"), F.when(F.col("__low"), F.col("best")).otherwise(F.col("__v.confidence")).alias("confidence"), (F.col("__low") | F.col("__v.ambiguous")).alias("ambiguous"), (~F.col("w.rest")).alias("by_session"))
 
 
+def _months(start: Column, end: Column) -> tuple[Column, Column]:
+    """The first and the last month of a range, counted from year 0; null where an end is."""
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    known = start.isNotNull() & end.isNotNull()
+    return F.when(known, month(F.least(start, end))), F.when(known, month(F.greatest(start, end)))
+
+
 def period_blocks(docs: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
-    """Blocks that go with a document's period: equal labels first, else overlapping ones, else all of the course. [J24]
+    """Blocks that go with a document's period: equal labels first (tier 0), else overlapping ones (1), else all of the
+    course (2). [J24]
 
     docs: key, course_id, start, end, period_label; blocks: course_id, block_id, period_start, period_end, period_label.
+    Labels meet by equality. Ranges are cut into months and meet by course and month, each pair in its first common month.
+    Only documents that are left over take the course's list, which meets each of them as one row.
     """
     b = blocks.withColumnRenamed("period_label", "block_label")
-    pairs = docs.join(b, "course_id").withColumn("tier", F.when(F.col("period_label") == F.col("block_label"), 0).when((F.col("start") <= F.col("period_end")) & (F.col("period_start") <= F.col("end")), 1).otherwise(2))
-    best = pairs.groupBy(*key).agg(F.min("tier").alias("__tier"))
-    return pairs.join(best, key).filter("tier = __tier").select(*docs.columns, "block_id", "tier")
+    named = docs.join(b.select("course_id", "block_id", F.col("block_label").alias("period_label")), ["course_id", "period_label"]).select(*docs.columns, "block_id", F.lit(0).alias("tier"))
+    rest = docs.join(named.select(*key).distinct(), key, "left_anti").select(*docs.columns)
+    by_month = lambda df, a, z, name: df.withColumns(dict(zip((f"__{name}", f"__{name}_last"), _months(F.col(a), F.col(z)), strict=True))).withColumn("__month", F.explode(F.sequence(f"__{name}", f"__{name}_last"))).drop(f"__{name}_last")
+    left = by_month(rest.filter("start is not null and end is not null"), "start", "end", "d")
+    right = by_month(b.filter("period_start is not null and period_end is not null"), "period_start", "period_end", "b").select("course_id", "block_id", "period_start", "period_end", "__b", "__month")
+    met = left.join(right, ["course_id", "__month"]).filter((F.col("__month") == F.greatest("__d", "__b")) & (F.col("start") <= F.col("period_end")) & (F.col("period_start") <= F.col("end")))
+    over = met.select(*docs.columns, "block_id", F.lit(1).alias("tier"))
+    alone = rest.join(over.select(*key).distinct(), key, "left_anti").select(*docs.columns)
+    course = b.groupBy("course_id").agg(F.collect_list("block_id").alias("__blocks"))
+    every = with_course(alone, b, course, key[0]).select(*docs.columns, F.explode("__blocks").alias("block_id"), F.lit(2).alias("tier"))
+    return named.unionByName(over).unionByName(every)
 
 
 #: Weights of a document's fields for a block's text (fixed values).

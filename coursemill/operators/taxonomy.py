@@ -124,16 +124,37 @@ def glossary(texts: DataFrame, text: str = "glossary") -> DataFrame:
     return out.select("course_id", "n", "term", "unit_hint", synonyms.alias("synonyms"), "definition")
 
 
+def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (course_id, inner, outer) of texts of a course of which one, of four letters or more, stands in the other. [J15]
+
+    inner: course_id, inner; outer: course_id, outer. An inner text is looked up by that run of four of its letters that the
+    fewest outer texts of its course hold, so common letters bring no pairs together.
+    """
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(F.col(c), i, F.lit(4)))))
+    small, large = (df.select("course_id", c).filter(F.length(c) >= 4).distinct() for df, c in ((inner, "inner"), (outer, "outer")))
+    posted = large.withColumn("g", grams("outer"))
+    held = posted.groupBy("course_id", "g").agg(F.count("*").alias("n"))
+    rarest = small.withColumn("g", grams("inner")).join(held, ["course_id", "g"], "left").groupBy("course_id", "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
+    asked = rarest.filter("r.n > 0").select("course_id", "inner", "r.g")  # a run that no text holds: nothing holds the whole
+    return asked.join(posted, ["course_id", "g"]).filter(F.col("outer").contains(F.col("inner"))).select("course_id", "inner", "outer")
+
+
 def glossary_aliases(topics: DataFrame, terms: DataFrame) -> DataFrame:
     """Aliases of topics from glossary terms that equal, hold or are held by their label, within the unit hint. [J15]
 
-    Returns course_id, topic_slug, aliases: one form per slug, sorted.
+    Returns course_id, topic_slug, aliases: one form per slug, sorted. Labels and terms meet where they are equal or one
+    stands in the other (`contained_pairs`), never all of a course.
     """
     t = terms.withColumns({"term_norm": match_text("term", "c"), "hint": match_text("unit_hint", "c")}).filter("term_norm != ''")
-    pairs = topics.withColumn("label_norm", match_text("topic_label", "c")).join(t, "course_id")
-    same = (F.col("label_norm") == F.col("term_norm")) | ((F.length("term_norm") >= 4) & F.col("label_norm").contains(F.col("term_norm"))) | ((F.length("label_norm") >= 4) & F.col("term_norm").contains(F.col("label_norm")))
+    labelled = topics.withColumn("label_norm", match_text("topic_label", "c"))
+    labels, words = labelled.select("course_id", "label_norm").distinct(), t.select("course_id", "term_norm").distinct()
+    equal = labels.join(words.select("course_id", F.col("term_norm").alias("label_norm"), "term_norm"), ["course_id", "label_norm"])
+    holds = contained_pairs(words.withColumnRenamed("term_norm", "inner"), labels.withColumnRenamed("label_norm", "outer")).select("course_id", F.col("outer").alias("label_norm"), F.col("inner").alias("term_norm"))
+    held = contained_pairs(labels.withColumnRenamed("label_norm", "inner"), words.withColumnRenamed("term_norm", "outer")).select("course_id", F.col("inner").alias("label_norm"), F.col("outer").alias("term_norm"))
+    met = equal.select("course_id", "label_norm", "term_norm").union(holds).union(held).distinct()
+    pairs = labelled.join(met, ["course_id", "label_norm"]).join(t, ["course_id", "term_norm"])
     inside = (F.col("hint") == "") | match_text("unit_slug", "c").contains(F.col("hint"))
-    found = pairs.filter(same & inside).select("course_id", "topic_slug", "topic_label", F.explode(F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("alias"))
+    found = pairs.filter(inside).select("course_id", "topic_slug", "topic_label", F.explode(F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("alias"))
     once = found.filter(slugify("alias") != slugify("topic_label")).groupBy("course_id", "topic_slug", slugify("alias").alias("s")).agg(F.min("alias").alias("alias"))
     return once.groupBy("course_id", "topic_slug").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
 
@@ -286,22 +307,6 @@ def auto_tags(entries: DataFrame, catalog: DataFrame, most: int = 6) -> DataFram
     return df.withColumn("auto_tags", F.slice(F.array_distinct(F.concat(found, extra)), 1, most)).select(*entries.columns, "auto_tags")
 
 
-def glossary_evidence(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """The best document for each term: 8 points for the phrase, 1 for each of its words found, 3 at least. [J17]
-
-    terms: course_id, term; docs: course_id, doc_ord, haystack (match text). The first document wins a tie. A term is
-    looked for as letters anywhere, so three points ask for three of its words or the phrase; a course's terms are one
-    array that meets each document once.
-    """
-    t = terms.select("course_id", "term", match_text("term", "c").alias("norm"), F.array_distinct(tokens(match_text("term", "c"))).alias("words"))
-    course = t.groupBy("course_id").agg(F.collect_list(F.struct("term", "norm", "words")).alias("__terms"))
-    met = scoring.with_course(docs, t, course, "haystack")
-    held = lambda x: F.when(F.col("haystack").contains(x["norm"]) & (x["norm"] != ""), 8).otherwise(0) + F.size(F.filter(x["words"], lambda w: F.col("haystack").contains(w)))
-    scored = met.select("course_id", "doc_ord", F.inline(F.filter(F.transform("__terms", lambda x: F.struct(x["term"].alias("term"), held(x).alias("points"))), lambda x: x["points"] >= 3)))
-    best = scored.groupBy("course_id", "term").agg(F.min(F.struct((-F.col("points")).alias("neg"), "doc_ord")).alias("b"))
-    return best.select("course_id", "term", F.col("b.doc_ord").alias("doc_ord"), (-F.col("b.neg")).alias("points"))
-
-
 def best_sentence(pairs: DataFrame, key: list[str]) -> DataFrame:
     """The best sentence of a text for a term: 40 to 220 characters, 6 points for the phrase, 1 a word; at most 180 are
     shown, cut at a word. [F25] pairs: key, term, text."""

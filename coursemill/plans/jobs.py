@@ -287,7 +287,7 @@ def glossary(topics: DataFrame, docs: DataFrame, rules: list[tuple[str, str, str
     """
     terms = topics.select("course_id", F.col("topic_label").alias("term")).distinct()
     hay = docs.select("course_id", "doc_ord", match_text(F.substring("markdown", 1, window)).alias("haystack"))
-    found = taxonomy.glossary_evidence(terms, hay).join(docs, ["course_id", "doc_ord"]).select("course_id", F.col("term").alias("term_key"), "term", F.substring("markdown", 1, window).alias("text"))
+    found = profiles.glossary_evidence(terms, hay).join(docs, ["course_id", "doc_ord"]).select("course_id", F.col("term").alias("term_key"), "term", F.substring("markdown", 1, window).alias("text"))
     evidence = taxonomy.best_sentence(found, ["course_id", "term_key"]).select("course_id", F.col("term_key").alias("term"), "sentence")
     seeded = taxonomy.seeded_fields(terms, rules, evidence)
     full = topics.select("course_id", "unit_ord", "topic_ord", "unit_title", F.col("topic_label").alias("term")).join(seeded, ["course_id", "term"])

@@ -219,7 +219,7 @@ def glossary_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document for each glossary term of its course. J17"""
     terms = topics(spark, sf_dir).select("course_id", F.col("topic_label").alias("term"))
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.col("doc_id").alias("doc_ord"), X.match_text(F.substring("text", 1, 4000)).alias("haystack"))
-    return taxonomy.glossary_evidence(terms, docs)
+    return profiles.glossary_evidence(terms, docs)
 
 
 #: Seed rules of the query, as data: needle, definition, synonyms, what it is not.

@@ -1,5 +1,6 @@
 """Rules of scores, tags and tools against plain Python versions on small fixtures, and the whole jobs on literal courses."""
 
+import datetime as dt
 import random
 import re
 import unicodedata
@@ -296,3 +297,43 @@ def test_courses_are_dealt_by_weight(spark):
     parts = {r.course_id: r.n for r in dealt.groupBy("course_id").agg(F.countDistinct("__part").alias("n")).collect()}
     assert parts["hot"] >= 100 and all(n == 1 for c, n in parts.items() if c != "hot")
     assert dealt.join(sent, ["course_id", "__part"]).count() == 300_000
+
+
+def test_period_blocks_by_months(spark):
+    rng = random.Random(6)
+    day = lambda: (dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 900))) if rng.random() > 0.05 else None
+    blocks = [("c" if i % 9 else "d", i, day(), day(), f"p{i % 40}" if i % 7 else None) for i in range(160)]
+    docs = [(i, rng.choice("cde"), day(), day(), rng.choice([None, "p1", "p39", "zz", "zz"])) for i in range(120)]
+    want = set()
+    for i, c, s, e, label in docs:
+        mine = [b for b in blocks if b[0] == c]
+        tiers = [[b[1] for b in mine if label is not None and b[4] == label], [b[1] for b in mine if None not in (s, e, b[2], b[3]) and s <= b[3] and b[2] <= e], [b[1] for b in mine]]
+        k = next((k for k, t in enumerate(tiers) if t), 2)
+        want |= {(i, b, k) for b in tiers[k]}
+    d = spark.createDataFrame(docs, "doc int, course_id string, start date, end date, period_label string")
+    b = spark.createDataFrame(blocks, "course_id string, block_id int, period_start date, period_end date, period_label string")
+    got = [(r.doc, r.block_id, r.tier) for r in scoring.period_blocks(d, b, ["doc"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_glossary_aliases_meet_by_rare_letters(spark):
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(1, 9))).strip()
+    norm = lambda x: " ".join(x.split())
+    topics = [(rng.choice("cd"), f"t{i}", text(), rng.choice(["u1", "u2"])) for i in range(60)]
+    terms = [(rng.choice("cd"), text(), rng.choice(["", "u1"]), rng.choice([None, ["syn"]])) for _ in range(60)]
+    want = {}
+    for c, slug, label, unit in topics:
+        a = norm(label)
+        for c2, term, hint, synonyms in terms:
+            t = norm(term)
+            if c == c2 and t and (a == t or (len(t) >= 4 and t in a) or (len(a) >= 4 and a in t)) and (not hint or hint in unit):
+                for alias in [term, *(synonyms or [])]:
+                    s = "-".join(alias.split()) or "untitled"
+                    if s != ("-".join(label.split()) or "untitled"):
+                        forms = want.setdefault((c, slug), {})
+                        forms[s] = min(forms.get(s, alias), alias)
+    t = spark.createDataFrame(topics, "course_id string, topic_slug string, topic_label string, unit_slug string")
+    g = spark.createDataFrame(terms, "course_id string, term string, unit_hint string, synonyms array<string>")
+    got = {(r.course_id, r.topic_slug): r.aliases for r in taxonomy.glossary_aliases(t, g).collect()}
+    assert len(want) > 10 and got == {k: sorted(set(v.values())) for k, v in want.items()}
