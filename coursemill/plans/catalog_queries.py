@@ -291,11 +291,16 @@ def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table_markdown(n.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("row"), cells.alias("cells")), ["region"])
 
 
-@query("derived_units", f"""SELECT source AS course_id, doc_id AS map_id, {sql_norm('left(text, 30)')} AS norm FROM documents""")
+@query("derived_units", f"""
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, lower(o_orderpriority) AS t, CASE o_orderstatus WHEN 'F' THEN '' ELSE 'unidade-0' || (o_orderkey % 3 + 1) || '-parte' END AS u FROM orders),
+b AS (SELECT c, u, min(k) AS ord, string_agg(t, ' ' ORDER BY k, t) AS signals FROM o WHERE u <> '' GROUP BY ALL),
+m AS (SELECT c_custkey AS c, unnest(range(1, c_custkey % 3 + 1)) AS i FROM customer)
+SELECT m.c AS course_id, 'unidade-0' || i || '-parte' AS unit_slug, 'Unidade ' || i || ' - Parte' AS unit_title, signals FROM m LEFT JOIN b ON b.c = m.c AND b.u = 'unidade-0' || i || '-parte'
+UNION ALL SELECT c, u, u, signals FROM b WHERE c % 3 = 0""")
 def derived_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of course maps (each document a map of one unit). J26"""
-    d = table(spark, sf_dir, "documents")
-    maps = d.select(F.col("doc_id").cast("string").alias("course_id"), F.concat(F.lit("# Map\n### "), "doc_id", F.lit("\ntext")).alias("markdown"))
-    none = maps.select("course_id", F.lit(0).alias("block_ord"), F.lit("").alias("unit_slug"), F.lit("").alias("topic_text"))
-    units = taxonomy.derive_units(maps, none).select(F.col("course_id").cast("long").alias("doc_id"), "unit_title")
-    return d.join(units, "doc_id").filter("unit_title = cast(doc_id as string)").select(F.col("source").alias("course_id"), F.col("doc_id").alias("map_id"), X.match_text(F.substring("text", 1, 30)).alias("norm"))
+    """Units of course maps (customers), of those without any from their blocks (orders), with the blocks' words. J26"""
+    part = F.transform(F.sequence(F.lit(1), F.col("c_custkey").cast("int") % 3), lambda i: F.concat(F.lit("###  Unidade "), i, F.lit(" - Parte \n#### nada\n- topico")))
+    maps = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("course_id"), F.concat(F.lit("# Mapa\n"), F.when(F.col("c_custkey") % 3 == 0, "###\nsem unidades").otherwise(F.array_join(part, "\n"))).alias("markdown"))
+    unit = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat(F.lit("unidade-0"), F.col("o_orderkey") % 3 + 1, F.lit("-parte")))
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("course_id"), F.col("o_orderkey").alias("block_ord"), unit.alias("unit_slug"), F.lower("o_orderpriority").alias("topic_text"))
+    return taxonomy.derive_units(maps, blocks).select("course_id", "unit_slug", "unit_title", "signals")

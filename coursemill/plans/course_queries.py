@@ -470,17 +470,24 @@ def near_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.near_duplicate_descriptions(d).select("doc_id", "page", "fname", "refers_to")
 
 
-@query("described_images", """
-SELECT doc_id, md5('Intro' || chr(10) || '> **Image:** A figure of ' || lang || chr(10) || '![other](x/none.png)' || chr(10) || 'End') AS markdown_md5, lang AS matched FROM documents""")
+@query("described_images", r"""
+WITH d AS (SELECT doc_id, lang, doc_id % 4 AS k, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT *, 'A figure of ' || array_to_string(string_split(t, ' ')[1:6], ' ') AS s FROM d)
+SELECT doc_id, md5('Intro' || chr(10) || CASE k WHEN 3 THEN '![fig](x/p1-' || lang || '.png)' ELSE '> **Image:** ' || CASE k WHEN 2 THEN 'Other page' ELSE trim(s) END END || chr(10) || '![other](x/none.png)' || chr(10) || 'End') AS markdown_md5, CASE k WHEN 3 THEN NULL WHEN 2 THEN 'p1-' || lang ELSE lang END AS matched FROM w""")
 def described_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image references replaced by their descriptions. J18, F31, F17"""
-    d = table(spark, sf_dir, "documents")
+    """Image references replaced by their descriptions: by the end of the name, by the whole name before that, by the page,
+    or not at all. J18, F31, F17"""
+    d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 4)
     docs = d.select("doc_id", F.concat(F.lit("Intro\n![fig](x/p1-"), "lang", F.lit(".png)\n![other](x/none.png)\nEnd")).alias("markdown"), "lang")
     refs = docs.select("doc_id", F.posexplode(F.regexp_extract_all("markdown", F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))).alias("ref_ord", "r")).select("doc_id", "ref_ord", F.substring_index("r", "/", -1).alias("fname"), F.lit(1).alias("page"))
-    descriptions = docs.select("doc_id", F.concat("lang", F.lit(".png")).alias("fname"), F.lit(1).alias("page"), F.concat(F.lit("A figure of "), "lang").alias("description"))
+    said = F.concat(F.lit("A figure of "), F.array_join(F.slice(F.split(X.collapse_ws(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " ")), " "), 1, 6), " "))
+    one = F.struct(F.concat("lang", F.lit(".png")).alias("fname"), F.lit(1).alias("page"), F.trim(said).alias("description"))
+    two = F.struct(F.concat(F.lit("p1-"), "lang", F.lit(".png")).alias("fname"), F.lit(2).alias("page"), F.lit("Other page").alias("description"))
+    other = F.struct(F.concat(F.lit("1-"), "lang", F.lit(".png")).alias("fname"), F.lit(1).alias("page"), F.lit("No part of the name").alias("description"))
+    given = F.when(F.col("k") == 2, F.array(one, two)).when(F.col("k") == 3, F.array(other)).otherwise(F.array(other, one))
+    descriptions = d.select("doc_id", F.inline(given)).select("doc_id", "fname", "page", "description")
     matched = D.match_descriptions(refs, descriptions)
     out = D.inject_descriptions(docs, matched)
-    return out.join(matched.select("doc_id", F.regexp_replace("d_fname", r"\.png$", "").alias("matched")), "doc_id").select("doc_id", F.md5("markdown").alias("markdown_md5"), "matched")
+    return out.join(matched.select("doc_id", F.regexp_replace("d_fname", r"\.png$", "").alias("matched")), "doc_id", "left").select("doc_id", F.md5("markdown").alias("markdown_md5"), "matched")
 
 
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,16 @@ def plan_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("plan_references", """
-SELECT s_nationkey AS course_id, CASE WHEN s_suppkey % 2 = 0 THEN 'basic' ELSE 'complementary' END AS section, 'SILVA, J. ' || s_name || '. 2020. segunda linha' AS reference FROM supplier""")
+WITH k AS (SELECT s_nationkey AS course_id, s_suppkey AS i, s_suppkey % 2 = 0 AS basic, s_suppkey % 3 AS c, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
+SELECT course_id, CASE WHEN basic THEN 'basic' ELSE 'complementary' END AS section, 'SILVA, J. ' || s_name || '. ' || (1990 + i % 40) || '.' || CASE c WHEN 0 THEN '' WHEN 1 THEN ' parte ' || i ELSE ' parte ' || i || ' e fim de ' || lower(s_name) END AS reference FROM k
+UNION ALL SELECT course_id, CASE WHEN basic THEN 'basic' ELSE 'complementary' END, 'COSTA, M.; LIMA ' || i FROM k WHERE i % 4 = 1""")
 def plan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basic and complementary references of plans. F22"""
+    """Basic and complementary references of plans, with lines that go on, marks before them and sections between. F22"""
     s = table(spark, sf_dir, "supplier")
-    line = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Bibliografia Básica:").otherwise("Bibliografia Complementar:"), F.lit("\nSILVA, J. "), "s_name", F.lit(". 2020.\nsegunda linha"))
+    more = F.expr("case s_suppkey % 3 when 0 then '' when 1 then concat('\nparte ', s_suppkey) else concat('\n  parte ', s_suppkey, '\ne fim de ', lower(s_name)) end")
+    mark = F.expr("case s_suppkey % 3 when 0 then '- ' when 1 then '1. ' else '[2] ' end")
+    first = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Bibliografia Básica:").otherwise("**Bibliografia Complementar"), F.lit("\n"), mark, F.lit("SILVA, J. "), "s_name", F.lit(". "), 1990 + F.col("s_suppkey") % 40, F.lit("."), more)
+    line = F.concat(first, F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("\n• COSTA, M.; LIMA "), "s_suppkey")).otherwise(""), F.lit("\n## Outra parte\nSOUZA, A. fora"))
     return taxonomy.bibliography(_ordered(s, "s_nationkey", "s_suppkey", line).withColumnRenamed("text", "plan")).select("course_id", "section", "reference")
 
 
@@ -73,21 +78,34 @@ def migrated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.migrate_page_keys(i).select("doc_id", "page_key", "fname")
 
 
-@query("card_titles", "SELECT conv_id, turn, role || '|' || 'fim' AS cards FROM conversations")
+@query("card_titles", r"""
+WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[:\n]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM conversations), w AS (SELECT *, array_to_string(string_split(x, ' ')[1:turn % 3 + 1], ' ') AS a, array_to_string(string_split(x, ' ')[2:3], ' ') AS b FROM t)
+SELECT conv_id, turn, array_to_string(list_filter(CASE WHEN turn % 4 = 0 THEN [role] WHEN a = b THEN [role, a] WHEN a = role THEN [role, b] WHEN b = role THEN [role, a] ELSE [role, a, b] END, lambda x: x <> ''), '|') AS cards FROM w""")
 def card_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of cards in texts. F27"""
+    """Titles of cards in texts: of words of the text, repeated, and in lines that only speak of cards. F27"""
     c = table(spark, sf_dir, "conversations")
-    t = F.concat(F.lit("Card: "), "role", F.lit("\n"), F.regexp_replace("text", r"[:\n]", " "), F.lit("\n- Tópico:  fim \nCard: "), "role")
+    x = X.collapse_ws(F.regexp_replace(F.coalesce("text", F.lit("")), r"[:\n]", " "))
+    words = F.split(x, " ")
+    more = F.concat(F.lit("\n- Tópico:  "), F.array_join(F.slice(words, F.lit(1), F.col("turn").cast("int") % 3 + 1), " "), F.lit("  \ntopico: "), F.array_join(F.slice(words, 2, 2), " "))
+    t = F.concat(F.lit("Card: "), "role", F.lit("\num card de "), x, F.when(F.col("turn") % 4 == 0, "\nnada").otherwise(more), F.lit("\nCARD: "), "role")
     return c.select("conv_id", "turn", F.array_join(X.card_titles(t), "|").alias("cards"))
 
 
-@query("image_pages", "SELECT doc_id, 'a' || (doc_id % 3) || '.png' AS fname, 12 AS page, md5(coalesce(replace(text, chr(10), ' '), '') || ' x![](base/q.png)') AS relinked_md5 FROM documents")
+@query("image_pages", r"""
+WITH d AS (SELECT doc_id, doc_id % 9 + 1 AS p, doc_id % 5 AS k, md5(coalesce(replace(text, chr(10), ' '), '') || ' x![](base/q.png)![](http://e/r.png)') AS m FROM documents),
+i AS (SELECT doc_id, m, unnest(CASE k WHEN 0 THEN [{'f': 'a.png', 'p': p + 10}, {'f': 'b.png', 'p': p + 13}] WHEN 1 THEN [{'f': 'b.png', 'p': p + 13}, {'f': 'a.png', 'p': p + 13}] WHEN 2 THEN [] ELSE [{'f': 'a.png', 'p': p + 13}, {'f': 'b.png', 'p': p + 10}] END, recursive := true) FROM d)
+SELECT doc_id, f AS fname, p::INT AS page, m AS relinked_md5 FROM i""")
 def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of images by page marks, and relative references put below a folder. F16, F17"""
+    """Pages of images by page marks, first ones only, and relative references put below a folder. F16, F17"""
     d = table(spark, sf_dir, "documents")
-    image = F.concat(F.lit("![](x/a"), F.col("doc_id") % 3, F.lit(".png)"))
-    mark = F.lit("\n" + "-" * 48 + "\n")
-    docs = d.select("doc_id", F.concat(F.lit("2"), mark, image, F.lit("\n3"), mark, image).alias("markdown"), F.concat(F.coalesce(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("")), F.lit(" x![](./q.png)")).alias("t"))
+    mark = lambda n: F.concat((F.col("doc_id") % 9 + 1 + n).cast("string"), F.lit("\n" + "-" * 48 + "\n"))
+    image = lambda f: F.lit(f"![fig]({f}.png) ")
+    k = F.col("doc_id") % 5
+    # an image before the first mark has no page; a second reference changes nothing
+    head = F.when(k == 0, image("x/a")).when(k == 1, "").when(k == 2, "").otherwise(image("y/b"))
+    tail = F.when(k == 0, F.concat(image("x/a"), image("b"))).when(k == 1, F.concat(image("b"), image("z/a"))).when(k == 2, "12\n---\ntexto").otherwise(F.concat(image("a"), image("b")))
+    text = F.concat(F.when(k == 1, image("w/c")).otherwise(""), F.lit("texto\n"), mark(0), head, F.lit("\n"), mark(3), tail)
+    docs = d.select("doc_id", text.alias("markdown"), F.concat(F.coalesce(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("")), F.lit(" x![](./q.png)![](http://e/r.png)")).alias("t"))
     pages = D.image_page_map(docs, ["doc_id"], offset=10)
     return pages.join(docs, "doc_id").select("doc_id", "fname", "page", F.md5(X.relink_images("t", "base/")).alias("relinked_md5"))
 
