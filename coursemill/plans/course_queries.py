@@ -210,8 +210,8 @@ def _unit_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("unit_row_periods", rf"""
 WITH RECURSIVE {SQL_TOPICS}, g AS (SELECT course_id, unit_ord, unit_slug, list(topic_label ORDER BY topic_ord) AS t FROM topics GROUP BY ALL),
-u AS (SELECT course_id, unit_ord, unit_slug, (unit_ord + 1)::VARCHAR AS num, {sql_norm("CASE WHEN unit_ord = 0 THEN t[1] ELSE 'Unidade 0' || (unit_ord + 1) || ' ' || t[1] END")} AS about0, 'Unidade 0' || (unit_ord + 1) || CASE WHEN unit_ord = 0 THEN ': ' ELSE ' ' END || t[1] AS title, list_filter(list_transform(t[1:2], lambda x: {sql_norm("x")}), lambda x: x <> '') AS phrases FROM g),
-u1 AS (SELECT *, {sql_norm("coalesce(nullif(regexp_extract(title, '[â€”“:-]\s*(.+)', 1), ''), title)")} AS about FROM u),
+u AS (SELECT course_id, unit_ord, unit_slug, (unit_ord + 1)::VARCHAR AS num, 'Unidade 0' || (unit_ord + 1) || CASE WHEN unit_ord = 0 THEN ': ' ELSE ' ' END || t[1] AS title, list_filter(list_transform(t[1:2], lambda x: {sql_norm("x")}), lambda x: x <> '') AS phrases FROM g),
+u1 AS (SELECT *, {sql_norm(r"coalesce(nullif(regexp_extract(title, '[â€”“:-]\s*(.+)', 1), ''), title)")} AS about FROM u),
 u2 AS (SELECT *, list_distinct(list_filter(string_split(about, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$'))) AS tw,
     list_distinct(list_concat(list_filter(string_split(about, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$')), flatten(list_transform(phrases, lambda p: list_filter(string_split(p, ' '), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '^\d+$')))))) AS aw FROM u1),
 df AS (SELECT course_id, w, count(*) AS k FROM (SELECT course_id, unnest(aw) AS w FROM u2) GROUP BY ALL),
@@ -293,16 +293,19 @@ def session_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("html_schedules", """
-SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'suspension' WHEN 'O' THEN 'exam' ELSE 'class' END AS kind, o_orderstatus = 'F' AS ignored,
-  '- (' || strftime(o_orderdate, '%d/%m/%Y') || ') SEG — ' || o_orderpriority || ' [Aula]' || CASE o_orderstatus WHEN 'F' THEN ' {kind=suspension} ⊘' WHEN 'O' THEN ' {kind=exam}' ELSE '' END AS line FROM orders""")
+WITH o AS (SELECT o_custkey AS c, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus AS s FROM orders)
+SELECT c AS course_id, CASE s WHEN 'F' THEN 'suspension' WHEN 'O' THEN 'exam' ELSE 'class' END AS kind, s = 'F' AS ignored,
+  '- (' || strftime(o_orderdate, '%d/%m/%Y') || ') ' || ['SEG', 'TER', 'QUA'][o_orderkey % 3 + 1] || ' — ' || o_orderpriority || ' [Aula]' || CASE s WHEN 'F' THEN ' {kind=suspension} ⊘' WHEN 'O' THEN ' {kind=exam}' ELSE '' END AS line FROM o""")
 def html_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schedule rows from portal pages made of orders. S6"""
+    """Schedule rows from portal pages, one of each customer with all its orders as rows. S6"""
     o = table(spark, sf_dir, "orders")
     colour = F.expr("case o_orderstatus when 'F' then ' style=\"Background-Color: Red;\"' when 'O' then ' style=\"background-color:orange\"' else '' end")
     cell = lambda name, value: F.concat(F.lit(f'<td><span id="x_lbl{name}">'), value, F.lit("</span></td>"))
-    html = F.concat(F.lit('<table id="dgAulas"><tr><th>x</th></tr><tr'), colour, F.lit(">"), cell("Data", F.date_format("o_orderdate", "dd/MM/yyyy")), cell("Dia", F.lit("SEG")), cell("Descricao", F.col("o_orderpriority")), F.lit("</tr></table>"))
-    rows = H.schedule_rows(o.select(F.col("o_orderkey").alias("course_id"), html.alias("html")))
-    return rows.select(F.col("course_id").alias("o_orderkey"), "kind", "ignored", H.schedule_line(F.col("cells"), F.col("kind"), F.col("ignored")).alias("line"))
+    day = F.element_at(F.array(*(F.lit(d) for d in ("SEG", "TER", "QUA"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    row = F.concat(F.lit("<tr"), colour, F.lit(">"), cell("Data", F.date_format("o_orderdate", "dd/MM/yyyy")), cell("Dia", day), cell("Descricao", F.col("o_orderpriority")), F.lit("</tr>"))
+    pages = o.groupBy(F.col("o_custkey").alias("course_id")).agg(F.concat(F.lit('<table id="dgAulas"><tr><th>x</th></tr>'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "\n"), F.lit("</table>")).alias("html"))
+    rows = H.schedule_rows(pages)
+    return rows.select("course_id", "kind", "ignored", H.schedule_line(F.col("cells"), F.col("kind"), F.col("ignored")).alias("line"))
 
 
 # dates and periods
@@ -612,11 +615,13 @@ def outline_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.outline_labels(t, ["course_id"]).select("course_id", "topic_ord", "label")
 
 
-@query("reasoning_cleanup", "SELECT conv_id, turn, md5(trim(text, ' ' || chr(10))) AS answer_md5 FROM conversations")
+@query("reasoning_cleanup", """
+SELECT conv_id, turn, md5(CASE turn % 4 WHEN 2 THEN '' ELSE trim(CASE turn % 4 WHEN 3 THEN 'Resposta ' ELSE '' END || coalesce(text, ''), ' ' || chr(10)) END) AS answer_md5 FROM conversations""")
 def reasoning_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers without thought blocks and preambles. F29"""
+    """Answers without thought blocks and preambles: one, two, an open one, none. F29"""
     c = table(spark, sf_dir, "conversations")
-    text = F.concat(F.lit("<think>a\nb</think>\nOkay, here it is:\n\n"), "text")
+    text = F.expr("""case turn % 4 when 0 then concat('<think>a\nb</think>\nOkay, here it is:\n\n', coalesce(text, '')) when 1 then concat('<THINK>', role, '</THINK> <think>', coalesce(text, ''), '</think>\n\nHere is the text\n', coalesce(text, ''))
+      when 2 then concat('<think>', coalesce(text, '')) else concat('Resposta ', coalesce(text, '')) end""")
     return c.select("conv_id", "turn", X.strip_reasoning(text).alias("t")).select("conv_id", "turn", F.md5(F.expr("trim(both concat(' ', char(10)) from t)")).alias("answer_md5"))
 
 

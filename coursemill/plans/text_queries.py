@@ -326,7 +326,7 @@ _SQL_REVIEW = f"{sql_any('{0}', vocab.REVIEW_CUES)} AND regexp_matches({{0}}, '(
 WITH {SQL_TOPICS}, c AS (SELECT DISTINCT course_id, array_to_string(string_split(topic_label, ' ')[1:k], ' ') AS t FROM topics, (SELECT unnest([1, 2]) AS k)),
 g AS (SELECT DISTINCT course_id, 'topico:' || {sql_slug('t')} AS tag FROM c WHERE {sql_candidate('t')}), cat AS (SELECT *, {_SQL_PHRASE} AS ph, row_number() OVER (PARTITION BY course_id ORDER BY tag) AS o FROM g WHERE tag NOT LIKE '%:untitled'),
 l AS (SELECT source AS course_id, doc_id, left(text, 60) AS title, CASE doc_id % 4 WHEN 0 THEN 'listas' WHEN 1 THEN 'provas' WHEN 2 THEN 'material-de-aula' ELSE 'outros' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'Simulado ' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN 'P2 ' ELSE '' END AS said, {SQL_LINES.format("'# ' || coalesce(text, '')")} AS l FROM documents),
-e AS (SELECT *, {sql_norm("title")} AS tn, {sql_norm("array_to_string(list_filter(list_transform(list_filter(l, lambda x: regexp_matches(x, '^#{1,6}\s+(.+?)\s*$')), lambda x: trim(regexp_replace(regexp_extract(x, '^#{1,6}\s+(.+?)\s*$', 1), '\s+', ' ', 'g'))), lambda x: x <> '')[1:8], ' ')")} AS hn, {sql_norm("said")} AS rn FROM l),
+e AS (SELECT *, {sql_norm("title")} AS tn, {sql_norm(r"array_to_string(list_filter(list_transform(list_filter(l, lambda x: regexp_matches(x, '^#{1,6}\s+(.+?)\s*$')), lambda x: trim(regexp_replace(regexp_extract(x, '^#{1,6}\s+(.+?)\s*$', 1), '\s+', ' ', 'g'))), lambda x: x <> '')[1:8], ' ')")} AS hn, {sql_norm("said")} AS rn FROM l),
 s AS (SELECT *, trim(tn || ' ' || hn) AS n, trim(tn || ' ' || rn || ' ' || hn) AS r FROM e), w AS (SELECT *, list_distinct({sql_tokens('n')}) AS w FROM s),
 m AS (SELECT course_id, doc_id, tag, o FROM w JOIN cat USING (course_id) WHERE ph <> '' AND CASE WHEN len({sql_tokens('ph')}) = 1 THEN length({sql_tokens('ph')}[1]) >= 5 AND list_contains(w, {sql_tokens('ph')}[1]) ELSE contains(n, ph) OR (len({sql_tokens('ph')}) >= 2 AND len(list_filter({sql_tokens('ph')}, lambda y: NOT list_contains(w, y))) = 0) END),
 a AS (SELECT course_id, doc_id, list(tag ORDER BY o) AS tags FROM m GROUP BY ALL)
