@@ -17,17 +17,17 @@ from coursemill.streaming import jobs, study
 # schedules
 
 def _schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a schedule: a row per turn with a date and the first eight words."""
+    """Each conversation as a schedule: a row per turn with a date and its whole text."""
     c = table(spark, sf_dir, "conversations")
     day = F.date_format(F.date_add(F.lit("2026-03-02").cast("date"), F.col("turn").cast("int") * 2), "dd/MM/yyyy")
-    words = F.array_join(F.slice(F.split(X.collapse_ws(F.regexp_replace("text", r"[|]", " ")), " "), 1, 8), " ")
+    words = X.collapse_ws(F.regexp_replace("text", r"[|]", " "))
     row = F.struct("turn", F.concat(F.lit("| "), day, F.lit(" | "), words, F.when(F.col("turn") % 5 == 4, " {kind=event}").otherwise(""), F.lit(" |")).alias("t"))
     text = F.array_join(F.concat(F.array(F.lit("# Cronograma"), F.lit("| Data | Conteúdo |"), F.lit("|---|---|")), F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"])), "\n")
     return c.groupBy("conv_id").agg(text.alias("schedule")).withColumnRenamed("conv_id", "course_id")
 
 
 @query("schedule_rows", r"""
-WITH r AS (SELECT conv_id AS course_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS row_index, turn, array_to_string(string_split(trim(regexp_replace(replace(text, '|', ' '), '\s+', ' ', 'g')), ' ')[1:8], ' ') AS w FROM conversations)
+WITH r AS (SELECT conv_id AS course_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS row_index, turn, trim(regexp_replace(replace(text, '|', ' '), '\s+', ' ', 'g')) AS w FROM conversations)
 SELECT course_id, row_index::INT AS row_index, trim(w) AS content, (DATE '2026-03-02' + (turn * 2)::INT)::DATE AS date_dt, CASE WHEN turn % 5 = 4 THEN 'event' ELSE 'class' END AS kind, turn % 5 = 4 AS ignored FROM r""")
 def schedule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of Markdown schedules with dates, kinds and content. S7, F2, F7, F8"""
@@ -39,7 +39,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_GENERIC = f"{vocab.SCHEDULE_GENERIC}"
-SQL_SEGMENTS = rf"""sr AS (SELECT conv_id AS course_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, trim(array_to_string(string_split(trim(regexp_replace(replace(text, '|', ' '), '\s+', ' ', 'g')), ' ')[1:8], ' ')) AS content FROM conversations),
+SQL_SEGMENTS = rf"""sr AS (SELECT conv_id AS course_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, trim(trim(regexp_replace(replace(text, '|', ' '), '\s+', ' ', 'g'))) AS content FROM conversations),
 sn AS (SELECT *, {sql_norm('content')} AS n, string_split_regex(content, '\s*:\s*') AS colon, string_split_regex(content, '\s+[—–-]\s+') AS dash FROM sr WHERE content <> ''),
 sc AS (SELECT *, CASE WHEN len(colon) > 1 AND len(list_filter({sql_tokens(sql_norm('colon[1]'))}, lambda x: NOT list_contains({_SQL_GENERIC}, x))) >= 2 THEN {sql_norm('colon[1]')} WHEN len(dash) > 1 AND len(list_filter({sql_tokens(sql_norm('dash[1]'))}, lambda x: NOT list_contains({_SQL_GENERIC}, x))) >= 2 THEN {sql_norm('dash[1]')} ELSE n END AS core FROM sn),
 sf AS (SELECT course_id, row_number() OVER (PARTITION BY course_id ORDER BY i) AS i, turn, content, n, core, list_filter({sql_tokens('n')}, lambda x: NOT list_contains({_SQL_GENERIC}, x)) AS words, list_filter({sql_tokens('core')}, lambda x: NOT list_contains({_SQL_GENERIC}, x)) AS cw,
@@ -55,7 +55,7 @@ UNION ALL SELECT s.course_id, s.i, CASE WHEN s.j THEN s.no ELSE s.no + 1 END, CA
 @query("schedule_blocks", rf"""WITH RECURSIVE {SQL_SEGMENTS},
 b AS (SELECT course_id, no, min(i) AS a, max(i) AS z, count(*) AS n_rows FROM seg GROUP BY ALL),
 tp AS (SELECT course_id, no, list(core ORDER BY f)[1:6] AS topics FROM (SELECT seg.course_id, no, array_to_string(st.cw, ' ') AS core, min(st.i) AS f FROM seg JOIN st USING (course_id, i) WHERE len(st.cw) > 0 GROUP BY ALL) GROUP BY ALL),
-al AS (SELECT course_id, no, list(w ORDER BY f)[1:6] AS aliases FROM (SELECT course_id, no, w, min(f) AS f FROM (SELECT seg.course_id, no, unnest(st.cw) AS w, st.i * 1000 + generate_subscripts(st.cw, 1) AS f FROM seg JOIN st USING (course_id, i)) WHERE length(w) >= 5 GROUP BY ALL) GROUP BY ALL),
+al AS (SELECT course_id, no, list(w ORDER BY f)[1:6] AS aliases FROM (SELECT course_id, no, w, min(f) AS f FROM (SELECT seg.course_id, no, unnest(st.cw) AS w, st.i * 10000000 + generate_subscripts(st.cw, 1) AS f FROM seg JOIN st USING (course_id, i)) WHERE length(w) >= 5 GROUP BY ALL) GROUP BY ALL),
 d AS (SELECT course_id, i, (DATE '2026-03-02' + (turn * 2)::INT)::DATE AS d FROM st)
 SELECT b.course_id, 'bloco-' || CASE WHEN b.no < 10 THEN '0' ELSE '' END || b.no AS block_id, x.d AS period_start, y.d AS period_end, strftime(x.d, '%d/%m/%Y') || CASE WHEN x.d = y.d THEN '' ELSE ' a ' || strftime(y.d, '%d/%m/%Y') END AS period_label,
   coalesce(array_to_string(topics, '; '), '') AS topics, coalesce(array_to_string(aliases, '; '), '') AS aliases, n_rows::INT AS n_rows

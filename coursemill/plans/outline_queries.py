@@ -48,14 +48,14 @@ def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("strong_headings", """
-WITH h AS (SELECT source AS course_id, doc_id AS ord, i - 1 AS pos, trim(regexp_replace(array_to_string(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' ')[1:2], ' '), '\\s+', ' ', 'g')) AS heading
+WITH h AS (SELECT source AS course_id, doc_id AS ord, i - 1 AS pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS heading
   FROM (SELECT source, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT source, doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')[1:4] AS l FROM documents))),
 s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(strip_accents(heading))), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '-') AS g FROM h)
 SELECT course_id, CASE WHEN g = '' THEN 'untitled' ELSE g END AS slug, min(ord) AS ord FROM s GROUP BY ALL""")
 def strong_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four headings of every document, once per course. T3, F9"""
+    """The first four headings of every document (whole lines), once per course. T3, F9"""
     lines = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""), 1, 4)
-    md = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("# "), F.array_join(F.slice(F.split(X.collapse_ws(x), " "), 1, 2), " "))), "\n")
+    md = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("# "), X.collapse_ws(x))), "\n")
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), F.col("doc_id").alias("ord"), md.alias("markdown"))
     return taxonomy.strong_headings(docs).select("course_id", "slug", "ord")
 
