@@ -134,20 +134,38 @@ def _course_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("course_id").agg(F.concat(body, F.lit("\n## Avaliação\nP1: prova das unidades 2 e 3\nBibliografia\n")).alias("plan"))
 
 
-@query("course_maps")
-def course_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of courses with plans and schedules, with periods and early assessments, and of courses with plans alone (parts).
-    Job course_map: F21, F23, A8, J13, J14, T4"""
+def _timeline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(plans, topics, units, blocks, rows) of the courses that have both a plan and a schedule; the schedule has an exam and
+    a card of each course's first topic."""
     plans = staged(_course_plans(spark, sf_dir), "plans")
     none = plans.select("course_id", F.lit(None).cast("string").alias("glossary"), F.lit(None).cast("string").alias("heading"))
     named = staged(jobs.content_taxonomy(plans, none.drop("heading"), none.drop("glossary")), "taxonomy")
     units = named.groupBy("course_id", "unit_ord", "unit_slug", "unit_title").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_ord", "topic_label"))), lambda x: x["topic_label"]).alias("topics"))
-    exam = _courses(spark, sf_dir).withColumn("schedule", F.concat("schedule", F.lit("\n| 02/03/2026 | Prova P1 |")))
-    blocks, rows = jobs.timeline_index(exam, named, units)
+    card = named.groupBy("course_id").agg(F.min_by("topic_label", "topic_ord").alias("card"))
+    more = F.concat(F.lit("\n| 02/03/2026 | Prova P1 |\n| 04/03/2026 | Card: "), "card", F.lit("; atividade assíncrona: "), "card", F.lit(" |"))
+    exam = _courses(spark, sf_dir).join(card, "course_id").select("course_id", F.concat("schedule", more).alias("schedule"))
+    return plans, named, units, *jobs.timeline_index(exam, named, units)
+
+
+@query("course_maps")
+def course_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of courses with plans and schedules, with periods and early assessments, and of courses with plans alone (parts).
+    Job course_map: F21, F23, A8, J13, J14, T4"""
+    plans, _, _, blocks, rows = _timeline(spark, sf_dir)
     every = plans.union(_plans(spark, sf_dir))
     return jobs.course_map(every, blocks, jobs.assessment_context(every, rows, blocks))
 
 
+@query("course_file_map")
+def course_file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routing table of all documents over the timelines of their courses: plans, schedules, sessions and cards.
+    Jobs taxonomy_and_tags, timeline_index and file_map in one chain: W7, J9, J22"""
+    _, named, units, blocks, rows = _timeline(spark, sf_dir)
+    entries = documents(spark, sf_dir).withColumns({"entry_id": F.col("doc_id"), "entry_ord": F.col("doc_id"), "category": F.expr(_CATEGORY), "manual_timeline_block_id": F.expr("case when doc_id % 13 = 0 then 'bloco-02' end")})
+    out = jobs.file_map(entries, named, units, blocks, rows)
+    return out.select("course_id", "entry_id", "category", "unit", "confidence", "period", "trace")
+
+
 @query("glossaries")
 def glossaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossaries of courses with evidence from their documents. Job glossary: J17, F25, F26, T4"""

@@ -244,10 +244,12 @@ def test_whole_course(spark):
     assert b["bloco-01"].source_rows == [0, 1, 2] and b["bloco-01"].unit_slug == "unidade-01-logica" and b["bloco-01"].primary_topic_slug == "logica-de-hoare"
     conj = next(r for r in b.values() if "conjuntos" in r.topic_text)
     assert conj.unit_slug == "unidade-02-conjuntos" and any(r.administrative for r in b.values())
-    entries = spark.createDataFrame([("c", 1, 1, "Aula de Hoare", "# Lógica de Hoare\ntexto\n## Regras\n## Exemplos", "material-de-aula", "content/a.md"), ("c", 2, 2, "Plano", "x", "cronograma", None), ("d", 3, 1, "Outro curso", "x", "outros", None)], "course_id string, entry_id long, entry_ord int, title string, markdown string, category string, approved_markdown string")
+    entries = spark.createDataFrame([("c", 1, 1, "Aula de Hoare", "# Lógica de Hoare\ntexto\n## Regras\n## Exemplos", "material-de-aula", "content/a.md"), ("c", 2, 2, "Plano", "x", "cronograma", None), ("d", 3, 1, "Outro curso", "x", "outros", None), ("c", 4, 3, "Aula 18/03/2026: conjuntos", "conjuntos indutivos e a atividade assíncrona", "material-de-aula", None)], "course_id string, entry_id long, entry_ord int, title string, markdown string, category string, approved_markdown string")
     table = jobs.file_map(entries, topics, units, blocks, rows)
     m = {r.entry_id: r for r in table.collect()}
     assert (m[1].unit, m[1].confidence, m[1].usage, m[1].markdown, m[1].sections) == ("unidade-01-logica", "Alta", "teoria base", "`content/a.md`", "Regras  Exemplos") and m[1].period == b["bloco-01"].period_label
+    of_day = [r for r in b.values() if any(str(x.date) == "2026-03-18" for x in r.sessions)]
+    assert len(of_day) == 1 and m[4].unit == of_day[0].unit_slug == "unidade-02-conjuntos" and m[4].period == of_day[0].period_label  # by its session
     assert (m[2].unit, m[2].confidence, m[2].period) == ("curso-inteiro", "Alta", "") and (m[3].unit, m[3].confidence) == ("", "Baixa")
     text = {r.course_id: r.markdown for r in jobs.file_map_markdown(table).collect()}
     assert text["c"].startswith("| # | Título") and "| 1 | Aula de Hoare |" in text["c"]
