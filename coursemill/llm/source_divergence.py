@@ -27,7 +27,7 @@ from coursemill.llm.spans import LOWER, row_chunks, text_buffer
 #: Documents of a language that a kept term is in; pseudo-counts of a term; the unit of rates; ranks of terms.
 LEAST_DOCS, PRIOR, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Sources and (about) terms of one matrix.
-SOURCES, TERMS = 128, 4096
+SOURCES, TERMS = 128, 512
 #: Bytes of text counted at once.
 CHUNK = 8_000_000
 
