@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: File categories that old names map to.
+#: File categories that old names map to (fixed values).
 LEGACY_CATEGORIES = {"course-material": "material-de-aula", "exams": "provas", "exercise-lists": "listas", "rubrics": "gabaritos", "schedule": "cronograma", "references": "referencias", "photos-of-exams": "fotos-de-prova", "answer-keys": "gabaritos", "other": "outros"}
 EXAM, EXERCISE, CODE, ASSIGNMENT, WHITEBOARD = ["provas", "fotos-de-prova"], ["listas", "gabaritos"], ["codigo-professor", "codigo-aluno"], ["trabalhos"], ["quadro-branco"]
 #: When to open an entry, and the categories of each use (fixed values).
@@ -10,12 +10,13 @@ USES = [
     ("teoria base", ["material-de-aula", "slides", "apostila"]), ("provas e revisão", EXAM), ("exercícios", EXERCISE), ("trabalhos", ASSIGNMENT), ("exemplos de código", CODE),
     ("explicações do professor", WHITEBOARD), ("referência geral", ["cronograma", "bibliografia", "referencias"]),
 ]
+#: Categories of the whole course; extensions of code files and their languages; branches of students; names of profiles (fixed values).
 NO_TIMELINE = ["cronograma", "bibliografia", "referencias"]
 CODE_EXTENSIONS = ["py", "js", "ts", "jsx", "tsx", "java", "c", "cpp", "h", "hpp", "cs", "go", "rs", "rb", "php", "swift", "kt", "scala", "r", "m", "sh", "bat", "ps1", "sql", "html", "css", "scss", "ipynb", "thy"]
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "jsx", "tsx": "tsx", "java": "java", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "r": "r", "sh": "bash", "bat": "batch", "ps1": "powershell", "sql": "sql", "html": "html", "css": "css", "scss": "scss", "ipynb": "json", "thy": "isabelle"}
 STUDENT_BRANCHES = ["main", "master", "minha-solucao", "aluno", "student"]
 PROFILE_ALIASES = {"": "auto", "auto": "auto", "general": "auto", "math_light": "math_heavy", "math_heavy": "math_heavy", "layout_heavy": "diagram_heavy", "diagram_heavy": "diagram_heavy", "exam_pdf": "diagram_heavy", "scanned": "scanned"}
-#: Category by what a file's name holds, in the order of the rules: (category, parts, whole codes).
+#: Category by what a file's name holds, in the order of the rules: (category, parts, whole codes) (fixed values).
 CATEGORY_RULES = [
     ("provas", ["prova", "exame"], ["test", "p1", "p2", "p3", "av1", "av2"]),
     ("listas", ["lista", "exerc", "quest", "trab", "exer"], []),
@@ -25,10 +26,15 @@ CATEGORY_RULES = [
     ("bibliografia", ["livro", "referencia", "biblio", "artigo", "paper"], []),
     ("trabalhos", ["trabalho", "projeto", "assignment", "enunciado", "spec", "requisito"], []),
 ]
-#: Background colours of schedule rows: kind, and whether the row is ignored.
+#: Background colours of schedule rows: kind, and whether the row is ignored (fixed values).
 ROW_COLOURS = {"red": ("suspension", True), "#ff0000": ("suspension", True), "lightgrey": ("g2", True), "#d3d3d3": ("g2", True), "#ffa500": ("exam", False), "orange": ("exam", False), "#ff8c00": ("ps", True), "darkorange": ("ps", True), "#8b0000": ("event", True), "darkred": ("event", True), "#ffff00": ("assignment", False), "yellow": ("assignment", False)}
-#: Words of schedules that tell nothing of a topic.
-SCHEDULE_GENERIC = "atividade assincrona assincrono aula aulas caso complementar conteudo conteudos dia estudo estudos exercicio exercicios gabarito gabaritos hora leituras lista listas material materia pagina paginas recursos recomendadas revisao revisoes resposta respostas semana teorica teoricas pratica praticas apresentacao continuacao finalizacao prova provas unidade".split()
+#: Words of schedules that tell nothing of a topic (fixed values).
+SCHEDULE_GENERIC = [
+    "atividade", "assincrona", "assincrono", "aula", "aulas", "caso", "complementar", "conteudo", "conteudos", "dia", "estudo", "estudos", "exercicio", "exercicios", "gabarito",
+    "gabaritos", "hora", "leituras", "lista", "listas", "material", "materia", "pagina", "paginas", "recursos", "recomendadas", "revisao", "revisoes", "resposta", "respostas",
+    "semana", "teorica", "teoricas", "pratica", "praticas", "apresentacao", "continuacao", "finalizacao", "prova", "provas", "unidade",
+]
+#: Phrases of schedule rows that do not teach, that review, that go on with the row before (fixed values).
 ADMIN_PHRASES = ["suspensao de aulas", "suspensao das aulas", "suspensao aulas", "suspensao da aula", "suspensao aula", "sem aula", "nao havera aula", "feriado", "recesso", "evento academico", "prova de substituicao", "evento institucional", "devolucao", "entrega de notas", "cancelamento", "aula cancelada", "aula cancelado", "substituicao"]
 REVIEW_WORDS = ["revisao", "avaliacao", "prova 1", "prova 2", "prova final", "teste"]
 CONTINUATION_WORDS = ["atividade assincrona", "complementar os estudos", "leituras recomendadas", "estudo de caso", "revisao", "exercicio", "exercicios", "lista", "listas", "gabarito", "respostas"]
@@ -44,7 +50,7 @@ UNIT_NEUTRAL = [
     "logicas", "para", "passo", "passos", "sequencia", "sequencias", "metodos", "modelo", "modelos", "predicado", "predicados", "programa", "programas", "proposicional",
     "substituicao", "simplificacao", "software", "softwares", "suporte", "sistemas", "semantica", "sintaxe", "variavel", "variaveis", "verificacao", "verificacoes",
 ]
-#: Study states.
+#: Study states (fixed values).
 STATUSES = ["pendente", "em_progresso", "compreendido", "revisao"]
 #: Words of a course that name tools, general slugs, headings that structure a document, signs of a bibliography, weak
 #: beginnings of headings, and words that link a heading to a topic on their own (fixed values).

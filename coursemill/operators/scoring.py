@@ -1,7 +1,7 @@
 """Scores of documents against topics, units, schedule rows, blocks and sessions, and winners with confidence.
 
 Topics and units of a course are one row of arrays, which meets each of its documents once (`with_course`): broadcast
-where their number is small, dealt over salts where it is not, so that no course is one task. An inverted index from
+where their number is small, dealt by weight where it is not, so that no course is one task. An inverted index from
 words and phrase anchors leaves a few candidates, and only these are scored, inside the row. Token overlap with
 schedule rows goes by equality joins on a vocabulary of related tokens. IDs in brackets are those of the operator
 inventory.
@@ -14,8 +14,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
-from coursemill.operators.dealing import deal
 from coursemill.functions.text import date_range_signal, headings, lead_text, match_text, session_signals, tokens
+from coursemill.operators.dealing import deal
 
 #: Text fields of a document's signals with their weight for topics (fixed values).
 TOPIC_WEIGHTS = {"headings": 4.4, "title": 3.8, "lead": 2.8, "manual_tags": 3.0, "body": 1.1, "auto_tags": 0.22, "legacy_tags": 0.15, "raw": 0.9}

@@ -27,7 +27,10 @@ def study_states(sessions: DataFrame, key: list[str]) -> DataFrame:
 
 
 def stream_study_sessions(sessions: DataFrame, key: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table of study states: each batch writes the changed keys under its number, the newest number wins. [X2]"""
+    """Keeps a table of study states: each batch writes the changed keys under its number, the newest number wins. [X2]
+
+    A plain table of any keys, whose folders are not put together: `study.stream_study` numbers sessions and compacts.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
