@@ -421,10 +421,11 @@ def assessments(plans: DataFrame, text: str = "plan") -> DataFrame:
     lines = lines.withColumns({"__label": part(1), "ord": F.sum(F.col("line").rlike(ASSESSMENT_LINE).cast("int")).over(course.orderBy("pos"))}).filter("ord > 0")
     said = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("__label") != "", part(2)).otherwise(F.col("line")).alias("t")))), lambda x: x["t"])
     items = lines.groupBy("course_id", "ord").agg(F.max("__label").alias("__label"), collapse_ws(F.array_join(said, " ")).alias("description"))
-    norm = match_text("__label")
-    number = F.nullif(F.regexp_extract(norm, r"^p\s*(\d+)$", 1), F.lit("")).cast("int")
-    label = F.when(number.isNotNull(), F.concat(F.lit("P"), number)).when(norm.isin("pf", "p final", "prova final", "exame final"), "PF").otherwise(F.upper(norm))
-    items = items.withColumn("label", label).withColumn("label_slug", match_text("label"))
+    def label(norm: Column) -> Column:
+        number = F.nullif(F.regexp_extract(norm, r"^p\s*(\d+)$", 1), F.lit("")).cast("int")
+        return F.when(number.isNotNull(), F.concat(F.lit("P"), number)).when(norm.isin("pf", "p final", "prova final", "exame final"), "PF").otherwise(F.upper(norm))
+
+    items = items.withColumn("label", once(match_text("__label"), label)).withColumn("label_slug", match_text("label"))
     return items.select("course_id", "ord", "label", "label_slug", "description", declared_units(match_text("description"), F.col("label_slug")).alias("declared_unit_numbers"))
 
 
@@ -441,7 +442,8 @@ def assessment_aliases(label: Column) -> Column:
 def assessment_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
     """The first schedule row that holds an assessment's label, in any of its forms, as whole words, and the date of the
     first such row that has one. [J13] Forms meet rows by their first word."""
-    forms = found.withColumn("alias", F.explode(assessment_aliases(F.col("label")))).withColumn("__word", F.substring_index("alias", " ", 1))
+    # both sides grow with the courses, and their sizes before the explosion tell nothing, so that neither is broadcast
+    forms = found.withColumn("alias", F.explode_outer(assessment_aliases(F.col("label")))).withColumn("__word", F.substring_index("alias", " ", 1)).hint("merge")
     worded = rows.select("course_id", "row_index", "content_norm", "date_dt", F.explode(F.array_distinct(F.split("content_norm", " "))).alias("__word"))
     hit = forms.join(worded, ["course_id", "__word"])
     hit = hit.filter(F.concat(F.lit(" "), F.col("content_norm"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
