@@ -152,10 +152,13 @@ def glossary_aliases(topics: DataFrame, terms: DataFrame) -> DataFrame:
     holds = contained_pairs(words.withColumnRenamed("term_norm", "inner"), labels.withColumnRenamed("label_norm", "outer")).select("course_id", F.col("outer").alias("label_norm"), F.col("inner").alias("term_norm"))
     held = contained_pairs(labels.withColumnRenamed("label_norm", "inner"), words.withColumnRenamed("term_norm", "outer")).select("course_id", F.col("inner").alias("label_norm"), F.col("outer").alias("term_norm"))
     met = equal.select("course_id", "label_norm", "term_norm").union(holds).union(held).distinct()
-    pairs = labelled.join(met, ["course_id", "label_norm"]).join(t, ["course_id", "term_norm"])
-    inside = (F.col("hint") == "") | match_text("unit_slug", "c").contains(F.col("hint"))
-    found = pairs.filter(inside).select("course_id", "topic_slug", "topic_label", F.explode(F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("alias"))
-    once = found.filter(slugify("alias") != slugify("topic_label")).groupBy("course_id", "topic_slug", slugify("alias").alias("s")).agg(F.min("alias").alias("alias"))
+    # of terms that are written alike each alias counts once, by its slug, before they meet the topics
+    said = t.select("course_id", "term_norm", "hint", F.explode(F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("alias"))
+    said = said.withColumn("s", slugify("alias")).groupBy("course_id", "term_norm", "hint", "s").agg(F.min("alias").alias("alias"))
+    own = labelled.select("course_id", "topic_slug", slugify("topic_label").alias("own"), "label_norm", match_text("unit_slug", "c").alias("unit")).distinct()
+    pairs = own.join(met, ["course_id", "label_norm"]).join(said, ["course_id", "term_norm"])
+    found = pairs.filter(((F.col("hint") == "") | F.col("unit").contains(F.col("hint"))) & (F.col("s") != F.col("own")))
+    once = found.groupBy("course_id", "topic_slug", "s").agg(F.min("alias").alias("alias"))
     return once.groupBy("course_id", "topic_slug").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
 
 
