@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
 from coursemill.functions.text import collapse_ws, fold, headings, match_text, slugify, text_lines, tokens, unit_slug
-from coursemill.operators import scoring
+from coursemill.operators import naming, scoring
+from coursemill.sources.staging import staged
 
 @dataclass(frozen=True)
 class Profile:
@@ -292,18 +293,12 @@ def auto_tags(entries: DataFrame, catalog: DataFrame, most: int = 6) -> DataFram
     raw = "raw_target" if "raw_target" in entries.columns else None
     strong = F.concat_ws(" ", *(F.nullif(match_text(c, "c"), F.lit("")) for c in ("title", "head_text")))
     review = F.concat_ws(" ", *(F.nullif(match_text(c, "c"), F.lit("")) for c in ("title", *([raw] if raw else []), "head_text")))
-    df = entries.join(catalog, "course_id", "left").withColumns({"__n": strong, "__w": tokens(strong), "__r": review})
-
-    def named(tag: Column) -> Column:
-        phrase = match_text(F.replace(F.regexp_extract(tag, "^[^:]*:(.*)$", 1), F.lit("-"), F.lit(" ")), "c")
-        words = tokens(phrase)
-        all_there = F.forall(words, lambda w: F.array_contains("__w", w))
-        one = (F.size(words) == 1) & (F.length(F.get(words, F.lit(0))) >= 5) & all_there
-        loose = F.col("__n").contains(phrase) | one | ((F.size(words) >= 2) & all_there)
-        lone_topic = tag.startswith("topico:") & (F.size(words) == 1)
-        return (phrase != "") & tag.rlike("^(?:topico|ferramenta):") & F.when(lone_topic, one).otherwise(loose)
-
-    found = F.filter(F.coalesce("tags", F.array().cast("array<string>")), named)
+    df = entries.withColumns({"__n": strong, "__r": review})
+    # equal texts of a course are read once; a text meets the tags that it may name, never all of its course
+    texts = staged(df.select("course_id", F.col("__n").alias("norm")).distinct(), "texts").filter("course_id is not null and norm != ''")
+    named = naming.named_tags(texts, catalog.select("course_id", "tags"), most).withColumnRenamed("norm", "__n")
+    df = df.join(named, ["course_id", "__n"], "left")
+    found = F.coalesce("named", F.array().cast("array<string>"))
     category = match_text("category", "c")
     kind = F.coalesce(*(F.when(category.contains(part), F.lit(tag)) for part, tag in vocab.TYPE_TAGS))
     extra = F.filter(F.array(kind, F.when(exam_review(F.col("__r")), F.lit("uso:revisao-prova"))), lambda x: x.isNotNull())

@@ -1,11 +1,13 @@
 """Steps whose cost must grow with the input and no faster, and cases that larger tables brought up."""
 
 import datetime as dt
+import random
+import time
 
 from pyspark.sql import functions as F
 
 from coursemill.functions import html, text
-from coursemill.operators import timeline
+from coursemill.operators import taxonomy, timeline
 
 
 def plan_of(df):
@@ -40,3 +42,32 @@ def test_assessments_are_not_broadcast(spark):
     early = timeline.assessment_conflicts(dated, periods)
     assert "Broadcast" not in plan_of(dated) and len(plan_of(early)) < 60_000
     assert [(r.label_slug, r.unit_number) for r in early.collect()] == [("p1", 2)]
+
+
+def test_aliases_count_once_of_equal_terms(spark):
+    n = 2500
+    topics = spark.range(n).select(F.lit("c").alias("course_id"), F.concat(F.lit("t"), "id").alias("topic_slug"), F.lit("grafos dirigidos").alias("topic_label"), F.lit("u").alias("unit_slug"))
+    terms = spark.range(n).select(F.lit("c").alias("course_id"), F.lit("Grafos").alias("term"), F.lit(None).cast("string").alias("unit_hint"), F.array(F.lit("rede"), F.lit("Rede")).alias("synonyms"))
+    began = time.time()
+    got = taxonomy.glossary_aliases(topics, terms).collect()
+    assert len(got) == n and all(r.aliases == ["Grafos", "Rede"] for r in got) and time.time() - began < 25
+
+
+def test_tags_are_named_as_by_each_tag(spark):
+    rng = random.Random(3)
+    words = ["grafo", "arvore", "rede", "busca", "de", "c", "fila", "pilha", "hash"]
+    text = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    tags = [f"{rng.choice(['topico', 'ferramenta', 'tipo'])}:{text(3).replace(' ', '-')}" for _ in range(60)]
+    texts = [text(9) for _ in range(120)]
+
+    def names(tag, t):
+        kind, phrase = tag.split(":")[0], tag.split(":")[1].replace("-", " ")
+        long, held = [w for w in phrase.split() if len(w) >= 4], [w for w in t.split() if len(w) >= 4]
+        one = len(long) == 1 and len(long[0]) >= 5 and long[0] in held
+        loose = phrase in t or one or (len(long) >= 2 and all(w in held for w in long))
+        return phrase != "" and kind != "tipo" and (one if kind == "topico" and len(long) == 1 else loose)
+
+    want = {t: [*dict.fromkeys(g for g in tags if names(g, t))][:6] for t in texts}
+    entries = spark.createDataFrame([("c", i, t, "", "x") for i, t in enumerate(texts)] + [("d", 900, "grafo", "", "x"), (None, 901, "grafo", "", "x")], "course_id string, entry_id int, title string, head_text string, category string")
+    got = {r.entry_id: r.auto_tags for r in taxonomy.auto_tags(entries, spark.createDataFrame([("c", tags)], "course_id string, tags array<string>")).collect()}
+    assert len(got) == 122 and got[900] == got[901] == [] and all(got[i] == want[t] for i, t in enumerate(texts)) and any(want.values())
