@@ -83,13 +83,11 @@ def migrate_history(texts: DataFrame, key: list[str], text: str = "text") -> Dat
 def outline_labels(topics: DataFrame, key: list[str]) -> DataFrame:
     """Hierarchical numbers like `2.1.3` by depth, for topics in order. [W16]
 
-    The number at a depth counts rows of that depth since the latest row of a lower depth; conditional running counts
-    give it for the depths that plans have (four).
+    The number at a depth counts rows of that depth since the latest row of a lower depth: a running count, less what it was at
+    that row, for the depths that plans have (four). All windows share one order, so an outline is sorted once.
     """
     w = W.partitionBy(*key).orderBy("topic_ord")
-    df = topics
-    for d in range(4):
-        df = df.withColumn(f"__g{d}", F.sum(F.when(F.col("depth") < d, 1).otherwise(0)).over(w))
-        df = df.withColumn(f"__n{d}", F.sum(F.when(F.col("depth") == d, 1).otherwise(0)).over(W.partitionBy(*key, f"__g{d}").orderBy("topic_ord")))
+    df = topics.withColumns({f"__c{d}": F.sum(F.when(F.col("depth") == d, 1).otherwise(0)).over(w) for d in range(4)})
+    df = df.withColumns({f"__n{d}": F.col(f"__c{d}") - F.coalesce(F.last(F.when(F.col("depth") < d, F.col(f"__c{d}")), ignorenulls=True).over(w), F.lit(0)) for d in range(4)})
     parts = F.array(*(F.when(F.lit(d) <= F.col("depth"), F.greatest(F.col(f"__n{d}"), F.lit(1)).cast("string")) for d in range(4)))
     return df.withColumn("label", F.array_join(F.filter(parts, lambda x: x.isNotNull()), ".")).select(*topics.columns, "label")
