@@ -225,19 +225,28 @@ def line_rescue(pairs: DataFrame, key: list[str], kinds: str) -> DataFrame:
     import unicodedata
 
     def folded(s: str) -> str:
+        if s.isascii():
+            return s.lower().strip()
         return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().strip()
 
     def accents(s: str) -> int:
         return sum(ord(c) > 127 and c.isalpha() for c in s)
 
+    def alike(line: str, other: str) -> bool:
+        if line == other:
+            return True
+        matcher = difflib.SequenceMatcher(None, line, other)
+        return matcher.quick_ratio() >= 0.88 and matcher.ratio() >= 0.88  # the first is an upper bound
+
     def rescue(advanced: str, base: str) -> tuple[str, int]:
         old, new, cursor, n = (base or "").split("\n"), [], 0, 0
+        plain = [folded(x) for x in old]  # once a line, not at every place of the window
         for line in (advanced or "").split("\n"):
             if line.strip() and "$" not in line:
                 flat = folded(line)
                 for j in range(max(0, cursor - 2), min(len(old), cursor + 12)):
                     other = old[j]
-                    if other.strip() and folded(other) == flat and difflib.SequenceMatcher(None, line, other).ratio() >= 0.88:
+                    if plain[j] == flat and other.strip() and alike(line, other):
                         cursor = j + 1
                         if accents(other) > accents(line):
                             line, n = other, n + 1
