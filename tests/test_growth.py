@@ -4,10 +4,11 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from coursemill.functions import html, text
-from coursemill.operators import taxonomy, timeline
+from coursemill.operators import progress, taxonomy, timeline
 
 
 def plan_of(df):
@@ -71,3 +72,22 @@ def test_tags_are_named_as_by_each_tag(spark):
     entries = spark.createDataFrame([("c", i, t, "", "x") for i, t in enumerate(texts)] + [("d", 900, "grafo", "", "x"), (None, 901, "grafo", "", "x")], "course_id string, entry_id int, title string, head_text string, category string")
     got = {r.entry_id: r.auto_tags for r in taxonomy.auto_tags(entries, spark.createDataFrame([("c", tags)], "course_id string, tags array<string>")).collect()}
     assert len(got) == 122 and got[900] == got[901] == [] and all(got[i] == want[t] for i, t in enumerate(texts)) and any(want.values())
+
+
+def test_outline_labels_sort_once(spark):
+    rows = [("a", i, d) for i, d in enumerate([1, 0, 1, 1, 2, 0, 2, 1, 3, 3, 0])] + [("b", 0, 0)]
+    df = progress.outline_labels(spark.createDataFrame(rows, "course_id string, topic_ord int, depth int"), ["course_id"])
+    assert plan_of(df).count("Sort [") == 1
+    got = [r.label for r in df.filter("course_id = 'a'").orderBy("topic_ord").collect()]
+    assert got == ["1.1", "1", "1.1", "1.2", "1.2.1", "2", "2.1.1", "2.1", "2.1.1.1", "2.1.1.2", "3"]
+
+
+def test_schedule_rows_come_in_parts(spark, monkeypatch):
+    seen = []
+    frame = spark.createDataFrame([("c", "")], "course_id string, html string")
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, run, schema: seen.append(run) or self)
+    html.schedule_rows(frame)
+    line = '<tr><td><span id="x_lblData">01/03/2026</span></td></tr>'
+    pages = pd.DataFrame({"course_id": ["c"], "html": [f'<table id="dgAulas"><tr><th>x</th></tr>{line * 9000}</table>']})
+    parts = list(seen[0](iter([pages])))
+    assert sum(map(len, parts)) == 9000 and max(map(len, parts)) <= html.ROWS_AT_ONCE and parts[-1]["row_index"].max() == 8999
