@@ -87,7 +87,7 @@ def test_schedule_rows_come_in_parts(spark, monkeypatch):
     frame = spark.createDataFrame([("c", "")], "course_id string, html string")
     monkeypatch.setattr(type(frame), "mapInPandas", lambda self, run, schema: seen.append(run) or self)
     html.schedule_rows(frame)
-    line = '<tr><td><span id="x_lblData">01/03/2026</span></td></tr>'
+    line = '<tr><td><span id="x_lblData">01/03/2026</span></td><td><span id="x_lblDescricao">Aula</span></td></tr>'
     pages = pd.DataFrame({"course_id": ["c"], "html": [f'<table id="dgAulas"><tr><th>x</th></tr>{line * 9000}</table>']})
     parts = list(seen[0](iter([pages])))
     assert sum(map(len, parts)) == 9000 and max(map(len, parts)) <= html.ROWS_AT_ONCE and parts[-1]["row_index"].max() == 8999
