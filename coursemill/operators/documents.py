@@ -137,7 +137,7 @@ def section_list(markdown: Column, most: int = 4) -> Column:
     text = F.regexp_replace(F.coalesce(markdown, F.lit("")), r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)", "")
     text = F.regexp_replace(text, rf"(?s){SUMMARY_START}.*?(?:{SUMMARY_END}|\z)", "")
     heads = F.regexp_extract_all(text, F.lit(r"(?m)^##[ \t]+(\S.*?)[ \t\r]*$"), F.lit(1))
-    return F.array_join(F.slice(heads, 1, most), "  ")
+    return F.when(F.coalesce(markdown, F.lit("")).contains("##"), F.array_join(F.slice(heads, 1, most), "  ")).otherwise("")
 
 
 SUMMARY_START, SUMMARY_END = "<!-- summary:start -->", "<!-- summary:end -->"

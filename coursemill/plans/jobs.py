@@ -87,7 +87,7 @@ def entry_periods(matched: DataFrame, blocks: DataFrame, rows: DataFrame, sessio
     pairs = light.join(of_units, ["course_id", "block_unit"])
     same = F.coalesce((F.col("preferred_topic") != "") & ((F.col("primary_topic_slug") == F.col("preferred_topic")) | F.array_contains("topic_slugs", F.col("preferred_topic"))), F.lit(False))
     pairs = pairs.withColumn("__same", same).withColumn("__any", F.max("__same").over(W.partitionBy("course_id", "entry_id", "tier"))).filter("__same or not __any")
-    pairs = pairs.drop("__same", "__any", "block_unit", "primary_topic_slug", "topic_slugs")
+    pairs = staged(pairs.drop("__same", "__any", "block_unit", "primary_topic_slug", "topic_slugs"), "pairs")  # their dates are read out of whole texts
     scored_rows = staged(scoring.row_scores(texts, rows.filter("not ignored"), key), "rows")
     topic_rows = blocks.select("course_id", F.col("block_id").alias("row_index"), tokens("topic_text").alias("row_tokens"))
     tag_scores = scoring.overlap_scores(texts, topic_rows, key, {"s_manual_tags": 0.35, "s_auto_tags": 0.12, "s_legacy_tags": 0.05}).select("course_id", "entry_id", F.col("row_index").alias("block_id"), F.col("score").alias("tag_score"))

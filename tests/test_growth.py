@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import time
 
 import pandas as pd
@@ -91,3 +92,33 @@ def test_schedule_rows_come_in_parts(spark, monkeypatch):
     pages = pd.DataFrame({"course_id": ["c"], "html": [f'<table id="dgAulas"><tr><th>x</th></tr>{line * 9000}</table>']})
     parts = list(seen[0](iter([pages])))
     assert sum(map(len, parts)) == 9000 and max(map(len, parts)) <= html.ROWS_AT_ONCE and parts[-1]["row_index"].max() == 8999
+
+
+def test_topics_meet_by_few_and_by_many_anchors(spark, monkeypatch):
+    from coursemill.operators import scoring
+
+    docs = spark.createDataFrame([("c", 1, "Um texto sobre logica de hoare e p 1"), ("c", 2, "# Conjuntos\nindutivos e mais"), ("c", 3, "xlogica dex"), ("c", 4, None)], "course_id string, doc_id int, markdown string").selectExpr("*", "'' title", "'' category")
+    topics = spark.createDataFrame([("c", 1, "topic-1", "logica de", "u", "topic", ["p 1"]), ("c", 2, "conjuntos-indutivos", "Conjuntos indutivos", "u", "subtopic", []), ("c", 3, "outro", "nada disso", "u", "topic", [])], "course_id string, topic_ord int, topic_slug string, topic_label string, unit_slug string, kind string, aliases array<string>")
+    best = lambda: {r.doc_id: (r.topic_slug, round(r.best, 6)) for r in scoring.best_topic(scoring.topic_candidates(scoring.signals(docs), topics)).collect()}
+    few = best()
+    monkeypatch.setattr(scoring, "FEW_ANCHORS", 0)
+    assert few == best() and few[1][0] == few[3][0] == "topic-1" and few[2][0] == "conjuntos-indutivos"
+
+
+def test_lead_and_headings_of_long_texts(spark):
+    from coursemill.functions import text as X
+
+    texts = ["a b" * 4000, " \n" * 9000 + "word " * 3000, "---\nk: v\n---\n" + "um dois  tres " * 900, "# A\n\nx\n## B #\n", "short", None]
+    whole = lambda s: " ".join(re.sub(r"^---\r?\n.*?\r?\n---\r?\n?", "", s or "", flags=re.S).split())
+    want = [w if len(w := whole(s)) <= 2600 else re.sub(r"\s+\S*$", "", w[:2600]) for s in texts]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string").select("i", X.lead_text("s").alias("lead"), X.headings("s").alias("h")).orderBy("i").collect()
+    assert [r.lead for r in got] == want and [r.h for r in got][3] == ["A", "B #"]
+
+
+def test_pairs_of_entries_and_blocks_are_worked_out_once(spark, monkeypatch):
+    from coursemill.plans import jobs, registry
+
+    names, held = [], jobs.staged
+    monkeypatch.setattr(jobs, "staged", lambda df, name: (names.append(name), held(df, name))[1])
+    registry.QUERIES["file_map"](spark, "/root/testdata/sf0.001")
+    assert names.count("pairs") == 1
