@@ -171,14 +171,16 @@ def stems(c: Column | str) -> Column:
 
 
 def near_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (course_id, l_norm, r_norm) of texts (course_id, norm, stems) that share a stem or of which one may hold the
-    other: joins on stems and on the first four letters anywhere in the other text. [J16]"""
-    l, r = (df.select("course_id", F.col("norm").alias(f"{x}_norm"), F.col("stems").alias(f"{x}_stems")).filter(F.size("stems") > 0).distinct() for df, x in ((left, "l"), (right, "r")))
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(F.col(c), i, F.lit(4)))))
-    keyed = [
-        (l.withColumn("k", F.explode("l_stems")), r.withColumn("k", F.explode("r_stems"))),
-        (l.withColumn("k", grams("l_norm")), r.withColumn("k", F.substring("r_norm", 1, 4))),
-        (l.withColumn("k", F.substring("l_norm", 1, 4)), r.withColumn("k", grams("r_norm"))),
+    """Pairs (course_id, l_key, r_key) of texts (course_id, key, norm, stems) that share a stem or of which one may hold the
+    other: joins on stems and on the first four letters anywhere in the other text. Only their digests (key) are moved. [J16]"""
+    l, r = (df.select("course_id", F.col("key").alias(f"{x}_key"), F.col("norm").alias(f"{x}_norm"), F.col("stems").alias(f"{x}_stems")).filter(F.size("stems") > 0) for df, x in ((left, "l"), (right, "r")))
+    # runs of four letters in one pass: cut out one by one each would be counted off from the start of the text
+    grams = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("(?=(.{4}))"), F.lit(1))))
+    keyed = lambda df, x, k: df.select("course_id", f"{x}_key", k.alias("k")).distinct()
+    met = [
+        (l.select("course_id", "l_key", F.explode("l_stems").alias("k")), keyed(r, "r", F.explode("r_stems"))),
+        (l.select("course_id", "l_key", grams("l_norm").alias("k")), keyed(r, "r", F.substring("r_norm", 1, 4))),
+        (l.select("course_id", "l_key", F.substring("l_norm", 1, 4).alias("k")), keyed(r, "r", grams("r_norm"))),
     ]
     return reduce(DataFrame.union, (a.join(b, ["course_id", "k"]).select("course_id", "l_norm", "r_norm") for a, b in keyed)).distinct()
 
@@ -242,12 +244,17 @@ def tool_candidates(sources: DataFrame, profile: Profile = DEFAULT) -> DataFrame
     digit, a capital inside) where it first stands, or is in two sources and in one of them beside a word of tools.
     """
     lines = sources.select("course_id", "source", F.posexplode(text_lines("text")).alias("pos", "line"))
-    lines = lines.withColumn("context", _holds(match_text("line", "d"), vocab.TOOL_CONTEXT))
-    words = lines.select("course_id", "source", "pos", "context", F.posexplode(F.regexp_extract_all("line", F.lit(r"\b[A-Za-z][A-Za-z0-9.+#-]{1,24}\b"), F.lit(0))).alias("at", "raw"))
-    words = words.withColumn("name", match_text("raw", "d")).filter((F.length("name") >= 2) & ~F.col("name").isin(vocab.TOOL_STOPWORDS))
-    once = words.groupBy("course_id", "name", "source").agg(F.min(F.struct("pos", "at", "raw", "context")).alias("first"))
-    found = once.groupBy("course_id", "name").agg(F.count("*").alias("sources"), F.count_if("first.context").alias("context"), F.min_by("first.raw", "source").alias("raw"))
-    special = F.col("raw").rlike(r"[+#.\d]") | F.substring("raw", 2, 30).rlike(r"\p{Lu}")
+    distinct = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b[A-Za-z][A-Za-z0-9.+#-]{1,24}\b"), F.lit(0)))  # in order
+    lines = lines.select("course_id", "source", "pos", _holds(match_text("line", "d"), vocab.TOOL_CONTEXT).alias("context"), distinct.alias("words")).filter(F.size("words") > 0)
+    # a source's lines meet before they are cut into words, so that words are counted in their task and moved as counts
+    words = lines.repartition("course_id", "source").select("course_id", "source", "pos", "context", F.posexplode("words").alias("at", "raw"))
+    words = words.withColumn("name", F.lower("raw")).filter(~F.col("name").isin(vocab.TOOL_STOPWORDS))  # of ASCII letters: its match text
+    shape = F.col("raw").rlike(r"[+#.\d]") | F.substring("raw", 2, 30).rlike(r"\p{Lu}")
+    # the line, the place there, and what is asked of it as one number, whose least is kept without sorting
+    place = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftleft(F.col("at").cast("long"), 2) + F.when(F.col("context"), 2).otherwise(0) + F.when(shape, 1).otherwise(0)
+    once = words.groupBy("course_id", "source", "name").agg(F.min(place).alias("first"))
+    found = once.groupBy("course_id", "name").agg(F.count("*").alias("sources"), F.count_if(F.col("first").bitwiseAND(2) > 0).alias("context"), F.min_by(F.col("first").bitwiseAND(1) > 0, "source").alias("special"))
+    special = F.coalesce("special", F.lit(False))
     known = F.array(*(match_text(F.lit(t), "d") for t in profile.known_tools))
     beside = (F.col("context") >= 1) & (F.col("sources") >= 2) & (F.length("name") >= 3)
     return found.filter(F.array_contains(known, F.col("name")) | special | beside).select("course_id", "name", "sources", "context")

@@ -122,3 +122,10 @@ def test_pairs_of_entries_and_blocks_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(jobs, "staged", lambda df, name: (names.append(name), held(df, name))[1])
     registry.QUERIES["file_map"](spark, "/root/testdata/sf0.001")
     assert names.count("pairs") == 1
+
+
+def test_tool_names_are_counted_without_sorting_words(spark):
+    s = spark.createDataFrame([("c", 1, "use o Foo aqui\nplugin Foo e x2"), ("c", 2, "o plugin foo, IsaBelle\nfoo")], "course_id string, source int, text string")
+    df = taxonomy.tool_candidates(s)
+    got = {(r.name, r.sources, r.context) for r in df.collect()}
+    assert {("x2", 1), ("isabelle", 1)} <= {x[:2] for x in got} and plan_of(df).count("SortAggregate") == 0
