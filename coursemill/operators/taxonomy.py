@@ -182,11 +182,13 @@ def near_texts(left: DataFrame, right: DataFrame) -> DataFrame:
         (l.select("course_id", "l_key", grams("l_norm").alias("k")), keyed(r, "r", F.substring("r_norm", 1, 4))),
         (l.select("course_id", "l_key", F.substring("l_norm", 1, 4).alias("k")), keyed(r, "r", grams("r_norm"))),
     ]
-    return reduce(DataFrame.union, (a.join(b, ["course_id", "k"]).select("course_id", "l_norm", "r_norm") for a, b in keyed)).distinct()
+    return reduce(DataFrame.union, (a.join(b, ["course_id", "k"]).select("course_id", "l_key", "r_key") for a, b in met)).distinct()
 
 
 def _normed(df: DataFrame, text: str) -> DataFrame:
-    return df.select("course_id", match_text(text, "c").alias("norm"), stems(text).alias("stems"))
+    """The frame with the match text of a column as norm, its digest as key and its stems, worked out once."""
+    made = df.withColumns({"norm": match_text(text, "c"), "stems": stems(text)})
+    return staged(made.withColumn("key", F.md5("norm")), "normed")
 
 
 def heading_support(heads: DataFrame, topics: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
@@ -195,10 +197,11 @@ def heading_support(heads: DataFrame, topics: DataFrame, profile: Profile = DEFA
     Headings and topics meet as `near_texts`, so the joins have a key besides the course. A heading that reaches
     SUPPORT['least'] is an alias of that topic.
     """
-    h = heads.withColumns({"h_norm": match_text("heading", "c"), "h_stems": stems("heading")})
-    t = topics.select("course_id", "topic_slug", "topic_ord", "kind", match_text("topic_label", "c").alias("t_norm"), stems("topic_label").alias("t_stems"))
-    near = near_texts(_normed(heads, "heading"), _normed(topics, "topic_label")).withColumnsRenamed({"l_norm": "h_norm", "r_norm": "t_norm"})
-    pairs = h.join(near, ["course_id", "h_norm"]).join(t, ["course_id", "t_norm"])
+    h = _normed(heads, "heading")
+    t = _normed(topics.select("course_id", "topic_slug", "topic_ord", "kind", "topic_label"), "topic_label")
+    near = near_texts(h, t)
+    h, t = (df.withColumnsRenamed({"key": f"{x}_key", "norm": f"{n}_norm", "stems": f"{n}_stems"}) for df, x, n in ((h, "l", "h"), (t.drop("topic_label"), "r", "t")))
+    pairs = h.join(near, ["course_id", "l_key"]).join(t, ["course_id", "r_key"])
     n, words = F.size(F.array_intersect("h_stems", "t_stems")), F.size("h_stems")
     cue = F.when(_holds(F.col("h_norm"), profile.overlap_cues), SUPPORT["cue"]).when(_holds(F.col("h_norm"), vocab.WEAK_CUES), SUPPORT["weak_cue"]).otherwise(0.0)
     points = F.when(F.col("h_norm") == F.col("t_norm"), SUPPORT["equal"]).when(F.col("h_norm").contains(F.col("t_norm")) | F.col("t_norm").contains(F.col("h_norm")), SUPPORT["inside"]).when(n >= 2, SUPPORT["stems"] + SUPPORT["each"] * n).when((n == 1) & words.between(2, 6), cue).otherwise(0.0)
@@ -210,9 +213,10 @@ def heading_support(heads: DataFrame, topics: DataFrame, profile: Profile = DEFA
 def supported_headings(heads: DataFrame, base: DataFrame, profile: Profile = DEFAULT, cue: Column | None = None) -> DataFrame:
     """The headings (course_id, text) that a base candidate of their course (course_id, text) stands behind; `cue` tells of a
     heading whether it holds a cue of its course. [A5]"""
-    h = heads.withColumns({"l_norm": match_text("text", "c"), "l_stems": stems("text")})
-    b = base.select("course_id", match_text("text", "c").alias("r_norm"), stems("text").alias("r_stems")).distinct()
-    pairs = h.join(near_texts(_normed(heads, "text"), _normed(base, "text")), ["course_id", "l_norm"]).join(b, ["course_id", "r_norm"])
+    h, b = _normed(heads, "text"), _normed(base.select("course_id", "text"), "text")
+    near = near_texts(h, b)
+    h, b = (df.withColumnsRenamed({c: f"{x}_{c}" for c in ("key", "norm", "stems")}) for df, x in ((h, "l"), (b.drop("text").distinct(), "r")))
+    pairs = h.join(near, ["course_id", "l_key"]).join(b, ["course_id", "r_key"])
     n, mine, other = F.size(F.array_intersect("l_stems", "r_stems")), F.size("l_stems"), F.size("r_stems")
     inside = F.col("l_norm").contains(F.col("r_norm")) | F.col("r_norm").contains(F.col("l_norm"))
     cue = (n == 1) & mine.between(2, 4) & (_holds(F.col("l_norm"), profile.overlap_cues) if cue is None else cue)

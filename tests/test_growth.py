@@ -129,3 +129,14 @@ def test_tool_names_are_counted_without_sorting_words(spark):
     df = taxonomy.tool_candidates(s)
     got = {(r.name, r.sources, r.context) for r in df.collect()}
     assert {("x2", 1), ("isabelle", 1)} <= {x[:2] for x in got} and plan_of(df).count("SortAggregate") == 0
+
+
+def test_headings_of_one_long_line_meet_topics(spark):
+    long = " ".join(f"palavra{i}" for i in range(20_000))
+    h = spark.createDataFrame([("c", f"{long} grafos dirigidos", 1), ("c", "Outra coisa", 2)], "course_id string, heading string, ord int")
+    t = spark.createDataFrame([("c", "grafos", 1, "topic", "Grafos dirigidos")], "course_id string, topic_slug string, topic_ord int, kind string, topic_label string")
+    start = time.time()
+    assert [(r.ord, r.topic_slug, r.points) for r in taxonomy.heading_support(h, t).collect()] == [(1, "grafos", 8.0)]
+    assert time.time() - start < 60
+    key = spark.createDataFrame([("c", "k", "norma", ["norma"])], "course_id string, key string, norm string, stems array<string>")
+    assert taxonomy.near_texts(key, key).columns == ["course_id", "l_key", "r_key"]
