@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
+from coursemill.functions.batches import by_parts
 from coursemill.functions.text import compact_description, match_text, page_from_name, tokens
 
 
@@ -114,11 +116,7 @@ def clean_noise(docs: DataFrame, key: list[str], text: str = "markdown") -> Data
             out.append(line)
         return "\n".join(out)
 
-    @F.pandas_udf("string")
-    def cleaned(s: pd.Series) -> pd.Series:
-        return s.map(clean, na_action="ignore")
-
-    return docs.select(*key, cleaned(text).alias(text))
+    return docs.select(*key, by_parts(F.col(text), lambda s: None if s is None else clean(s), StringType()).alias(text))
 
 
 def section_headers(docs: DataFrame, key: list[str], text: str = "markdown") -> DataFrame:
@@ -182,11 +180,7 @@ def repair_mojibake(c: Column) -> Column:
                 out, least = t, k
         return out
 
-    @F.pandas_udf("string")
-    def repaired(s: pd.Series) -> pd.Series:
-        return s.map(best, na_action="ignore")
-
-    return repaired(c)
+    return by_parts(c, lambda s: None if s is None else best(s), StringType())
 
 
 #: Symbols and their LaTeX commands; accents of TeX and their combining marks (fixed values, short lists).
@@ -211,11 +205,7 @@ def unicode_math(c: Column) -> Column:
         parts = regions.split(s)
         return "".join(inside(p) if p.startswith("$") else p if p.startswith("`") else symbol.sub(lambda m: f"${MATH_SYMBOLS[m[0]]}$", p) for p in parts)
 
-    @F.pandas_udf("string")
-    def converted(s: pd.Series) -> pd.Series:
-        return s.map(convert, na_action="ignore")
-
-    return converted(c)
+    return by_parts(c, lambda s: None if s is None else convert(s), StringType())
 
 
 def line_rescue(pairs: DataFrame, key: list[str], kinds: str) -> DataFrame:

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from coursemill.functions import vocab
+from coursemill.functions.batches import by_parts
 from coursemill.operators.catalog import profile
 
 ENTRY_SCHEMA = (
@@ -152,11 +154,8 @@ def compact_notebook(raw: Column) -> Column:
                     parts.append(f"```text\n{shown}\n```")
         return lang, "\n\n".join(parts)
 
-    @F.pandas_udf("language string, markdown string")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([compact(x) for x in s], columns=["language", "markdown"])
-
-    return run(raw)
+    names = ("language", "markdown")
+    return by_parts(raw, lambda s: dict(zip(names, compact(s), strict=True)), StructType([StructField(c, StringType()) for c in names]))
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:

@@ -140,3 +140,15 @@ def test_headings_of_one_long_line_meet_topics(spark):
     assert time.time() - start < 60
     key = spark.createDataFrame([("c", "k", "norma", ["norma"])], "course_id string, key string, norm string, stems array<string>")
     assert taxonomy.near_texts(key, key).columns == ["course_id", "l_key", "r_key"]
+
+
+def test_texts_are_handed_on_in_small_parts(spark):
+    from pyspark.sql.types import StringType
+
+    from coursemill.functions import batches
+    from coursemill.operators import documents
+
+    t = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("a ≤ b "), F.lit(3000))).alias("t"))
+    got = t.select("id", documents.unicode_math(F.col("t")).alias("m")).collect()
+    assert all(r.m == (r"a $\leq$ b " * 3000 if r.id % 7 else None) for r in got) and len(got) == 300
+    assert spark.range(5).select(batches.by_parts(F.col("id").cast("string"), lambda s: s + "!", StringType()).alias("x")).count() == 5
