@@ -152,3 +152,10 @@ def test_texts_are_handed_on_in_small_parts(spark):
     got = t.select("id", documents.unicode_math(F.col("t")).alias("m")).collect()
     assert all(r.m == (r"a $\leq$ b " * 3000 if r.id % 7 else None) for r in got) and len(got) == 300
     assert spark.range(5).select(batches.by_parts(F.col("id").cast("string"), lambda s: s + "!", StringType()).alias("x")).count() == 5
+
+
+def test_latex_signs_are_read_once(spark):
+    rows = [(1, "a $ b { c"), (3, "```$```"), (4, "{x} y := {z}"), (5, None)]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", text.latex_corruption("t").alias("x")).select("i", "x.score", "x.detected")
+    assert plan_of(df).count("```.*?```") == 1
+    assert {r.i: (r.score, r.detected) for r in df.collect()} == {1: (35, True), 3: (0, False), 4: (8, False), 5: (0, False)}
