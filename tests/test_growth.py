@@ -159,3 +159,12 @@ def test_latex_signs_are_read_once(spark):
     df = spark.createDataFrame(rows, "i int, t string").select("i", text.latex_corruption("t").alias("x")).select("i", "x.score", "x.detected")
     assert plan_of(df).count("```.*?```") == 1
     assert {r.i: (r.score, r.detected) for r in df.collect()} == {1: (35, True), 3: (0, False), 4: (8, False), 5: (0, False)}
+
+
+def test_texts_of_cards_are_cut_into_words_once(spark):
+    from coursemill.operators import scoring
+
+    texts = spark.createDataFrame([("c", 1, "um texto de logica"), ("c", 2, "um de"), ("c", 3, "xlogica formalx")], "course_id string, doc_id int, text_norm string")
+    cards = spark.createDataFrame([("c", "logica formal", "card")], "course_id string, card_norm string, kind string")
+    df = scoring.card_hits(texts, cards, ["doc_id"])
+    assert {r.doc_id: r.hits[0].points for r in df.collect()} == {1: 0.19, 3: 0.53} and plan_of(df).count("split(text_norm") <= 4
