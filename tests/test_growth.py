@@ -168,3 +168,10 @@ def test_texts_of_cards_are_cut_into_words_once(spark):
     cards = spark.createDataFrame([("c", "logica formal", "card")], "course_id string, card_norm string, kind string")
     df = scoring.card_hits(texts, cards, ["doc_id"])
     assert {r.doc_id: r.hits[0].points for r in df.collect()} == {1: 0.19, 3: 0.53} and plan_of(df).count("split(text_norm") <= 4
+
+
+def test_descriptions_are_moved_once_for_both_steps(spark):
+    from coursemill.plans import registry
+
+    df = registry.QUERIES["near_descriptions"](spark, "/root/testdata/sf0.001")
+    assert plan_of(df).split("Initial Plan")[-1].count("Exchange") == 1
