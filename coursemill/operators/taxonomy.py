@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from coursemill.functions import vocab
-from coursemill.functions.text import collapse_ws, fold, headings, match_text, slugify, text_lines, tokens, unit_slug
+from coursemill.functions.text import collapse_ws, fold, headings, match_text, once, slugify, text_lines, tokens, unit_slug
 from coursemill.operators import naming, scoring
 from coursemill.sources.staging import staged
 
@@ -29,6 +29,8 @@ class Profile:
 
 
 DEFAULT = Profile()
+#: Base candidates of all courses whose index is broadcast at most, about 5 KB each; beyond, headings are moved to them.
+MOST_BASES = 10_000
 #: Points of a heading for a topic (fixed values).
 SUPPORT = {"equal": 10.0, "inside": 8.0, "stems": 5.5, "each": 0.4, "cue": 3.4, "weak_cue": 2.8, "subtopic": 0.08, "least": 2.8}
 
@@ -166,7 +168,9 @@ def glossary_aliases(topics: DataFrame, terms: DataFrame) -> DataFrame:
 def stems(c: Column | str) -> Column:
     """First five letters of the words of a text without its number, but for a few small words. [J16]"""
     text = F.col(c) if isinstance(c, str) else c
-    words = F.filter(tokens(match_text(strip_topic_prefix(text), "c")), lambda x: ~x.isin("sobre", "para", "entre"))
+    # only a text that begins so can lose more than white space and dashes, which a match text has not
+    norm = once(match_text(text, "c"), lambda n: F.when(n.rlike("^(?:[0-9]|unidade|tema|topico|especificacao)"), match_text(strip_topic_prefix(text), "c")).otherwise(n))
+    words = F.filter(tokens(norm), lambda x: ~x.isin("sobre", "para", "entre"))
     return F.array_distinct(F.transform(words, lambda x: F.substring(x, 1, 5)))
 
 
@@ -210,18 +214,44 @@ def heading_support(heads: DataFrame, topics: DataFrame, profile: Profile = DEFA
     return best.select(*heads.columns, F.col("b.topic_slug").alias("topic_slug"), (-F.col("b.neg")).alias("points"))
 
 
-def supported_headings(heads: DataFrame, base: DataFrame, profile: Profile = DEFAULT, cue: Column | None = None) -> DataFrame:
+def _behind(heads: DataFrame, base: DataFrame, runs: bool) -> DataFrame:
+    """The headings with each base text that they may meet as `near_texts`, and null where they meet none: a broadcast index
+    of stems, first letters and runs of letters, so no heading is moved or written. Both: course_id, norm, stems. Without
+    `runs` base texts that stand inside a heading are not looked for."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit("(?=(.{4}))"), F.lit(1))
+    marked = lambda mark, words: F.transform(words, lambda x: F.concat(F.lit(mark), x))
+    stem, first, anywhere = marked("s", F.col("stems")), F.array(F.substring("norm", 1, 4)), cut("norm")
+    keys = lambda *parts: F.when(F.size("stems") > 0, F.concat(*parts))
+    of_base = keys(stem, marked("h", anywhere), marked("b", first))
+    of_head = keys(stem, marked("h", first), *([marked("b", anywhere)] if runs else []))
+    index = base.select("course_id", F.col("norm").alias("r_norm"), F.col("stems").alias("r_stems"), F.explode(F.array_distinct(of_base)).alias("k"))
+    return heads.withColumn("k", F.explode_outer(of_head)).join(F.broadcast(index), ["course_id", "k"], "left").drop("k")
+
+
+def supported_headings(heads: DataFrame, base: DataFrame, profile: Profile = DEFAULT, cue: Column | None = None, sure: Column | None = None, holds: Column | None = None) -> DataFrame:
     """The headings (course_id, text) that a base candidate of their course (course_id, text) stands behind; `cue` tells of a
-    heading whether it holds a cue of its course. [A5]"""
-    h, b = _normed(heads, "text"), _normed(base.select("course_id", "text"), "text")
-    near = near_texts(h, b)
-    h, b = (df.withColumnsRenamed({c: f"{x}_{c}" for c in ("key", "norm", "stems")}) for df, x in ((h, "l"), (b.drop("text").distinct(), "r")))
-    pairs = h.join(near, ["course_id", "l_key"]).join(b, ["course_id", "r_key"])
-    n, mine, other = F.size(F.array_intersect("l_stems", "r_stems")), F.size("l_stems"), F.size("r_stems")
-    inside = F.col("l_norm").contains(F.col("r_norm")) | F.col("r_norm").contains(F.col("l_norm"))
-    cue = (n == 1) & mine.between(2, 4) & (_holds(F.col("l_norm"), profile.overlap_cues) if cue is None else cue)
+    heading whether it holds a cue of its course, `sure` whether it needs no candidate, `holds` whether its match text holds
+    that of a candidate with stems, where this is known. A column norm is taken for the match text. [A5]
+
+    Headings are read once and stay where they are if there are no more than MOST_BASES candidates, which is counted first.
+    """
+    sure = F.lit(False) if sure is None else sure
+    b = _normed(base.select("course_id", "text"), "text")
+    n, mine, other = F.size(F.array_intersect("stems", "r_stems")), F.size("stems"), F.size("r_stems")
+    inside = F.col("norm").contains(F.col("r_norm")) | F.col("r_norm").contains(F.col("norm"))
+    cue = (n == 1) & mine.between(2, 4) & (_holds(F.col("norm"), profile.overlap_cues) if cue is None else cue)
     most = (n >= 2) & (((n == other) & (mine - n <= 1)) | ((n == mine) & (other - n <= 1)))
-    return pairs.filter(inside | cue | most).select(*heads.columns).distinct()
+    if b.limit(MOST_BASES + 1).count() <= MOST_BASES:
+        h = heads.withColumn("norm", F.col("norm") if "norm" in heads.columns else match_text("text", "c"))
+        pairs = _behind(h.withColumn("stems", stems("text")), b.select("course_id", "norm", "stems").distinct(), holds is None)
+        sure = sure if holds is None else sure | (holds & (F.size("stems") > 0))
+    else:
+        h = _normed(heads, "text")
+        near = near_texts(h.filter(~sure), b)
+        r = b.drop("text").distinct().withColumnsRenamed({c: f"r_{c}" for c in ("key", "norm", "stems")})
+        met = h.withColumnRenamed("key", "l_key").join(near, ["course_id", "l_key"]).join(r, ["course_id", "r_key"])
+        pairs = met.unionByName(h.filter(sure), allowMissingColumns=True)
+    return pairs.filter(sure | inside | cue | most).select(*heads.columns).distinct()
 
 
 def merge_topics(topics: DataFrame) -> DataFrame:

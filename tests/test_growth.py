@@ -175,3 +175,41 @@ def test_descriptions_are_moved_once_for_both_steps(spark):
 
     df = registry.QUERIES["near_descriptions"](spark, "/root/testdata/sf0.001")
     assert plan_of(df).split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_headings_of_courses_are_neither_moved_nor_written(spark, monkeypatch):
+    from coursemill.operators import profiles
+
+    rng = random.Random(5)
+    words = ["grafos", "arvores", "arv", "redes", "redesenho", "busca", "para", "1", "unidade 2", "fila", "pilha", "Lógica", "é"]
+    texts = lambda k: [" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(k)]
+    frame = lambda rows: spark.createDataFrame(rows, "course_id string, text string")
+    c = frame([(x, t) for x in "ab" for t in texts(12)])
+    h = frame([(x, t) for x in "abn" for t in [*texts(150), *(f"xyz{i} wvu{i}" for i in range(1500))]] + [("n", None), (None, "grafos soltos"), ("a", "Uso de Gephi redes")])
+    own = spark.createDataFrame([("a", "tool", "gephi"), ("b", "cue", "busca"), ("b", "whole", "fila pilha"), ("a", "slug", "grafos-redes")], "course_id string, kind string, word string")
+    vocabulary = profiles.course_vocabulary(h.select("course_id"), overrides=own)
+    rows, write = [], profiles.staged
+    monkeypatch.setattr(profiles, "staged", lambda df, *a: (out := write(df, *a), rows.append(out.count()))[0])
+    tags = lambda: {r.course_id: r.tags for r in profiles.course_tags(c, h.filter("coalesce(course_id, '') != 'n'"), vocabulary).collect()}
+    got = tags()
+    assert max(rows) < 500 and "ferramenta:gephi" in got["a"] and len(got["a"]) > 10
+    assert "Exchange" not in plan_of(profiles.scan(h, vocabulary))
+    alone = {r.course_id: r.tags for r in profiles.course_tags(c, h, vocabulary).collect()}
+    assert {k: alone[k] for k in "ab"} == got and len(alone["n"]) > 1300
+    hits = lambda: sorted((r.course_id or "", r.text, [tuple(x) for x in r.hits]) for r in profiles.scan(h, vocabulary).collect())
+    few = hits()
+    # the ways for many words and many candidates give the same
+    monkeypatch.setattr(profiles, "MOST_WORDS", 0)
+    assert few == hits() and got == tags()
+    monkeypatch.setattr(taxonomy, "MOST_BASES", 0)
+    assert got == tags()
+    monkeypatch.undo()
+    assert got == tags()
+
+
+def test_stems_of_prefixed_texts(spark):
+    texts = ["1.2. Grafos dirigidos", "Unidade 3 — Árvores e grafos", "TEMA 4: busca", "Especificação de sistemas", "unidades 3 e 4", "- tópicos 5 -", "tópico 5 redes", "  7 filas", None, "para os grafos"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = F.filter(text.tokens(text.match_text(taxonomy.strip_topic_prefix(F.col("t")), "c")), lambda x: ~x.isin("sobre", "para", "entre"))
+    got = df.select(taxonomy.stems("t").alias("a"), F.array_distinct(F.transform(plain, lambda x: F.substring(x, 1, 5))).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and got[0].a == ["grafo", "dirig"]
