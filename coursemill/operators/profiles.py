@@ -27,11 +27,12 @@ KINDS = {"tool": "known_tools", "book": "bibliography_markers", "cue": "overlap_
 MOST_WORDS = 20_000
 
 
-def course_vocabulary(courses: DataFrame, sources: DataFrame | None = None, heads: DataFrame | None = None, overrides: DataFrame | None = None, profile: taxonomy.Profile = taxonomy.DEFAULT) -> DataFrame:
+def course_vocabulary(courses: DataFrame, sources: DataFrame | None = None, heads: DataFrame | None = None, overrides: DataFrame | None = None, profile: taxonomy.Profile = taxonomy.DEFAULT, again: bool = False) -> DataFrame:
     """The words of every course: course_id, kind, word. The defaults, what its texts tell and what is set by hand. [A3, A4, U4]
 
     courses: course_id; sources: course_id, source (in order), text, of which tools are inferred; heads: course_id, line, of which
-    cues are; overrides: course_id, kind, word. A course's own slug is general. Lists only grow, repeats count once.
+    cues are (a table that may be read `again` is, so that rare words are not moved); overrides: course_id, kind, word. A course's
+    own slug is general. Lists only grow, repeats count once.
     """
     # blank words are left out before the union: a filter behind it would cut a slug for every row of `courses`
     ids = courses.select("course_id").filter("course_id is not null").distinct()
@@ -40,7 +41,8 @@ def course_vocabulary(courses: DataFrame, sources: DataFrame | None = None, head
     if sources is not None:
         out = out.union(taxonomy.tool_candidates(sources, profile).select("course_id", F.lit("tool"), "name").filter("name != '' and course_id is not null"))
     if heads is not None:
-        out = out.union(taxonomy.heading_cues(heads).select("course_id", F.lit("cue"), "token").filter("token != '' and course_id is not null"))
+        cues = taxonomy.staged_cues if again else taxonomy.heading_cues
+        out = out.union(cues(heads).select("course_id", F.lit("cue"), "token").filter("token != '' and course_id is not null"))
     if overrides is not None:
         out = out.union(overrides.select("course_id", "kind", "word").filter("word != '' and course_id is not null"))
     named = out.filter("kind = 'tool'").select("course_id", F.lit("named"), "word")

@@ -31,6 +31,8 @@ class Profile:
 DEFAULT = Profile()
 #: Base candidates of all courses whose index is broadcast at most, about 5 KB each; beyond, headings are moved to them.
 MOST_BASES = 10_000
+#: Likely cues of all courses (rows) that are broadcast at most, and buckets of a course's other words.
+MOST_LIKELY, BUCKETS = 100_000, 4_096
 #: Points of a heading for a topic (fixed values).
 SUPPORT = {"equal": 10.0, "inside": 8.0, "stems": 5.5, "each": 0.4, "cue": 3.4, "weak_cue": 2.8, "subtopic": 0.08, "least": 2.8}
 
@@ -266,11 +268,44 @@ def merge_topics(topics: DataFrame) -> DataFrame:
 
 def heading_cues(lines: DataFrame, most: int = 24) -> DataFrame:
     """The most frequent words of topic-like lines (course_id, line), at most `most` a course. [A3]"""
-    counts = lines.select("course_id", F.explode(tokens(match_text("line", "c"))).alias("token")).groupBy("course_id", "token").agg(F.count("*").alias("n"))
+    return _ranked(_words(lines).groupBy("course_id", "token").agg(F.count("*").alias("n")), most)
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    return lines.select("course_id", F.explode(tokens(match_text("line", "c"))).alias("token"))
+
+
+def _ranked(counts: DataFrame, most: int) -> DataFrame:
     w = W.partitionBy("course_id").orderBy(F.desc("n"), "token")
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def staged_cues(lines: DataFrame, most: int = 24) -> DataFrame:
+    """`heading_cues` of lines that lie in a table and may be read again; null courses are left out.
+
+    Words that are frequent in some lines are likely ones; they are counted in all lines, and the others by buckets of a hash.
+    The last likely word that would be a cue bounds its course's cues from below, so a bucket whose sum is less holds none. Words
+    of other buckets are counted, so the cues are exact, and rare words, nearly as many as there are lines, are not moved.
+    """
+    lines = lines.filter("course_id is not null")
+    some = lines.filter(F.pmod(F.xxhash64("line"), F.lit(16)) == 0)
+    likely = staged(heading_cues(some, 8 * most).select("course_id", "token", F.lit(True).alias("likely")), "likely")
+    if likely.limit(MOST_LIKELY + 1).count() > MOST_LIKELY:
+        return heading_cues(lines, most)
+    other = F.when(F.col("likely").isNull(), F.pmod(F.xxhash64("token"), F.lit(BUCKETS)))
+    words = lambda df: _words(df).join(F.broadcast(likely), ["course_id", "token"], "left").withColumn("bucket", other)
+    held = words(lines).groupBy("course_id", F.when(F.col("likely"), F.col("token")).alias("token"), "bucket").agg(F.count("*").alias("n"))
+    held = staged(held, "counted")
+    known = held.filter("bucket is null").select("course_id", "token", "n")
+    least = _ranked(known, most).filter(F.col("rank") == most).select("course_id", F.col("n").alias("least"))
+    wide = held.filter("bucket is not null").join(least, "course_id", "left").filter(F.col("n") >= F.coalesce("least", F.lit(0))).select("course_id", "bucket")
+    wide = staged(wide, "buckets")
+    if not wide.isEmpty():
+        open_ = lines.join(wide.select("course_id").distinct(), "course_id", "left_semi")
+        known = known.union(words(open_).join(wide, ["course_id", "bucket"]).groupBy("course_id", "token").agg(F.count("*").alias("n")))
+    return _ranked(known, most)
+
+
 def tool_candidates(sources: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Names that may be tools, per course: name, sources, context. [A4] sources: course_id, source (in order), text.
 

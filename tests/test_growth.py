@@ -213,3 +213,21 @@ def test_stems_of_prefixed_texts(spark):
     plain = F.filter(text.tokens(text.match_text(taxonomy.strip_topic_prefix(F.col("t")), "c")), lambda x: ~x.isin("sobre", "para", "entre"))
     got = df.select(taxonomy.stems("t").alias("a"), F.array_distinct(F.transform(plain, lambda x: F.substring(x, 1, 5))).alias("b")).collect()
     assert all(r.a == r.b for r in got) and got[0].a == ["grafo", "dirig"]
+
+
+def test_rare_words_of_lines_are_not_moved(spark, monkeypatch):
+    rng = random.Random(7)
+    often = [f"{a}{b}word" for a in "abcdefgh" for b in "abcde"]
+    rows = [(c, f"{' '.join(rng.choices(often, range(1, 41), k=6))} rare{c}{i} seldom{i % 900}") for c in ("x", "y", "z") for i in range(1500)]
+    rows += [("x", "crowded " * 900), ("y", "beside " * 40 + "tied " * 40), ("few", "eins zwei drei zwei vier vier"), (None, "null null"), ("none", "")]
+    lines = spark.createDataFrame(rows, "course_id string, line string").repartition(4)
+    want = {(r.course_id, r.token): (r.n, r["rank"]) for r in taxonomy.heading_cues(lines).collect() if r.course_id}
+    counted, write = {}, taxonomy.staged
+    monkeypatch.setattr(taxonomy, "staged", lambda df, name: (out := write(df, name), counted.update({name: out.count()}))[0])
+    got = lambda: {(r.course_id, r.token): (r.n, r["rank"]) for r in taxonomy.staged_cues(lines).collect()}
+    for buckets in (200, 4096, 1):
+        monkeypatch.setattr(taxonomy, "BUCKETS", buckets)
+        assert got() == want and ("x", "crowded") in want and ("few", "drei") in want
+        assert counted["counted"] < 8 * 24 * 4 + 4 * buckets
+    monkeypatch.setattr(taxonomy, "MOST_LIKELY", 0)
+    assert {k: v for k, v in got().items() if k[0]} == want
