@@ -174,7 +174,7 @@ def course_tags(candidates: DataFrame, heads: DataFrame, vocabulary: DataFrame)
     own = base.select("course_id", F.lit(True).alias("__own")).distinct()
     inside = base.select("course_id", F.lit("base").alias("kind"), match_text("text", "c").alias("word"), taxonomy.stems("text").alias("s")).filter("size(s) > 0").drop("s")
     # a heading asks for the tools that it names, which need no candidate, and for itself, by what its slug does not tell
-    scanned = scan(heads, vocabulary.union(inside)).join(own, "course_id", "left").withColumn("__good", _worded(F.lit("slug")))
+    scanned = scan(heads, vocabulary.unionByName(inside)).join(own, "course_id", "left").withColumn("__good", _worded(F.lit("slug")))
     has = lambda kind: F.exists("hits", lambda x: x["kind"] == kind)
     ask = lambda **of: F.struct(*(c.alias(name) for name, c in of.items()))
     blank, no = F.lit(""), F.lit(False)
